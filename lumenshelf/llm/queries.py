@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import url_filters
+from . import url_filters, warc
 
 QUERIES = {
+    "op9_warc": warc.op9_warc,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
+    "op9_warc": warc.ORACLE_SQL,
     "op10_url_filters": url_filters.ORACLE_SQL,
 }
