@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import url_filters, warc
+from . import packing, url_filters, warc
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op9_warc": warc.op9_warc,
     "op10_url_filters": url_filters.op10_url_filters,
 }
