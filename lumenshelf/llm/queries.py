@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, url_filters, warc
+from . import packing, toxicity, url_filters, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op9_warc": warc.op9_warc,
     "op10_url_filters": url_filters.op10_url_filters,
 }
