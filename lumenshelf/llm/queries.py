@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, toxicity, url_filters, warc
+from . import embedding_dedup, packing, toxicity, url_filters, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_warc": warc.op9_warc,
     "op10_url_filters": url_filters.op10_url_filters,
 }
