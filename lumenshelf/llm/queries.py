@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, packing, toxicity, url_filters, warc
+from . import chat, embedding_dedup, packing, toxicity, url_filters, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op6_chat": chat.op6_chat,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_warc": warc.op9_warc,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
+    "op6_chat": chat.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
     "op10_url_filters": url_filters.ORACLE_SQL,
 }
