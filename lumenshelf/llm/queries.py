@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, packing, toxicity, url_filters, warc
+from . import chat, embedding_dedup, jaccard_join, packing, toxicity, url_filters, warc
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_chat": chat.op6_chat,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_warc": warc.op9_warc,
