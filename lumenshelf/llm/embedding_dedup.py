@@ -25,18 +25,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import deal
+from .blocks import LinkRows, deal, runs
 from .common import components, cut, lookup, table, tune
 
 COSINE = 0.93
 TABLES, HASHES, WIDTH, SEED = 20, 10, 2.0, 20240
 #: Rows in a block of a bucket; the cosines of two blocks are one matrix.
 BLOCK = 1500
+KEYS = ["label", "table", "code", "block_i", "block_j"]
 
 
 def _planes(dim: int, tables: int, hashes: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,70 +65,44 @@ def _codes(tables: int, hashes: int, width: float, seed: int):
                 mixed ^= mixed >> np.uint64(29)
                 for k, i in enumerate(at):
                     units[i], codes[i] = x[k].tobytes(), mixed[k].astype(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(units, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], names=["class_id", "label", "copies", "unit", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(units, pa.binary()), pa.array(codes, pa.list_(pa.int64())), pa.array([np.array(c, np.int64).tobytes() for c in codes], pa.binary())], names=["class_id", "label", "copies", "unit", "code", "codes"])
 
     return run
 
 
-def roots(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
-    """For each of n nodes the smallest node that the links (p, q) join it to."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[p], root[q])
-        new = root.copy()
-        np.minimum.at(new, p, low)
-        np.minimum.at(new, q, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
-LINKS_DDL = "class_id long, other long, links long"
-
-
 def _compare(cosine: float):
-    """One task of a bucket: rows (class_id, null, number of linked vectors), and rows (class_id, other, 0) for what the links join."""
-
-    def run(bucket: pd.DataFrame) -> pd.DataFrame:
-        t = int(bucket["table"].iloc[0])
-        ids, copies, own = bucket["class_id"].to_numpy(), bucket["copies"].to_numpy(), bucket["own"].to_numpy()
-        i_block, j_block = int(bucket["block_i"].iloc[0]), int(bucket["block_j"].iloc[0])
-        out_ids, out_other, out_links = [], [], []
-        dims = bucket["unit"].map(len).to_numpy()
-        for dim in set(dims.tolist()):
-            here = dims == dim
-            a, b = np.flatnonzero(here & (own == i_block)), np.flatnonzero(here & (own == j_block))
-            if not len(a) or not len(b):
-                continue
-            x = np.frombuffer(b"".join(bucket["unit"].iloc[a]), float).reshape(len(a), -1)
-            y = np.frombuffer(b"".join(bucket["unit"].iloc[b]), float).reshape(len(b), -1)
-            linked = x @ y.T >= cosine
-            if i_block == j_block:
-                linked = np.triu(linked, 1)
-            p, q = np.nonzero(linked)
-            if t and len(p):  # not where an earlier table has the pair
-                earlier = np.array(bucket["codes"].tolist())[:, :t]
-                seen = np.zeros(len(p), bool)
-                for k in range(0, len(p), 1 << 16):
-                    s = slice(k, k + (1 << 16))
-                    seen[s] = (earlier[a[p[s]]] == earlier[b[q[s]]]).any(1)
-                p, q = p[~seen], q[~seen]
-            if not len(p):
+    """Links in the blocks of buckets, as LinkRows; a pair counts in the first table that it shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = LinkRows("class_id")
+        for bucket in runs(batches, KEYS):
+            if bucket.num_rows < 2:
                 continue
-            links = np.zeros(len(bucket), np.int64)
-            np.add.at(links, a[p], copies[b[q]])
-            np.add.at(links, b[q], copies[a[p]])
-            has = np.flatnonzero(links)
-            out_ids += ids[has].tolist()
-            out_other += [None] * len(has)
-            out_links += links[has].tolist()
-            root = roots(p, q, len(bucket))
-            joined = np.flatnonzero(root != np.arange(len(bucket)))
-            out_ids += ids[joined].tolist()
-            out_other += ids[root[joined]].tolist()
-            out_links += [0] * len(joined)
-        return pd.DataFrame({"class_id": pd.array(out_ids, "Int64"), "other": pd.array(out_other, "Int64"), "links": pd.array(out_links, "Int64")})
+            t, i, j = (bucket.column(c)[0].as_py() for c in ("table", "block_i", "block_j"))
+            ids, copies, own = (bucket.column(c).to_numpy() for c in ("class_id", "copies", "own"))
+            units, codes = bucket.column("unit").to_pylist(), bucket.column("codes").to_pylist()
+            dims = np.array([len(u) for u in units])
+            for dim in set(dims.tolist()):
+                a, b = np.flatnonzero((dims == dim) & (own == i)), np.flatnonzero((dims == dim) & (own == j))
+                if not len(a) or not len(b):
+                    continue
+                x = np.frombuffer(b"".join([units[k] for k in a]), float).reshape(len(a), -1)
+                y = np.frombuffer(b"".join([units[k] for k in b]), float).reshape(len(b), -1)
+                linked = x @ y.T >= cosine
+                if i == j:
+                    linked = np.triu(linked, 1)
+                p, q = np.nonzero(linked)
+                p, q = a[p], b[q]
+                if t and len(p):  # not where an earlier table has the pair
+                    earlier = np.frombuffer(b"".join(codes), np.int64).reshape(len(codes), -1)[:, :t]
+                    new = np.ones(len(p), bool)
+                    for k in range(0, len(p), 1 << 16):
+                        s = slice(k, k + (1 << 16))
+                        new[s] = ~(earlier[p[s]] == earlier[q[s]]).any(1)
+                    p, q = p[new], q[new]
+                out.add(ids, p, q, copies)
+            yield from out.take(10_000)
+        yield from out.take()
 
     return run
 
@@ -145,14 +119,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # a class: one vector and its copies, named by the smallest id
     classes = rows.filter(F.col("copy_key").isNotNull()).groupBy("copy_key").agg(F.min("vec_id").alias("class_id"), F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes.filter(F.col("class_id").isNotNull()), "vector-classes")
-    coded = cut(classes.select("class_id", "label", "vector", "copies").mapInArrow(_codes(tables, hashes, width, seed), "class_id long, label string, copies long, unit binary, codes array<long>"), "vector-codes")
-    keys = coded.select("class_id", "label", F.posexplode("codes").alias("table", "code"))
+    coded = cut(classes.select("class_id", "label", "vector", "copies").mapInArrow(_codes(tables, hashes, width, seed), "class_id long, label string, copies long, unit binary, code array<long>, codes binary"), "vector-codes")
+    keys = coded.select("class_id", "label", F.posexplode("code").alias("table", "code"))
     sizes = keys.groupBy("label", "table", "code").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # only members of shared buckets travel with their vectors
     shared = cut(keys.join(sizes, ["label", "table", "code"]), "vector-buckets")
-    members = shared.join(coded.drop("label"), "class_id")
+    members = shared.join(coded.select("class_id", "copies", "unit", "codes"), "class_id")
     dealt = deal(members, "code", "size", "class_id", block)
-    found = cut(dealt.groupBy("label", "table", "code", "block_i", "block_j").applyInPandas(_compare(cosine), LINKS_DDL), "vector-links")
+    dealt = dealt.select(*KEYS, "class_id", "copies", "own", "unit", "codes").repartition(*KEYS).sortWithinPartitions(*KEYS)
+    found = cut(dealt.mapInArrow(_compare(cosine), "class_id long, other long, links long"), "vector-links")
     links = found.filter("other is null").groupBy("class_id").agg(F.sum("links").alias("links"))
     comp = components(found.filter("other is not null").select(F.col("class_id").alias("a"), F.col("other").alias("b")), "vector-edges").withColumnsRenamed({"node": "class_id"})
     of_class = cut(classes.select("copy_key", "class_id", "copies").join(links, "class_id", "left").join(comp, "class_id", "left"), "vector-classes-linked")
