@@ -51,45 +51,52 @@ LIKELY = 0.62
 BLOCK = 1000
 
 
-def _sign(width: int):
+def _children(nodes: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child): for each node and its set's signature the children that the set goes to."""
+    share = np.uint64(min(2**64 - 1, int(2**64 / (threshold * COORDINATES))))
+    drawn = mix(nodes[:, None] ^ mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))[None, :])
+    row, at = np.nonzero(drawn < share)
+    return row, mix(mix(drawn[row, at]) ^ sig[row, at].astype(np.uint64))
+
+
+def _sign(width: int, threshold: float, repeats: int):
+    """Per text: a digest of its words, 16 and 8 bits of its coordinates, and its nodes on the trees' first level."""
+    trees = mix(np.arange(1, repeats + 1, dtype=np.uint64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             texts = [words(t) for t in batch.column(1).to_pylist()]
-            sets = [shingle_set(t, width) for t in texts]
             digests = [hashlib.md5(" ".join(t).encode("utf-8", "surrogatepass")).hexdigest() if t else None for t in texts]
-            sig = [r.tobytes() for r in signatures(sets, COORDINATES)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(sig, pa.binary())], names=["doc_id", "digest", "sig"])
+            sig = signatures([shingle_set(t, width) for t in texts], COORDINATES)
+            # all texts draw the same coordinates at a root; here they take part with all 32 bits
+            nodes = [_children(np.full(len(sig), t), sig, threshold) for t in trees]
+            row, child = np.concatenate([r for r, _ in nodes]), np.concatenate([c for _, c in nodes]).view(np.int64)
+            child = child[np.argsort(row, kind="stable")]
+            ends = np.cumsum(np.bincount(row, minlength=len(sig)))[:-1]
+            columns = [pa.array([r.tobytes() for r in sig.astype(np.uint16)], pa.binary()), pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary()), pa.array(np.split(child, ends), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), *columns], names=["doc_id", "digest", "sig", "sketch", "nodes"])
 
     return run
 
 
-def _children(threshold: float, roots: int | None):
-    """Rows (node, class_id) of the children; from the roots of ``roots`` trees, or from each row's node."""
-    share = np.uint64(int(2**64 / (threshold * COORDINATES)) if threshold * COORDINATES > 1 else 2**64 - 1)
-    salt = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
-
-    def of(nodes: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        drawn = mix(nodes[:, None] ^ salt[None, :])
-        row, at = np.nonzero(drawn < share)
-        return row, mix(mix(drawn[row, at]) ^ sig[row, at].astype(np.uint64))
+def _split(threshold: float):
+    """Rows (node, class_id) of the children of rows (class_id, sig, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, COORDINATES)
-            starts = [np.full(len(ids), mix(np.array([r + 1], np.uint64))[0]) for r in range(roots)] if roots else [batch.column(2).to_numpy().view(np.uint64)]
-            for nodes in starts:
-                row, child = of(nodes, sig)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[row])], names=["node", "class_id"])
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, COORDINATES)
+                row, child = _children(batch.column(2).to_numpy().view(np.uint64), sig, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(batch.column(0).to_numpy()[row])], names=["node", "class_id"])
 
     return run
 
 
-def leaves(signed: DataFrame, threshold: float, repeats: int, depth: int, leaf: int) -> list[DataFrame]:
-    """Tables (node, class_id, size) of the trees' leaves with two classes or more; ``signed`` is (class_id, sig)."""
-    rows = cut(signed.select("class_id", "sig").mapInArrow(_children(threshold, repeats), "node long, class_id long"), "paths")
+def leaves(signed: DataFrame, threshold: float, depth: int, leaf: int) -> list[DataFrame]:
+    """Tables (node, class_id, size) of the trees' leaves with two classes or more; ``signed`` is (class_id, sig, nodes)."""
+    rows = cut(signed.select(F.explode("nodes").alias("node"), "class_id"), "paths")
     out = []
     for level in range(1, depth + 1):
         sizes = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "path-sizes")
@@ -99,8 +106,8 @@ def leaves(signed: DataFrame, threshold: float, repeats: int, depth: int, leaf:
         out.append(found if last else found.filter(F.col("size") <= leaf))
         if last or found.filter(F.col("size") > leaf).isEmpty():
             break
-        wide = found.filter(F.col("size") > leaf).join(signed, "class_id").select("class_id", "sig", "node")
-        rows = cut(wide.mapInArrow(_children(threshold, None), "node long, class_id long"), "paths")
+        wide = found.filter(F.col("size") > leaf).join(signed.select("class_id", "sig"), "class_id").select("class_id", "sig", "node")
+        rows = cut(wide.mapInArrow(_split(threshold), "node long, class_id long"), "paths")
     return out
 
 
@@ -113,7 +120,7 @@ def _likely(least: int):
             if group.num_rows < 2:
                 continue
             ids, own = group.column("class_id").to_numpy(), group.column("own").to_numpy()
-            sig = (np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1) & 255).astype(np.uint8)
+            sig = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
             i, j = group.column("block_i")[0].as_py(), group.column("block_j")[0].as_py()
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             p, q = [], []
@@ -191,17 +198,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row (doc_id, class_id, n_links, kept, digest) per document; kept where doc_id is class_id."""
     tune(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(texts.mapInArrow(_sign(width), "doc_id long, digest string, sig binary"), "signatures")
+    signed = cut(texts.mapInArrow(_sign(width, threshold, repeats), "doc_id long, digest string, sig binary, sketch binary, nodes array<long>"), "signatures")
     classes = cut(signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "text-classes")
     rows = signed.select("doc_id", "digest")
-    one = cut(signed.join(classes.select("digest", "class_id"), "digest").filter("doc_id = class_id").select("class_id", "sig").dropDuplicates(["class_id"]), "class-signatures")
-    buckets = leaves(one, threshold, repeats, depth, leaf)
+    one = cut(signed.join(classes.select("digest", "class_id"), "digest").filter("doc_id = class_id").select("class_id", "sig", "sketch", "nodes").dropDuplicates(["class_id"]), "class-signatures")
+    buckets = leaves(one, threshold, depth, leaf)
     members = buckets[0]
     for more in buckets[1:]:
         members = members.unionByName(more)
-    dealt = deal(members.join(one, "class_id"), "node", "size", "class_id", max(block, leaf))
+    dealt = deal(members.join(one.select("class_id", "sketch"), "class_id"), "node", "size", "class_id", max(block, leaf))
     keys = ["node", "block_i", "block_j"]
-    likely = dealt.select(*keys, "class_id", "own", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_likely(round(LIKELY * COORDINATES)), "class_id long, other long, links long")
+    likely = dealt.select(*keys, "class_id", "own", "sketch").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_likely(round(LIKELY * COORDINATES)), "class_id long, other long, links long")
     groups = cut(components(likely.select(F.col("class_id").alias("a"), F.col("other").alias("b")), "likely-pairs").withColumnsRenamed({"node": "class_id", "component": "candidate"}), "candidates")
     sizes = cut(groups.groupBy("candidate").agg(F.count(F.lit(1)).alias("size")), "candidate-sizes")
     copies = classes.groupBy("class_id").agg(F.sum("copies").alias("copies"))

@@ -48,11 +48,11 @@ def shingle_set(tokens: list[str], width: int = WIDTH) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], size: int, seed: int = 5) -> np.ndarray:
-    """MinHash coordinates, 16 bits of each: one row per set. An empty set's row is zero."""
+    """MinHash coordinates, 32 bits each: one row per set. An empty set's row is zero."""
     rng = np.random.default_rng(seed)
     a, b = rng.integers(0, 2**32, (2, size), dtype=np.uint32)
     a |= np.uint32(1)
-    out = np.zeros((len(sets), size), np.uint16)
+    out = np.zeros((len(sets), size), np.uint32)
     at = [i for i, s in enumerate(sets) if len(s)]
     k = 0
     while k < len(at):
@@ -68,6 +68,7 @@ def signatures(sets: list[np.ndarray], size: int, seed: int = 5) -> np.ndarray:
             v += b[c]
             low[c] = np.minimum.reduceat(v, starts)
         low ^= low >> np.uint32(15)  # a minimum has high bits of zero
-        out[at[k:end]] = (low * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.uint16).T
+        low *= np.uint32(0x2C1B3C6D)
+        out[at[k:end]] = (low ^ (low >> np.uint32(16))).T
         k = end
     return out
