@@ -49,38 +49,44 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 1)
 
 
-def template(tokens: Column) -> Column:
-    """Array of struct(raw, word) without the ends of sentences."""
-    before = F.concat(F.array(F.lit(".")), tokens)
+def template_words(tokens: Column) -> Column:
+    """The template: a word or placeholder per token, null for ends of sentences."""
     is_end = lambda x: x.rlike(r"^[.!?:\n]")
     is_number = lambda x: x.rlike(r"^\p{N}")
 
     def word(x: Column, prior: Column) -> Column:
         low = F.lower(x)
         # most words are lower-case and follow no number; they need no pattern
-        plain = F.when((prior < "0") | (prior >= ":"), low).when(is_number(prior) & low.isin(UNITS), "<unit>").otherwise(low)
-        return F.when((x < "A") | (x >= "{"), F.when(is_number(x), "<num>").when(is_end(x), None).otherwise(plain)).when(x == low, plain).when(x.rlike(NAME) & ~is_end(prior), "<name>").otherwise(plain)
+        plain = F.when((prior < "0") | ((prior >= ":") & (prior < "\u0080")), low).when(is_number(prior) & low.isin(UNITS), "<unit>").otherwise(low)
+        same = F.when((x >= "A") & (x < "{"), plain).when(is_number(x), "<num>").when(is_end(x), None).otherwise(plain)
+        return F.when(x == low, same).when(x.rlike(NAME) & ~is_end(prior), "<name>").otherwise(plain)
 
-    zipped = F.zip_with(tokens, F.slice(before, F.lit(1), F.size(tokens)), lambda x, p: F.struct(F.lower(x).alias("raw"), word(x, p).alias("word")))
-    return F.filter(zipped, lambda t: t["word"].isNotNull())
+    before = F.concat(F.array(F.lit(".")), tokens)
+    return F.zip_with(tokens, F.slice(before, F.lit(1), F.size(tokens)), word)
 
 
-def with_template(df: DataFrame, text: str) -> DataFrame:
-    """Adds template and windows (64-bit hashes, one per position) for the column ``text``."""
+def with_template(df: DataFrame, text: str, raws: bool = False) -> DataFrame:
+    """Adds words (the template) and windows (64-bit hashes, one per position) for the column ``text``; with ``raws`` also the words in lower case."""
+    # read windows with explode_outer only: for explode, Spark infers a filter on the array's size, in which
+    # the arrays under a lambda are computed again for every element
     df = df.withColumn("_tokens", tokens(F.col(text)))
-    df = df.withColumn("template", template(F.col("_tokens"))).withColumn("_words", F.col("template.word"))
-    hashed = lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WIDTH)])
-    windows = F.when(F.size("_words") >= WIDTH, F.transform(F.sequence(F.lit(0), F.size("_words") - WIDTH), hashed)).otherwise(F.array().cast("array<long>"))
-    return df.withColumn("windows", windows).drop("_tokens", "_words")
+    df = df.withColumn("_all", template_words(F.col("_tokens")))
+    if raws:
+        kept = F.filter(F.zip_with("_tokens", "_all", lambda x, w: F.when(w.isNotNull(), F.lower(x))), lambda x: x.isNotNull())
+        df = df.withColumn("raws", kept)
+    df = df.withColumn("words", F.filter("_all", lambda w: w.isNotNull()))
+    hashed = lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WIDTH)])
+    windows = F.when(F.size("words") >= WIDTH, F.transform(F.sequence(F.lit(0), F.size("words") - WIDTH), hashed)).otherwise(F.array().cast("array<long>"))
+    return df.withColumn("windows", windows).drop("_tokens", "_all")
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """(item_id, raws, pos, h, n): the countable windows of each item, and how many distinct positions it has."""
-    rows = with_template(items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).filter("item_id is not null"), "text")
-    rows = rows.select("item_id", "template", F.posexplode("windows").alias("pos", "h"))
-    part = F.slice("template", F.col("pos") + 1, F.lit(WIDTH))
-    plain = F.size(F.filter(part, lambda t: ~t["word"].startswith("<")))
-    rows = rows.filter(plain >= LEAST_WORDS).select("item_id", "pos", "h", F.transform(part, lambda t: t["raw"]).alias("raws"))
+    rows = with_template(items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).filter("item_id is not null"), "text", raws=True)
+    rows = rows.select("item_id", "words", "raws", F.posexplode_outer("windows").alias("pos", "h"))
+    part = lambda c: F.slice(c, F.col("pos") + 1, F.lit(WIDTH))
+    plain = F.size(F.filter(part("words"), lambda w: ~w.startswith("<")))
+    rows = rows.filter(plain >= LEAST_WORDS).select("item_id", "pos", "h", part("raws").alias("raws"))
     return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
 
 
@@ -94,30 +100,27 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     if known.count() <= BROADCAST_WINDOWS:
         keys = F.broadcast(keys)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    seen = with_template(texts, "text").select("doc_id", F.explode("windows").alias("h"))
+    seen = with_template(texts, "text").select("doc_id", F.explode_outer("windows").alias("h"))
     pairs = cut(seen.join(keys, "h").select("doc_id", "item_id").distinct(), "candidate-pairs")
     of_item = known.groupBy("item_id").agg(F.collect_list(F.struct("pos", "h", "raws")).alias("item"), F.first("n").alias("n"))
     # written first: an expression that a lambda reads would be computed again for each element
-    matched = cut(with_template(texts.join(pairs, "doc_id"), "text").select("doc_id", "item_id", "template", "windows"), "candidate-windows")
-    with_items = cut(_shared_positions(matched.join(of_item, "item_id")), "candidate-positions")
-    return _aligned(with_items, share)
+    matched = cut(with_template(texts.join(pairs, "doc_id"), "text", raws=True).select("doc_id", "item_id", "words", "raws", "windows"), "candidate-windows")
+    return _aligned(_shared_positions(matched.join(of_item, "item_id")), share)
 
 
 def _shared_positions(found: DataFrame) -> DataFrame:
-    """The windows that document and item share, as hits (at, h, mine), without the rest of the document."""
-    part = lambda x, i: F.struct(i.alias("at"), x.alias("h"), F.when(F.array_contains(F.col("item")["h"], x), F.slice("template", i + 1, F.lit(WIDTH))).alias("mine"))
-    hits = F.filter(F.transform("windows", part), lambda x: x["mine"].isNotNull())
-    return found.select("doc_id", "item_id", "n", "item", hits.alias("hits"))
-
-
-def _aligned(found: DataFrame, share: float) -> DataFrame:
-    def slots(mine: Column, w: Column) -> Column:
-        pairs = F.zip_with(mine, w["raws"], lambda t, r: F.when(t["word"].startswith("<"), F.struct(r.alias("item"), t["raw"].alias("doc"))))
-        return F.filter(pairs, lambda p: p.isNotNull())
-
-    one = found.select("doc_id", "item_id", "n", "item", F.explode("hits").alias("hit"))
-    one = one.select("doc_id", "item_id", "n", "hit", F.explode("item").alias("w")).filter(F.col("w.h") == F.col("hit.h"))
-    rows = one.select("doc_id", "item_id", "n", (F.col("hit.at") - F.col("w.pos")).alias("shift"), F.col("w.pos").alias("pos"), slots(F.col("hit.mine"), F.col("w")).alias("slots"))
+    """One row per window that document and item share: at, mine (words of the document's window and its template), w (the item's)."""
+    one = found.select("doc_id", "item_id", "n", "item", "words", "raws", F.posexplode_outer("windows").alias("at", "h")).filter(F.array_contains(F.col("item")["h"], F.col("h")))
+    part = lambda c: F.slice(c, F.col("at") + 1, F.lit(WIDTH))
+    one = one.select("doc_id", "item_id", "n", "at", "h", part("words").alias("words"), part("raws").alias("raws"), F.explode("item").alias("w"))
+    return one.filter(F.col("w.h") == F.col("h"))
+
+
+def _aligned(rows: DataFrame, share: float) -> DataFrame:
+    pair = lambda word, mine: F.when(word.startswith("<"), mine)
+    values = F.zip_with(F.col("w.raws"), "raws", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
+    slots = F.filter(F.zip_with("words", values, pair), lambda p: p.isNotNull())
+    rows = rows.select("doc_id", "item_id", "n", (F.col("at") - F.col("w.pos")).alias("shift"), F.col("w.pos").alias("pos"), slots.alias("slots"))
     # an occurrence has at most one row for each window of the item and copy of the document
     once = rows.groupBy("doc_id", "item_id", "n", "shift").agg(F.collect_set("pos").alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     once = once.filter(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))))

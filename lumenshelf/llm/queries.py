@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, jaccard_join, packing, toxicity, url_filters, warc
+from . import chat, decontaminate, embedding_dedup, jaccard_join, packing, toxicity, url_filters, warc
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_packing": packing.op2_packing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op6_chat": chat.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
     "op10_url_filters": url_filters.ORACLE_SQL,
