@@ -43,10 +43,13 @@ class Bpe:
 
             self.tokenizer = Tokenizer.from_file(path)
 
-    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: Iterable[str | None], special: bool = True) -> list[np.ndarray]:
+        """Without ``special``, the special string in a text is ordinary text."""
         if not self.ranks:
+            self.tokenizer.encode_special_tokens = not special
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        return [np.array(self._by_ranks(t or ""), "<u4") for t in texts]
+        encode = self._by_ranks if special else self.encoding.encode_ordinary
+        return [np.array(encode(t or ""), "<u4") for t in texts]
 
     def _by_ranks(self, text: str) -> list[int]:
         if END_STRING not in text:
