@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embedding_dedup, jaccard_join, packing, toxicity, url_filters, warc
+from . import chat, decontaminate, embedding_dedup, jaccard_join, licences, packing, separators, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_packing": packing.op2_packing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_separators": separators.op4_separators,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_chat": chat.op6_chat,
+    "op7_licences": licences.op7_licences,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_warc": warc.op9_warc,
     "op10_url_filters": url_filters.op10_url_filters,
