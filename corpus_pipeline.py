@@ -1,10 +1,54 @@
-"""A training-corpus pipeline over the table ``documents``."""
+"""A training-corpus pipeline over the table ``documents``.
+
+Stages, each over all that the one before kept: toxic documents go; one document of
+each group of near copies stays; documents that hold benchmark items go; the rest is
+packed into sequences (pieces refer to token ranges of documents).
+
+Rows with a null doc_id cannot be named by a decision on ids: they pass the stages
+on near copies and benchmarks. Of rows that repeat a doc_id one stays.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenshelf.llm import decontaminate, jaccard_join, packing, toxicity
+from lumenshelf.llm.common import cut, table
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = cut(jaccard_join.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct(), "kept-documents")
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    bad = cut(found.select("doc_id").distinct(), "contaminated-documents")
+    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs).drop("ids")
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("near_copies", remove_near_copies),
+    ("decontaminate", remove_benchmark),
+    ("packing", pack),
+]
+#: Learned scores and token ids are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), "text", "lang", "source", "n_chars")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -353,3 +353,20 @@ def predictions(docs: DataFrame, labels: DataFrame, fit_on: DataFrame | None = N
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _keep_clean(model: Model, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = model.lexicon.weights()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            x = np.array([features(t or "", weights) for t in texts], float).reshape(-1, N_FEATURES)
+            yield batch.filter(pa.array(model.score(x) < 0.5))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not predicted toxic."""
+    model = fit(with_labels(docs, labels))
+    return docs.mapInArrow(_keep_clean(model, text_col), docs.schema)
