@@ -1,10 +1,284 @@
-"""The registered media-library queries and their DuckDB counterparts."""
+"""The registered media-library queries and their DuckDB counterparts.
+
+Each query runs over the library that ``plans.fixtures`` derives from the given tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars, video, words
+from .operators import clones, ingest, insights, playlists, search, text, updates, vocabulary
+from .plans.fixtures import Library, duck, library, spark_view
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+#: The count below which a token has no average; 20 would leave little at small scales.
+MINIMUM_COUNT = 5
+
+
+def _register(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLES[name] = duck(sql)
+
+
+def _search(name: str, want: dict[str, Any], sql: str, fields: tuple[str, ...] = ("hash",)) -> None:
+    _register(name, lambda s, d: search.search(library(s, d), want, list(fields)), sql)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible media by recommendation."""
+    return search.search(library(spark, sf_dir), search.visible() | {"sortBy": "recommended", "minimumCount": MINIMUM_COUNT}, ["hash", "recommended"])
+
+
+_VISIBLE = "NOT coalesce(corrupted, false) AND width IS NOT NULL AND duplicate_of IS NULL"
+
+# ---- C, E: search ------------------------------------------------------------------
+
+_search("subset_basic", search.visible() | {"tags": {"equalsAny": ["the", "of"]}, "sortBy": "hashDate", "limit": 100}, f"""
+  SELECT hash FROM media WHERE {_VISIBLE} AND hash IN (SELECT media_hash FROM media_tags WHERE tag_id IN ('the', 'of')) ORDER BY hash_date DESC NULLS LAST, hash LIMIT 100""")
+_search("c02_tags_all", {"tags": {"equalsAll": ["the", "of"]}}, """
+  SELECT hash FROM media WHERE hash IN (SELECT media_hash FROM media_tags WHERE tag_id IN ('the', 'of') GROUP BY 1 HAVING count(*) = 2)""")
+_search("c03_tags_none", {"tags": {"equalsNone": ["the", "de", "la"]}}, "SELECT hash FROM media WHERE hash NOT IN (SELECT media_hash FROM media_tags WHERE tag_id IN ('the', 'de', 'la'))")
+_search("c04_actors_exist", {"actors": {"exists": True}}, "SELECT hash FROM media WHERE hash IN (SELECT media_hash FROM media_actors)")
+_search("c04_actors_absent", {"actors": {"exists": False}}, "SELECT hash FROM media WHERE hash NOT IN (SELECT media_hash FROM media_actors)")
+_search("c05_c07_strings", {"album": {"equalsAny": ["en", "fr"]}, "artist": {"equalsNone": ["src0", "src7"]}}, "SELECT hash FROM media WHERE album IN ('en', 'fr') AND (artist NOT IN ('src0', 'src7') OR artist IS NULL)")
+_search("c06_c08_strings", {"album": {"equalsAll": ["de", "en"]}, "artist": {"exists": False}}, "SELECT hash FROM media WHERE album = 'de' AND artist IS NULL")
+_search("c09_dir_range", {"dir": {"after": "en/src1", "before": "es/src3"}}, "SELECT hash FROM media WHERE dir > 'en/src1' AND dir < 'es/src3'")
+_search("c10_c11_like", {"title": {"likeAny": ["THE ", "la "], "likeNone": ["ing "]}, "path": {"likeAll": ["SRC", ".png"]}}, """
+  SELECT hash FROM media WHERE (contains(lower(title), 'the ') OR contains(lower(title), 'la ')) AND (NOT contains(lower(title), 'ing ') OR title IS NULL) AND contains(lower(path), 'src') AND contains(lower(path), '.png')""")
+_search("c12_numbers", {"quality": {"min": 480, "max": 1080}, "rating": {"equalsAny": [3, 4, 5]}}, "SELECT hash, height, rating FROM media WHERE height >= 480 AND height <= 1080 AND rating IN (3, 4, 5)", ("hash", "height", "rating"))
+_search("c12_unrated", {"rating": {"max": 0}}, "SELECT hash FROM media WHERE rating <= 0 OR rating IS NULL")
+_search("c13_not_corrupted", {"corrupted": False}, "SELECT hash FROM media WHERE NOT coalesce(corrupted, false)")
+_search("c14_c16_states", {"indexed": False, "phashed": True}, "SELECT hash FROM media WHERE width IS NULL AND phash IS NOT NULL")
+_search("c15_uncached", {"cached": False}, "SELECT hash FROM media WHERE type = 'video' AND coalesce(len(quality_cache), 0) = 0")
+_search("c18_playlist", {"playlist": "pl-3"}, "SELECT hash, position FROM media JOIN media_playlists ON hash = media_hash WHERE playlist_id = 'pl-3'", ("hash", "position"))
+_search("c19_visible", search.visible(), f"SELECT hash, path FROM media WHERE {_VISIBLE}", ("hash", "path"))
+_search("e1_rating_order", {"type": {"equalsAny": ["video"]}, "sortBy": "rating", "limit": 50}, "SELECT hash, rating FROM media WHERE type = 'video' ORDER BY rating DESC NULLS LAST, hash LIMIT 50", ("hash", "rating"))
+_search("e1_created_ascending", {"sortBy": "createdAt", "sortDirection": "ASC", "limit": 120}, "SELECT hash, created_at FROM media ORDER BY created_at ASC NULLS FIRST, hash LIMIT 120", ("hash", "created_at"))
+_register("e3_sample", lambda s, d: search.search(library(s, d), {"sample": 50}, ["hash"], seed=7))
+_register("e4_directories", lambda s, d: search.neighbour_dirs(spark_view(s, d, "media")), "SELECT dir, lag(dir) OVER (ORDER BY dir) AS previous, lead(dir) OVER (ORDER BY dir) AS next FROM (SELECT DISTINCT dir FROM media)")
+_register("e5_pages", lambda s, d: search.pages(spark_view(s, d, "media").select("hash", "rating"), "rating", 15).select("hash", "rank", "page"), """
+  SELECT hash, rank, rank // 15 AS page FROM (SELECT hash, row_number() OVER (ORDER BY rating DESC NULLS LAST, hash) - 1 AS rank FROM media)""")
+_register("e6_neighbours", lambda s, d: search.neighbours(spark_view(s, d, "media"), "hashDate"), """
+  SELECT hash, coalesce(lag(hash) OVER w, first_value(hash) OVER (ORDER BY hash_date, hash DESC)) AS previous, coalesce(lead(hash) OVER w, first_value(hash) OVER (ORDER BY hash_date DESC, hash)) AS next
+  FROM media WINDOW w AS (ORDER BY hash_date DESC, hash)""")
+_register("e7_shuffle", lambda s, d: search.shuffled(spark_view(s, d, "media"), 11).select("hash"))
+
+# ---- D: text -----------------------------------------------------------------------
+
+
+def _tokens_sql(x: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in sorted(words.STOP_WORDS))
+    x = f"lower({x})"
+    for sep in words.SEPARATORS:
+        x = f"array_to_string(list_filter(string_split({x}, '{sep}'), lambda w: trim(w, ' ' || chr(9) || chr(10) || chr(13)) NOT IN ({stop})), ' ')"
+    return f"list_filter(list_transform(string_split({x}, ' '), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+'))"
+
+
+_INDEX = f"""tokens AS (
+  SELECT hash, token, sum(weight) AS weight FROM (
+    SELECT hash, type AS token, 10 AS weight FROM media
+    UNION ALL SELECT hash, token, 5 FROM (SELECT hash, unnest({_tokens_sql('artist')}) AS token FROM media UNION ALL SELECT hash, unnest({_tokens_sql('album')}) FROM media UNION ALL SELECT hash, unnest({_tokens_sql('title')}) FROM media) WHERE length(token) > 1
+    UNION ALL SELECT media_hash, unnest({_tokens_sql('actor_id')}), 7 FROM media_actors
+    UNION ALL SELECT media_hash, unnest({_tokens_sql('tag_id')}), 7 FROM media_tags)
+  GROUP BY ALL)"""
+_AVERAGES = f"""averages AS (
+  SELECT token, avg((rating - 3) / 2.0) AS average, count(*) AS count FROM tokens JOIN media USING (hash) WHERE rating <> 0
+  GROUP BY token HAVING count(*) >= {MINIMUM_COUNT} AND abs(avg((rating - 3) / 2.0)) >= 0.1)"""
+
+_register("d1_tokens", lambda s, d: spark_view(s, d, "media").select("hash", F.explode_outer(words.tokenise(F.col("title"))).alias("token")).filter("token is not null"), f"SELECT hash, unnest({_tokens_sql('title')}) AS token FROM media")
+_register("d2_token_index", lambda s, d: text.token_index(library(s, d)).select("hash", "token", F.col("weight").cast("long").alias("weight")), f"WITH {_INDEX} SELECT hash, token, cast(weight AS BIGINT) AS weight FROM tokens")
+_register("d3_weighted_query", lambda s, d: text.weighted_query(library(s, d), "video en the src3", 200), f"""
+  WITH {_INDEX} SELECT hash, cast(sum(weight) AS BIGINT) AS score FROM tokens JOIN (SELECT unnest({_tokens_sql("'video en the src3'")}) AS token) USING (token) GROUP BY hash ORDER BY score DESC, hash LIMIT 200""")
+_register("d5_search_document", lambda s, d: text.search_document(library(s, d)), """
+  SELECT hash, path, type, artist, album, title, tags, actors FROM media LEFT JOIN (SELECT media_hash AS hash, string_agg(DISTINCT tag_id, ',' ORDER BY tag_id) AS tags FROM media_tags GROUP BY 1) USING (hash)
+  LEFT JOIN (SELECT media_hash AS hash, string_agg(DISTINCT actor_id, ',' ORDER BY actor_id) AS actors FROM media_actors GROUP BY 1) USING (hash)""")
+_PHRASE = r"(' ' || trim(regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ')"
+_ANY = " OR ".join(f"contains({_PHRASE.format(x=x)}, ' src3 ') OR contains({_PHRASE.format(x=x)}, ' actor 5 ')" for x in ("x",))
+_register("d6_keywords", lambda s, d: text.keyword_matches(library(s, d), "src3 actor-5"), f"""
+  SELECT DISTINCT hash FROM (SELECT hash, unnest([hash, path, type, artist, album, title]) AS x FROM media UNION ALL SELECT media_hash, tag_id FROM media_tags UNION ALL SELECT media_hash, actor_id FROM media_actors) WHERE {_ANY}""")
+_register("d7_ranked_keywords", lambda s, d: text.ranked_keywords(library(s, d), 'the "actor 5" src3 -gif'), f"""
+  WITH f AS (
+    SELECT hash, {_PHRASE.format(x='x')} AS t, w FROM (
+      SELECT hash, path AS x, 1 AS w FROM media UNION ALL SELECT hash, artist, 5 FROM media UNION ALL SELECT hash, album, 7 FROM media UNION ALL SELECT hash, title, 7 FROM media UNION ALL SELECT hash, type, 10 FROM media
+      UNION ALL SELECT media_hash, tag_id, 3 FROM media_tags UNION ALL SELECT media_hash, actor_id, 8 FROM media_actors))
+  SELECT hash, cast(sum(w * (len(regexp_extract_all(replace(t, ' ', '  '), ' the ')) + len(regexp_extract_all(replace(t, ' ', '  '), ' actor  5 ')) + len(regexp_extract_all(replace(t, ' ', '  '), ' src3 ')))) AS BIGINT) AS score
+  FROM f WHERE hash NOT IN (SELECT hash FROM f WHERE contains(t, ' gif ')) GROUP BY hash HAVING score > 0""")
+
+# ---- F: insights -------------------------------------------------------------------
+
+_register("f2_insights", lambda s, d: insights.insights(library(s, d), MINIMUM_COUNT).select("token", F.round("average", 6).alias("average"), "count"), f"WITH {_INDEX}, {_AVERAGES} SELECT token, round(average, 6) AS average, count FROM averages")
+_register("f3_recommendations", lambda s, d: insights.recommendations(library(s, d), MINIMUM_COUNT).select("hash", F.round("score", 6).alias("score")), f"""
+  WITH {_INDEX}, {_AVERAGES} SELECT hash, round(coalesce(score, 0), 6) AS score FROM media LEFT JOIN (SELECT hash, sum(average) AS score FROM tokens JOIN averages USING (token) GROUP BY hash) USING (hash)""")
+_register("f4_recommended_search", lambda s, d: flagship(s, d).select("hash", F.round("recommended", 6).alias("recommended")), f"""
+  WITH {_INDEX}, {_AVERAGES} SELECT hash, round(coalesce(score, 0), 6) AS recommended FROM media LEFT JOIN (SELECT hash, sum(average) AS score FROM tokens JOIN averages USING (token) GROUP BY hash) USING (hash) WHERE {_VISIBLE}""")
+_LISTS = lambda e: e.select(F.col("playlist_id").alias("id"), F.concat(F.lit("List "), "playlist_id").alias("name"), F.lit(None).cast("string").alias("thumbnail")).distinct()
+_register("f5_playlist_sizes", lambda s, d: insights.playlist_sizes(_LISTS(spark_view(s, d, "media_playlists")), spark_view(s, d, "media_playlists").filter("position < 3")).select("id", "size"), """
+  SELECT playlist_id AS id, count(*) FILTER (position < 3) AS size FROM media_playlists GROUP BY 1""")
+_register("f6_vocabulary", lambda s, d: insights.vocabulary(spark_view(s, d, "media_tags"), "tag_id"), "SELECT DISTINCT tag_id AS id FROM media_tags")
+_register("f7_details", lambda s, d: insights.details(library(s, d), "/lib").select("hash", "absolute_path", F.array_join("tags", ",").alias("tags"), F.size("actors").alias("n_actors"), F.to_json("playlists").alias("playlists")), """
+  SELECT hash, '/lib/' || path AS absolute_path, coalesce(tags, '') AS tags, cast(coalesce(n, 0) AS INTEGER) AS n_actors, coalesce(playlists, '[]') AS playlists FROM media
+  LEFT JOIN (SELECT media_hash AS hash, string_agg(tag_id, ',' ORDER BY tag_id) AS tags FROM media_tags GROUP BY 1) USING (hash) LEFT JOIN (SELECT media_hash AS hash, count(*) AS n FROM media_actors GROUP BY 1) USING (hash)
+  LEFT JOIN (SELECT media_hash AS hash, '[' || string_agg('{"id":"' || playlist_id || '","order":' || position || '}', ',' ORDER BY playlist_id, position) || ']' AS playlists FROM media_playlists GROUP BY 1) USING (hash)""")
+
+# ---- G, H: playlists and vocabularies ------------------------------------------------
+
+_ENTRIES = lambda s, d: spark_view(s, d, "media_playlists")
+_register("g2_append", lambda s, d: playlists.append(_ENTRIES(s, d), spark_view(s, d, "media").filter("rating = 5").select(F.col("hash").alias("media_hash"), F.lit("pl-1").alias("playlist_id"), F.col("hash_date").alias("rank"))), """
+  SELECT media_hash, playlist_id, position FROM media_playlists UNION ALL
+  SELECT hash, 'pl-1', cast((SELECT coalesce(max(position), -1) FROM media_playlists WHERE playlist_id = 'pl-1') + row_number() OVER (ORDER BY hash_date, hash) AS INTEGER) FROM media
+  WHERE rating = 5 AND hash NOT IN (SELECT media_hash FROM media_playlists WHERE playlist_id = 'pl-1')""")
+_register("g4_move", lambda s, d: playlists.move(_ENTRIES(s, d), _ENTRIES(s, d).filter("position = 0").select("playlist_id", "media_hash", F.lit(2).alias("to"))), """
+  SELECT media_hash, playlist_id, CASE WHEN n <= 2 THEN position WHEN position = 0 THEN 2 WHEN position <= 2 THEN position - 1 ELSE position END AS position
+  FROM (SELECT *, count(*) OVER (PARTITION BY playlist_id) AS n FROM media_playlists)""")
+_register("g5_remove", lambda s, d: playlists.remove(_ENTRIES(s, d), _ENTRIES(s, d).filter("position = 1")), """
+  SELECT media_hash, playlist_id, CASE WHEN position > 1 THEN position - 1 ELSE position END AS position FROM media_playlists WHERE position <> 1""")
+_register("g9_ordered", lambda s, d: playlists.ordered(_ENTRIES(s, d)).select("playlist_id", F.array_join("hashes", ",").alias("hashes")), "SELECT playlist_id, string_agg(media_hash, ',' ORDER BY position, media_hash) AS hashes FROM media_playlists GROUP BY 1")
+_WORDS = lambda s, d: insights.vocabulary(spark_view(s, d, "media_tags"), "tag_id")
+_register("h1_add_tags", lambda s, d: vocabulary.add_to_media(spark_view(s, d, "media_tags"), spark_view(s, d, "media").filter("rating >= 4").select(F.col("hash").alias("media_hash"), F.explode(F.array(F.lit("the"), F.lit("no such tag"))).alias("tag_id")), _WORDS(s, d), spark_view(s, d, "media"), "tag_id"), """
+  SELECT media_hash, tag_id FROM media_tags UNION SELECT hash, 'the' FROM media WHERE rating >= 4 AND EXISTS (SELECT 1 FROM media_tags WHERE tag_id = 'the')""")
+_register("h2_remove_tags", lambda s, d: vocabulary.remove_from_media(spark_view(s, d, "media_tags"), spark_view(s, d, "media").filter("type = 'gif'").select(F.col("hash").alias("media_hash"), F.lit("the").alias("tag_id")), "tag_id"), """
+  SELECT media_hash, tag_id FROM media_tags WHERE NOT (tag_id = 'the' AND media_hash IN (SELECT hash FROM media WHERE type = 'gif'))""")
+_register("h4_remove_words", lambda s, d: vocabulary.remove_words(_WORDS(s, d), spark_view(s, d, "media_tags"), _WORDS(s, d).filter("length(id) <= 3"), "tag_id")[1], "SELECT media_hash, tag_id FROM media_tags WHERE length(tag_id) > 3")
+_register("h5_replace_sets", lambda s, d: vocabulary.replace_sets(spark_view(s, d, "media_tags"), spark_view(s, d, "media").filter("rating = 1").select("hash", F.array("album", "type", "type").alias("words")), "tag_id").filter("tag_id is not null"), """
+  SELECT media_hash, tag_id FROM media_tags WHERE media_hash NOT IN (SELECT hash FROM media WHERE rating = 1) UNION ALL SELECT hash, unnest(list_distinct([album, type])) FROM media WHERE rating = 1""")
+
+# ---- I: clones -----------------------------------------------------------------------
+
+_BITS = lambda a, b: " + ".join(f"bit_count(xor(('0x' || substr({a}, {i}, 8))::BIGINT, ('0x' || substr({b}, {i}, 8))::BIGINT))::BIGINT" for i in range(1, 65, 8))
+_register("i3_hash_pairs", lambda s, d: clones.hash_pairs(spark_view(s, d, "media").filter("type = 'still'"), 3).select("a", "b", F.col("distance").cast("long").alias("distance")), f"""
+  WITH p AS (SELECT DISTINCT phash FROM media WHERE type = 'still' AND phash IS NOT NULL)
+  SELECT x.phash AS a, y.phash AS b, cast({_BITS('x.phash', 'y.phash')} AS BIGINT) AS distance FROM p x JOIN p y ON x.phash < y.phash WHERE {_BITS('x.phash', 'y.phash')} <= 3""")
+_register("i4_clone_map", lambda s, d: clones.clone_map(spark_view(s, d, "media")).select("hash", F.array_join("clones", ",").alias("clones")), f"""
+  WITH p AS (SELECT hash, phash FROM media WHERE type = 'still' AND phash IS NOT NULL AND duplicate_of IS NULL)
+  SELECT x.hash, coalesce(string_agg(y.hash, ',' ORDER BY y.hash), '') AS clones FROM p x LEFT JOIN p y ON x.hash <> y.hash AND substr(x.phash, 1, 16) = substr(y.phash, 1, 16) AND {_BITS('x.phash', 'y.phash')} <= 2 GROUP BY x.hash""")
+
+
+def _groups(s: SparkSession, d: str) -> DataFrame:
+    return spark_view(s, d, "media").filter("phash is not null").select(F.substring("phash", 1, 63).alias("group_id"), "hash")
+
+
+_register("i7_auto_resolve", lambda s, d: clones.auto_resolve(library(s, d), _groups(s, d)).select("group_id", "hash", "artist", "rating", F.array_join("aliases", ",").alias("aliases"), F.size("tags").alias("n_tags")), """
+  WITH g AS (SELECT substr(phash, 1, 63) AS group_id, *, coalesce(width::BIGINT * height, -1) AS px FROM media WHERE phash IS NOT NULL), w AS (
+    SELECT group_id, arg_min(hash, (-px, hash)) AS hash, arg_min(artist, (-px, hash)) FILTER (artist <> '') AS artist, max(nullif(rating, 0)) AS rating, list_sort(list(hash)) AS everyone FROM g GROUP BY 1)
+  SELECT w.group_id, w.hash, w.artist, w.rating, array_to_string(list_filter(everyone, lambda x: x <> w.hash), ',') AS aliases,
+    cast((SELECT count(DISTINCT tag_id) FROM g JOIN media_tags t ON g.hash = t.media_hash WHERE g.group_id = w.group_id) AS INTEGER) AS n_tags FROM w""")
+
+# ---- B, K: ingest and updates ----------------------------------------------------------
+
+_register("b1_media_types", lambda s, d: spark_view(s, d, "listing").select("path", scalars.media_type(F.col("path")).alias("type")), r"""
+  SELECT path, CASE lower(regexp_extract(path, '\.([^./]+)$', 1)) WHEN 'mp4' THEN 'video' WHEN 'gif' THEN 'gif' WHEN 'jpg' THEN 'still' WHEN 'png' THEN 'still' END AS type FROM listing""")
+_register("b2_content_hash", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", scalars.content_hash(F.encode("text", "utf-8"), 1024).alias("hash")), """
+  WITH b AS (SELECT doc_id, encode(text) AS c FROM documents)
+  SELECT doc_id, md5(CASE WHEN octet_length(c) > 1024 THEN unhex(substr(hex(c), 1, 2048) || substr(hex(c), -2048)) ELSE c END) AS hash FROM b""")
+_register("b5_scan_diff", lambda s, d: ingest.scan_diff(spark_view(s, d, "listing"), spark_view(s, d, "media"), spark_view(s, d, "media_deleted")), """
+  SELECT path, 'new' AS state FROM listing WHERE NOT path LIKE '%.txt' AND path NOT IN (SELECT path FROM media) AND path NOT IN (SELECT path FROM media_deleted) UNION ALL
+  SELECT path, 'missing' FROM media WHERE path NOT IN (SELECT path FROM listing)""")
+_register("b6_scan_summary", lambda s, d: ingest.scan_summary(ingest.scan_diff(spark_view(s, d, "listing"), spark_view(s, d, "media"), spark_view(s, d, "media_deleted"))), """
+  SELECT 'new' AS state, count(*) AS n FROM listing WHERE NOT path LIKE '%.txt' AND path NOT IN (SELECT path FROM media) UNION ALL SELECT 'missing', count(*) FROM media WHERE path NOT IN (SELECT path FROM listing)""")
+
+
+def _new_files(s: SparkSession, d: str) -> DataFrame:
+    return spark_view(s, d, "listing").filter("path like 'pages/%.jpg'").select("path", F.md5(F.regexp_extract("path", "[0-9]+", 0)).alias("hash"))
+
+
+_register("b7_index", lambda s, d: ingest.index_files(spark_view(s, d, "media"), spark_view(s, d, "media_deleted"), _new_files(s, d), 1_800_000_000)[0].select("hash", "path", "dir", "type", "hash_date"), """
+  WITH f AS (SELECT md5(regexp_extract(path, '[0-9]+', 0)) AS hash, path FROM listing WHERE path LIKE 'pages/%.jpg')
+  SELECT m.hash, coalesce(f.path, m.path) AS path, dir, type, hash_date FROM media m LEFT JOIN f ON m.hash = f.hash UNION ALL
+  SELECT hash, path, 'pages', 'still', 1800000000 FROM f WHERE hash NOT IN (SELECT hash FROM media) AND hash NOT IN (SELECT hash FROM media_deleted)""")
+_register("b8_match_missing", lambda s, d: ingest.match_missing(spark_view(s, d, "media"), spark_view(s, d, "media").filter("album = 'es'").select(F.upper(F.regexp_replace("path", r"\.\w+$", "")).alias("path"))), r"""
+  WITH m AS (SELECT DISTINCT upper(regexp_replace(path, '\.\w+$', '')) AS path FROM media WHERE album = 'es')
+  SELECT m.path, count(x.hash) AS n, CASE WHEN count(x.hash) = 1 THEN min(x.hash) END AS hash FROM m LEFT JOIN media x ON contains(lower(x.path), lower(m.path)) GROUP BY 1""")
+
+
+def _tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {n: spark_view(s, d, n) for n in ("media", "media_tags", "media_actors", "media_playlists", "media_deleted")}
+
+
+_register("b9_remove_media", lambda s, d: ingest.remove_media(_tables(s, d), spark_view(s, d, "media").filter("type = 'gif'"))["media_playlists"], """
+  SELECT media_hash, playlist_id, cast(row_number() OVER (PARTITION BY playlist_id ORDER BY position, media_hash) - 1 AS INTEGER) AS position FROM media_playlists WHERE media_hash NOT IN (SELECT hash FROM media WHERE type = 'gif')""")
+_register("b10_rename", lambda s, d: ingest.rename_hashes(_tables(s, d), spark_view(s, d, "media").filter("rating = 2").select(F.col("hash").alias("old"), F.md5("path").alias("new")))["media_tags"], """
+  SELECT coalesce(md5(path), media_hash) AS media_hash, tag_id FROM media_tags LEFT JOIN (SELECT * FROM media WHERE rating = 2) ON hash = media_hash""")
+_register("b13_verify_thumbnails", lambda s, d: ingest.verify_artifacts(spark_view(s, d, "media"), spark_view(s, d, "media").filter("height > 480").select("hash")).select("hash", "thumbnail"), """
+  SELECT hash, CASE WHEN thumbnail AND NOT coalesce(height > 480, false) THEN false ELSE thumbnail END AS thumbnail FROM media""")
+_register("b14_verify_cache", lambda s, d: ingest.verify_cache(spark_view(s, d, "media"), spark_view(s, d, "media").select("hash", F.explode(F.array(F.lit(0), F.lit(1))).alias("segment")), _segment_files(s, d)).select("hash", F.array_join(F.col("quality_cache").cast("array<string>"), ",").alias("kept")), """
+  SELECT hash, CASE WHEN quality_cache IS NULL THEN NULL WHEN hash_date % 7 = 0 THEN CASE WHEN len(quality_cache) > 0 THEN '240' ELSE '' END ELSE array_to_string(quality_cache, ',') END AS kept FROM media""")
+
+
+def _segment_files(s: SparkSession, d: str) -> DataFrame:
+    """Cached segments: both of every quality, but where hash_date % 7 is 0 the second of 480 is gone."""
+    media = spark_view(s, d, "media")
+    rows = media.select("hash", "hash_date", F.explode("quality_cache").alias("quality"))
+    rows = rows.select("hash", "hash_date", "quality", F.explode(F.array(F.lit(0), F.lit(1))).alias("segment"))
+    return rows.filter("not (hash_date % 7 = 0 and quality = 480 and segment = 1)")
+
+
+_register("b16_thumbnail_queue", lambda s, d: search.search(library(s, d), ingest.QUEUES["thumbnails"], ["hash"]), "SELECT hash FROM media WHERE NOT coalesce(corrupted, false) AND NOT coalesce(thumbnail, false) AND width IS NOT NULL")
+_register("b17_import", lambda s, d: ingest.normalise_import(spark_view(s, d, "media").withColumn("rotation", F.lit(None).cast("int")).withColumn("max_copy", F.lit(None).cast("boolean")), "en", 3)[0].select("hash", "path", "rotation", F.element_at("quality_cache", 1).alias("quality"), "max_copy"), """
+  SELECT hash, CASE WHEN starts_with(path, 'en/') THEN substr(path, 4) ELSE path END AS path, 0 AS rotation, CASE WHEN type = 'video' THEN height END AS quality, CASE WHEN type = 'video' THEN true END AS max_copy FROM media WHERE width IS NOT NULL""")
+
+
+def _patches(s: SparkSession, d: str) -> DataFrame:
+    known = spark_view(s, d, "media").filter("rating = 3").select("hash", F.lit(5).alias("rating"), F.lit(None).cast("string").alias("artist"), F.array(F.lit("rating")).alias("keys"))
+    cleared = spark_view(s, d, "media").filter("rating = 1").select("hash", F.lit(4).alias("rating"), F.lit(None).cast("string").alias("artist"), F.array(F.lit("artist")).alias("keys"))
+    new = s.read.parquet(f"{d}/pages.parquet").select(F.md5("url").alias("hash"), F.lit(2).alias("rating"), F.lit("web").alias("artist"), F.array(F.lit("rating"), F.lit("artist")).alias("keys")).dropDuplicates(["hash"])
+    return known.unionByName(cleared).unionByName(new)
+
+
+_register("k1_upsert", lambda s, d: updates.upsert(spark_view(s, d, "media"), _patches(s, d)).select("hash", "rating", "artist", "path"), """
+  SELECT hash, CASE WHEN rating = 3 THEN 5 ELSE rating END AS rating, CASE WHEN rating = 1 THEN NULL ELSE artist END AS artist, path FROM media UNION ALL SELECT DISTINCT md5(url), 2, 'web', NULL FROM pages""")
+_register("k2_bulk_update", lambda s, d: updates.bulk_update(spark_view(s, d, "media"), search.search(library(s, d), {"corrupted": False, "indexed": True, "quality": {"max": 240}}, ["hash"]), {"rating": 1})[0].select("hash", "rating"), """
+  SELECT hash, CASE WHEN NOT coalesce(corrupted, false) AND height <= 240 THEN 1 ELSE rating END AS rating FROM media""")
+
+# ---- J, L: video and names --------------------------------------------------------------
+
+_QUALITIES = [240, 480, 720, 1080]
+_VIDEOS = lambda s, d: spark_view(s, d, "media").filter("type = 'video' and width is not null")
+_JOINED = lambda c: F.array_join(c.cast("array<string>"), ",")
+
+
+def _qualities(s: SparkSession, d: str) -> DataFrame:
+    v = _VIDEOS(s, d).withColumn("want", video.desired_qualities(F.col("height"), _QUALITIES, 480))
+    return v.select("hash", _JOINED(F.col("want")).alias("desired"), _JOINED(video.missing_qualities(F.col("want"), F.col("quality_cache"))).alias("missing"), _JOINED(video.redundant_qualities(F.col("want"), F.col("quality_cache"))).alias("redundant"))
+
+
+_register("j1_j2_qualities", _qualities, """
+  WITH v AS (SELECT hash, quality_cache AS c, list_sort(list_distinct(list_transform([240, 480, 720, 1080], lambda q: CASE WHEN height <= 480 OR q > height THEN height ELSE q END))) AS w FROM media WHERE type = 'video' AND width IS NOT NULL)
+  SELECT hash, array_to_string(w, ',') AS desired, array_to_string(list_filter(w, lambda q: NOT list_contains(c, q)), ',') AS missing, array_to_string(list_filter(c, lambda q: NOT list_contains(w, q)), ',') AS redundant FROM v""")
+_register("j3_variants", lambda s, d: _VIDEOS(s, d).select("hash", F.explode(video.stream_variants(F.col("width"), F.col("height"), F.col("quality_cache"), _QUALITIES)).alias("v")).select("hash", "v.*"), """
+  SELECT hash, q AS quality, cast(ceil(width / height * q) AS INTEGER) AS width, cast(ceil(q::DOUBLE * q * width / height) AS BIGINT) AS bandwidth FROM (
+    SELECT hash, width, height, unnest(list_distinct(list_concat(list_filter([240, 480, 720, 1080], lambda q: q <= least(width, height)), quality_cache))) AS q FROM media WHERE type = 'video' AND width IS NOT NULL)""")
+
+
+def _keyframes(s: SparkSession, d: str) -> DataFrame:
+    events = s.read.parquet(f"{d}/events.parquet").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("t"))
+    one = events.groupBy("user_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    k = one.select("user_id", F.transform("ts", lambda t: F.round(t - F.element_at("ts", 1), 3)).alias("k"))
+    return k.withColumn("length", F.ceil(F.element_at("k", -1) + 1).cast("int"))
+
+
+def _segments(s: SparkSession, d: str) -> DataFrame:
+    k = _keyframes(s, d).withColumn("segments", video.segments(F.col("k"), F.col("length")))
+    return k.select("user_id", F.size("segments").alias("n"), video.longest_segment(F.col("segments")).cast("long").alias("longest"), F.element_at("segments", -1)["end"].alias("end"))
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+_register("j4_j9_segments", _segments)
+_register("j6_preview_sheet", lambda s, d: _VIDEOS(s, d).filter("length is not null").select("hash", video.preview_sheet(F.col("length"), F.col("height")).alias("p")).select("hash", "p.*"), """
+  SELECT hash, count, columns, cast(ceil(count / columns) AS INTEGER) AS rows FROM (SELECT *, cast(ceil(count / (2160 / height)) AS INTEGER) AS columns FROM (SELECT hash, height, greatest(1, cast(floor(length / 10) AS INTEGER)) AS count FROM media WHERE type = 'video' AND length IS NOT NULL))""")
+_register("j7_top_labels", lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.array_join(video.top_labels(F.col("embedding").cast("array<double>"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(F.lit("class-"), i.cast("string")))), ",").alias("labels")), """
+  SELECT vec_id, string_agg('class-' || i, ',' ORDER BY x DESC, i) AS labels FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, 64)) AS i FROM embeddings)) WHERE r <= 5 GROUP BY 1""")
+_register("j8_multi_hot", lambda s, d: insights.details(library(s, d)).select("hash", F.array_join(video.multi_hot(F.col("tags"), ["the", "of", "la", "die"]).cast("array<string>"), "").alias("hot")), """
+  SELECT hash, string_agg(CASE WHEN t.tag_id IS NULL THEN '0' ELSE '1' END, '' ORDER BY i) AS hot FROM media CROSS JOIN (VALUES (1, 'the'), (2, 'of'), (3, 'la'), (4, 'die')) v(i, w) LEFT JOIN media_tags t ON t.media_hash = hash AND t.tag_id = w GROUP BY hash""")
+_register("l1_l4_names", lambda s, d: spark_view(s, d, "media").select("hash", scalars.title(F.col("album"), F.col("title"), F.col("path")).alias("title"), scalars.subtitle(F.col("type"), F.coalesce("length", F.lit(0)), F.col("width"), F.col("height")).alias("subtitle"), scalars.dir_name(F.col("path")).alias("dir"), scalars.file_name(F.col("path")).alias("file")), r"""
+  SELECT hash, CASE WHEN title IS NULL AND album IS NULL THEN regexp_extract(path, '[^/]*$') ELSE concat_ws(' - ', nullif(album, ''), nullif(title, '')) END AS title,
+    concat_ws(' | ', upper(type[1]) || type[2:], CASE WHEN type = 'video' THEN printf('%02d:%02d:%02d', coalesce(length, 0) // 3600, coalesce(length, 0) // 60 % 60, coalesce(length, 0) % 60) END, CASE WHEN width IS NOT NULL THEN width || 'x' || height END) AS subtitle,
+    dir, regexp_extract(path, '[^/]*$') AS file FROM media""")
+__all__ = ["ORACLES", "QUERIES", "Library", "flagship"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Splitting goes by these in this order.
 SEPARATORS = ["/", "\\", "-", "_", ".", "?", "!", "<", ">", '"']
+WHITE_SPACE = " \t\n\r\f\v\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: A short default; callers give their own list.
 STOP_WORDS = frozenset("a about after all also an and any are as at be because been before but by can could did do does for from had has have he her here him his how i if in into is it its just like me more most my no not of on one only or other our out over she so some such than that the their them then there these they this to too up us very was we were what when where which who why will with would you your".split())
 
@@ -18,11 +19,11 @@ def tokenise(text: Column, stop_words: frozenset[str] = STOP_WORDS) -> Column:
     goes. So a stop word between two spaces survives. Then words are reduced to
     [a-z0-9], and empty and all-digit ones go.
     """
-    stop = F.array(*[F.lit(w) for w in sorted(stop_words)])
+    stop = sorted(stop_words)
     text = F.lower(text)
-    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    trimmed = lambda x: F.trim(x, F.lit(WHITE_SPACE))
     for sep in SEPARATORS:
-        text = F.array_join(F.filter(F.split(text, rf"\Q{sep}\E"), lambda x: ~F.array_contains(stop, trimmed(x))), " ")
+        text = F.array_join(F.filter(F.split(text, rf"\Q{sep}\E"), lambda x: ~trimmed(x).isin(stop)), " ")
     words = F.transform(F.split(text, " "), lambda x: F.regexp_replace(x, "[^a-z0-9]", ""))
     return F.coalesce(F.filter(words, lambda x: (x != "") & ~x.rlike("^[0-9]+$")), F.array().cast("array<string>"))
 

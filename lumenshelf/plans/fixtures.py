@@ -57,6 +57,8 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def duck(sql: str) -> str:
     """``sql`` with the views that it names put before it."""
     names = [n for n in VIEWS if n in sql]
+    if not names:
+        return sql
     views = ", ".join(f"{n} AS ({VIEWS[n].format(**_DUCK, **{t: t for t in _TABLES})})" for n in names)
     return f"WITH {views} {'' if not sql.lstrip().startswith('WITH ') else ','} {sql.lstrip().removeprefix('WITH ')}"
 
