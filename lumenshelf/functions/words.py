@@ -19,11 +19,11 @@ def tokenise(text: Column, stop_words: frozenset[str] = STOP_WORDS) -> Column:
     goes. So a stop word between two spaces survives. Then words are reduced to
     [a-z0-9], and empty and all-digit ones go.
     """
-    stop = sorted(stop_words)
+    stop = F.lit(",".join(sorted(stop_words)))  # one literal; no stop word has a comma
     text = F.lower(text)
     trimmed = lambda x: F.trim(x, F.lit(WHITE_SPACE))
     for sep in SEPARATORS:
-        text = F.array_join(F.filter(F.split(text, rf"\Q{sep}\E"), lambda x: ~trimmed(x).isin(stop)), " ")
+        text = F.array_join(F.filter(F.split(text, rf"\Q{sep}\E"), lambda x: F.find_in_set(trimmed(x), stop) == 0), " ")
     words = F.transform(F.split(text, " "), lambda x: F.regexp_replace(x, "[^a-z0-9]", ""))
     return F.coalesce(F.filter(words, lambda x: (x != "") & ~x.rlike("^[0-9]+$")), F.array().cast("array<string>"))
 
