@@ -63,7 +63,7 @@ RULES = {
     "CC-BY-SA-4.0": [("cc-by-sa",)],
     "CC-BY-NC-4.0": [("cc-by-nc",)],
 }
-#: Every known sentence holds one of these, so other sentences need no normalising.
+#: Every rule's sentences hold one of these, so other texts need no splitting.
 ANCHORS = ("licen", "permission", "warrant", "redistribut")
 _BREAK = re.compile(r"(?<=[.!?;:])\s+|\n\s*(?:\n\s*)*")
 _SIGNS = re.compile(r"[^a-z0-9]+")
@@ -93,8 +93,7 @@ def identifiers(text: str) -> list[tuple[int, int]]:
     """(position, identifier) of the known sentences of a text, in order."""
     out = []
     for i, s in enumerate(split(text)):
-        low = s.lower()
-        if any(a in low for a in ANCHORS) and (k := NUMBER.get(normalise(s))):
+        if k := NUMBER.get(normalise(s)):
             out.append((i, k))
     return out
 

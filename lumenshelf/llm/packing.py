@@ -24,7 +24,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -125,14 +124,14 @@ def _pack(path: str, size: int, open_windows: int, least_cut: int, merge_partiti
 
 
 def _merge(size: int, open_windows: int, least_cut: int, keep_ids: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pa.Table) -> pa.Table:
         packer = Packer(size, open_windows, least_cut)
-        group = group.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True])
-        for doc, start, raw, total in zip(group["doc_id"].array, group["start"], group["ids"], group["doc_tokens"], strict=True):
+        group = group.sort_by([("length", "descending"), ("sequence_id", "ascending"), ("offset", "ascending")])
+        for doc, start, raw, total in zip(*(group.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True):
             packer.add(doc, start, np.frombuffer(raw, "<u4"), total)
         windows = packer.take() + [w[1] for w in packer.open]
-        first = (1 << 62) + (int(group["merge_group"].iloc[0]) << 36)
-        return _rows(windows, first, keep_ids, None).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+        first = (1 << 62) + (group.column("merge_group")[0].as_py() << 36)
+        return pa.Table.from_batches([_rows(windows, first, keep_ids, None)])
 
     return run
 
@@ -149,7 +148,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = cut(rows.mapInArrow(_pack(path, size, open_windows, least_cut, merge_partitions, keep_ids), PIECES_DDL), "packed-pieces")
     left = first.filter(F.col("merge_group").isNotNull())
-    merged = left.groupBy("merge_group").applyInPandas(_merge(size, open_windows, least_cut, keep_ids), PIECES_DDL)
+    merged = left.groupBy("merge_group").applyInArrow(_merge(size, open_windows, least_cut, keep_ids), PIECES_DDL)
     return first.filter(F.col("merge_group").isNull()).unionByName(merged).drop("merge_group")
 
 
