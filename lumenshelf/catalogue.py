@@ -74,29 +74,34 @@ _register("e7_shuffle", lambda s, d: search.shuffled(spark_view(s, d, "media"),
 # ---- D: text -----------------------------------------------------------------------
 
 
-def _tokens_sql(x: str) -> str:
-    stop = ", ".join(f"'{w}'" for w in sorted(words.STOP_WORDS))
-    x = f"lower({x})"
-    for sep in words.SEPARATORS:
-        x = f"array_to_string(list_filter(string_split({x}, '{sep}'), lambda w: trim(w, ' ' || chr(9) || chr(10) || chr(13)) NOT IN ({stop})), ' ')"
-    return f"list_filter(list_transform(string_split({x}, ' '), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+'))"
-
-
-_INDEX = f"""tokens AS (
-  SELECT hash, token, sum(weight) AS weight FROM (
-    SELECT hash, type AS token, 10 AS weight FROM media
-    UNION ALL SELECT hash, token, 5 FROM (SELECT hash, unnest({_tokens_sql('artist')}) AS token FROM media UNION ALL SELECT hash, unnest({_tokens_sql('album')}) FROM media UNION ALL SELECT hash, unnest({_tokens_sql('title')}) FROM media) WHERE length(token) > 1
-    UNION ALL SELECT media_hash, unnest({_tokens_sql('actor_id')}), 7 FROM media_actors
-    UNION ALL SELECT media_hash, unnest({_tokens_sql('tag_id')}), 7 FROM media_tags)
-  GROUP BY ALL)"""
+def _words_sql(fields: str) -> str:
+    """CTEs that end in field_words(hash, weight, kind, token), from a relation (hash, x, weight, kind); one step per separator, as nested lambdas take DuckDB long to plan."""
+    stop = ",".join(sorted(words.STOP_WORDS))
+    steps = [f"step0 AS MATERIALIZED (SELECT hash, lower(x) AS x, weight, kind FROM ({fields}))"]
+    for i, sep in enumerate(words.SEPARATORS):
+        keep = f"NOT contains(',{stop},', ',' || trim(w, ' ' || chr(9) || chr(10) || chr(13)) || ',') OR contains(w, ',') OR trim(w, ' ' || chr(9) || chr(10) || chr(13)) = ''"
+        steps.append(f"step{i + 1} AS MATERIALIZED (SELECT hash, array_to_string(list_filter(string_split(x, '{sep}'), lambda w: {keep}), ' ') AS x, weight, kind FROM step{i})")
+    last = f"SELECT hash, weight, kind, regexp_replace(unnest(string_split(x, ' ')), '[^a-z0-9]', '', 'g') AS token FROM step{len(words.SEPARATORS)}"
+    return ", ".join(steps) + f", field_words AS MATERIALIZED (SELECT * FROM ({last}) WHERE token <> '' AND NOT regexp_full_match(token, '[0-9]+'))"
+
+
+def _index_sql(query: str | None = None) -> str:
+    more = f" UNION ALL SELECT NULL, '{query}', 0, 'query'" if query else ""
+    fields = f"""SELECT hash, artist AS x, 5 AS weight, 'own' AS kind FROM media UNION ALL SELECT hash, album, 5, 'own' FROM media UNION ALL SELECT hash, title, 5, 'own' FROM media
+      UNION ALL SELECT media_hash, actor_id, 7, 'word' FROM media_actors UNION ALL SELECT media_hash, tag_id, 7, 'word' FROM media_tags{more}"""
+    return f"""{_words_sql(fields)}, tokens AS (
+      SELECT hash, token, sum(weight) AS weight FROM (SELECT hash, token, weight FROM field_words WHERE kind <> 'query' AND (kind = 'word' OR length(token) > 1) UNION ALL SELECT hash, type, 10 FROM media) GROUP BY ALL)"""
+
+
+_INDEX = _index_sql()
 _AVERAGES = f"""averages AS (
   SELECT token, avg((rating - 3) / 2.0) AS average, count(*) AS count FROM tokens JOIN media USING (hash) WHERE rating <> 0
   GROUP BY token HAVING count(*) >= {MINIMUM_COUNT} AND abs(avg((rating - 3) / 2.0)) >= 0.1)"""
 
-_register("d1_tokens", lambda s, d: spark_view(s, d, "media").select("hash", F.explode_outer(words.tokenise(F.col("title"))).alias("token")).filter("token is not null"), f"SELECT hash, unnest({_tokens_sql('title')}) AS token FROM media")
+_register("d1_tokens", lambda s, d: spark_view(s, d, "media").select("hash", F.explode_outer(words.tokenise(F.col("title"))).alias("token")).filter("token is not null"), f"WITH {_words_sql("SELECT hash, title AS x, 1 AS weight, 'own' AS kind FROM media")} SELECT hash, token FROM field_words")
 _register("d2_token_index", lambda s, d: text.token_index(library(s, d)).select("hash", "token", F.col("weight").cast("long").alias("weight")), f"WITH {_INDEX} SELECT hash, token, cast(weight AS BIGINT) AS weight FROM tokens")
 _register("d3_weighted_query", lambda s, d: text.weighted_query(library(s, d), "video en the src3", 200), f"""
-  WITH {_INDEX} SELECT hash, cast(sum(weight) AS BIGINT) AS score FROM tokens JOIN (SELECT unnest({_tokens_sql("'video en the src3'")}) AS token) USING (token) GROUP BY hash ORDER BY score DESC, hash LIMIT 200""")
+  WITH {_index_sql('video en the src3')} SELECT hash, cast(sum(weight) AS BIGINT) AS score FROM tokens JOIN (SELECT token FROM field_words WHERE kind = 'query') USING (token) GROUP BY hash ORDER BY score DESC, hash LIMIT 200""")
 _register("d5_search_document", lambda s, d: text.search_document(library(s, d)), """
   SELECT hash, path, type, artist, album, title, tags, actors FROM media LEFT JOIN (SELECT media_hash AS hash, string_agg(DISTINCT tag_id, ',' ORDER BY tag_id) AS tags FROM media_tags GROUP BY 1) USING (hash)
   LEFT JOIN (SELECT media_hash AS hash, string_agg(DISTINCT actor_id, ',' ORDER BY actor_id) AS actors FROM media_actors GROUP BY 1) USING (hash)""")
