@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hamming
 from ..plans.fixtures import Library
+from ..plans.lineage import settled
 
 CHUNKS, DIGITS = 4, 64
 #: Largest distance of clones; banding into four is exact up to three.
@@ -65,10 +66,11 @@ def resolve(media: DataFrame, decisions: DataFrame, rounds: int = 30) -> tuple[D
     with_clones = decisions.join(media.select("hash", F.coalesce("clones", F.array().cast("array<string>")).alias("_clones")), "hash")
     covered = F.size(F.array_except("_clones", F.concat("aliases", F.coalesce("unrelated", F.array().cast("array<string>"))))) == 0
     good, bad = with_clones.filter(covered).drop("_clones"), with_clones.filter(~covered).select("hash", "aliases", "unrelated")
-    to = good.select(F.explode("aliases").alias("alias"), F.col("hash").alias("target")).filter("alias <> target").groupBy("alias").agg(F.min("target").alias("target")).checkpoint()
+    to = good.select(F.explode("aliases").alias("alias"), F.col("hash").alias("target")).filter("alias <> target").groupBy("alias").agg(F.min("target").alias("target"))
+    to = settled(to)
     for _ in range(rounds):
         hop = to.select(F.col("alias").alias("target"), F.col("target").alias("_next"))
-        new = to.join(hop, "target", "left").select("alias", F.coalesce("_next", "target").alias("target"), F.col("_next").isNotNull().alias("_moved")).checkpoint()
+        new = settled(to.join(hop, "target", "left").select("alias", F.coalesce("_next", "target").alias("target"), F.col("_next").isNotNull().alias("_moved")))
         to = new.select("alias", "target").filter("alias <> target")
         if new.filter("_moved").isEmpty():
             break

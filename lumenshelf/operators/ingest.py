@@ -152,15 +152,19 @@ def uncorrupt(media: DataFrame) -> DataFrame:
     return media.withColumn("corrupted", F.when(F.col("corrupted"), F.lit(False)).otherwise(F.col("corrupted")))
 
 
-#: Work queues as search constraints.
+_VIDEO, _STILL, _OWN = {"equalsAll": ["video"]}, {"equalsAll": ["still"]}, {"exists": False}
+#: Work queues as search constraints; fixed values.
 QUEUES = {
-    "thumbnails": {"corrupted": False, "thumbnail": False, "indexed": True},
-    "previews": {"corrupted": False, "preview": False, "indexed": True, "type": {"equalsAny": ["video"]}, "sortBy": "length", "sortDirection": "DESC"},
-    "cache": {"corrupted": False, "cached": False, "indexed": True, "type": {"equalsAny": ["video"]}},
-    "keyframes": {"corrupted": False, "indexed": True, "type": {"equalsAny": ["video"]}},
-    "phash": {"corrupted": False, "phashed": False, "indexed": True, "type": {"equalsAny": ["still"]}},
-    "clones": {"phashed": True, "type": {"equalsAny": ["still"]}, "duplicateOf": {"exists": False}},
-    "rescan": {"corrupted": False, "indexed": True, "type": {"equalsAny": ["video"]}},
+    "thumbnails": {"thumbnail": False, "corrupted": False, "indexed": True},
+    "previews": {"preview": False, "corrupted": False, "type": _VIDEO, "duplicateOf": _OWN},
+    "cache": {"type": _VIDEO, "corrupted": False, "duplicateOf": _OWN},
+    "keyframes": {"type": _VIDEO, "indexed": True, "duplicateOf": _OWN},
+    "phash": {"type": _STILL, "indexed": True, "corrupted": False, "phashed": False, "thumbnail": True},
+    "clones": {"type": _STILL, "phashed": True, "duplicateOf": _OWN},
+    "classify": {"type": _STILL, "autoTags": _OWN, "thumbnail": True},
+    "optimise_thumbnails": {"thumbnail": True, "corrupted": False, "thumbnailOptimised": False},
+    "optimise_previews": {"preview": True, "corrupted": False, "previewOptimised": False, "type": _VIDEO, "sortBy": "length"},
+    "rescan": {"corrupted": False, "type": _VIDEO},
 }
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import absolute_path
 from ..plans.fixtures import Library
+from ..plans.lineage import settled
 from .text import token_index
 
 #: An average nearer to zero says nothing.
@@ -34,7 +35,7 @@ def insights(lib: Library, minimum_count: int = 20) -> DataFrame:
 def recommendations(lib: Library, minimum_count: int = 20, hashes: DataFrame | None = None) -> DataFrame:
     """(hash, score), the sum of the averages of a medium's distinct tokens; 0 without any. ``hashes`` limits what is scored."""
     index = token_index(lib)
-    averages = token_averages(lib, minimum_count, index).select("token", "average").checkpoint()
+    averages = settled(token_averages(lib, minimum_count, index).select("token", "average"))
     if averages.count() <= BROADCAST_TOKENS:
         averages = F.broadcast(averages)
     media = lib.media.select("hash") if hashes is None else lib.media.select("hash").join(hashes.select("hash"), "hash", "left_semi")

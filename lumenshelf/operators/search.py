@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.fixtures import Library
+from ..plans.lineage import settled
 from . import text
 
 #: Direction of a sort key where none is given.
 DESCENDING = {"hashDate", "rating", "createdAt", "length", "recommended"}
-COLUMNS = {"hashDate": "hash_date", "createdAt": "created_at", "order": "position", "duplicateOf": "duplicate_of", "quality": "height"}
-_STRINGS = ("type", "dir", "path", "artist", "album", "title", "hash")
+COLUMNS = {"hashDate": "hash_date", "createdAt": "created_at", "order": "position", "duplicateOf": "duplicate_of", "quality": "height", "thumbnailOptimised": "thumbnail_optimised", "previewOptimised": "preview_optimised"}
+_STRINGS = ("type", "dir", "path", "artist", "album", "title", "hash", "duplicateOf")
 _NUMBERS = ("quality", "rating", "length")
-_FLAGS = ("corrupted", "thumbnail", "preview")
+_FLAGS = ("corrupted", "thumbnail", "thumbnailOptimised", "preview", "previewOptimised")
+_STATES = ("indexed", "cached", "phashed", "hasClones")
+_OTHER = ("tags", "actors", "autoTags", "playlist", "keywordSearch", "sortBy", "sortDirection", "sample", "limit", "minimumCount")
 
 
 def array_filter(media: DataFrame, bridge: DataFrame, column: str, want: dict[str, Any]) -> DataFrame:
@@ -99,18 +102,23 @@ def search(lib: Library, want: dict[str, Any], fields: list[str] | None = None,
 
     Column conditions come first, where the scan can take them; then semi and anti joins
     on hash. ``sortBy``, ``sortDirection``, ``sample`` and ``limit`` come last, in that
-    order. ``fields`` defaults to all columns.
+    order. ``fields`` defaults to all columns. ``autoTags`` is a column of lists and knows
+    ``exists`` only. An unknown constraint is an error.
     """
     media = lib.media
     for name, w in want.items():
-        if name in _STRINGS or name == "duplicateOf":
+        if name in _STRINGS:
             media = media.filter(string_filter(F.col(COLUMNS.get(name, name)), w))
         elif name in _NUMBERS:
             media = media.filter(number_filter(F.col(COLUMNS.get(name, name)), w))
         elif name in _FLAGS:
-            media = media.filter(flag_filter(F.col(name), w))
-        elif name in ("indexed", "cached", "phashed", "hasClones"):
+            media = media.filter(flag_filter(F.col(COLUMNS.get(name, name)), w))
+        elif name in _STATES:
             media = media.filter(state_filter(name, w))
+        elif name == "autoTags":
+            media = media.filter(F.col("auto_tags").isNotNull() == w["exists"])
+        elif name not in _OTHER:
+            raise ValueError(f"unknown constraint {name}")
     if "tags" in want:
         media = array_filter(media, lib.media_tags, "tag_id", want["tags"])
     if "actors" in want:
@@ -178,7 +186,7 @@ def ranked(rows: DataFrame, order: list[Column], keys: list[str]) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *full).withColumn("_part", F.spark_partition_id())
     inside = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*full)) - 1)
-    inside = inside.checkpoint()  # the ranges come from a sample: computed once
+    inside = settled(inside)  # the ranges come from a sample: computed once
     sizes = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     first = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return inside.join(F.broadcast(first), "_part").withColumn("rank", (F.col("_first") + F.col("_at")).cast("long")).drop("_part", "_at", "_n", "_first")
@@ -202,27 +210,46 @@ def neighbours(rows: DataFrame, sort_by: str, direction: str | None = None) -> D
     return r.join(near(1, "previous"), "rank").join(near(-1, "next"), "rank").select("hash", "previous", "next")
 
 
+#: Orders that a form may ask for.
+_FORM_SORTS = ("hashDate", "recommended", "rating", "length", "createdAt", "path")
+
+
 def form_constraints(form: dict[str, Any]) -> dict[str, Any]:
-    """A search form as constraints; empty fields vanish, lengths are minutes, type flags become a list."""
+    """A search form as constraints.
+
+    Fields: keywords, minimumResolution, ratingMin and ratingMax (negative: unset),
+    lengthMin and lengthMax in minutes, typeVideo, typeGif, typeStill, tags and actors
+    (equalsAny, equalsAll, equalsNone), tagged, untagged (wins over tagged), artist,
+    album, title, path and dir (like, notLike), playlist (sets the order), sortBy,
+    hasClones. Empty fields and lists vanish.
+    """
     out: dict[str, Any] = {}
-    types = [t for t, flag in (("video", form.get("video")), ("gif", form.get("gif")), ("still", form.get("still"))) if flag]
-    if types:
+    if form.get("keywords"):
+        out["keywordSearch"] = form["keywords"]
+    if form.get("minimumResolution"):
+        out["quality"] = {"min": int(form["minimumResolution"])}
+    bounds = {op: form.get(f"rating{op.title()}") for op in ("min", "max")}
+    if rating := {op: v for op, v in bounds.items() if v is not None and v >= 0}:
+        out["rating"] = rating
+    if form.get("sortBy") in _FORM_SORTS:
+        out["sortBy"] = form["sortBy"]
+    if types := [t for t in ("video", "gif", "still") if form.get(f"type{t.title()}")]:
         out["type"] = {"equalsAny": types}
+    bounds = {op: form.get(f"length{op.title()}") for op in ("min", "max")}
+    if length := {op: v * 60 for op, v in bounds.items() if v is not None}:
+        out["length"] = length
     for name in ("tags", "actors"):
-        lists = {op: form[f"{name}{suffix}"] for op, suffix in (("equalsAny", "Any"), ("equalsAll", "All"), ("equalsNone", "None")) if form.get(f"{name}{suffix}")}
-        if lists:
+        if lists := {op: v for op, v in (form.get(name) or {}).items() if op in ("equalsAny", "equalsAll", "equalsNone") and v}:
             out[name] = lists
-    if form.get("tagged") != form.get("untagged") and (form.get("tagged") or form.get("untagged")):
-        out.setdefault("tags", {})["exists"] = bool(form.get("tagged"))
-    for name in ("artist", "album", "title", "path"):
-        likes = {op: form[key] for op, key in (("likeAny", f"{name}Like"), ("likeNone", f"{name}NotLike")) if form.get(key)}
-        if likes:
+    for flag, there in (("tagged", True), ("untagged", False)):
+        if form.get(flag):
+            out["tags"] = out.get("tags", {}) | {"exists": there}
+    if form.get("playlist"):
+        out |= {"playlist": form["playlist"], "sortBy": "order"}
+    for name in ("artist", "album", "title", "path", "dir"):
+        texts = form.get(name) or {}
+        if likes := {op: [texts[key]] for op, key in (("likeAny", "like"), ("likeNone", "notLike")) if texts.get(key)}:
             out[name] = likes
-    for name, factor in (("rating", 1), ("quality", 1), ("length", 60)):
-        bounds = {op: form[f"{name}{op.title()}"] * factor for op in ("min", "max") if form.get(f"{name}{op.title()}") is not None}
-        if bounds:
-            out[name] = bounds
-    for name in ("keywordSearch", "sortBy", "sortDirection", "playlist", "hasClones", "sample"):
-        if form.get(name):
-            out[name] = form[name]
+    if form.get("hasClones"):
+        out["hasClones"] = True
     return out

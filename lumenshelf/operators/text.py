@@ -54,8 +54,12 @@ def keyword_matches(lib: Library, query: str) -> DataFrame:
     media = lib.media
     if not phrases:
         return media.select("hash").filter(F.lit(False))
-    has = lambda c: reduce(lambda a, b: a | b, [F.contains(phrase_text(F.col(c)), F.lit(f" {p} ")) for p in phrases])
-    own = media.filter(reduce(lambda a, b: a | b, [has(c) for c in ("hash", "path", "type", "artist", "album", "title")])).select("hash")
+    any_of = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(f" {p} ")) for p in phrases])
+    has = lambda c: any_of(phrase_text(F.col(c)))
+    conditions = [has(c) for c in ("hash", "path", "type", "artist", "album", "title")]
+    if "auto_tags" in media.columns:
+        conditions.append(F.exists(F.coalesce("auto_tags", F.array().cast("array<string>")), lambda t: any_of(phrase_text(t))))
+    own = media.filter(reduce(lambda a, b: a | b, conditions)).select("hash")
     bridges = [b.filter(has(c)).select(F.col("media_hash").alias("hash")) for b, c in ((lib.media_tags, "tag_id"), (lib.media_actors, "actor_id"))]
     return reduce(DataFrame.unionByName, bridges, own).distinct()
 
@@ -77,6 +81,8 @@ def ranked_keywords(lib: Library, query: str) -> DataFrame:
     rows = lib.media.select("hash", F.explode(own).alias("f")).select("hash", "f.text", "f.weight")
     for bridge, c, name in ((lib.media_tags, "tag_id", "tags"), (lib.media_actors, "actor_id", "actors")):
         rows = rows.unionByName(bridge.select(F.col("media_hash").alias("hash"), phrase_text(F.col(c)).alias("text"), F.lit(FIELD_WEIGHTS[name]).alias("weight")))
+    if "auto_tags" in lib.media.columns:
+        rows = rows.unionByName(lib.media.select("hash", F.explode("auto_tags").alias("t")).select("hash", phrase_text(F.col("t")).alias("text"), F.lit(FIELD_WEIGHTS["auto_tags"]).alias("weight")))
     # neighbours share a space, so spaces are doubled before counting
     times = lambda p: F.regexp_count(F.replace("text", F.lit(" "), F.lit("  ")), F.lit(f" {p.replace(' ', '  ')} "))
     hits = sum((times(p) for p in want), F.lit(0))

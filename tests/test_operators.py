@@ -38,8 +38,28 @@ def test_search(lib, want, n):
 
 
 def test_form():
-    got = search.form_constraints({"video": True, "tagsAny": ["a"], "tagsAll": [], "untagged": True, "lengthMin": 2, "artistLike": ["x"]})
-    assert got == {"type": {"equalsAny": ["video"]}, "tags": {"equalsAny": ["a"], "exists": False}, "length": {"min": 120}, "artist": {"likeAny": ["x"]}}
+    form = {"typeVideo": True, "tags": {"equalsAny": ["a"], "equalsAll": []}, "actors": {"equalsNone": []}, "untagged": True, "lengthMin": 2, "ratingMin": -1, "ratingMax": 0, "artist": {"like": "x", "notLike": ""}, "minimumResolution": "720", "sortBy": "dir", "keywords": ""}
+    want = {"type": {"equalsAny": ["video"]}, "tags": {"equalsAny": ["a"], "exists": False}, "length": {"min": 120}, "rating": {"max": 0}, "artist": {"likeAny": ["x"]}, "quality": {"min": 720}}
+    assert search.form_constraints(form) == want
+    assert search.form_constraints({"playlist": "p", "sortBy": "rating"}) == {"playlist": "p", "sortBy": "order"}
+
+
+def test_unknown_constraint(lib):
+    with pytest.raises(ValueError, match="colour"):
+        search.search(lib, {"colour": "red"})
+
+
+def test_queues(spark):
+    rows = [
+        {"hash": "a", "type": "video", "width": 1, "length": 9}, {"hash": "b", "type": "video", "width": 1, "length": 12, "corrupted": True},
+        {"hash": "c", "type": "video", "duplicate_of": "a"}, {"hash": "d", "type": "still", "width": 1, "phash": "0"}, {"hash": "e", "type": "still", "width": 1},
+    ]
+    m = media(spark, rows).withColumn("thumbnail", F.col("hash").isin("d", "e")).withColumn("thumbnail_optimised", F.col("hash") == "d").withColumn("preview", F.col("hash") == "c")
+    m = m.withColumn("preview_optimised", F.lit(None).cast("boolean")).withColumn("auto_tags", F.when(F.col("hash") == "d", F.array(F.lit("x"))))
+    none = spark.createDataFrame([], "media_hash string, tag_id string, actor_id string, playlist_id string, position int")
+    lib = Library(m, none, none, none)
+    want = {"thumbnails": "a", "previews": "a", "cache": "a", "keyframes": "ab", "phash": "e", "clones": "d", "classify": "e", "optimise_thumbnails": "e", "optimise_previews": "c", "rescan": "ac"}
+    assert {q: "".join(sorted(r["hash"] for r in search.search(lib, w, ["hash"]).collect())) for q, w in ingest.QUEUES.items()} == want
 
 
 def entries(spark, lists):
