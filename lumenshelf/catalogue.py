@@ -11,9 +11,13 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import scalars, video, words
+from .functions import image_hash, scalars, video, words
 from .operators import clones, ingest, insights, playlists, search, text, updates, vocabulary
 from .plans.fixtures import Library, duck, library, spark_view
+from .plans.lineage import new_folder
+from .sources import dump
+from .sources import library as store
+from .streaming import ingest as incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,4 +290,172 @@ _register("l1_l4_names", lambda s, d: spark_view(s, d, "media").select("hash", s
   SELECT hash, CASE WHEN title IS NULL AND album IS NULL THEN regexp_extract(path, '[^/]*$') ELSE concat_ws(' - ', nullif(album, ''), nullif(title, '')) END AS title,
     concat_ws(' | ', upper(type[1]) || type[2:], CASE WHEN type = 'video' THEN printf('%02d:%02d:%02d', coalesce(length, 0) // 3600, coalesce(length, 0) // 60 % 60, coalesce(length, 0) % 60) END, CASE WHEN width IS NOT NULL THEN width || 'x' || height END) AS subtitle,
     dir, regexp_extract(path, '[^/]*$') AS file FROM media""")
+
+# ---- A, N: sources, sinks and incremental ingest -------------------------------------------
+
+
+def _dumped(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The library written as a dump and read back."""
+    path = new_folder(s, "dump")
+    dump.export(library(s, d), _LISTS(_ENTRIES(s, d)), spark_view(s, d, "media_deleted"), path)
+    return dump.load(s, path)
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    path = new_folder(s, "tables")
+    store.write_tables({"media": spark_view(s, d, "media")}, path)
+    return store.read_tables(s, path, ["media"])["media"]
+
+
+def _sidecars(s: SparkSession, d: str) -> DataFrame:
+    """Sidecar texts: the author plain or as an object, every seventh text broken."""
+    author = "CASE WHEN doc_id % 2 = 0 THEN to_json(named_struct('author', named_struct('name', source), 'album', lang, 'content', '')) ELSE to_json(named_struct('artist', source, 'album', named_struct('name', lang), 'title', cast(doc_id AS string))) END"
+    texts = s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", f"CASE WHEN doc_id % 7 = 0 THEN concat('not json ', source) ELSE {author} END AS sidecar")
+    return texts.select("doc_id", store.sidecar(F.col("sidecar")).alias("s")).select("doc_id", "s.*")
+
+
+def _incremental(s: SparkSession, d: str) -> DataFrame:
+    root = new_folder(s, "ingest")
+    spark_view(s, d, "media").write.parquet(f"{root}/store/0/media")
+    spark_view(s, d, "media_deleted").write.parquet(f"{root}/store/0/media_deleted")
+    _new_files(s, d).select("path", "hash").write.json(f"{root}/in")
+    incremental.start(s, f"{root}/in", f"{root}/store", f"{root}/state", 1_800_000_000).awaitTermination()
+    return s.read.parquet(f"{root}/store/1/media").select("hash", "path", "dir", "type", "hash_date")
+
+
+_register("a2_dump_media", lambda s, d: _dumped(s, d)["media"].select("hash", "path", "rating", "corrupted", "thumbnail", "phash", "height", "title", "created_at", _JOINED(F.col("quality_cache")).alias("qualities")), """
+  SELECT hash, path, rating, corrupted, thumbnail, phash, height, title, created_at, CASE WHEN quality_cache IS NOT NULL THEN array_to_string(quality_cache, ',') END AS qualities FROM media""")
+_register("a2_dump_tags", lambda s, d: _dumped(s, d)["media_tags"], "SELECT media_hash, tag_id FROM media_tags")
+_register("a3_dump_playlists", lambda s, d: _dumped(s, d)["media_playlists"], "SELECT media_hash, playlist_id, position FROM media_playlists")
+_register("a4_tables", lambda s, d: _stored(s, d).select("hash", "path", "type", "width"), "SELECT hash, path, type, width FROM media")
+_register("a5_sidecars", _sidecars, """
+  SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN source END AS artist, CASE WHEN doc_id % 7 <> 0 THEN lang END AS album, CASE WHEN doc_id % 7 <> 0 AND doc_id % 2 = 1 THEN cast(doc_id AS varchar) END AS title FROM documents""")
+_register("n1_incremental_ingest", _incremental, """
+  WITH f AS (SELECT md5(regexp_extract(path, '[0-9]+', 0)) AS hash, path FROM listing WHERE path LIKE 'pages/%.jpg')
+  SELECT m.hash, coalesce(f.path, m.path) AS path, dir, type, hash_date FROM media m LEFT JOIN f ON m.hash = f.hash UNION ALL
+  SELECT hash, path, 'pages', 'still', 1800000000 FROM f WHERE hash NOT IN (SELECT hash FROM media) AND hash NOT IN (SELECT hash FROM media_deleted)""")
+
+# ---- B, C: more maintenance and search -------------------------------------------------------
+
+
+def _metadata(s: SparkSession, d: str) -> DataFrame:
+    """Probe rows: artists under three names of tags, sidecar values, coded sizes."""
+    probe = s.read.parquet(f"{d}/documents.parquet").selectExpr(
+        "cast(doc_id AS string) AS hash", "map(CASE doc_id % 3 WHEN 0 THEN 'artist' WHEN 1 THEN 'album_artist' ELSE 'other' END, source, 'ALBUM', CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END) AS tags",
+        "named_struct('artist', 'side', 'album', 'side', 'title', cast(null AS string)) AS sidecar", "n_chars / 8.0D AS duration",
+        "cast(doc_id % 4 AS int) AS width", "99 AS coded_width", "cast(null AS int) AS height", "cast(doc_id % 9 AS int) AS coded_height",
+    )
+    return ingest.metadata(probe)
+
+
+_register("b4_metadata", _metadata, """
+  SELECT cast(doc_id AS varchar) AS hash, CASE WHEN doc_id % 3 = 2 THEN 'side' ELSE coalesce(nullif(source, ''), 'side') END AS artist, CASE WHEN doc_id % 5 = 0 THEN 'side' ELSE coalesce(nullif(lang, ''), 'side') END AS album, cast(NULL AS varchar) AS title,
+    cast(ceil(n_chars / 8.0) AS INTEGER) AS length, CASE WHEN doc_id % 4 = 0 THEN 99 ELSE cast(doc_id % 4 AS INTEGER) END AS width, cast(doc_id % 9 AS INTEGER) AS height FROM documents""")
+_register("b3_created_times", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", ingest.created_at(F.col("ts")).alias("created")), "SELECT event_id, cast(round(epoch_us(ts) / 1000000.0) AS BIGINT) AS created FROM events")
+_register("b11_fill_created", lambda s, d: ingest.fill_created(spark_view(s, d, "media"), spark_view(s, d, "media").select("path", (F.col("hash_date") + 1).alias("created"))).select("hash", "created_at"), """
+  SELECT hash, CASE WHEN width IS NOT NULL AND coalesce(created_at, 0) = 0 THEN hash_date + 1 ELSE created_at END AS created_at FROM media""")
+_register("b12_fill_tags", lambda s, d: ingest.fill_tags(spark_view(s, d, "media"), spark_view(s, d, "media").select("hash", F.col("dir").alias("artist"), F.col("type").alias("album"), F.col("path").alias("title"))).select("hash", "artist", "album", "title"), """
+  SELECT hash, CASE WHEN v THEN coalesce(nullif(artist, ''), dir) ELSE artist END AS artist, CASE WHEN v THEN coalesce(nullif(album, ''), type) ELSE album END AS album, CASE WHEN v THEN coalesce(nullif(title, ''), path) ELSE title END AS title
+  FROM (SELECT *, type = 'video' AND NOT coalesce(corrupted, false) AS v FROM media)""")
+_register("b15_uncorrupt", lambda s, d: ingest.reset_auto_tags(ingest.uncorrupt(spark_view(s, d, "media").withColumn("auto_tags", F.array("type")))).select("hash", "corrupted", F.array_join("auto_tags", ",").alias("auto_tags")), """
+  SELECT hash, CASE WHEN corrupted THEN false ELSE corrupted END AS corrupted, cast(NULL AS varchar) AS auto_tags FROM media""")
+for _queue, _sql in {
+    "cache": "type = 'video' AND NOT coalesce(corrupted, false) AND duplicate_of IS NULL",
+    "keyframes": "type = 'video' AND width IS NOT NULL AND duplicate_of IS NULL",
+    "phash": "type = 'still' AND width IS NOT NULL AND NOT coalesce(corrupted, false) AND phash IS NULL AND thumbnail",
+    "clones": "type = 'still' AND phash IS NOT NULL AND duplicate_of IS NULL",
+    "rescan": "type = 'video' AND NOT coalesce(corrupted, false)",
+}.items():
+    _search(f"b16_{_queue}_queue", ingest.QUEUES[_queue], f"SELECT hash FROM media WHERE {_sql}")
+
+
+def _with_clones(s: SparkSession, d: str) -> DataFrame:
+    media = spark_view(s, d, "media")
+    return media.join(clones.clone_map(media), "hash", "left").withColumn("unrelated", F.lit(None).cast("array<string>"))
+
+
+_CLUSTER = "min(hash) OVER (PARTITION BY substr(phash, 1, 63))"
+_register("c17_has_clones", lambda s, d: search.search(Library(_with_clones(s, d), spark_view(s, d, "media_tags"), spark_view(s, d, "media_actors"), _ENTRIES(s, d)), {"hasClones": True}, ["hash"]), """
+  SELECT hash FROM (SELECT hash, phash, count(*) OVER (PARTITION BY substr(phash, 1, 63)) AS n FROM media) WHERE phash IS NOT NULL AND n > 1""")
+_FORM = {"keywords": "src3 en", "minimumResolution": "480", "ratingMin": 1, "ratingMax": -1, "typeVideo": True, "typeStill": True, "tags": {"equalsAny": [], "equalsNone": ["zzz"]}, "tagged": True, "title": {"like": "e", "notLike": "qq"}, "lengthMax": 100}
+_search("c22_form", search.form_constraints(_FORM), f"""
+  SELECT hash FROM media WHERE hash IN (SELECT hash FROM (SELECT hash, unnest([hash, path, type, artist, album, title]) AS x FROM media UNION ALL SELECT media_hash, tag_id FROM media_tags UNION ALL SELECT media_hash, actor_id FROM media_actors)
+      WHERE contains({_PHRASE.format(x='x')}, ' src3 ') OR contains({_PHRASE.format(x='x')}, ' en '))
+    AND height >= 480 AND rating >= 1 AND type IN ('video', 'still') AND hash NOT IN (SELECT media_hash FROM media_tags WHERE tag_id = 'zzz') AND hash IN (SELECT media_hash FROM media_tags)
+    AND contains(lower(title), 'e') AND NOT contains(lower(title), 'qq') AND length <= 6000""")
+
+# ---- G, H: more playlists and vocabularies ---------------------------------------------------
+
+_RATED = {"type": {"equalsAny": ["video"]}, "rating": {"min": 1}, "sortBy": "rating"}
+
+
+def _created(s: SparkSession, d: str) -> DataFrame:
+    """One new playlist per language, of its rated media."""
+    media = spark_view(s, d, "media")
+    new = media.select(F.col("album").alias("id")).filter("id is not null").distinct().select("id", F.upper("id").alias("name"), F.lit(None).cast("string").alias("thumbnail"))
+    members = media.filter("rating >= 4 and album is not null").select(F.col("hash").alias("media_hash"), F.col("album").alias("playlist_id"), F.col("hash_date").alias("rank"))
+    return playlists.create(_LISTS(_ENTRIES(s, d)), _ENTRIES(s, d), new, members)[0]
+
+
+def _append_search(s: SparkSession, d: str) -> DataFrame:
+    found = search.search(library(s, d), _RATED, ["hash", "rating"])
+    return playlists.append(_ENTRIES(s, d), found.select(F.col("hash").alias("media_hash"), F.lit("pl-2").alias("playlist_id"), (-F.col("rating")).alias("rank")))
+
+
+def _updated_lists(s: SparkSession, d: str) -> DataFrame:
+    lists = insights.playlist_sizes(_LISTS(_ENTRIES(s, d)), _ENTRIES(s, d))
+    changes = lists.filter("size > 3").select("id", F.when(F.col("size") > 5, F.lit("")).otherwise(F.lit("Short")).alias("name"), F.concat(F.lit("thumb-"), "id").alias("thumbnail"))
+    return playlists.update(lists, changes).select("id", "name", "thumbnail", "size")
+
+
+_register("g1_create", _created, """
+  WITH e AS (SELECT playlist_id AS id, count(*) AS size, arg_min(media_hash, position) AS thumbnail FROM media_playlists GROUP BY 1), n AS (SELECT album AS id, count(*) FILTER (rating >= 4) AS size, arg_min(hash, hash_date) FILTER (rating >= 4) AS thumbnail FROM media WHERE album IS NOT NULL GROUP BY 1)
+  SELECT id, 'List ' || id AS name, thumbnail, size FROM e UNION ALL SELECT id, upper(id), thumbnail, size FROM n""")
+_register("g3_append_search", _append_search, """
+  SELECT media_hash, playlist_id, position FROM media_playlists UNION ALL
+  SELECT hash, 'pl-2', cast((SELECT coalesce(max(position), -1) FROM media_playlists WHERE playlist_id = 'pl-2') + row_number() OVER (ORDER BY rating DESC, hash) AS INTEGER) FROM media
+  WHERE type = 'video' AND rating >= 1 AND hash NOT IN (SELECT media_hash FROM media_playlists WHERE playlist_id = 'pl-2')""")
+_register("g6_remove_search", lambda s, d: playlists.remove(_ENTRIES(s, d), search.search(library(s, d), {"type": {"equalsAny": ["still"]}}, ["hash"]).select(F.col("hash").alias("media_hash"), F.lit("pl-1").alias("playlist_id"))), """
+  SELECT media_hash, playlist_id, cast(row_number() OVER (PARTITION BY playlist_id ORDER BY position) - 1 AS INTEGER) AS position FROM media_playlists
+  WHERE NOT (playlist_id = 'pl-1' AND media_hash IN (SELECT hash FROM media WHERE type = 'still'))""")
+_register("g7_delete", lambda s, d: playlists.delete(_LISTS(_ENTRIES(s, d)), _ENTRIES(s, d), _ENTRIES(s, d).filter("position = 4").select(F.col("playlist_id").alias("id")))[1], """
+  SELECT media_hash, playlist_id, position FROM media_playlists WHERE playlist_id NOT IN (SELECT playlist_id FROM media_playlists WHERE position = 4)""")
+_register("g8_update", _updated_lists, """
+  SELECT playlist_id AS id, CASE WHEN count(*) IN (4, 5) THEN 'Short' ELSE 'List ' || playlist_id END AS name, CASE WHEN count(*) > 3 THEN 'thumb-' || playlist_id END AS thumbnail, count(*) AS size FROM media_playlists GROUP BY playlist_id""")
+_register("h3_add_words", lambda s, d: vocabulary.add_words(_WORDS(s, d), spark_view(s, d, "media_actors").select(F.col("actor_id").alias("id"))), "SELECT tag_id AS id FROM media_tags UNION SELECT actor_id FROM media_actors")
+
+# ---- I, J, M: more clones, video and sets ----------------------------------------------------
+
+
+def _written_back(s: SparkSession, d: str) -> DataFrame:
+    """Some media already have an empty list; it only changes where there are clones."""
+    media = spark_view(s, d, "media")
+    old = media.withColumn("clones", F.when(F.col("hash_date") % 120 == 0, F.array().cast("array<string>"))).withColumn("clone_date", F.lit(None).cast("long"))
+    return clones.write_back(old, clones.clone_map(media), 99).select("hash", F.array_join("clones", ",").alias("clones"), "clone_date")
+
+
+def _resolved(s: SparkSession, d: str) -> DataFrame:
+    """The smallest hash of each group of clones takes the others."""
+    media = _with_clones(s, d)
+    decisions = media.filter("size(clones) > 0 and hash < clones[0]").select("hash", F.col("clones").alias("aliases"), F.array().cast("array<string>").alias("unrelated"))
+    return clones.resolve(media, decisions)[0].select("hash", "duplicate_of")
+
+
+def _images(s: SparkSession, d: str) -> DataFrame:
+    """Documents as 32 x 32 images, whose pixels are hashes of the text."""
+    rgba = F.encode(F.repeat(F.sha2(F.coalesce("text", F.lit("")), 256), 64), "utf-8")
+    images = spark_view(s, d, "media").select("hash", "title").join(s.read.parquet(f"{d}/documents.parquet").select(F.md5(F.col("doc_id").cast("string")).alias("hash"), "text"), "hash")
+    return image_hash.image_hashes(images.select("hash", F.lit(32).alias("width"), F.lit(32).alias("height"), rgba.alias("rgba")))
+
+
+_register("i1_image_hashes", _images)
+_register("i5_write_back", _written_back, """
+  WITH c AS (SELECT hash, type, hash_date, CASE WHEN phash IS NOT NULL THEN array_to_string(list_sort(list_filter(list(hash) OVER (PARTITION BY substr(phash, 1, 63)), lambda x: x <> hash)), ',') END AS found FROM media)
+  SELECT hash, CASE WHEN found IS NOT NULL THEN found WHEN hash_date % 120 = 0 THEN '' END AS clones, CASE WHEN found IS NOT NULL AND NOT (hash_date % 120 = 0 AND found = '') THEN 99::BIGINT END AS clone_date FROM c""")
+_register("i6_resolve", _resolved, f"SELECT hash, CASE WHEN phash IS NOT NULL AND hash <> {_CLUSTER} THEN {_CLUSTER} END AS duplicate_of FROM media")
+_register("j5_keyframe_work", lambda s, d: _VIDEOS(s, d).filter(video.needs_keyframes(F.lit(None).cast("array<struct<start:double,end:double>>"), F.col("quality_cache"), F.transform(video.stream_variants(F.col("width"), F.col("height"), F.col("quality_cache"), _QUALITIES), lambda v: v["quality"]))).select("hash"), """
+  SELECT hash FROM media WHERE type = 'video' AND width IS NOT NULL AND len(list_filter(list_concat([240, 480, 720, 1080], []), lambda q: q <= least(width, height) AND NOT list_contains(quality_cache, q))) > 0""")
+_register("m1_word_sets", lambda s, d: insights.details(library(s, d)).select("hash", F.array_join(F.array_sort(F.array_union("tags", "actors")), ",").alias("either"), F.array_join(F.array_sort(F.array_except("tags", F.split(F.lower("title"), " "))), ",").alias("only_tags")), """
+  SELECT hash, coalesce(string_agg(DISTINCT w, ',' ORDER BY w), '') AS either, CASE WHEN title IS NOT NULL THEN coalesce(string_agg(DISTINCT w, ',' ORDER BY w) FILTER (kind = 't' AND NOT list_contains(string_split(lower(title), ' '), w)), '') END AS only_tags
+  FROM media LEFT JOIN (SELECT media_hash, tag_id AS w, 't' AS kind FROM media_tags UNION ALL SELECT media_hash, actor_id, 'a' FROM media_actors) ON media_hash = hash GROUP BY hash, title""")
 __all__ = ["ORACLES", "QUERIES", "Library", "flagship"]

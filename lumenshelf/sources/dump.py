@@ -10,7 +10,7 @@ from ..plans.fixtures import Library
 
 VERSION = 4
 #: Media as the lines of a dump; the schema is given, never inferred.
-MEDIA = "hash string, path string, dir string, type string, hash_date long, rotation int, rating int, corrupted boolean, phash string, duplicate_of string, width int, height int, length int, artist string, album string, title string, created_at long, quality_cache array<int>, max_copy boolean, tags array<string>, actors array<string>"
+MEDIA = "hash string, path string, dir string, type string, hash_date long, rotation int, rating int, corrupted boolean, phash string, duplicate_of string, width int, height int, length int, artist string, album string, title string, created_at long, quality_cache array<int>, max_copy boolean, thumbnail boolean, thumbnail_optimised boolean, preview boolean, preview_optimised boolean, auto_tags array<string>, clones array<string>, unrelated array<string>, clone_date long, tags array<string>, actors array<string>"
 PARTS = {"media": MEDIA, "playlists": "id string, name string, thumbnail string, hashes array<string>", "deleted": "hash string, path string", "tags": "id string", "actors": "id string"}
 DUMP = "version int, " + ", ".join(f"{n} array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split(' ', 1) for x in s.split(', ')))}>>" if n in ("media", "playlists", "deleted") else f"{n} array<string>" for n, s in PARTS.items())
 

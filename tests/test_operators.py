@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lumenshelf.functions import image_hash, scalars, video, words
 from lumenshelf.operators import clones, ingest, playlists, search, updates
 from lumenshelf.plans.fixtures import Library
+from lumenshelf.sources import dump
+from lumenshelf.sources import library as store
 
 MEDIA = "hash string, path string, dir string, type string, hash_date long, rotation int, rating int, corrupted boolean, phash string, duplicate_of string, width int, height int, length int, artist string, album string, title string, created_at long, quality_cache array<int>, clones array<string>, unrelated array<string>, clone_date long"
 
@@ -135,6 +137,52 @@ def test_image_hash():
     assert image_hash.block_hash(b"", 3, 3) is None
 
 
+def test_image_hash_of_even_blocks():
+    """Brute force where every block is 2 x 2 pixels."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        img = rng.integers(0, 256, (32, 32, 4), dtype=np.uint8)
+        img[..., 3] = rng.integers(0, 2, (32, 32))
+        blocks = []
+        for y, x in itertools.product(range(0, 32, 2), range(0, 32, 2)):
+            four = [img[y + a, x + b].tolist() for a in (0, 1) for b in (0, 1)]
+            blocks.append(sum(765 if p[3] == 0 else sum(p[:3]) for p in four))
+        bits = ""
+        for band in range(4):
+            part = blocks[64 * band : 64 * band + 64]
+            middle = sum(sorted(part)[32:34]) / 2
+            bits += "".join("1" if v > middle or (abs(v - middle) < 1 and middle > 4 * 384) else "0" for v in part)
+        assert image_hash.block_hash(img.tobytes(), 32, 32) == f"{int(bits, 2):064x}"
+
+
+def test_image_hashes_take_nulls(spark):
+    rows = [("a", 16, 16, bytes(16 * 16 * 4)), ("b", None, 16, b"x"), ("c", 16, 16, None), (None, 0, 0, b"")]
+    got = {r["hash"]: r["phash"] for r in image_hash.image_hashes(spark.createDataFrame(rows, "hash string, width int, height int, rgba binary")).collect()}
+    assert got == {"a": "f" * 64, "b": None, "c": None, None: None}
+
+
+def test_list_files(spark, tmp_path):
+    for name in ("a.jpg", "x y/b+1.MP4", "x y/n.txt", "x y/.gif"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"12")
+    got = {(r["path"], r["length"]) for r in store.list_files(spark, str(tmp_path)).collect()}
+    assert got == {("a.jpg", 2), ("x y/b+1.MP4", 2)}
+
+
+def test_sidecar(spark):
+    texts = ['{"author": {"name": "n"}, "album": "b", "content": "c"}', '{"artist": "", "author": "m", "title": {"name": ""}}', "no json", None, ""]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", store.sidecar(F.col("t")).alias("s")).collect()
+    assert {r["i"]: tuple(r["s"]) for r in got} == {0: ("n", "b", "c"), 1: ("m", None, None), 2: (None,) * 3, 3: (None,) * 3, 4: (None,) * 3}
+
+
+def test_single_record_dump(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{"version": 4, "media": [{"hash": "a", "path": "p", "tags": ["t", "t"], "actors": []}], "playlists": [{"id": "l", "name": "n", "hashes": ["a", "b"]}, {"id": "m", "name": "o"}], "deleted": [{"hash": "z", "path": "q"}], "tags": ["t", "u"], "actors": []}')
+    got = dump.load_single(spark, str(tmp_path / "d.json"))
+    rows = lambda n: sorted(tuple(r) for r in got[n].collect())
+    assert rows("media_tags") == [("a", "t")] and rows("media_actors") == [] and rows("media_deleted") == [("z", "q")] and rows("tags") == [("t",), ("u",)]
+    assert rows("media_playlists") == [("a", "l", 0), ("b", "l", 1)] and rows("playlists") == [("l", "n", None, 2), ("m", "o", None, 0)]
+
+
 def test_scalars(spark):
     rows = spark.createDataFrame([("a/b.c/x.MP4", 3723), (".gif", 0), ("y.tar.txt", 360000), (None, None)], "p string, s int")
     got = rows.select(scalars.media_type(F.col("p")), scalars.dir_name(F.col("p")), scalars.duration(F.col("s"))).collect()
