@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hamming
@@ -15,22 +18,27 @@ DISTANCE = 2
 
 
 def hash_pairs(hashes: DataFrame, most: int = DISTANCE) -> DataFrame:
-    """Pairs (a, b, distance), a < b, of distinct values of ``phash`` at most ``most`` bits apart.
+    """Pairs (a, b, distance), a < b, of distinct values of ``phash`` at most ``most`` (0 to 3) bits apart.
 
-    Hashes that share one of four chunks at its place are compared. Equal hashes are
-    collapsed first; a pair that shares several chunks is kept at the first one only,
-    so no distinct is needed. AQE splits a hot chunk's join.
+    Of four chunks at most ``most`` differ, so a pair agrees in 4 - ``most`` chunks at
+    their places; one join key holds that many chunks. At the default of 2 a key is half
+    of the hash, so a band that many images share (plain sky, black edges) makes no
+    candidates by itself. Equal hashes are collapsed first; a pair that shares several
+    keys is kept at the first one only, so no distinct is needed.
     """
+    if not 0 <= most < CHUNKS:
+        raise ValueError(f"banding into {CHUNKS} is exact below {CHUNKS} bits, not for {most}")
     size = DIGITS // CHUNKS
+    chunk = lambda c, i: F.substring(c, 1 + size * i, size)
     one = hashes.select("phash").filter(F.length("phash") == DIGITS).distinct()
-    chunks = F.array(*[F.substring("phash", 1 + size * i, size) for i in range(CHUNKS)])
-    keyed = one.select("phash", F.posexplode(chunks).alias("pos", "chunk"))
+    places = list(itertools.combinations(range(CHUNKS), CHUNKS - most))
+    keyed = one.select("phash", F.posexplode(F.array(*[F.concat(*[chunk("phash", i) for i in p]) for p in places])).alias("pos", "key"))
     a, b = keyed.withColumnRenamed("phash", "a"), keyed.withColumnRenamed("phash", "b")
     earlier = F.lit(False)
-    for i in range(CHUNKS - 1):
-        same = F.substring("a", 1 + size * i, size) == F.substring("b", 1 + size * i, size)
-        earlier |= (F.col("pos") > i) & same
-    met = a.join(b, ["pos", "chunk"]).filter((F.col("a") < F.col("b")) & ~earlier)
+    for n, p in enumerate(places[:-1]):
+        same = reduce(lambda x, y: x & y, [chunk("a", i) == chunk("b", i) for i in p])
+        earlier |= (F.col("pos") > n) & same
+    met = a.join(b, ["pos", "key"]).filter((F.col("a") < F.col("b")) & ~earlier)
     return met.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance")).filter(F.col("distance") <= most)
 
 

@@ -102,12 +102,13 @@ def test_tokens(spark):
     assert {r["i"]: r["k"] for r in got} == {i: plain_tokens(t) for i, t in enumerate(texts)}
 
 
-def test_hash_pairs_are_all_pairs(spark):
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_hash_pairs_are_all_pairs(spark, most):
     rng = random.Random(5)
     base = [rng.getrandbits(256) for _ in range(8)]
     hashes = list({f"{b ^ sum(1 << k for k in rng.sample(range(256), n)):064x}" for b in base for n in (0, 1, 2, 3, 4)})
-    want = {(a, b) for a, b in itertools.combinations(sorted(hashes), 2) if (int(a, 16) ^ int(b, 16)).bit_count() <= 3}
-    got = clones.hash_pairs(spark.createDataFrame([(h,) for h in hashes], "phash string"), 3).collect()
+    want = {(a, b) for a, b in itertools.combinations(sorted(hashes), 2) if (int(a, 16) ^ int(b, 16)).bit_count() <= most}
+    got = clones.hash_pairs(spark.createDataFrame([(h,) for h in hashes], "phash string"), most).collect()
     assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
 
 
