@@ -24,8 +24,9 @@ one row for each of them.
 Edge cases: null and empty texts, and items with no countable window (fewer than
 five words), match nothing; very long texts are read whole; rows that repeat a
 document id are judged together; rows with a null id can't be named and are left
-out; repeated items with one id are one item with the windows of all; extra columns
-are not read; empty tables give an empty result.
+out; a repeated item row counts once; different texts with one id are one item with
+the windows of all, each text aligned by itself; extra columns are not read; empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -81,19 +82,20 @@ def with_template(df: DataFrame, text: str, raws: bool = False) -> DataFrame:
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, raws, pos, h, n): the countable windows of each item, and how many distinct positions it has."""
-    rows = with_template(items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).filter("item_id is not null"), "text", raws=True)
-    rows = rows.select("item_id", "words", "raws", F.posexplode_outer("windows").alias("pos", "h"))
+    """(item_id, part, pos, h, raws, n): the countable windows of each item, by text (part) and position, and how many it has in all its texts."""
+    texts = items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).filter("item_id is not null").distinct()
+    rows = with_template(texts.withColumn("part", F.xxhash64("text")), "text", raws=True)
+    rows = rows.select("item_id", "part", "words", "raws", F.posexplode_outer("windows").alias("pos", "h"))
     part = lambda c: F.slice(c, F.col("pos") + 1, F.lit(WIDTH))
     plain = F.size(F.filter(part("words"), lambda w: ~w.startswith("<")))
-    rows = rows.filter(plain >= LEAST_WORDS).select("item_id", "pos", "h", part("raws").alias("raws"))
+    rows = rows.filter(plain >= LEAST_WORDS).select("item_id", "part", "pos", "h", part("raws").alias("raws"))
     return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE) -> DataFrame:
     """One row (doc_id, item_id, matched, item_windows) per document and item found in it."""
     known = cut(item_windows(items, item_col, item_text_col), "item-windows")
-    by_rarity = Window.partitionBy("item_id").orderBy("among", "pos")
+    by_rarity = Window.partitionBy("item_id").orderBy("among", "part", "pos")
     among = known.groupBy("h").agg(F.countDistinct("item_id").alias("among"))
     keys = known.join(among, "h").withColumn("rank", F.row_number().over(by_rarity)).filter(F.col("rank") <= F.floor(F.lit(1 - share + 1e-9) * F.col("n")) + 1)
     keys = keys.select("h", "item_id").distinct()
@@ -102,7 +104,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     seen = with_template(texts, "text").select("doc_id", F.explode_outer("windows").alias("h"))
     pairs = cut(seen.join(keys, "h").select("doc_id", "item_id").distinct(), "candidate-pairs")
-    of_item = known.groupBy("item_id").agg(F.collect_list(F.struct("pos", "h", "raws")).alias("item"), F.first("n").alias("n"))
+    of_item = known.groupBy("item_id").agg(F.collect_list(F.struct("part", "pos", "h", "raws")).alias("item"), F.first("n").alias("n"))
     # written first: an expression that a lambda reads would be computed again for each element
     matched = cut(with_template(texts.join(pairs, "doc_id"), "text", raws=True).select("doc_id", "item_id", "words", "raws", "windows"), "candidate-windows")
     return _aligned(_shared_positions(matched.join(of_item, "item_id")), share)
@@ -120,11 +122,11 @@ def _aligned(rows: DataFrame, share: float) -> DataFrame:
     pair = lambda word, mine: F.when(word.startswith("<"), mine)
     values = F.zip_with(F.col("w.raws"), "raws", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
     slots = F.filter(F.zip_with("words", values, pair), lambda p: p.isNotNull())
-    rows = rows.select("doc_id", "item_id", "n", (F.col("at") - F.col("w.pos")).alias("shift"), F.col("w.pos").alias("pos"), slots.alias("slots"))
-    # an occurrence has at most one row for each window of the item and copy of the document
-    once = rows.groupBy("doc_id", "item_id", "n", "shift").agg(F.collect_set("pos").alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    rows = rows.select("doc_id", "item_id", "n", (F.col("at") - F.col("w.pos")).alias("shift"), F.col("w.part").alias("part"), F.col("w.pos").alias("pos"), slots.alias("slots"))
+    # an occurrence has at most one row for each window of the item's text and copy of the document
+    once = rows.groupBy("doc_id", "item_id", "n", "part", "shift").agg(F.collect_set("pos").alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     once = once.filter(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))))
-    total = once.select("doc_id", "item_id", "n", F.explode("found").alias("pos")).groupBy("doc_id", "item_id", "n").agg(F.countDistinct("pos").alias("matched"))
+    total = once.select("doc_id", "item_id", "n", "part", F.explode("found").alias("pos")).groupBy("doc_id", "item_id", "n").agg(F.countDistinct("part", "pos").alias("matched"))
     return total.filter(F.col("matched") >= F.lit(share) * F.col("n") - 1e-9).select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("n").alias("item_windows"))
 
 

@@ -60,6 +60,13 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs(spark, []), items).count() == 0 == decontaminate.contaminated(docs(spark, rows), items.limit(0)).count()
 
 
+def test_decontaminate_repeated_items(spark):
+    one, two, three = (sentence(n).translate(str.maketrans("0123456789", "abcdefghij")) for n in (20, 20, 12))
+    items = spark.createDataFrame([(1, one)] * 3 + [(2, two), (2, three), (2, three)], "item_id long, text string")
+    rows = [(1, "Hi. " + one), (2, three + ". " + sentence(9) + ". " + two), (3, two + " " + three), (4, sentence(40))]
+    got = decontaminate.contaminated(docs(spark, rows), items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["matched"], r["item_windows"]) for r in got) == [(1, 1, 16, 16), (2, 2, 24, 24), (3, 2, 24, 24)]
+
 # ---- 2, 4 ---------------------------------------------------------------------------
 
 TEXTS = [None, "", "hello", "a  b\n\n c ", "it's <|endoftext|> 1,5", "é́ 中文 \t x", sentence(3000), "hello"]
