@@ -6,6 +6,11 @@ unknown sentence), and rules are matched against the sequence: a rule's sentence
 their order, with at most ``GAP`` unknown sentences between two of them. Longer rules
 are tried first and what one has matched no other can use.
 
+Sentences end at end signs and blank lines. Licences are wrapped and put into
+comments, so a single newline and the comment signs after it are a space; as titles
+and one-line notices have no end sign, any run of whole lines of a sentence may be a
+known one.
+
 Edge cases: null and empty texts match nothing; very long texts are read whole; a
 licence found twice gives one row per occurrence; repeated rows give repeated
 results; null ids are kept; extra columns are not read; an empty table gives no rows.
@@ -45,6 +50,25 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "gpl3-free-semi": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "mpl-title": "Mozilla Public License Version 2.0",
+    "epl1-made": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "epl1-title": "Eclipse Public License - v 1.0",
+    "epl2-made": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl2-title": "Eclipse Public License - v 2.0",
+    "cc0-dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
     "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "cc-by": "Licensed under CC BY 4.0.",
     "cc-by-sa": "Licensed under CC BY-SA 4.0.",
@@ -53,19 +77,33 @@ SENTENCES = {
 #: licence -> its rules
 RULES = {
     "MIT": [("mit-grant", "mit-notice", "mit-warranty"), ("mit-released",), ("mit-licensed",)],
-    "Apache-2.0": [("apache-licensed-the", "apache-may-not", "apache-copy", "apache-unless", "apache-see"), ("apache-licensed-the", "apache-may-not"), ("apache-licensed",)],
-    "GPL-3.0": [("gpl-free", "gpl-hope", "gpl-details"), ("gpl-free",), ("gpl3-licensed",)],
+    "Apache-2.0": [("apache-title",), ("apache-licensed-the", "apache-may-not", "apache-copy", "apache-unless", "apache-see"), ("apache-licensed-the", "apache-may-not"), ("apache-licensed",)],
+    "GPL-3.0": [("gpl-free", "gpl-hope", "gpl-details"), ("gpl-free",), ("gpl3-free-semi",), ("gpl3-title",), ("gpl3-licensed",)],
+    "GPL-2.0": [("gpl2-title",)],
+    "GPL-2.0-or-later": [("gpl2-free",)],
+    "GPL-2.0-only": [("gpl2-only",)],
+    "LGPL-2.1": [("lgpl21-free",), ("lgpl21-title",)],
+    "LGPL-3.0": [("lgpl3-free",), ("lgpl3-title",)],
+    "AGPL-3.0": [("agpl3-free",), ("agpl3-title",)],
+    "EPL-1.0": [("epl1-made",), ("epl1-title",)],
+    "EPL-2.0": [("epl2-made",), ("epl2-title",)],
+    "CC0-1.0": [("cc0-dedicated",)],
+    "Unlicense": [("unlicense-free",)],
     "BSD-3-Clause": [("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")],
     "BSD-2-Clause": [("bsd-redistribution", "bsd-source", "bsd-binary")],
     "ISC": [("isc-grant",)],
-    "MPL-2.0": [("mpl-subject",)],
+    "MPL-2.0": [("mpl-subject",), ("mpl-title",)],
     "CC-BY-4.0": [("cc-by",)],
     "CC-BY-SA-4.0": [("cc-by-sa",)],
     "CC-BY-NC-4.0": [("cc-by-nc",)],
 }
 #: Every rule's sentences hold one of these, so other texts need no splitting.
-ANCHORS = ("licen", "permission", "warrant", "redistribut")
-_BREAK = re.compile(r"(?<=[.!?;:])\s+|\n\s*(?:\n\s*)*")
+ANCHORS = ("licen", "permission", "warrant", "redistribut", "public domain")
+_LINE = re.compile(r"\r\n?|\n")
+#: Comment signs at the start of a line, also the words of m4 and batch files.
+_LEAD = re.compile(r"^[\W_]*(?:(?:dnl|rem)\s+)?", re.IGNORECASE)
+_END = re.compile(r"(?<=[.!?;:])\s+")
+_WORD = re.compile(r"[^\W_]")
 _SIGNS = re.compile(r"[^a-z0-9]+")
 
 
@@ -73,15 +111,27 @@ def normalise(sentence: str) -> str:
     return _SIGNS.sub(" ", sentence.lower()).strip()
 
 
-def split(text: str) -> list[str]:
-    return [s for s in _BREAK.split(text) if s.strip()]
+def split(text: str) -> list[list[str]]:
+    """The sentences of a text, each as its lines without leading comment signs."""
+    out: list[list[str]] = [[]]
+    for line in _LINE.split(text):
+        pieces = [p for p in _END.split(_LEAD.sub("", line)) if _WORD.search(p)]
+        if not pieces:
+            out.append([])
+        for p in pieces:
+            out[-1].append(p)
+            if p.rstrip()[-1] in ".!?;:":
+                out.append([])
+    return [s for s in out if s]
 
 
 #: A known text may itself be several sentences; numbers from 1.
 NUMBER: dict[str, int] = {}
 _OF: dict[str, tuple[int, ...]] = {}
 for _name, _text in SENTENCES.items():
-    _OF[_name] = tuple(NUMBER.setdefault(normalise(s), len(NUMBER) + 1) for s in split(_text))
+    _OF[_name] = tuple(NUMBER.setdefault(normalise(" ".join(s)), len(NUMBER) + 1) for s in split(_text))
+#: All beginnings of the known sentences, by whole words.
+_PREFIXES = {" ".join(w[: i + 1]) for w in (known.split(" ") for known in NUMBER) for i in range(len(w))}
 #: (licence, identifiers), longest first
 ORDERED = sorted(((lic, tuple(i for name in rule for i in _OF[name])) for lic, rules in RULES.items() for rule in rules), key=lambda r: (-len(r[1]), r[0]))
 _STARTS: dict[int, list] = {}
@@ -89,12 +139,30 @@ for _rule in ORDERED:
     _STARTS.setdefault(_rule[1][0], []).append(_rule)
 
 
+def _known(lines: list[str], start: int) -> tuple[int, int]:
+    """(identifier, line after it) of the longest known sentence that begins with line ``start``; (0, start + 1) if none does."""
+    best, now = (0, start + 1), ""
+    for end in range(start, len(lines)):
+        now = f"{now} {lines[end]}".strip()
+        if now not in _PREFIXES:
+            break
+        if k := NUMBER.get(now):
+            best = (k, end + 1)
+    return best
+
+
 def identifiers(text: str) -> list[tuple[int, int]]:
-    """(position, identifier) of the known sentences of a text, in order."""
-    out = []
-    for i, s in enumerate(split(text)):
-        if k := NUMBER.get(normalise(s)):
-            out.append((i, k))
+    """(position, identifier) of the known sentences of a text, in order; unknown lines of one sentence side by side have one position."""
+    out, at = [], 0
+    for sentence in split(text):
+        lines, i, unknown = [normalise(p) for p in sentence], 0, False
+        while i < len(lines):
+            k, i = _known(lines, i)
+            if k or not unknown:
+                at += 1
+            if k:
+                out.append((at - 1, k))
+            unknown = not k
     return out
 
 

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -195,6 +196,24 @@ def test_licences(spark):
     assert licences.scan(docs(spark, [])).count() == 0
 
 
+def test_licences_wrapped_and_commented():
+    def found(text):
+        return [m[0] for m in licences.match(licences.identifiers(text))]
+
+    for licence, rules in licences.RULES.items():
+        for rule in rules:
+            for before in ("", "# ", " * ", "// ", ";; ", "dnl ", "    "):
+                lines = [before + x for n in rule for x in [*textwrap.wrap(licences.SENTENCES[n], 60), ""]]
+                assert found("\n".join(lines)) == [licence], (licence, rule, before)
+                assert found("code();\n/*\r\nA heading\r\n" + "\r\n".join(x for x in lines if x.strip() != before.strip()) + "\r\n*/") == [licence], (licence, rule, before)
+    assert found("Copyright 2020 A\nReleased under the MIT License.\nand more\nLicensed under CC BY\n4.0.") == ["MIT", "CC-BY-4.0"]
+    apache = [textwrap.fill(licences.SENTENCES[n], 50) for n in licences.RULES["Apache-2.0"][1]]
+    assert [m[1] for m in licences.match(licences.identifiers("\n".join(apache[:3]) + "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + "\n".join(apache[3:])))] == [len(apache)]
+    unknown = "\n\nan unknown sentence\nover two lines."
+    mit = [textwrap.fill(licences.SENTENCES[n], 50) for n in licences.RULES["MIT"][0]]
+    assert found((unknown * 2 + "\n\n").join(mit)) == ["MIT"] and found((unknown * 3 + "\n\n").join(mit)) == []
+
+
 # ---- 8 ------------------------------------------------------------------------------
 
 
