@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dir_name, media_type
 
-#: B8 compares every missing path with all media that have no exact match; beyond this many it refuses.
-MOST_CONTAINED = 10_000
-
 
 def created_at(modified: Column) -> Column:
     """Epoch seconds of a file time."""
@@ -62,14 +59,19 @@ def index_files(media: DataFrame, deleted: DataFrame, files: DataFrame, now: int
 def match_missing(media: DataFrame, missing: DataFrame) -> DataFrame:
     """Per missing path the media whose path contains it, ignoring case: (path, n, hash); delete where n is 1.
 
-    A contained path is a theta join; the missing side is counted and must stay small.
+    An equi-join: each medium has its distinct substrings of the lengths that missing
+    paths have. They are counted before they meet the missing paths, so a substring of
+    all media is one row.
     """
-    if missing.count() > MOST_CONTAINED:
-        raise ValueError(f"more than {MOST_CONTAINED} missing paths: check the library's root")
-    m = missing.select(F.col("path").alias("_path")).distinct()
-    hits = media.select("hash", "path").join(F.broadcast(m), F.contains(F.lower("path"), F.lower("_path")))
-    got = hits.groupBy("_path").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("hash"))
-    return m.join(got, "_path", "left").select(F.col("_path").alias("path"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n") == 1, F.col("hash")).alias("hash"))
+    m = missing.select(F.col("path").alias("_path"), F.lower("path").alias("_part")).distinct()
+    lengths = [r[0] for r in m.filter("_path is not null").select(F.length("_part")).distinct().collect()]
+    size = F.length("_low")
+    texts = media.select("hash", F.lower("path").alias("_low")).withColumn("_n", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))).filter(F.col("_n") <= size)
+    part = F.transform(F.sequence(F.lit(1), size - F.col("_n") + 1), lambda i: F.substring("_low", i, F.col("_n")))
+    # outer: for explode Spark infers a size filter in which the array would be computed again
+    parts = texts.select("hash", F.explode_outer(F.array_distinct(part)).alias("_part"))
+    got = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("hash"))
+    return m.join(got, "_part", "left").select(F.col("_path").alias("path"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n") == 1, F.col("hash")).alias("hash"))
 
 
 def remove_media(tables: dict[str, DataFrame], gone: DataFrame, tombstone: bool = True) -> dict[str, DataFrame]:

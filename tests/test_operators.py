@@ -204,6 +204,15 @@ def test_empty_library(spark):
     assert search.neighbour_dirs(none).count() == 0
 
 
+def test_match_missing(spark):
+    paths = [None, "", "en/aa.mp4", "EN/aaa.mp4", "en/ab.gif", "dé/Aa", "x" * 300 + "aa"]
+    gone = [None, "", "AA", "aa", "en/", "é/a", "aa.MP4", "en/ab.gif", "nope", "x" * 301, "a_", "x" * 300] + [f"many/{i}" for i in range(10_100)]
+    m = spark.createDataFrame(list(enumerate(paths)), "hash long, path string").withColumn("hash", F.concat(F.lit("h"), "hash"))
+    got = {r["path"]: (r["n"], r["hash"]) for r in ingest.match_missing(m, spark.createDataFrame([(g,) for g in gone + gone[:4]], "path string")).collect()}
+    held = {g: [f"h{i}" for i, p in enumerate(paths) if g is not None and p is not None and g.lower() in p.lower()] for g in gone}
+    assert got == {g: (len(h), h[0] if len(h) == 1 else None) for g, h in held.items()}
+
+
 def test_incremental(spark, tmp_path):
     from lumenshelf.streaming import ingest as stream
 
