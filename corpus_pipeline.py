@@ -2,7 +2,7 @@
 
 Stages, each over all that the one before kept: toxic documents go; one document of
 each group of near copies stays; documents that hold benchmark items go; the rest is
-packed into sequences (pieces refer to token ranges of documents).
+packed into sequences (pieces hold their token ids).
 
 Rows with a null doc_id cannot be named by a decision on ids: they pass the stages
 on near copies and benchmarks. Of rows that repeat a doc_id one stays.
@@ -34,7 +34,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs).drop("ids")
+    return packing.pack(docs)
 
 
 STAGES = [

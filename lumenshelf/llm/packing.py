@@ -136,10 +136,10 @@ def _merge(size: int, open_windows: int, least_cut: int, keep_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, size: int = SIZE, open_windows: int = OPEN_WINDOWS, least_cut: int = LEAST_CUT, merge_partitions: int = MERGE_PARTITIONS, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, size: int = SIZE, open_windows: int = OPEN_WINDOWS, least_cut: int = LEAST_CUT, merge_partitions: int = MERGE_PARTITIONS, keep_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    ``ids`` (little-endian unsigned 32-bit) is filled if ``keep_ids``. A sequence's
+    ``ids`` (little-endian unsigned 32-bit) is null with ``keep_ids=False``. A sequence's
     pieces, in order of offset, are its tokens. Texts are tokenised once: the result
     of the first pass is written to the shared folder.
     """
@@ -153,4 +153,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents")).drop("ids")
+    """Digests of the packed ids, as they were written."""
+    rows = pack(table(spark, sf_dir, "documents"))
+    made = {"length": (F.octet_length("ids") / 4).cast("long"), "ids_crc32": F.crc32("ids")}
+    return rows.withColumns(made).drop("ids")

@@ -93,6 +93,15 @@ def test_packing_keeps_every_id(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_packing_returns_its_ids(spark):
+    import corpus_pipeline
+
+    rows = [(i, sentence(700)) for i in range(3)]
+    encoded = tokens.bpe(tokens.vocabulary_path()).encode([t for _, t in rows])
+    got = corpus_pipeline.pack(spark, docs(spark, rows), SF).toPandas().sort_values(["doc_id", "start"])
+    assert [b"".join(g["ids"]) for _, g in got.groupby("doc_id")] == [np.append(ids, 0).astype("<u4").tobytes() for ids in encoded]
+
+
 def test_separators(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     written = separators.write_tokens(docs(spark, rows).repartition(2), f"{tmp_path}/t")
