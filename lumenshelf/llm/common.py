@@ -1,12 +1,14 @@
 """Helpers that several operators of this subpackage share.
 
 Shared-storage rule: intermediate tables live under the folder that the session
-names in ``spark.checkpoint.dir``; a folder of our own is used only where that
-setting is absent (local tests).
+names in ``spark.checkpoint.dir``. Where that is unset, a local master gets a
+temporary folder, as in tests; on a cluster it is an error, since executors would
+not see a folder of the driver.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,15 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers receive."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Bound the Arrow batches that Python workers receive.
+
+    The settings are read when a plan runs, after the operator has returned it, so
+    they stay for the session; a smaller bound that is already set is kept.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors reach."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
         found = tempfile.mkdtemp(prefix="lumenshelf-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -70,31 +82,24 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def lookup(big: DataFrame, per_key: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
-    """Join rows to a table with one row per ``key``, without a hot task.
+    """Join rows to a table with one row per ``key``, in one scan of ``big`` and without a hot task.
 
     ``per_key`` must be a cut() table whose column ``count`` says how many rows of
     ``big`` have the key. Keys with HOT_SHARE of all rows or more are at most
-    1 / HOT_SHARE, so they are broadcast; the rest meet in a shuffle join.
-    Null keys are allowed on the left and match nothing.
+    1 / HOT_SHARE; their rows are dealt by the partition that they come from, and
+    their entry is repeated for each of the places, so that the join is an ordinary
+    shuffle join on (key, place). The place of a row doesn't change when its task is
+    run again. Null keys are allowed on the left, match nothing and are dealt likewise.
     """
     total = per_key.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    least = max(1000, int(total * HOT_SHARE))
-    hot = per_key.filter(F.col(count) >= least)
-    hot_rows = hot.select(F.col(key).alias("_hot_key"))
-    marked = big.join(F.broadcast(hot_rows), F.col(key) == F.col("_hot_key"), "left")
-    is_hot = F.col("_hot_key").isNotNull()
-    one = marked.filter(is_hot).drop("_hot_key").join(F.broadcast(hot), key, how)
-    cold = marked.filter(~is_hot & F.col(key).isNotNull()).drop("_hot_key").join(per_key.filter(F.col(count) < least), key, how)
-    out = one.unionByName(cold)
-    if how == "left":
-        none = marked.filter(F.col(key).isNull()).drop("_hot_key")
-        out = out.unionByName(none, allowMissingColumns=True)
-    return out
-
-
-def word_array(text: Column) -> Column:
-    """Lower-cased runs of letters, digits and underscores."""
-    return F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: w != "")
+    least, places = max(1000, int(total * HOT_SHARE)), shuffle_parts(big.sparkSession)
+    hot = per_key.filter(F.col(count) >= least).select(F.col(key).alias("_hot"))
+    place = F.pmod(F.spark_partition_id(), F.lit(places))
+    dealt = big.withColumn("_from", place).join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    spread = F.col("_hot").isNotNull() | F.col(key).isNull()
+    dealt = dealt.withColumn("_place", F.when(spread, F.col("_from")).otherwise(0)).drop("_hot", "_from")
+    wanted = F.when(F.col(count) >= least, F.sequence(F.lit(0), F.lit(places - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(per_key.withColumn("_place", F.explode(wanted)), [key, "_place"], how).drop("_place")
 
 
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
@@ -106,31 +111,35 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     aggregated by a map-side minimum and no neighbour list is ever gathered. Each
     round is written to the shared folder. Self-loops and repeated edges are ignored.
     """
-    now = cut(edges.select("a", "b").filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    real = edges.select("a", "b").filter(F.col("a") != F.col("b"))
+    now = cut(real.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     before = None
     for _ in range(rounds):
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        mark = now.agg(F.count(F.lit(1)).alias("n"), digest.alias("h")).first()
         if before == tuple(mark):
             break
         before = tuple(mark)
         now = _star(_star(now, large=True, name=name), large=False, name=name)
     else:
         raise RuntimeError(f"components of {name} did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    ends = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(ends)
 
 
 def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
     """One star step on a cut() table of edges u > v; deletes its input."""
+    both = edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
     if large:
-        both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    else:
-        both = edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
-    least = cut(both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("x", "m")), name)
+        both = both.unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
+    smallest = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n"))
+    least = cut(smallest.withColumn("m", F.least("x", "m")), name)
     rows = lookup(both, least, "x", "n", "inner")
     if large:
         out = rows.filter(F.col("y") > F.col("x")).select(F.col("y").alias("u"), F.col("m").alias("v"))
     else:
-        out = rows.select(F.col("y").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
+        own = least.select(F.col("x").alias("u"), F.col("m").alias("v"))
+        out = rows.select(F.col("y").alias("u"), F.col("m").alias("v")).unionByName(own)
     done = cut(out.filter(F.col("u") != F.col("v")).distinct(), name)
     drop(edges, least)
     return done

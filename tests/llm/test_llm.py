@@ -145,31 +145,69 @@ def test_toxicity(spark):
 # ---- 5 ------------------------------------------------------------------------------
 
 
+def brute_links(rows, threshold):
+    """Per row of (id, text) the other rows linked with it."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for _, t in rows]
+    near = lambda a, b: bool(a) and bool(b) and len(a & b) >= threshold * len(a | b)
+    return [{j for j, y in enumerate(sets) if j != i and near(x, y)} for i, x in enumerate(sets)]
+
+
+def reachable(links, i):
+    seen, todo = {i}, [i]
+    while todo:
+        todo += (new := links[todo.pop()] - seen)
+        seen |= new
+    return seen
+
+
+def edited(bases, n, edits):
+    out = []
+    for k in range(n):
+        w = list(bases[k % len(bases)])
+        for _ in range(RNG.choice(edits)):
+            w[RNG.randrange(len(w))] = "edit" + str(RNG.randrange(99))
+        out.append(" ".join(w))
+    return out
+
+
 def test_jaccard_join_is_brute_force(spark):
     base = [sentence(60).split() for _ in range(6)]
-    rows = []
-    for k in range(120):
-        w = list(base[k % 6])
-        for _ in range(RNG.choice([0, 0, 1, 2, 4])):
-            w[RNG.randrange(60)] = "edit" + str(RNG.randrange(99))
-        rows.append((k, " ".join(w)))
+    rows = list(enumerate(edited(base, 120, [0, 0, 1, 2, 4])))
     rows += [(500, ""), (501, None), (502, "..."), (503, "one two"), (504, "One, two!"), (None, rows[0][1]), (505, sentence(30_000))]
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for i, t in rows if i is not None}
-    links = {i: {j for j in sets if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in sets}
-
-    def smallest(i):
-        seen, todo = {i}, [i]
-        while todo:
-            todo += (new := links[todo.pop()] - seen)
-            seen |= new
-        return min(seen)
-
+    # ids 5 and 7 repeat, with texts of their own, of others' and with none
+    rows += [(5, rows[7][1]), (5, sentence(40)), (7, rows[7][1]), (7, rows[7][1]), (5, None), (None, sentence(30))]
+    links = brute_links(rows, 0.8)
+    want = []
+    for i, (doc, _) in enumerate(rows):
+        ids = [rows[j][0] for j in reachable(links, i) if rows[j][0] is not None]
+        want.append((doc, min(ids, default=None), len(links[i])))
     for leaf, block in ((1000, 1000), (5, 7)):  # the second splits nodes and deals blocks
-        got = jaccard_join.near_duplicates(docs(spark, rows), leaf=leaf, block=block).collect()
-        assert len(got) == len(rows)
-        # the rows with a null id copy document 0 but are not compared: they only count as copies of nothing
-        assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got if r["doc_id"] is not None} == {i: (smallest(i), len(links[i])) for i in sets}
-    assert jaccard_join.near_duplicates(docs(spark, [])).count() == 0
+        got = jaccard_join.near_duplicates(docs(spark, rows), leaf=leaf, block=block, set_block=block)
+        one = got.collect()
+        assert sorted(map(repr, [(r["doc_id"], r["class_id"], r["n_links"]) for r in one])) == sorted(map(repr, want))
+        kept = jaccard_join.one_of_each(docs(spark, rows), got)
+        assert kept.columns == docs(spark, []).columns
+        texts = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        groups = {min(reachable(links, i)) for i in range(len(rows))}
+        at = [next(i for i, x in enumerate(rows) if x == t) for t in texts]
+        assert sorted(min(reachable(links, i)) for i in at) == sorted(groups)
+    none = jaccard_join.near_duplicates(docs(spark, []))
+    assert none.count() == 0 and jaccard_join.one_of_each(docs(spark, []), none).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.8])
+def test_jaccard_join_recall(spark, threshold):
+    rows = list(enumerate(edited([sentence(80).split() for _ in range(8)], 160, [0, 1, 1, 2, 5])))
+    links = brute_links(rows, threshold)
+    got = jaccard_join.near_duplicates(docs(spark, rows), threshold=threshold, leaf=10)
+    found = {r["doc_id"]: r["n_links"] for r in got.collect()}
+    assert all(found[i] <= len(x) for i, x in enumerate(links))
+    assert sum(found.values()) >= 0.95 * sum(map(len, links)) > 100
+
+
+def test_repeats():
+    assert [jaccard_join.repeats_for(r, d) for r, d in ((0.99, 4), (0.9, 1), (0.5, 0))] == [13, 3, 1]
+    assert [jaccard_join.likely_coordinates(t) for t in (0.8, 0.4, 0.05)] == [79, 23, 1]
 
 
 # ---- 6 ------------------------------------------------------------------------------
