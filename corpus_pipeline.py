@@ -4,8 +4,8 @@ Stages, each over all that the one before kept: toxic documents go; one document
 each group of near copies stays; documents that hold benchmark items go; the rest is
 packed into sequences (pieces hold their token ids).
 
-Rows with a null doc_id cannot be named by a decision on ids: they pass the stages
-on near copies and benchmarks. Of rows that repeat a doc_id one stays.
+Decisions name documents by their texts, or by id and text, so rows with a null or
+repeated doc_id are judged like others, each by its own text.
 """
 
 from __future__ import annotations
@@ -22,15 +22,15 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = cut(jaccard_join.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct(), "kept-documents")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    return jaccard_join.one_of_each(docs, jaccard_join.near_duplicates(docs)).select(docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    bad = cut(found.select("doc_id").distinct(), "contaminated-documents")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    # whether a text holds an item depends on the text alone
+    keyed = docs.withColumn("_text", F.md5("text"))
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_text")
+    bad = cut(found.select(F.col("doc_id").alias("_text")).distinct(), "contaminated-texts")
+    return keyed.join(bad, "_text", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
