@@ -2,7 +2,9 @@
 
 Texts become templates: numbers, names and units after numbers turn into typed
 placeholders, all other words into lower case. A benchmark item is known by its
-template windows of five words of which at least three are not placeholders.
+template windows of five words of which at least three are not placeholders. An item
+without such a window, which is shorter or full of placeholders, is known by its whole
+template as one window, if that has three words which are not placeholders.
 
 1. Candidates: an item is only found where a share of ``SHARE`` of its windows
    occurs, so any document that holds it has one of the floor((1 - SHARE) n) + 1
@@ -18,19 +20,25 @@ template windows of five words of which at least three are not placeholders.
    more of the item's.
 
 Joined data: the item windows are broadcast up to ``BROADCAST_WINDOWS`` of them, which
-is checked, and shuffled beyond. A window that a third of all documents holds costs
-one row for each of them.
-
-Edge cases: null and empty texts, and items with no countable window (fewer than
-five words), match nothing; very long texts are read whole; rows that repeat a
-document id are judged together; rows with a null id can't be named and are left
-out; a repeated item row counts once; different texts with one id are one item with
-the windows of all, each text aligned by itself; extra columns are not read; empty
-tables give an empty result.
+is checked, and the items themselves alike. Beyond, both are joined by shuffle, and a
+window or an item that a third of all documents hold is left to the adaptive split of
+skewed joins, as only one side of these joins is large. A window that a third of all
+documents holds costs one row for each of them.
+
+Edge cases: null and empty texts, and items with fewer than three words that are not
+placeholders, match nothing; very long texts are read whole. Rows that repeat an id are
+judged each by its own text, and a pair of ids has one row, of the text with the most
+matches; rows with a null id can't be named and are left out; a repeated item row
+counts once; different texts with one item id are one item with the windows of all,
+each text aligned by itself; extra columns are not read; empty tables give an empty
+result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +74,11 @@ def template_words(tokens: Column) -> Column:
     return F.zip_with(tokens, F.slice(before, F.lit(1), F.size(tokens)), word)
 
 
-def with_template(df: DataFrame, text: str, raws: bool = False) -> DataFrame:
-    """Adds words (the template) and windows (64-bit hashes, one per position) for the column ``text``; with ``raws`` also the words in lower case."""
+def with_template(df: DataFrame, text: str, raws: bool = False, spans: Sequence[int] = ()) -> DataFrame:
+    """Adds words (the template) and windows (64-bit hashes, one per position) for the column ``text``.
+
+    With ``raws`` also the words in lower case; for each of ``spans`` also windows_<span>.
+    """
     # read windows with explode_outer only: for explode, Spark infers a filter on the array's size, in which
     # the arrays under a lambda are computed again for every element
     df = df.withColumn("_tokens", tokens(F.col(text)))
@@ -77,57 +88,87 @@ def with_template(df: DataFrame, text: str, raws: bool = False) -> DataFrame:
         df = df.withColumn("raws", kept)
     df = df.withColumn("words", F.filter("_all", lambda w: w.isNotNull()))
     hashed = lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WIDTH)])
-    windows = F.when(F.size("words") >= WIDTH, F.transform(F.sequence(F.lit(0), F.size("words") - WIDTH), hashed)).otherwise(F.array().cast("array<long>"))
-    return df.withColumn("windows", windows).drop("_tokens", "_all")
+    df = df.withColumn("windows", _windows(WIDTH, hashed))
+    for span in spans:
+        df = df.withColumn(f"windows_{span}", _windows(span, _whole_of(span)))
+    return df.drop("_tokens", "_all")
+
+
+def _windows(span: int, hashed: Callable[[Column], Column]) -> Column:
+    at = F.sequence(F.lit(0), F.size("words") - span)
+    return F.when(F.size("words") >= span, F.transform(at, hashed)).otherwise(F.array().cast("array<long>"))
+
+
+def _whole_of(span: int) -> Callable[[Column], Column]:
+    return lambda i: _whole(F.slice("words", i + 1, F.lit(span)))
+
+
+def _whole(words: Column) -> Column:
+    """The window that is a whole template."""
+    return F.xxhash64(F.lit("whole"), words)
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, part, pos, h, raws, n): the countable windows of each item, by text (part) and position, and how many it has in all its texts."""
+    """(item_id, part, pos, span, h, raws, n): the countable windows of each item, by text (part) and position, and how many it has in all its texts."""
     texts = items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).filter("item_id is not null").distinct()
-    rows = with_template(texts.withColumn("part", F.xxhash64("text")), "text", raws=True)
-    rows = rows.select("item_id", "part", "words", "raws", F.posexplode_outer("windows").alias("pos", "h"))
+    plain = lambda words: F.size(F.filter(words, lambda w: ~w.startswith("<")))
+    made = cut(with_template(texts.withColumn("part", F.xxhash64("text")), "text", raws=True), "item-templates")
+    rows = made.select("item_id", "part", "words", "raws", F.posexplode_outer("windows").alias("pos", "h"))
     part = lambda c: F.slice(c, F.col("pos") + 1, F.lit(WIDTH))
-    plain = F.size(F.filter(part("words"), lambda w: ~w.startswith("<")))
-    rows = rows.filter(plain >= LEAST_WORDS).select("item_id", "part", "pos", "h", part("raws").alias("raws"))
-    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
+    rows = rows.filter(plain(part("words")) >= LEAST_WORDS).select("item_id", "part", "pos", F.lit(WIDTH).alias("span"), "h", part("raws").alias("raws"))
+    bare = made.join(rows.select("item_id", "part").distinct(), ["item_id", "part"], "left_anti").filter(plain(F.col("words")) >= LEAST_WORDS)
+    whole = bare.select("item_id", "part", F.lit(0).alias("pos"), F.size("words").alias("span"), _whole(F.col("words")).alias("h"), "raws")
+    return rows.unionByName(whole).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE) -> DataFrame:
+def contaminated(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    share: float = SHARE, broadcast_windows: int = BROADCAST_WINDOWS,
+) -> DataFrame:
     """One row (doc_id, item_id, matched, item_windows) per document and item found in it."""
     known = cut(item_windows(items, item_col, item_text_col), "item-windows")
+    small = known.count() <= broadcast_windows
+    # lengths of whole templates: a few numbers, each the length of some item
+    spans = sorted(r[0] for r in known.filter((F.col("pos") == 0) & (F.col("span") != WIDTH)).select("span").distinct().collect())
     by_rarity = Window.partitionBy("item_id").orderBy("among", "part", "pos")
     among = known.groupBy("h").agg(F.countDistinct("item_id").alias("among"))
     keys = known.join(among, "h").withColumn("rank", F.row_number().over(by_rarity)).filter(F.col("rank") <= F.floor(F.lit(1 - share + 1e-9) * F.col("n")) + 1)
     keys = keys.select("h", "item_id").distinct()
-    if known.count() <= BROADCAST_WINDOWS:
-        keys = F.broadcast(keys)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    seen = with_template(texts, "text").select("doc_id", F.explode_outer("windows").alias("h"))
-    pairs = cut(seen.join(keys, "h").select("doc_id", "item_id").distinct(), "candidate-pairs")
+    # a row is its id and text: rows that repeat an id are judged apart
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null").withColumn("row", F.xxhash64("text"))
+    every = ["windows", *(f"windows_{k}" for k in spans)]
+    templates = with_template(texts, "text", spans=spans)
+    seen = templates.select("doc_id", "row", F.explode_outer(F.concat(*every) if spans else F.col("windows")).alias("h"))
+    pairs = cut(seen.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "row", "item_id").distinct(), "candidate-pairs")
     of_item = known.groupBy("item_id").agg(F.collect_list(F.struct("part", "pos", "h", "raws")).alias("item"), F.first("n").alias("n"))
     # written first: an expression that a lambda reads would be computed again for each element
-    matched = cut(with_template(texts.join(pairs, "doc_id"), "text", raws=True).select("doc_id", "item_id", "words", "raws", "windows"), "candidate-windows")
-    return _aligned(_shared_positions(matched.join(of_item, "item_id")), share)
-
-
-def _shared_positions(found: DataFrame) -> DataFrame:
-    """One row per window that document and item share: at, mine (words of the document's window and its template), w (the item's)."""
-    one = found.select("doc_id", "item_id", "n", "item", "words", "raws", F.posexplode_outer("windows").alias("at", "h")).filter(F.array_contains(F.col("item")["h"], F.col("h")))
-    part = lambda c: F.slice(c, F.col("at") + 1, F.lit(WIDTH))
-    one = one.select("doc_id", "item_id", "n", "at", "h", part("words").alias("words"), part("raws").alias("raws"), F.explode("item").alias("w"))
+    matched = with_template(texts.join(pairs, ["doc_id", "row"]), "text", raws=True, spans=spans).select("doc_id", "row", "item_id", "words", "raws", *every)
+    found = cut(matched, "candidate-windows").join(F.broadcast(of_item) if small else of_item, "item_id")
+    shared = [_shared_positions(found, column, span) for column, span in zip(every, [WIDTH, *spans], strict=True)]
+    return _aligned(reduce(DataFrame.unionByName, shared), share)
+
+
+def _shared_positions(found: DataFrame, windows: str, span: int) -> DataFrame:
+    """One row per window that document and item share: at, words and raws of the document's window, w (the item's)."""
+    pair = ["doc_id", "row", "item_id", "n"]
+    one = found.select(*pair, "item", "words", "raws", F.posexplode_outer(windows).alias("at", "h")).filter(F.array_contains(F.col("item")["h"], F.col("h")))
+    part = lambda c: F.slice(c, F.col("at") + 1, F.lit(span)).alias(c)
+    one = one.select(*pair, "at", "h", part("words"), part("raws"), F.explode("item").alias("w"))
     return one.filter(F.col("w.h") == F.col("h"))
 
 
 def _aligned(rows: DataFrame, share: float) -> DataFrame:
-    pair = lambda word, mine: F.when(word.startswith("<"), mine)
+    slot = lambda word, mine: F.when(word.startswith("<"), mine)
     values = F.zip_with(F.col("w.raws"), "raws", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
-    slots = F.filter(F.zip_with("words", values, pair), lambda p: p.isNotNull())
-    rows = rows.select("doc_id", "item_id", "n", (F.col("at") - F.col("w.pos")).alias("shift"), F.col("w.part").alias("part"), F.col("w.pos").alias("pos"), slots.alias("slots"))
+    slots = F.filter(F.zip_with("words", values, slot), lambda p: p.isNotNull())
+    pair = ["doc_id", "row", "item_id", "n"]
+    rows = rows.select(*pair, (F.col("at") - F.col("w.pos")).alias("shift"), F.col("w.part").alias("part"), F.col("w.pos").alias("pos"), slots.alias("slots"))
     # an occurrence has at most one row for each window of the item's text and copy of the document
-    once = rows.groupBy("doc_id", "item_id", "n", "part", "shift").agg(F.collect_set("pos").alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    once = rows.groupBy(*pair, "part", "shift").agg(F.collect_set("pos").alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     once = once.filter(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))))
-    total = once.select("doc_id", "item_id", "n", "part", F.explode("found").alias("pos")).groupBy("doc_id", "item_id", "n").agg(F.countDistinct("part", "pos").alias("matched"))
-    return total.filter(F.col("matched") >= F.lit(share) * F.col("n") - 1e-9).select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("n").alias("item_windows"))
+    total = once.select(*pair, "part", F.explode("found").alias("pos")).groupBy(*pair).agg(F.countDistinct("part", "pos").alias("matched"))
+    total = total.filter(F.col("matched") >= F.lit(share) * F.col("n") - 1e-9)
+    return total.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.first("n").alias("item_windows"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,23 +195,28 @@ def windows_sql(source: str, key: str) -> str:
 
 
 def pairs_sql(docs: str) -> str:
-    """SQL for contaminated()'s rows over the relation ``docs``."""
+    """SQL for contaminated()'s rows over the relation ``docs``, for items that have countable windows."""
+    rows = f"(SELECT struct_pack(id := doc_id, text := hash(text)) AS key, text FROM {docs} WHERE doc_id IS NOT NULL)"
     return rf"""
-      SELECT doc_id, item_id, count(DISTINCT pos) AS matched, n AS item_windows
+      SELECT key.id AS doc_id, item_id, max(matched) AS matched, any_value(n) AS item_windows
       FROM (
-        SELECT doc_id, item_id, n, shift, unnest(found) AS pos
+        SELECT key, item_id, count(DISTINCT pos) AS matched, n
         FROM (
-          SELECT doc_id, item_id, n, d.pos - b.pos AS shift, list(DISTINCT b.pos) AS found,
-            list_distinct(flatten(list(list_filter(list_transform(d.words, lambda w, k: CASE WHEN starts_with(w, '<') THEN [b.raws[k], d.raws[k]] END), lambda s: s IS NOT NULL)))) AS slots
-          FROM ({windows_sql(docs, 'doc_id')}) d
-          JOIN (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM ({windows_sql('benchmark', 'item_id')})
-                WHERE len(list_filter(words, lambda w: NOT starts_with(w, '<'))) >= {LEAST_WORDS}) b ON d.win = b.win
-          WHERE doc_id IS NOT NULL AND item_id IS NOT NULL
-          GROUP BY doc_id, item_id, n, shift
+          SELECT key, item_id, n, shift, unnest(found) AS pos
+          FROM (
+            SELECT key, item_id, n, d.pos - b.pos AS shift, list(DISTINCT b.pos) AS found,
+              list_distinct(flatten(list(list_filter(list_transform(d.words, lambda w, k: CASE WHEN starts_with(w, '<') THEN [b.raws[k], d.raws[k]] END), lambda s: s IS NOT NULL)))) AS slots
+            FROM ({windows_sql(rows, 'key')}) d
+            JOIN (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM ({windows_sql('benchmark', 'item_id')})
+                  WHERE len(list_filter(words, lambda w: NOT starts_with(w, '<'))) >= {LEAST_WORDS}) b ON d.win = b.win
+            WHERE item_id IS NOT NULL
+            GROUP BY key, item_id, n, shift
+          )
+          WHERE len(slots) = len(list_distinct(list_transform(slots, lambda s: s[1])))
         )
-        WHERE len(slots) = len(list_distinct(list_transform(slots, lambda s: s[1])))
+        GROUP BY key, item_id, n HAVING count(DISTINCT pos) >= {SHARE} * n - 1e-9
       )
-      GROUP BY doc_id, item_id, n HAVING count(DISTINCT pos) >= {SHARE} * n - 1e-9
+      GROUP BY key.id, item_id
     """
 
 
