@@ -1,16 +1,27 @@
 """Toxicity scores from a weighted finite-state grammar (operator 3).
 
-``learn_lexicon`` counts words and word beginnings in labelled texts and keeps
-those that mark toxic ones. A grammar then reads each clause: small transducers for
-insults and threats, negation, reported speech and targets are composed into one
-machine over token roles, which weighs each match by its context (a negated or
-quoted insult weighs less, an addressed one more). The score is a logistic function
-of the document's clause scores, so isolated words count only through their clause.
-
-Counts behind the lexicon cover all labelled rows of the training folds. The
-logistic step has seven parameters and is fitted on at most ``FIT_ROWS`` labelled
-rows (the lowest hashes of their ids); a row's own label is taken out of the lexicon
-counts when its features are computed for the fit.
+``learn_lexicon`` counts words and word beginnings in labelled texts and keeps those
+that mark toxic ones; they and closed word classes (``CLASSES``) give each token a
+role. Five transducers over roles are composed into one machine that reads a text once:
+
+    insult      target, copula, determiners and a few other words, insult: "you are such
+                a fool"; an insult that no target leads to is a phrase by itself and
+                weighs less
+    threat      intent, threat verb, a few other words, target: "will hurt you"; the
+                match is written at the target, a verb without one weighs little
+    negation    matches after a negation are negated and weigh less
+    reported    so do those after a verb of saying, up to the end of the clause, or
+                between quote marks after it, up to the closing mark or the paragraph
+    target      matches in a clause that has named a target weigh more
+
+A clause's score is the sum of its matches' weights, and a document's score a
+logistic function of its clauses' scores.
+
+Learning takes at most about ``FIT_ROWS`` labelled rows of the training folds, those of
+the lowest hashes of their ids, so the lexicon has no other bound than that of what it
+has read: an entry is kept for its log-likelihood ratio and weight alone. The logistic
+step has seven parameters and reads at most ``LOGISTIC_ROWS`` of them; a row's own label
+is taken out of the lexicon's counts when its features are computed for the fit.
 
 Edge cases: null and empty texts match nothing and get the score of a text without
 matches; very long texts are read whole; repeated rows are scored alike; a document
@@ -26,6 +37,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +46,35 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, tune
 
-#: Bounds of the model: lexicon entries, and labelled rows for the logistic step.
-LEXICON = 5000
-FIT_ROWS = 20_000
+#: Labelled rows that the lexicon and that the logistic step are fitted on, at most (about).
+FIT_ROWS, LOGISTIC_ROWS = 200_000, 20_000
 #: An entry's log-likelihood ratio statistic, at least, and its weight (log ratio of document shares).
 LEAST_G2, LEAST_WEIGHT = 22.0, 1.5
 STEMS = (4, 5, 6, 7)
-#: Labels are broadcast up to this many; beyond, they are joined by shuffle.
-BROADCAST_LABELS = 2_000_000
 #: Terms that a task counts before it hands them on.
 FLUSH_TERMS = 300_000
 
-THREATS = frozenset("kill hurt destroy stab shoot beat murder bomb hunt töten umbringen erschießen tuer détruire matar golpear".split())
-TARGETS = frozenset("you your yourself he she they them him her people everyone du dich dir ihr euch tu te toi vous tú usted ustedes".split())
-NEGATIONS = frozenset("not no never neither nor without isn't aren't nicht kein keine nie ne pas jamais sans no nunca ni sin".split())
-REPORTS = frozenset("said says told wrote quoted called reported claimed sagte sagt schrieb nannte dit écrit appelle dijo dice escribió llamó".split())
-_TOKEN = re.compile(r"\w+(?:'\w+)?|[.!?;:\n\"“”«»]")
-_ENDS = frozenset(".!?;:\n")
-_QUOTES = frozenset("\"“”«»")
+#: Closed word classes by role; a caller may give others.
+CLASSES = {
+    "t": "kill hurt destroy stab shoot beat murder bomb hunt töten umbringen erschießen tuer détruire matar golpear",
+    "y": "you your yourself he she they them him her people everyone du dich dir ihr euch tu te toi vous tú usted ustedes",
+    "c": "am is are was were be you're he's she's they're bist ist sind seid war es est êtes sont eres sois son",
+    "d": "a an the such so very just really ein eine so sehr un une si très una tan muy",
+    "v": "will shall going gonna want must should werde will soll vais veux dois voy quiero debo",
+    "n": "not no never neither nor without isn't aren't nicht kein keine nie ne pas jamais sans ni nunca sin",
+    "r": "said says told wrote quoted called reported claimed sagte sagt schrieb nannte dit écrit appelle dijo dice escribió llamó",
+}
+_TOKEN = re.compile(r"\w+(?:'\w+)?|[.!?;\n\"“”«»]")
+_SIGNS = dict.fromkeys(".!?;", "e") | {"\n": "p"} | dict.fromkeys("\"“”«»", "q")
+
+
+def roles_of(classes: dict[str, str]) -> dict[str, str]:
+    """token -> role, for signs and closed classes; a word of several classes has the first of them."""
+    out = dict(_SIGNS)
+    for role, listed in classes.items():
+        for word in listed.split():
+            out.setdefault(word, role)
+    return out
 
 
 # ---- transducers -----------------------------------------------------------------
@@ -68,51 +91,92 @@ class Transducer:
     def step(self, state, symbol: str):
         return self.arcs.get((state, symbol), (state, symbol, 1.0))
 
-    def states(self) -> set:
-        return {self.start} | {s for s, _ in self.arcs} | {t for t, _, _ in self.arcs.values()}
-
 
 def compose(a: Transducer, b: Transducer) -> Transducer:
-    """What ``a`` writes is read by ``b``; weights multiply."""
+    """What ``a`` writes is read by ``b``; weights multiply. Only states that can be reached are made."""
+    start = (a.start, b.start)
+    arcs, todo, seen = {}, [start], {start}
+    while todo:
+        s, t = todo.pop()
+        for x in a.symbols:
+            s2, y, w = a.step(s, x)
+            t2, z, v = b.step(t, y)
+            arcs[(s, t), x] = ((s2, t2), z, w * v)
+            if (s2, t2) not in seen:
+                seen.add((s2, t2))
+                todo.append((s2, t2))
+    return Transducer(arcs, start, a.symbols)
+
+
+# roles of tokens: i insult, t threat verb, y target, c copula, d determiner, v intent, n negation, r report,
+# q quote mark, w other, e end of clause, p end of paragraph
+ROLES = "itycdvnrqwep"
+# matches: i bare insult, a addressed insult, t threat verb, k target that completes a threat; in capitals if negated
+MATCHES = "iatk"
+WRITTEN = ROLES + "ak" + MATCHES.upper()
+
+
+def insult(alone: float = 0.5, gap: int = 2) -> Transducer:
+    """States: 0, or how many other words may still stand between target and insult, plus 1."""
     arcs = {}
-    for s in a.states():
-        for t in b.states():
-            for x in a.symbols:
-                s2, y, w = a.step(s, x)
-                t2, z, v = b.step(t, y)
-                arcs[(s, t), x] = ((s2, t2), z, w * v)
-    return Transducer(arcs, (a.start, b.start), a.symbols)
+    for s in range(gap + 2):
+        arcs[s, "y"] = (gap + 1, "y", 1.0)
+        arcs[s, "e"], arcs[s, "p"] = (0, "e", 1.0), (0, "p", 1.0)
+        arcs[s, "i"] = (s, "a", 1.0) if s else (0, "i", alone)
+        arcs[s, "w"] = (max(0, s - 1), "w", 1.0)
+    return Transducer(arcs, 0, ROLES)
 
 
-# roles of tokens: i insult, t threat, y target, n negation, r report, q quote mark, w other, e end of clause
-ROLES = "ityrnqwe"
+def threat(alone: float = 0.25, intent: float = 1.25, scope: int = 4, gap: int = 2) -> Transducer:
+    """States: (tokens for which intent holds, words that may stand before the verb's object plus 1, was there intent)."""
+    arcs = {}
+    for meant in range(scope + 1):
+        for open_ in range(gap + 2):
+            for strong in (False, True):
+                now = (meant, open_, strong)
+                less = max(0, meant - 1)
+                for x in ROLES + "a":
+                    arcs[now, x] = ((less, max(0, open_ - 1), strong and open_ > 1), x, 1.0)
+                for x in "cdr":
+                    arcs[now, x] = ((less, open_, strong), x, 1.0)
+                arcs[now, "v"] = ((scope, open_, strong), "v", 1.0)
+                arcs[now, "t"] = ((less, gap + 1, meant > 0), "t", alone)
+                if open_:
+                    arcs[now, "y"] = ((less, 0, False), "k", intent if strong else 1.0)
+                for x in "ep":
+                    arcs[now, x] = ((0, 0, False), x, 1.0)
+    return Transducer(arcs, (0, 0, False), ROLES + "a")
 
 
 def negation(scope: int = 4, weight: float = 0.35) -> Transducer:
-    """For ``scope`` tokens after a negation, insults are written as I and threats as T."""
+    """For ``scope`` tokens after a negation, matches are written in capitals."""
     arcs = {}
     for s in range(scope + 1):
-        arcs[s, "n"], arcs[s, "e"] = (scope, "n", 1.0), (0, "e", 1.0)
-        for x in "ityrqw":
-            arcs[s, x] = (max(0, s - 1), x.upper() if s and x in "it" else x, weight if s and x in "it" else 1.0)
-    return Transducer(arcs, 0, ROLES)
+        arcs[s, "n"], arcs[s, "e"], arcs[s, "p"] = (scope, "n", 1.0), (0, "e", 1.0), (0, "p", 1.0)
+        for x in "itycdvrqwak":
+            negated = s > 0 and x in MATCHES
+            arcs[s, x] = (max(0, s - 1), x.upper() if negated else x, weight if negated else 1.0)
+    return Transducer(arcs, 0, ROLES + "ak")
 
 
 def reported(weight: float = 0.5) -> Transducer:
-    """After a verb of saying, up to the end of the clause, and between quote marks after it, matches weigh less."""
+    """States: 1 after a verb of saying, 2 between quote marks after it; a quote that isn't closed ends with the paragraph."""
     arcs = {(0, "r"): (1, "r", 1.0), (1, "e"): (0, "e", 1.0), (1, "q"): (2, "q", 1.0), (2, "q"): (0, "q", 1.0)}
-    arcs |= {(s, x): (s, x, weight) for s in (1, 2) for x in "itIT"}
-    return Transducer(arcs, 0, ROLES + "IT")
+    arcs |= {(s, "p"): (0, "p", 1.0) for s in (1, 2)}
+    arcs |= {(s, x): (s, x, weight) for s in (1, 2) for x in MATCHES + MATCHES.upper()}
+    return Transducer(arcs, 0, WRITTEN)
 
 
-def target(addressed: float = 1.25, threat_alone: float = 0.25) -> Transducer:
-    """Insults after a target weigh more; a threat needs a target."""
-    arcs = {(0, "y"): (1, "y", 1.0), (1, "e"): (0, "e", 1.0)}
-    arcs |= {(1, x): (1, x, addressed) for x in "iI"} | {(0, x): (0, x, threat_alone) for x in "tT"}
-    return Transducer(arcs, 0, ROLES + "IT")
+def target(addressed: float = 1.25) -> Transducer:
+    """State 1 from a target to the end of the clause."""
+    arcs = {(0, x): (1, x, 1.0) for x in "ykK"}
+    arcs |= {(1, x): (0, x, 1.0) for x in "ep"}
+    arcs |= {(1, x): (1, x, addressed) for x in MATCHES + MATCHES.upper()}
+    return Transducer(arcs, 0, WRITTEN)
 
 
-GRAMMAR = compose(compose(negation(), reported()), target())
+PARTS = (insult(), threat(), negation(), reported(), target())
+GRAMMAR = reduce(compose, PARTS)
 
 
 # ---- lexicon ---------------------------------------------------------------------
@@ -171,6 +235,7 @@ class Lexicon:
     entries: dict[str, tuple[int, int]]
     n1: int
     n0: int
+    roles: dict[str, str] = field(default_factory=lambda: roles_of(CLASSES))
 
     def weights(self, own: int | None = None) -> _Weights:
         return _Weights(self, own)
@@ -193,46 +258,43 @@ class _Weights(dict):
                 w = log_ratio(got[0] - (y == 1), got[1] - (y == 0), x.n1 - (y == 1), x.n0 - (y == 0))
                 if w >= LEAST_WEIGHT:
                     out = max(out, w)
-        if not out and word in THREATS:
+        if not out and self.lexicon.roles.get(word) == "t":
             out = LEAST_WEIGHT
         self[word] = out
         return out
 
 
-def learn_lexicon(labelled: DataFrame, size: int = LEXICON) -> Lexicon:
+def learn_lexicon(labelled: DataFrame, classes: dict[str, str] = CLASSES) -> Lexicon:
     """From rows (text, toxic 0/1), all of them."""
     n1, n0 = labelled.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     if not n1 or not n0:
-        return Lexicon({}, n1, n0)
-    counts = labelled.select("text", "toxic").mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    told = counts.filter(F.col("toxic") * n0 > 4 * F.col("clean") * n1).withColumn("g2", _g2(n1, n0)).filter(F.col("g2") >= LEAST_G2)
-    top = told.orderBy(F.desc("g2"), "term").limit(size).collect()
-    return Lexicon(most_specific({r["term"]: (r["toxic"], r["clean"]) for r in top}), n1, n0)
+        return Lexicon({}, n1, n0, roles_of(classes))
+    counts = labelled.select("text", "toxic").mapInArrow(_count_terms, "term string, toxic long, clean long")
+    counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    told = counts.filter(F.col("toxic") * n0 > 4 * F.col("clean") * n1).filter(_g2(n1, n0) >= LEAST_G2).collect()
+    return Lexicon(most_specific({r["term"]: (r["toxic"], r["clean"]) for r in told}), n1, n0, roles_of(classes))
 
 
 # ---- scores ----------------------------------------------------------------------
 
 
-def role_of(token: str, weight: float) -> str:
-    if token in _ENDS:
-        return "e"
-    if token in _QUOTES:
-        return "q"
-    if weight:
-        return "t" if token in THREATS else "i"
-    return "y" if token in TARGETS else "n" if token in NEGATIONS else "r" if token in REPORTS else "w"
-
-
-def clause_scores(tokens: list[str], weights: list[float]) -> list[tuple[float, float]]:
-    """(score, weight lost to negation and report) of each clause with a match."""
-    out, state, score, lost = [], GRAMMAR.start, 0.0, 0.0
+def clause_scores(tokens: list[str], weights: list[float], roles: dict[str, str]) -> list[tuple[float, float]]:
+    """(score, weight of negated matches) of each clause with a match."""
+    out, state, score, lost, verb = [], GRAMMAR.start, 0.0, 0.0, 0.0
     for token, weight in zip(tokens, weights, strict=True):
-        role = role_of(token, weight)
-        state, _, factor = GRAMMAR.step(state, role)
+        role = roles.get(token, "w")
+        if weight and role != "t":
+            role = "i"
+        state, written, factor = GRAMMAR.step(state, role)
+        if written in "kK":
+            weight = verb  # the threat that this target completes
+        elif role == "t":
+            verb = weight
         if weight:
             score += weight * factor
-            lost += weight * max(0.0, 1 - factor)
-        if role == "e" and score:
+            if written.isupper():
+                lost += weight
+        if role in "ep" and score:
             out.append((score, lost))
             score = lost = 0.0
     if score:
@@ -244,12 +306,12 @@ N_FEATURES = 6
 
 
 def features(text: str, weights: _Weights) -> tuple[float, ...]:
-    """Best clause, sum of clauses, number of matched clauses, sum for the length, weight lost; 1 if anything matched."""
+    """Best clause, sum of clauses, number of matched clauses, sum for the length, weight negated; 1 if anything matched."""
     tokens = _TOKEN.findall(text.lower())
     found = list(map(weights.__getitem__, tokens))
     if not any(found):
         return (0.0,) * N_FEATURES
-    clauses = clause_scores(tokens, found)
+    clauses = clause_scores(tokens, found, weights.lexicon.roles)
     total = sum(s for s, _ in clauses)
     return max(s for s, _ in clauses), math.log1p(total), math.log1p(len(clauses)), total / math.sqrt(len(tokens) + 10), math.log1p(sum(x for _, x in clauses)), 1.0
 
@@ -295,19 +357,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return mean, scale, coef
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def _lowest(rows: DataFrame, share: float) -> DataFrame:
+    """About that share of the rows, those of the lowest hashes of their doc_id."""
+    return rows.filter(F.xxhash64("doc_id") <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else rows
+
+
+def fit(labelled: DataFrame, logistic_rows: int = LOGISTIC_ROWS, classes: dict[str, str] = CLASSES) -> Model:
     """From rows (doc_id, text, toxic 0/1)."""
     tune(labelled.sparkSession)
-    lexicon = learn_lexicon(labelled)
+    lexicon = learn_lexicon(labelled, classes)
     n1, n0 = lexicon.n1, lexicon.n0
     none = np.zeros(N_FEATURES)
     if not n1 or not n0:
         return Model(lexicon, none, none, none, n1 / (n1 + n0) if n1 + n0 else 0.0)
-    share = min(1.0, fit_rows / (n1 + n0))
-    order = F.xxhash64("doc_id")
-    # about fit_rows lowest hashes, found by a threshold; the limit only bounds the excess
-    low = labelled.filter(order <= F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else labelled
-    got = low.select("text", "toxic").mapInArrow(_features_of_labelled(lexicon), "toxic int, features array<double>").limit(2 * fit_rows).toPandas()
+    # the limit only bounds the excess of the hashes' share
+    low = _lowest(labelled, logistic_rows / (n1 + n0)).select("text", "toxic")
+    got = low.mapInArrow(_features_of_labelled(lexicon), "toxic int, features array<double>").limit(2 * logistic_rows).toPandas()
     x, y = np.array(got["features"].tolist(), float).reshape(-1, N_FEATURES), got["toxic"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return Model(lexicon, none, none, none, n1 / (n1 + n0))
@@ -337,12 +402,16 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
 
 
-def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents (doc_id, text, toxic) of the training folds."""
-    one = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+def with_labels(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Labelled documents (doc_id, text, toxic) of the training folds, of about ``fit_rows`` labels at most.
+
+    The labels are broadcast; the bound on their number is that of the fit.
+    """
+    usable = F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)
+    one = labels.filter(usable).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     one = cut(one, "labels")
-    few = one.count() <= BROADCAST_LABELS
-    return docs.select("doc_id", "text").join(F.broadcast(one) if few else one, "doc_id")
+    few = cut(_lowest(one, fit_rows / max(1, one.count())), "fit-labels")
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
 
 def predictions(docs: DataFrame, labels: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
