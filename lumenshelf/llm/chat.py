@@ -202,8 +202,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, read back from formatted turns."""
-    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    """One row per conversation, read back from formatted turns.
+
+    Turns of one number and role are in order of their texts: what stands between the
+    turn's head, which is the same for all of them, and its end, without escapes.
+    """
+    body = F.substring("formatted", F.lit(1), F.char_length("formatted") - len(TURN_END + "\n"))
+    text = F.regexp_replace(body, r"(?s)\\(.)", "$1")
+    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), text)
     return dealt.select("conv_id", "formatted", "spans").mapInArrow(_digest, CONVERSATION_DDL)
 
 
