@@ -20,6 +20,7 @@ ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op5_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_chat": chat.ORACLE_SQL,
+    "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
     "op10_url_filters": url_filters.ORACLE_SQL,
 }
