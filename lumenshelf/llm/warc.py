@@ -15,7 +15,10 @@ Edge cases: a null payload is an empty one; a null URL has an empty URL key; lin
 breaks in URLs are percent-encoded in headers; rows that repeat an id are all
 written, and all of them are responses if the id is the largest of its payload.
 A null id is lowest; it is written without a record number and read back as null.
-Extra columns are not read. Empty tables write no files and give empty results.
+Ids are any 64-bit numbers. A WARC date has a year of four digits: times before year 1
+or after 9999 are written as the first or the last second of that range, and where a
+table has no times, one second per id is counted round and round from ``EPOCH`` to
+the end of year 9999. Extra columns are not read. Empty tables write no files and give empty results.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ RANGE_ROWS = 200_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: 2024-01-01; a table without capture times gets one second per id from here.
 EPOCH = 1_704_067_200
+#: First and last second that a WARC date can name.
+FIRST_TIME, LAST_TIME = -62_135_596_800, 253_402_300_799
 
 
 def base32_sha1(data: Column) -> Column:
@@ -67,6 +72,19 @@ def with_revisits(captures: DataFrame) -> DataFrame:
     return out.withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("largest")), F.col("largest"))).drop("largest", "n")
 
 
+def date_of(ts: int) -> str:
+    at = datetime.fromtimestamp(min(max(ts, FIRST_TIME), LAST_TIME), timezone.utc)
+    return f"{at.year:04d}-{at:%m-%dT%H:%M:%SZ}"
+
+
+def time_of(date: str) -> int:
+    return int(datetime.strptime(date, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc).timestamp())
+
+
+def time_of_id(number: Column) -> Column:
+    return F.lit(EPOCH) + F.pmod(number, F.lit(LAST_TIME - EPOCH + 1))
+
+
 def record_bytes(number: int | None, url: str, ts: int, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -74,7 +92,7 @@ def record_bytes(number: int | None, url: str, ts: int, payload: bytes, digest:
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:capture:{'' if number is None else number}>",
         f"WARC-Target-URI: {url}".replace("\r", "%0D").replace("\n", "%0A"),
-        f"WARC-Date: {datetime.fromtimestamp(ts, timezone.utc):%Y-%m-%dT%H:%M:%SZ}",
+        f"WARC-Date: {date_of(ts)}",
         f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if refers_to is not None:
@@ -138,7 +156,7 @@ def parse_record(data: bytes) -> dict:
     number = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:capture:(-?\d+)>", fields.get(name, ""))) else None
     declared = int(re.search(rb"(?i)\r\ncontent-length: (\d+)", http)[1])
     return {
-        "id": number("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "ts": int(datetime.strptime(fields["WARC-Date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc).timestamp()),
+        "id": number("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "ts": time_of(fields["WARC-Date"]),
         "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To"), "declared_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
         "payload": payload if fields["WARC-Type"] == "response" else None, "payload_bytes": len(payload) if fields["WARC-Type"] == "response" else declared,
     }
@@ -245,7 +263,7 @@ def capture_history(pages: DataFrame, folder: str, id_col: str = "page_id", url_
     of its header stops the job.
     """
     tune(pages.sparkSession)
-    when = F.coalesce(ts if ts is not None else F.lit(EPOCH) + F.col(id_col), F.lit(EPOCH)).cast("long")
+    when = F.coalesce(ts if ts is not None else time_of_id(F.col(id_col).cast("long")), F.lit(EPOCH)).cast("long")
     captures = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), when.alias("ts"), F.col(html_col).alias("html"))
     files = write_archives(with_revisits(captures), folder)
     read = read_archives(files)
