@@ -10,6 +10,13 @@ Precedence
     3. a block anywhere in its component;
     4. allow.
 
+Edges come from what pages declare (``page_links``): ``<link rel=canonical>`` and
+``<meta http-equiv=refresh>``, resolved against the page's URL or its ``<base>``, quoted
+or not, with entities decoded and without fragments. A crawl that keeps no redirects
+loses those between the spellings under which a site answers (http and https, ``www.``,
+tracking parameters); for such tables ``spelling=True`` adds an edge from each URL to
+its canonical spelling, in place of the redirect that was not recorded.
+
 Edge cases: a null URL, or one without ``://``, has empty host and path, meets no
 rule, has no aliases and is allowed. Equal URLs share one node and each keeps its
 own row. Columns of the input other than id and URL are not read, so clashing
@@ -67,14 +74,56 @@ def canonical_url(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(F.lit("https://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Alias edges (src, dst) of crawled pages: ``<link rel=canonical>``, ``<meta refresh>`` and the canonical spelling."""
+#: The entities that stand in link targets.
+ENTITIES = {"&amp;": "&", "&#38;": "&", "&#x26;": "&", "&#47;": "/", "&#x2f;": "/", "&#x2F;": "/", "&#58;": ":", "&#x3a;": ":", "&#x3A;": ":"}
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, quoted or not; empty if there is none."""
+    return F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)
+
+
+def _decoded(target: Column) -> Column:
+    for entity, sign in ENTITIES.items():
+        target = F.replace(target, F.lit(entity), F.lit(sign))
+    return target
+
+
+def _plain_path(path: Column) -> Column:
+    """Without the segments ``.`` and ``..``."""
+    def step(done: Column, segment: Column) -> Column:
+        kept = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(segment == "..", kept).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
+
+    parts = F.split(path, "/")
+    folded = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+    ends = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(folded, "/"), ends)).otherwise(path)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The URL that ``target``, a link on the page ``base``, stands for, without its fragment; null if it leads nowhere else."""
+    t = F.regexp_replace(target, r"#.*$", "")
+    scheme, origin = F.regexp_extract(base, r"^([^:/?#]+):", 1), F.regexp_extract(base, r"(?s)^([^:/?#]+://[^/?#]*)", 1)
+    path = F.regexp_extract(t, r"(?s)^([^?]*)", 1)
+    query = F.regexp_extract(t, r"(?s)(\?.*)$", 1)
+    folder = F.concat(F.regexp_extract(path_of(base), r"(?s)^(.*)/", 1), F.lit("/"))
+    out = F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+    out = out.when(t.startswith("/"), F.concat(origin, _plain_path(path), query)).when(t.startswith("?"), F.concat(origin, path_of(base), t))
+    return F.when((t != "") & (origin != ""), out.otherwise(F.concat(origin, _plain_path(F.concat(folder, path)), query)))
+
+
+def page_links(pages: DataFrame, url: str = "url", html: str = "html", spelling: bool = False) -> DataFrame:
+    """Alias edges (src, dst) of crawled pages: declared ones, and with ``spelling`` those to the canonical spelling."""
     body = F.coalesce(F.col(html), F.lit(""))
-    tag = F.regexp_extract(body, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    declared = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']([^\"'>]+)", 1)
-    refresh = F.regexp_extract(body, r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh[\"']?[^>]*url\s*=\s*[\"']?([^\"'>\s]+)", 1)
-    targets = F.array(declared, refresh, canonical_url(F.col(url)))
-    out = pages.select(F.col(url).alias("src"), F.explode(targets).alias("dst"))
+    link = F.regexp_extract(body, r"(?is)(<link\b[^>]*\srel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
+    meta = F.regexp_extract(body, r"(?is)(<meta\b[^>]*\shttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
+    refresh = F.regexp_extract(meta, r"(?is)url\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)
+    based = _attribute(F.regexp_extract(body, r"(?is)(<base\b[^>]*>)", 1), "href")
+    rows = pages.select(F.col(url).alias("src"), _decoded(based).alias("base"), _decoded(_attribute(link, "href")).alias("link"), _decoded(refresh).alias("refresh"))
+    base = F.when(F.col("base") != "", F.coalesce(resolved(F.col("base"), F.col("src")), "src")).otherwise(F.col("src"))
+    targets = [resolved(F.col(c), F.col("base")) for c in ("link", "refresh")] + [canonical_url(F.col("src"))] * spelling
+    out = rows.withColumn("base", base).select("src", F.explode(F.array(*targets)).alias("dst"))
     return out.filter(F.col("dst").contains("://") & F.col("src").contains("://") & (F.col("src") != F.col("dst")))
 
 
@@ -93,8 +142,11 @@ def judge(urls: DataFrame, edges: DataFrame, rules: Sequence[Rule] = RULES, id_c
     named = edges.select(F.explode(F.array("src", "dst")).alias("u"))
     named = named.select(F.md5("u").alias("node"), rule_for(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("v")).filter(F.col("v").isNotNull())
     said = named.groupBy("node").agg(F.max(F.col("v") == "allow").alias("allows"))
-    by_comp = comp.join(said, "node").groupBy("component").agg(F.max("allows").alias("allows"))
-    decided = comp.join(by_comp, "component", "left").select("node", "component", F.when(F.col("allows"), "allow").when(~F.col("allows"), "block").alias("inherited"))
+    # a component may hold a third of all nodes
+    by_comp = comp.join(said, "node", "left").groupBy("component").agg(F.max("allows").alias("allows"), F.count(F.lit(1)).alias("members"))
+    decided = lookup(comp, cut(by_comp, "alias-decisions"), "component", "members", "inner")
+    inherited = F.when(F.col("allows"), "allow").when(~F.col("allows"), "block").alias("inherited")
+    decided = decided.select("node", "component", inherited)
     seen = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     per_node = cut(decided.join(seen, "node"), "alias-verdicts")
     out = lookup(rows, per_node, "node", "n")
@@ -107,7 +159,8 @@ def judge(urls: DataFrame, edges: DataFrame, rules: Sequence[Rule] = RULES, id_c
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, page_links(pages)).select("page_id", "host", "path", "rule", "verdict")
+    # these pages record no redirects
+    return judge(pages, page_links(pages, spelling=True)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _rule_sql(host: str, path: str) -> str:
@@ -124,6 +177,26 @@ def _path_sql(url: str) -> str:
     return rf"coalesce(regexp_extract({url}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
 
 
+_HREF_SQL = r"""[\s"''/]href\s*=\s*["'']?\s*([^"''>\s]+)"""
+_REFRESH_SQL = r"""url\s*=\s*["'']?\s*([^"''>\s]+)"""
+
+
+def _found_sql(tag: str, pattern: str) -> str:
+    target = f"regexp_extract({tag}, '{pattern}', 1, 'is')"
+    for entity, sign in ENTITIES.items():
+        target = f"replace({target}, '{entity}', '{sign}')"
+    return target
+
+
+def _resolved_sql(target: str, base: str) -> str:
+    """resolved(), for targets without the segments ``.`` and ``..``."""
+    t, origin = f"regexp_replace({target}, '#.*$', '')", f"regexp_extract({base}, '^([^:/?#]+://[^/?#]*)', 1, 's')"
+    folder = f"regexp_extract({_path_sql(base)}, '^(.*)/', 1, 's') || '/'"
+    return rf"""CASE WHEN {t} = '' OR {origin} = '' THEN NULL WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {t}
+      WHEN starts_with({t}, '//') THEN regexp_extract({base}, '^([^:/?#]+):', 1) || ':' || {t} WHEN starts_with({t}, '/') THEN {origin} || {t}
+      WHEN starts_with({t}, '?') THEN {origin} || {_path_sql(base)} || {t} ELSE {origin} || {folder} || {t} END"""
+
+
 ORACLE_SQL = rf"""
 WITH RECURSIVE p AS (
   SELECT page_id, url, html, {_host_sql('url')} AS host, {_path_sql('url')} AS path FROM pages
@@ -133,12 +206,21 @@ WITH RECURSIVE p AS (
     array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's'), '&'),
       lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_\w+|ref|fbclid|gclid)='))), '&') AS kept
   FROM p
+), declared AS (
+  SELECT *, regexp_extract(coalesce(html, ''), '(<link\b[^>]*\srel\s*=\s*["'']?canonical\b[^>]*>)', 1, 'is') AS link,
+    regexp_extract(coalesce(html, ''), '(<meta\b[^>]*\shttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1, 'is') AS meta,
+    regexp_extract(coalesce(html, ''), '(<base\b[^>]*>)', 1, 'is') AS basis
+  FROM canon
+), named AS (
+  SELECT url, host, h, q, kept, {_found_sql('basis', _HREF_SQL)} AS basis, {_found_sql('link', _HREF_SQL)} AS link,
+    {_found_sql('meta', _REFRESH_SQL)} AS refresh
+  FROM declared
+), placed AS (
+  SELECT *, CASE WHEN basis <> '' THEN coalesce({_resolved_sql('basis', 'url')}, url) ELSE url END AS base FROM named
 ), targets AS (
-  SELECT url AS src, unnest([
-    regexp_extract(regexp_extract(coalesce(html, ''), '(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1, 'is'), '\bhref\s*=\s*["'']([^"''>]+)', 1, 'is'),
-    regexp_extract(coalesce(html, ''), '<meta\b[^>]*http-equiv\s*=\s*["'']?refresh["'']?[^>]*url\s*=\s*["'']?([^"''>\s]+)', 1, 'is'),
+  SELECT url AS src, unnest([{_resolved_sql('link', 'base')}, {_resolved_sql('refresh', 'base')},
     CASE WHEN host <> '' THEN 'https://' || h || q || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END]) AS dst
-  FROM canon
+  FROM placed
 ), edges AS (
   SELECT DISTINCT src, dst FROM targets WHERE contains(dst, '://') AND contains(src, '://') AND src <> dst
 ), both_ways AS (
