@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,9 +54,11 @@ from .shingles import WIDTH, mix, shingle_set, signatures, words
 THRESHOLD = 0.8
 COORDINATES = 128
 #: Share of the pairs at the threshold that are found at least, levels of a tree, sets in a leaf.
-RECALL, DEPTH, LEAF = 0.99, 4, 1000
+RECALL, DEPTH, LEAF = 0.99, 3, 1000
 #: Rows of a block: of signatures, and of whole shingle sets.
 BLOCK, SET_BLOCK = 1000, 256
+#: Classes of likely pairs are broadcast to the texts up to this many (about 200 bytes each), and joined by shuffle beyond.
+BROADCAST_CLASSES = 300_000
 LINKS = "class_key long, other long, links long"
 
 
@@ -65,8 +68,8 @@ def repeats_for(recall: float, depth: int) -> int:
     Such a pair has a number of common children with mean 1 (Poisson, nearly), so it
     survives k + 1 levels with probability 1 - exp(-p), p being that of k levels.
     """
-    p = 1.0
-    for _ in range(depth):
+    p = 1 - math.exp(-1)
+    for _ in range(depth - 1):
         p = 1 - math.exp(-p)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
@@ -155,15 +158,24 @@ def leaves(signed: DataFrame, threshold: float, depth: int, leaf: int) -> DataFr
     return out
 
 
-def _earlier(leaf_lists: list[list[int]], node: int, at: np.ndarray) -> dict[int, set[int]]:
-    """For the rows ``at`` their leaves that come before ``node``."""
-    return {k: {x for x in leaf_lists[k] if x < node} for k in set(at.tolist())}
-
-
 def _belong_here(p: np.ndarray, q: np.ndarray, leaf_lists: list[list[int]], node: int) -> np.ndarray:
     """Which pairs (p, q) share no leaf before ``node``."""
-    before = _earlier(leaf_lists, node, np.concatenate([p, q]))
-    return np.fromiter((before[a].isdisjoint(before[b]) for a, b in zip(p.tolist(), q.tolist(), strict=True)), bool, len(p))
+    rows = np.union1d(p, q)
+    before = {k: {x for x in leaf_lists[k] if x < node} for k in rows.tolist()}
+    if len(p) <= 64:
+        return np.fromiter((before[a].isdisjoint(before[b]) for a, b in zip(p.tolist(), q.tolist(), strict=True)), bool, len(p))
+    # many pairs: leaves that two rows or more have, as columns of a 0/1 matrix
+    times = Counter(x for v in before.values() for x in v)
+    column = {x: i for i, x in enumerate(x for x, n in times.items() if n > 1)}
+    at = np.zeros(rows[-1] + 1, np.int64)
+    at[rows] = np.arange(len(rows))
+    out = np.ones(len(p), bool)
+    for start in range(0, len(column), 2048):
+        has = np.zeros((len(rows), min(2048, len(column) - start)), np.float32)
+        for i, k in enumerate(rows.tolist()):
+            has[i, [c - start for x in before[k] if start <= (c := column.get(x, -1)) < start + 2048]] = 1
+        out &= (has @ has.T)[at[p], at[q]] == 0
+    return out
 
 
 def _likely(least: int):
@@ -177,16 +189,16 @@ def _likely(least: int):
             sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
             node, i, j = (group.column(c)[0].as_py() for c in ("node", "block_i", "block_j"))
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            lists, met = None, set()
+            p, q = [], []
             for k, x in enumerate(left):
                 other = right[k + 1 :] if i == j else right
                 near = other[np.count_nonzero(sketch[other] == sketch[x], axis=1) >= least]
-                if len(near):
-                    lists = lists or group.column("leaves").to_pylist()
-                    near = near[_belong_here(np.full(len(near), x), near, lists, node)]
-                    met.update([x] * bool(len(near)), near.tolist())
-            if met:
-                found = ids[sorted(met)]
+                p.append(np.full(len(near), x))
+                q.append(near)
+            p, q = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (p, q))
+            if len(p):
+                here = _belong_here(p, q, group.column("leaves").to_pylist(), node)
+                found = ids[np.union1d(p[here], q[here])]
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([node] * len(found), pa.int64())], names=["class_key", "node"])
 
     return run
@@ -195,8 +207,8 @@ def _likely(least: int):
 def _shingle(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(words(t), width).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["class_key", "shingles"])
+            sets = [shingle_set(words(t), width).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["class_key", "copies", "leaves", "shingles"])
 
     return run
 
@@ -280,9 +292,10 @@ def _linked(classes: DataFrame, texts: DataFrame, threshold: float, width: int,
     sizes = cut(likely.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "likely-sizes")
     wanted = likely.select("class_key").distinct().join(per_class.select("class_key", "row_key", "copies", "leaves"), "class_key")
     wanted = cut(wanted, "likely-classes")
-    own_text = wanted.select("class_key", "row_key").join(texts.select("row_key", "text"), "row_key").select("class_key", "text")
-    sets = cut(own_text.mapInArrow(_shingle(width), "class_key long, shingles binary").dropDuplicates(["class_key"]), "likely-sets")
-    rows = lookup(likely, sizes, "node", "size", "inner").join(wanted.drop("row_key"), "class_key").join(sets, "class_key")
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
+    own_text = texts.join(near, "row_key").select("class_key", "copies", "leaves", "text")
+    sets = own_text.mapInArrow(_shingle(width), "class_key long, copies long, leaves array<long>, shingles binary")
+    rows = lookup(likely, sizes, "node", "size", "inner").join(cut(sets.dropDuplicates(["class_key"]), "likely-sets"), "class_key")
     return cut(_in_blocks(rows, set_block).mapInArrow(_verify(threshold), LINKS), "links")
 
 
