@@ -68,6 +68,27 @@ def test_decontaminate_repeated_items(spark):
     got = decontaminate.contaminated(docs(spark, rows), items).collect()
     assert sorted((r["doc_id"], r["item_id"], r["matched"], r["item_windows"]) for r in got) == [(1, 1, 16, 16), (2, 2, 24, 24), (3, 2, 24, 24)]
 
+
+def test_decontaminate_repeated_documents(spark):
+    """Rows of one id are judged each by its own text, with and without broadcast."""
+    item = "A farmer named John has 12 apples and gives 5 kg of pears to his friend Mary before John walks 3 km home."
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    one, two = item.replace("John", "Peter").replace("12", "30"), item.replace("John", "Anna").replace("12", "44")
+    rows = [(1, one), (1, two), (2, one), (2, "nothing here"), (3, item[:50]), (3, item[50:]), (4, None), (4, one), (4, one)]
+    for most in (10**6, 0):
+        got = decontaminate.contaminated(docs(spark, rows), items, broadcast_windows=most).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 1), (4, 1)]
+        assert {(r["matched"], r["item_windows"]) for r in got} == {(got[0]["matched"],) * 2}
+
+
+def test_decontaminate_short_items(spark):
+    items = spark.createDataFrame([(1, "solve the riddle"), (2, "Add 3 to 4 and 5 to 6 , 7 8 9 ."), (3, "is 5 odd"), (4, "1 2 3 4 5 6")], "item_id long, text string")
+    rows = [(1, "Please. Solve the riddle now"), (2, "so add 10 to 20 and 30 to 40 , 50 60 70 ."), (3, "add 3 to 3 and 3 to 3, 3 3 3"), (4, "is 5 odd"), (5, "solve a riddle"), (6, "the riddle"), (7, "Add 3 to 4 and 3 to 6, 7 8 9")]
+    got = decontaminate.contaminated(docs(spark, rows), items).collect()
+    # 3: one value for each slot is consistent; 7: too, as no slot of the item repeats
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 2), (3, 2), (7, 2)]
+
+
 # ---- 2, 4 ---------------------------------------------------------------------------
 
 TEXTS = [None, "", "hello", "a  b\n\n c ", "it's <|endoftext|> 1,5", "é́ 中文 \t x", sentence(3000), "hello"]
@@ -119,16 +140,51 @@ def test_separators(spark, tmp_path):
 # ---- 3 ------------------------------------------------------------------------------
 
 
-def test_grammar():
-    weights = {"idiot": 4.0, "kill": 1.5}
+def scored(text, weights=None):
+    weights = weights or {"idiot": 4.0, "moron": 2.0, "kill": 1.5}
+    found = toxicity._TOKEN.findall(text.lower())
+    return toxicity.clause_scores(found, [weights.get(w, 0.0) for w in found], toxicity.roles_of(toxicity.CLASSES))
 
-    def total(text):
-        found = toxicity._TOKEN.findall(text.lower())
-        return sum(x for x, _ in toxicity.clause_scores(found, [weights.get(w, 0.0) for w in found]))
 
-    assert total("you idiot") > total("an idiot") > total("he said idiot") > 0
-    assert total("not an idiot") < total("an idiot") and total("not. an idiot") == total("an idiot")
-    assert total("i kill you") < total("you i kill") and total("nothing here") == 0
+def test_grammar():
+    total = lambda text: sum(x for x, _ in scored(text))
+    # insult: target, copula, determiners, a few words
+    assert total("you are such an idiot") == total("you idiot") == total("you poor old idiot") > total("an idiot") > 0
+    assert total("you one two three idiot") < total("you idiot") and total("you. an idiot") == total("an idiot")
+    # threat: intent, verb, object
+    assert total("will kill you") > total("kill you") > total("kill time") > 0
+    assert total("kill the poor old you") > total("kill one two three you") and total("kill. you") == total("kill")
+    # negation, reported speech, target
+    assert total("not an idiot") < total("an idiot") and total("not. an idiot") == total("an idiot") and total("never kill you") < total("kill you")
+    assert total("he said idiot") < total("he knew idiot") and total("he said. idiot") == total("idiot")
+    assert total("one two three. she stood one two three idiot") > total("one two three. tree stood one two three idiot")
+    # a quote ends with its mark, or with the paragraph
+    assert total('he said "x. idiot. idiot') == total("idiot. idiot") / 2
+    assert total('he said "x. y" z. idiot. idiot') == total('he said "x\nidiot. idiot') == total("idiot. idiot")
+    assert total("nothing here") == 0 and [lost > 0 for _, lost in scored("not an idiot. an idiot")] == [True, False]
+
+
+def test_grammar_is_its_parts_in_turn():
+    for _ in range(300):
+        state, states = toxicity.GRAMMAR.start, [p.start for p in toxicity.PARTS]
+        for role in RNG.choices(toxicity.ROLES, k=60):
+            state, written, weight = toxicity.GRAMMAR.step(state, role)
+            symbol, product = role, 1.0
+            for k, part in enumerate(toxicity.PARTS):
+                assert symbol in part.symbols
+                states[k], symbol, w = part.step(states[k], symbol)
+                product *= w
+            assert (symbol, product) == (written, pytest.approx(weight))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_toxicity_of_held_out_documents(spark):
+    table = lambda n: spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet")
+    got = toxicity.op3_toxicity(spark, "/root/testdata/sf0.1").join(table("labels"), "doc_id").filter("held_out").toPandas()
+    ranks = got["score"].rank()
+    bad = got["toxic"] == 1
+    auc = (ranks[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum())
+    assert auc > 0.94 and (got["predicted"][bad] == 1).mean() > 0.85 and (got["predicted"][~bad] == 0).mean() > 0.99
 
 
 def test_toxicity(spark):
@@ -206,7 +262,7 @@ def test_jaccard_join_recall(spark, threshold):
 
 
 def test_repeats():
-    assert [jaccard_join.repeats_for(r, d) for r, d in ((0.99, 4), (0.9, 1), (0.5, 0))] == [13, 3, 1]
+    assert [jaccard_join.repeats_for(r, d) for r, d in ((0.99, 4), (0.99, 3), (0.9, 1))] == [13, 10, 3]
     assert [jaccard_join.likely_coordinates(t) for t in (0.8, 0.4, 0.05)] == [79, 23, 1]
 
 
@@ -225,9 +281,15 @@ def test_chat_round_trip():
 
 
 def test_chat_edges(spark):
-    turns = spark.createDataFrame([(1, 0, None, None), (1, 0, None, None), (None, None, "assistant", "x"), (2, 0, "assistant", "</turn>" * 30_000)], "conv_id long, turn long, role string, text string")
+    rows = [(1, 0, None, None), (1, 0, None, None), (None, None, "assistant", "x"), (2, 0, "assistant", "</turn>" * 30_000)]
+    # ties in turn and role go by text, not by its escaped form or the end of the turn
+    tied = ["hi", "hi there", "hi#", "###", "##", "#", "\\", "<", "</turn>", "<|image:0|>", ""]
+    rows += [(3, 0, "user" if i % 2 else None, t) for i, t in enumerate(tied)] + [(3, 0, "", t) for t in tied[:3]]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r for r in chat.read_conversations(chat.format_messages(chat.text_messages(turns))).collect()}
     assert got[1]["n_turns"] == 2 and got[1]["turns_sha256"] == hashlib.sha256(b"\n\n\n\n").hexdigest() and got[2]["loss_chars"] == 210_000 and got[None]["loss_sha256"] == hashlib.sha256(b"x").hexdigest()
+    ordered = "".join(f"{role or ''}\n{t}\n" for _, _, role, t in sorted((r for r in rows if r[0] == 3), key=lambda r: (r[2] or "", r[3].encode())))
+    assert got[3]["turns_sha256"] == hashlib.sha256(ordered.encode()).hexdigest()
     assert chat.read_conversations(chat.format_messages(chat.text_messages(turns.limit(0)))).count() == 0
 
 
@@ -268,21 +330,46 @@ def test_embeddings_are_brute_force(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((5, 16))
     rows = [(i, (centres[i % 5] + rng.standard_normal(16) * 0.12).tolist(), i % 3) for i in range(150)]
-    rows += [(200 + i, rows[0][1], 0) for i in range(6)] + [(300, None, 0), (301, [0.0] * 16, 0), (302, [float("nan")] * 16, 0), (303, rows[0][1], None), (304, [1.0, None], 0), (305, [], 0), (306, [1.0, 0.0], 0)]
+    rows += [(200 + i, rows[0][1], 0) for i in range(6)]
+    rows += [(300, None, 0), (301, [0.0] * 16, 0), (302, [float("nan")] * 16, 0), (303, rows[0][1], None), (304, [1.0, None], 0), (305, [], 0), (306, [1.0, 0.0], 0)]
+    # ids that repeat: with other vectors, with one vector, and none
+    rows += [(4, rows[7][1], 1), (4, rng.standard_normal(16).tolist(), 1), (8, rows[8][1], 2), (8, None, 2), (None, rows[0][1], 0), (None, rng.standard_normal(16).tolist(), 0)]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, label int, links int, code string")
-    ok = [r for r in rows if r[1] and r[2] is not None and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
-    links = {r[0]: set() for r in rows}
-    for a in ok:
-        for b in ok:
-            if a[0] != b[0] and a[2] == b[2] and len(a[1]) == len(b[1]) and np.dot(a[1], b[1]) / np.linalg.norm(a[1]) / np.linalg.norm(b[1]) >= 0.93:
-                links[a[0]].add(b[0])
+
+    def fine(v, label):
+        return bool(v) and label is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+    def near(a, b):
+        return len(a) == len(b) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.93
+
+    links = [{j for j, b in enumerate(rows) if j != i and fine(*a[1:]) and fine(*b[1:]) and a[2] == b[2] and near(a[1], b[1])} for i, a in enumerate(rows)]
+    want = []
+    for i, r in enumerate(rows):
+        least = min((rows[j][0] for j in reachable(links, i) if rows[j][0] is not None), default=None)
+        want.append((r[0], len(links[i]), least, least is None or r[0] == least))
     for block in (1500, 4):
-        got = embedding_dedup.near_duplicates(df, block=block, tables=40).collect()
-        assert {r["vec_id"]: r["n_links"] for r in got} == {i: len(x) for i, x in links.items()}
-        assert all(r["kept"] == (r["vec_id"] == r["component_id"]) and r["component_id"] <= r["vec_id"] for r in got)
+        got = embedding_dedup.near_duplicates(df, block=block, recall=0.99999).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(i, n, c, k if i is not None else True) for i, n, c, k in want]))
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_recall_at_the_defaults(spark):
+    """Pairs planted a little above the threshold, and some below it."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(1500):
+        a, b = rng.standard_normal((2, 64))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        cosine = 0.931 if i % 5 else 0.929
+        rows += [(2 * i, a.tolist(), 0), (2 * i + 1, (cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b)).tolist(), 0)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    linked = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got if r["n_links"]}
+    assert all(i // 2 % 5 and x == (1, i // 2 * 2) for i, x in linked.items()) and len(linked) >= 0.95 * 2400
+    hashes, tables = embedding_dedup.plan(5000, 0.93, 0.97, 2.0)
+    assert (hashes, tables) == (8, 11) and embedding_dedup.plan(10**7, 0.93, 0.97, 2.0)[0] > 15
+
+
 # ---- 9 ------------------------------------------------------------------------------
 
 
@@ -303,6 +390,17 @@ def test_warc(spark, tmp_path):
     assert warc.capture_history(pages.limit(0), f"{tmp_path}/e").count() == 0
 
 
+def test_warc_takes_any_id_and_time(spark, tmp_path):
+    ids = [2**63 - 1, -(2**63), 300_000_000_000, -5, 0]
+    pages = spark.createDataFrame([(i, "http://a.org/", str(i)) for i in ids], "page_id long, url string, html string")
+    got = warc.capture_history(pages, f"{tmp_path}/w").collect()
+    assert sorted(r["id"] for r in got) == sorted(ids) and all(warc.EPOCH <= r["ts"] <= warc.LAST_TIME for r in got)
+    times = [-(2**62), warc.FIRST_TIME, -40_000_000_000, 0, warc.LAST_TIME, 2**62]
+    dated = spark.createDataFrame([(i, "u", "x", t) for i, t in enumerate(times)], "page_id long, url string, html string, at long")
+    got = {r["id"]: r["ts"] for r in warc.capture_history(dated, f"{tmp_path}/d", ts=F.col("at")).collect()}
+    assert got == {i: min(max(t, warc.FIRST_TIME), warc.LAST_TIME) for i, t in enumerate(times)}
+
+
 # ---- 10 -----------------------------------------------------------------------------
 
 
@@ -315,6 +413,27 @@ def test_url_filters(spark):
     assert url_filters.judge(pages.limit(0), edges.limit(0)).count() == 0
 
 
+def test_page_links(spark):
+    page = "https://a.org/x/y/p.html?k=1"
+    cases = {
+        '<link rel="canonical" href="https://b.org/1">': "https://b.org/1", "<LINK href=/b rel=canonical>": "https://a.org/b", "<link rel=canonical href='q.html#top'/>": "https://a.org/x/y/q.html",
+        '<link rel=canonical href="//c.org/z?a=1&amp;b=2">': "https://c.org/z?a=1&b=2", '<link rel="canonical" href="?k=2">': "https://a.org/x/y/p.html?k=2", '<link rel="canonical" href="../.././w/..?v=/../">': "https://a.org/?v=/../",
+        '<link rel="canonical" href="../z">': "https://a.org/x/z", '<link rel="canonical" href="#top">': None, '<link rel="canonical" href="">': None, f'<link rel="canonical" href="{page}">': None,
+        '<meta http-equiv="refresh" content="0; url=../../../../up">': "https://a.org/up", "<meta content='5;URL=http://d.org/' http-equiv=refresh>": "http://d.org/", '<base href="/other/"><link rel=canonical href=r>': "https://a.org/other/r",
+        '<link rel="stylesheet" href="/s.css">': None, "": None, None: None,
+    }
+    rows = [(page, h) for h in cases] + [(None, '<link rel="canonical" href="/b">'), ("no scheme", '<link rel="canonical" href="/b">')]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    for i, want in enumerate([*cases.values(), None, None]):
+        got = [r["dst"] for r in url_filters.page_links(pages.filter(F.col("page_id") == i)).collect()] if i < 3 else None
+        assert got is None or got == [want] * (want is not None)
+    links = url_filters.page_links(pages.withColumn("url", F.concat("url", F.lit("&n="), "page_id"))).collect()
+    got = {int(r["src"].rsplit("=", 1)[1]): r["dst"] for r in links if r["dst"] != page}
+    assert got == {i: w for i, w in enumerate(cases.values()) if w}
+    spelled = url_filters.page_links(pages.filter("page_id = 14"), spelling=True).collect()
+    assert [(r["src"], r["dst"]) for r in spelled] == [(page, "https://a.org/x/y/p?k=1")]
+
+
 def test_host_and_path(spark):
     one = spark.createDataFrame([("HTTP://ÀB.Org:80?x", ), ("a://b://c/d#e",), ("://h",)], "u string").select(url_filters.host_of(F.col("u")), url_filters.path_of(F.col("u"))).collect()
     assert [tuple(r) for r in one] == [("Àb.org:80", ""), ("b:", "//c/d"), ("h", "")]
