@@ -66,14 +66,14 @@ _search("c18_playlist", {"playlist": "pl-3"}, "SELECT hash, position FROM media
 _search("c19_visible", search.visible(), f"SELECT hash, path FROM media WHERE {_VISIBLE}", ("hash", "path"))
 _search("e1_rating_order", {"type": {"equalsAny": ["video"]}, "sortBy": "rating", "limit": 50}, "SELECT hash, rating FROM media WHERE type = 'video' ORDER BY rating DESC NULLS LAST, hash LIMIT 50", ("hash", "rating"))
 _search("e1_created_ascending", {"sortBy": "createdAt", "sortDirection": "ASC", "limit": 120}, "SELECT hash, created_at FROM media ORDER BY created_at ASC NULLS FIRST, hash LIMIT 120", ("hash", "created_at"))
-_register("e3_sample", lambda s, d: search.search(library(s, d), {"sample": 50}, ["hash"], seed=7))
+_register("e3_sample", lambda s, d: search.search(library(s, d), {"sample": 50}, ["hash"], seed=7), "SELECT hash FROM media ORDER BY md5(hash || '|7'), hash LIMIT 50")
 _register("e4_directories", lambda s, d: search.neighbour_dirs(spark_view(s, d, "media")), "SELECT dir, lag(dir) OVER (ORDER BY dir) AS previous, lead(dir) OVER (ORDER BY dir) AS next FROM (SELECT DISTINCT dir FROM media)")
 _register("e5_pages", lambda s, d: search.pages(spark_view(s, d, "media").select("hash", "rating"), "rating", 15).select("hash", "rank", "page"), """
   SELECT hash, rank, rank // 15 AS page FROM (SELECT hash, row_number() OVER (ORDER BY rating DESC NULLS LAST, hash) - 1 AS rank FROM media)""")
 _register("e6_neighbours", lambda s, d: search.neighbours(spark_view(s, d, "media"), "hashDate"), """
   SELECT hash, coalesce(lag(hash) OVER w, first_value(hash) OVER (ORDER BY hash_date, hash DESC)) AS previous, coalesce(lead(hash) OVER w, first_value(hash) OVER (ORDER BY hash_date DESC, hash)) AS next
   FROM media WINDOW w AS (ORDER BY hash_date DESC, hash)""")
-_register("e7_shuffle", lambda s, d: search.shuffled(spark_view(s, d, "media"), 11).select("hash"))
+_register("e7_shuffle", lambda s, d: search.shuffled(spark_view(s, d, "media"), 11).select("hash", "rank"), "SELECT hash, row_number() OVER (ORDER BY md5(hash || '|11'), hash) - 1 AS rank FROM media")
 
 # ---- D: text -----------------------------------------------------------------------
 
@@ -92,7 +92,8 @@ def _words_sql(fields: str) -> str:
 def _index_sql(query: str | None = None) -> str:
     more = f" UNION ALL SELECT NULL, '{query}', 0, 'query'" if query else ""
     fields = f"""SELECT hash, artist AS x, 5 AS weight, 'own' AS kind FROM media UNION ALL SELECT hash, album, 5, 'own' FROM media UNION ALL SELECT hash, title, 5, 'own' FROM media
-      UNION ALL SELECT media_hash, actor_id, 7, 'word' FROM media_actors UNION ALL SELECT media_hash, tag_id, 7, 'word' FROM media_tags{more}"""
+      UNION ALL SELECT media_hash, actor_id, 7, 'word' FROM media_actors UNION ALL SELECT media_hash, tag_id, 7, 'word' FROM media_tags
+      UNION ALL SELECT hash, unnest(auto_tags), 2, 'word' FROM media{more}"""
     return f"""{_words_sql(fields)}, tokens AS (
       SELECT hash, token, sum(weight) AS weight FROM (SELECT hash, token, weight FROM field_words WHERE kind <> 'query' AND (kind = 'word' OR length(token) > 1) UNION ALL SELECT hash, type, 10 FROM media) GROUP BY ALL)"""
 
@@ -107,17 +108,19 @@ _register("d2_token_index", lambda s, d: text.token_index(library(s, d)).select(
 _register("d3_weighted_query", lambda s, d: text.weighted_query(library(s, d), "video en the src3", 200), f"""
   WITH {_index_sql('video en the src3')} SELECT hash, cast(sum(weight) AS BIGINT) AS score FROM tokens JOIN (SELECT token FROM field_words WHERE kind = 'query') USING (token) GROUP BY hash ORDER BY score DESC, hash LIMIT 200""")
 _register("d5_search_document", lambda s, d: text.search_document(library(s, d)), """
-  SELECT hash, path, type, artist, album, title, tags, actors FROM media LEFT JOIN (SELECT media_hash AS hash, string_agg(DISTINCT tag_id, ',' ORDER BY tag_id) AS tags FROM media_tags GROUP BY 1) USING (hash)
+  SELECT hash, path, type, artist, album, title, array_to_string(auto_tags, ',') AS auto_tags, tags, actors FROM media LEFT JOIN (SELECT media_hash AS hash, string_agg(DISTINCT tag_id, ',' ORDER BY tag_id) AS tags FROM media_tags GROUP BY 1) USING (hash)
   LEFT JOIN (SELECT media_hash AS hash, string_agg(DISTINCT actor_id, ',' ORDER BY actor_id) AS actors FROM media_actors GROUP BY 1) USING (hash)""")
 _PHRASE = r"(' ' || trim(regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ')"
 _ANY = " OR ".join(f"contains({_PHRASE.format(x=x)}, ' src3 ') OR contains({_PHRASE.format(x=x)}, ' actor 5 ')" for x in ("x",))
+_TEXTS = """SELECT hash, unnest([hash, path, type, artist, album, title]) AS x FROM media UNION ALL SELECT hash, unnest(auto_tags) FROM media
+    UNION ALL SELECT media_hash, tag_id FROM media_tags UNION ALL SELECT media_hash, actor_id FROM media_actors"""
 _register("d6_keywords", lambda s, d: text.keyword_matches(library(s, d), "src3 actor-5"), f"""
-  SELECT DISTINCT hash FROM (SELECT hash, unnest([hash, path, type, artist, album, title]) AS x FROM media UNION ALL SELECT media_hash, tag_id FROM media_tags UNION ALL SELECT media_hash, actor_id FROM media_actors) WHERE {_ANY}""")
+  SELECT DISTINCT hash FROM ({_TEXTS}) WHERE {_ANY}""")
 _register("d7_ranked_keywords", lambda s, d: text.ranked_keywords(library(s, d), 'the "actor 5" src3 -gif'), f"""
   WITH f AS (
     SELECT hash, {_PHRASE.format(x='x')} AS t, w FROM (
       SELECT hash, path AS x, 1 AS w FROM media UNION ALL SELECT hash, artist, 5 FROM media UNION ALL SELECT hash, album, 7 FROM media UNION ALL SELECT hash, title, 7 FROM media UNION ALL SELECT hash, type, 10 FROM media
-      UNION ALL SELECT media_hash, tag_id, 3 FROM media_tags UNION ALL SELECT media_hash, actor_id, 8 FROM media_actors))
+      UNION ALL SELECT hash, unnest(auto_tags), 1 FROM media UNION ALL SELECT media_hash, tag_id, 3 FROM media_tags UNION ALL SELECT media_hash, actor_id, 8 FROM media_actors))
   SELECT hash, cast(sum(w * (len(regexp_extract_all(replace(t, ' ', '  '), ' the ')) + len(regexp_extract_all(replace(t, ' ', '  '), ' actor  5 ')) + len(regexp_extract_all(replace(t, ' ', '  '), ' src3 ')))) AS BIGINT) AS score
   FROM f WHERE hash NOT IN (SELECT hash FROM f WHERE contains(t, ' gif ')) GROUP BY hash HAVING score > 0""")
 
@@ -129,8 +132,8 @@ _register("f3_recommendations", lambda s, d: insights.recommendations(library(s,
 _register("f4_recommended_search", lambda s, d: flagship(s, d).select("hash", F.round("recommended", 6).alias("recommended")), f"""
   WITH {_INDEX}, {_AVERAGES} SELECT hash, round(coalesce(score, 0), 6) AS recommended FROM media LEFT JOIN (SELECT hash, sum(average) AS score FROM tokens JOIN averages USING (token) GROUP BY hash) USING (hash) WHERE {_VISIBLE}""")
 _LISTS = lambda e: e.select(F.col("playlist_id").alias("id"), F.concat(F.lit("List "), "playlist_id").alias("name"), F.lit(None).cast("string").alias("thumbnail")).distinct()
-_register("f5_playlist_sizes", lambda s, d: insights.playlist_sizes(_LISTS(spark_view(s, d, "media_playlists")), spark_view(s, d, "media_playlists").filter("position < 3")).select("id", "size"), """
-  SELECT playlist_id AS id, count(*) FILTER (position < 3) AS size FROM media_playlists GROUP BY 1""")
+_register("f5_playlist_sizes", lambda s, d: insights.playlist_sizes(_LISTS(spark_view(s, d, "media_playlists")), spark_view(s, d, "media_playlists")).select("id", "size"), """
+  SELECT playlist_id AS id, count(*) AS size FROM media_playlists GROUP BY 1""")
 _register("f6_vocabulary", lambda s, d: insights.vocabulary(spark_view(s, d, "media_tags"), "tag_id"), "SELECT DISTINCT tag_id AS id FROM media_tags")
 _register("f7_details", lambda s, d: insights.details(library(s, d), "/lib").select("hash", "absolute_path", F.array_join("tags", ",").alias("tags"), F.size("actors").alias("n_actors"), F.to_json("playlists").alias("playlists")), """
   SELECT hash, '/lib/' || path AS absolute_path, coalesce(tags, '') AS tags, cast(coalesce(n, 0) AS INTEGER) AS n_actors, coalesce(playlists, '[]') AS playlists FROM media
@@ -149,6 +152,8 @@ _register("g4_move", lambda s, d: playlists.move(_ENTRIES(s, d), _ENTRIES(s, d).
   FROM (SELECT *, count(*) OVER (PARTITION BY playlist_id) AS n FROM media_playlists)""")
 _register("g5_remove", lambda s, d: playlists.remove(_ENTRIES(s, d), _ENTRIES(s, d).filter("position = 1")), """
   SELECT media_hash, playlist_id, CASE WHEN position > 1 THEN position - 1 ELSE position END AS position FROM media_playlists WHERE position <> 1""")
+_register("g9_in_order", lambda s, d: playlists.in_order(_ENTRIES(s, d)), "SELECT media_hash, playlist_id, position FROM media_playlists")
+_register("i4_clone_classes", lambda s, d: clones.clone_classes(spark_view(s, d, "media"))[0], "SELECT hash, phash FROM media WHERE type = 'still' AND phash IS NOT NULL AND duplicate_of IS NULL")
 _register("g9_ordered", lambda s, d: playlists.ordered(_ENTRIES(s, d)).select("playlist_id", F.array_join("hashes", ",").alias("hashes")), "SELECT playlist_id, string_agg(media_hash, ',' ORDER BY position, media_hash) AS hashes FROM media_playlists GROUP BY 1")
 _WORDS = lambda s, d: insights.vocabulary(spark_view(s, d, "media_tags"), "tag_id")
 _register("h1_add_tags", lambda s, d: vocabulary.add_to_media(spark_view(s, d, "media_tags"), spark_view(s, d, "media").filter("rating >= 4").select(F.col("hash").alias("media_hash"), F.explode(F.array(F.lit("the"), F.lit("no such tag"))).alias("tag_id")), _WORDS(s, d), spark_view(s, d, "media"), "tag_id"), """
@@ -184,9 +189,9 @@ _register("i7_auto_resolve", lambda s, d: clones.auto_resolve(library(s, d), _gr
 
 _register("b1_media_types", lambda s, d: spark_view(s, d, "listing").select("path", scalars.media_type(F.col("path")).alias("type")), r"""
   SELECT path, CASE lower(regexp_extract(path, '\.([^./]+)$', 1)) WHEN 'mp4' THEN 'video' WHEN 'gif' THEN 'gif' WHEN 'jpg' THEN 'still' WHEN 'png' THEN 'still' END AS type FROM listing""")
-_register("b2_content_hash", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", scalars.content_hash(F.encode("text", "utf-8"), 1024).alias("hash")), """
+_register("b2_content_hash", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", scalars.content_hash(F.encode("text", "utf-8")).alias("hash")), """
   WITH b AS (SELECT doc_id, encode(text) AS c FROM documents)
-  SELECT doc_id, md5(CASE WHEN octet_length(c) > 1024 THEN unhex(substr(hex(c), 1, 2048) || substr(hex(c), -2048)) ELSE c END) AS hash FROM b""")
+  SELECT doc_id, md5(CASE WHEN octet_length(c) > 65536 THEN unhex(substr(hex(c), 1, 131072) || substr(hex(c), -131072)) ELSE c END) AS hash FROM b""")
 _register("b5_scan_diff", lambda s, d: ingest.scan_diff(spark_view(s, d, "listing"), spark_view(s, d, "media"), spark_view(s, d, "media_deleted")), """
   SELECT path, 'new' AS state FROM listing WHERE NOT path LIKE '%.txt' AND path NOT IN (SELECT path FROM media) AND path NOT IN (SELECT path FROM media_deleted) UNION ALL
   SELECT path, 'missing' FROM media WHERE path NOT IN (SELECT path FROM listing)""")
@@ -217,6 +222,9 @@ _register("b10_rename", lambda s, d: ingest.rename_hashes(_tables(s, d), spark_v
   SELECT coalesce(md5(path), media_hash) AS media_hash, tag_id FROM media_tags LEFT JOIN (SELECT * FROM media WHERE rating = 2) ON hash = media_hash""")
 _register("b13_verify_thumbnails", lambda s, d: ingest.verify_artifacts(spark_view(s, d, "media"), spark_view(s, d, "media").filter("height > 480").select("hash")).select("hash", "thumbnail"), """
   SELECT hash, CASE WHEN thumbnail AND NOT coalesce(height > 480, false) THEN false ELSE thumbnail END AS thumbnail FROM media""")
+_register("b13_verify_previews", lambda s, d: ingest.verify_artifacts(spark_view(s, d, "media"), spark_view(s, d, "media").filter("height > 480").select("hash"), "preview").select("hash", "preview", "preview_optimised"), """
+  SELECT hash, CASE WHEN preview AND NOT coalesce(height > 480, false) THEN false ELSE preview END AS preview,
+    CASE WHEN preview AND NOT coalesce(height > 480, false) THEN false ELSE preview_optimised END AS preview_optimised FROM media""")
 _register("b14_verify_cache", lambda s, d: ingest.verify_cache(spark_view(s, d, "media"), spark_view(s, d, "media").select("hash", F.explode(F.array(F.lit(0), F.lit(1))).alias("segment")), _segment_files(s, d)).select("hash", F.array_join(F.col("quality_cache").cast("array<string>"), ",").alias("kept")), """
   SELECT hash, CASE WHEN quality_cache IS NULL THEN NULL WHEN hash_date % 7 = 0 THEN CASE WHEN len(quality_cache) > 0 THEN '240' ELSE '' END ELSE array_to_string(quality_cache, ',') END AS kept FROM media""")
 
@@ -231,7 +239,7 @@ def _segment_files(s: SparkSession, d: str) -> DataFrame:
 
 _register("b16_thumbnail_queue", lambda s, d: search.search(library(s, d), ingest.QUEUES["thumbnails"], ["hash"]), "SELECT hash FROM media WHERE NOT coalesce(corrupted, false) AND NOT coalesce(thumbnail, false) AND width IS NOT NULL")
 _register("b17_import", lambda s, d: ingest.normalise_import(spark_view(s, d, "media").withColumn("rotation", F.lit(None).cast("int")).withColumn("max_copy", F.lit(None).cast("boolean")), "en", 3)[0].select("hash", "path", "rotation", F.element_at("quality_cache", 1).alias("quality"), "max_copy"), """
-  SELECT hash, CASE WHEN starts_with(path, 'en/') THEN substr(path, 4) ELSE path END AS path, 0 AS rotation, CASE WHEN type = 'video' THEN height END AS quality, CASE WHEN type = 'video' THEN true END AS max_copy FROM media WHERE width IS NOT NULL""")
+  SELECT hash, CASE WHEN starts_with(path, 'en/') THEN substr(path, 4) ELSE path END AS path, 0 AS rotation, height AS quality, CASE WHEN type = 'video' THEN true END AS max_copy FROM media WHERE width IS NOT NULL""")
 
 
 def _patches(s: SparkSession, d: str) -> DataFrame:
@@ -266,19 +274,26 @@ _register("j3_variants", lambda s, d: _VIDEOS(s, d).select("hash", F.explode(vid
     SELECT hash, width, height, unnest(list_distinct(list_concat(list_filter([240, 480, 720, 1080], lambda q: q <= least(width, height)), quality_cache))) AS q FROM media WHERE type = 'video' AND width IS NOT NULL)""")
 
 
-def _keyframes(s: SparkSession, d: str) -> DataFrame:
-    events = s.read.parquet(f"{d}/events.parquet").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("t"))
-    one = events.groupBy("user_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    k = one.select("user_id", F.transform("ts", lambda t: F.round(t - F.element_at("ts", 1), 3)).alias("k"))
-    return k.withColumn("length", F.ceil(F.element_at("k", -1) + 1).cast("int"))
-
-
 def _segments(s: SparkSession, d: str) -> DataFrame:
-    k = _keyframes(s, d).withColumn("segments", video.segments(F.col("k"), F.col("length")))
-    return k.select("user_id", F.size("segments").alias("n"), video.longest_segment(F.col("segments")).cast("long").alias("longest"), F.element_at("segments", -1)["end"].alias("end"))
-
-
-_register("j4_j9_segments", _segments)
+    """Events of a user as keyframes, in hours from the first, read as seconds: real gaps would always be over the limit."""
+    events = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    first = events.groupBy("id").agg(F.min("us").alias("first"))
+    rows = events.join(first, "id").select("id", ((F.col("us") - F.col("first")) / 3_600_000_000).alias("at"), F.lit(None).cast("double").alias("length"))
+    return video.segment_summary(rows).withColumnRenamed("id", "user_id")
+
+
+_register("j4_j9_segments", _segments, """
+  WITH RECURSIVE k AS (
+    SELECT user_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3600000000::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS c FROM events),
+  fold AS (
+    SELECT user_id, i, c, t, t AS last, 0 AS n, 0::DOUBLE AS longest, false AS emitted FROM k WHERE i = 1 UNION ALL
+    SELECT k.user_id, k.i, k.c, k.t, CASE WHEN k.t - f.last > 10 THEN k.t ELSE f.last END, CASE WHEN k.t - f.last > 10 THEN f.n + 1 ELSE f.n END,
+      CASE WHEN k.t - f.last > 10 THEN greatest(f.longest, k.t - f.last) ELSE f.longest END, k.t - f.last > 10
+    FROM fold f JOIN k ON k.user_id = f.user_id AND k.i = f.i + 1),
+  closed AS (SELECT *, ceil(t + 1) AS length FROM fold WHERE i = c)
+  SELECT user_id, cast(CASE WHEN c = 1 OR length < 10 THEN 1 WHEN emitted THEN n ELSE n + 1 END AS BIGINT) AS n,
+    cast(ceil(CASE WHEN c = 1 OR length < 10 THEN length WHEN emitted THEN longest ELSE greatest(longest, length - last) END) AS BIGINT) AS longest,
+    CASE WHEN c > 1 AND length >= 10 AND emitted THEN last ELSE length END AS "end" FROM closed""")
 _register("j6_preview_sheet", lambda s, d: _VIDEOS(s, d).filter("length is not null").select("hash", video.preview_sheet(F.col("length"), F.col("height")).alias("p")).select("hash", "p.*"), """
   SELECT hash, count, columns, cast(ceil(count / columns) AS INTEGER) AS rows FROM (SELECT *, cast(ceil(count / (2160 / height)) AS INTEGER) AS columns FROM (SELECT hash, height, greatest(1, cast(floor(length / 10) AS INTEGER)) AS count FROM media WHERE type = 'video' AND length IS NOT NULL))""")
 _register("j7_top_labels", lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.array_join(video.top_labels(F.col("embedding").cast("array<double>"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(F.lit("class-"), i.cast("string")))), ",").alias("labels")), """
@@ -323,8 +338,27 @@ def _incremental(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{root}/store/1/media").select("hash", "path", "dir", "type", "hash_date")
 
 
-_register("a2_dump_media", lambda s, d: _dumped(s, d)["media"].select("hash", "path", "rating", "corrupted", "thumbnail", "phash", "height", "title", "created_at", _JOINED(F.col("quality_cache")).alias("qualities")), """
-  SELECT hash, path, rating, corrupted, thumbnail, phash, height, title, created_at, CASE WHEN quality_cache IS NOT NULL THEN array_to_string(quality_cache, ',') END AS qualities FROM media""")
+_ENDINGS = {0: ".jpg", 1: ".MP4", 2: ".gif", 3: ".txt", 4: ""}
+
+
+def _listed(s: SparkSession, d: str) -> DataFrame:
+    """Pages written as files under several endings, and the tree listed again."""
+    root, kind = new_folder(s, "tree"), F.col("page_id") % 5
+    ending = F.lit("")
+    for k, text_ in _ENDINGS.items():
+        ending = F.when(kind == k, text_).otherwise(ending)
+    pages = s.read.parquet(f"{d}/pages.parquet")
+    path = F.concat(F.lit("a b/"), (F.col("page_id") % 7).cast("string"), F.lit("/"), F.col("page_id").cast("string"), ending)
+    store.write_tree(pages.select(path.alias("path"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content")), root)
+    return store.list_files(s, root, content=True).select("path", "length", scalars.media_type(F.col("path")).alias("type"), scalars.content_hash(F.col("content")).alias("hash"))
+
+
+_register("a1_listing", _listed, """
+  WITH f AS (SELECT 'a b/' || page_id % 7 || '/' || page_id || CASE page_id % 5 WHEN 0 THEN '.jpg' WHEN 1 THEN '.MP4' ELSE '.gif' END AS path, page_id % 5 AS k, encode(coalesce(html, '')) AS c FROM pages WHERE page_id % 5 < 3)
+  SELECT path, octet_length(c) AS length, CASE k WHEN 0 THEN 'still' WHEN 1 THEN 'video' ELSE 'gif' END AS type,
+    md5(CASE WHEN octet_length(c) > 65536 THEN unhex(substr(hex(c), 1, 131072) || substr(hex(c), -131072)) ELSE c END) AS hash FROM f""")
+_register("a2_dump_media", lambda s, d: _dumped(s, d)["media"].select("hash", "path", "rating", "corrupted", "thumbnail", "phash", "height", "length", "codec", "max_copy", "title", "created_at", "hash_date", F.array_join("auto_tags", ",").alias("auto_tags"), _JOINED(F.col("quality_cache")).alias("qualities")), """
+  SELECT hash, path, rating, corrupted, thumbnail, phash, height, length, codec, max_copy, title, created_at, hash_date, array_to_string(auto_tags, ',') AS auto_tags, CASE WHEN quality_cache IS NOT NULL THEN array_to_string(quality_cache, ',') END AS qualities FROM media""")
 _register("a2_dump_tags", lambda s, d: _dumped(s, d)["media_tags"], "SELECT media_hash, tag_id FROM media_tags")
 _register("a3_dump_playlists", lambda s, d: _dumped(s, d)["media_playlists"], "SELECT media_hash, playlist_id, position FROM media_playlists")
 _register("a4_tables", lambda s, d: _stored(s, d).select("hash", "path", "type", "width"), "SELECT hash, path, type, width FROM media")
@@ -365,6 +399,10 @@ for _queue, _sql in {
     "phash": "type = 'still' AND width IS NOT NULL AND NOT coalesce(corrupted, false) AND phash IS NULL AND thumbnail",
     "clones": "type = 'still' AND phash IS NOT NULL AND duplicate_of IS NULL",
     "rescan": "type = 'video' AND NOT coalesce(corrupted, false)",
+    "previews": "type = 'video' AND NOT coalesce(preview, false) AND NOT coalesce(corrupted, false) AND duplicate_of IS NULL",
+    "classify": "type = 'still' AND auto_tags IS NULL AND thumbnail",
+    "optimise_thumbnails": "thumbnail AND NOT coalesce(corrupted, false) AND NOT coalesce(thumbnail_optimised, false)",
+    "optimise_previews": "type = 'video' AND preview AND NOT coalesce(corrupted, false) AND NOT coalesce(preview_optimised, false)",
 }.items():
     _search(f"b16_{_queue}_queue", ingest.QUEUES[_queue], f"SELECT hash FROM media WHERE {_sql}")
 
@@ -379,7 +417,7 @@ _register("c17_has_clones", lambda s, d: search.search(Library(_with_clones(s, d
   SELECT hash FROM (SELECT hash, phash, count(*) OVER (PARTITION BY substr(phash, 1, 63)) AS n FROM media) WHERE phash IS NOT NULL AND n > 1""")
 _FORM = {"keywords": "src3 en", "minimumResolution": "480", "ratingMin": 1, "ratingMax": -1, "typeVideo": True, "typeStill": True, "tags": {"equalsAny": [], "equalsNone": ["zzz"]}, "tagged": True, "title": {"like": "e", "notLike": "qq"}, "lengthMax": 100}
 _search("c22_form", search.form_constraints(_FORM), f"""
-  SELECT hash FROM media WHERE hash IN (SELECT hash FROM (SELECT hash, unnest([hash, path, type, artist, album, title]) AS x FROM media UNION ALL SELECT media_hash, tag_id FROM media_tags UNION ALL SELECT media_hash, actor_id FROM media_actors)
+  SELECT hash FROM media WHERE hash IN (SELECT hash FROM ({_TEXTS})
       WHERE contains({_PHRASE.format(x='x')}, ' src3 ') OR contains({_PHRASE.format(x='x')}, ' en '))
     AND height >= 480 AND rating >= 1 AND type IN ('video', 'still') AND hash NOT IN (SELECT media_hash FROM media_tags WHERE tag_id = 'zzz') AND hash IN (SELECT media_hash FROM media_tags)
     AND contains(lower(title), 'e') AND NOT contains(lower(title), 'qq') AND length <= 6000""")
@@ -443,12 +481,19 @@ def _resolved(s: SparkSession, d: str) -> DataFrame:
 
 def _images(s: SparkSession, d: str) -> DataFrame:
     """Documents as 32 x 32 images, whose pixels are hashes of the text."""
-    rgba = F.encode(F.repeat(F.sha2(F.coalesce("text", F.lit("")), 256), 64), "utf-8")
-    images = spark_view(s, d, "media").select("hash", "title").join(s.read.parquet(f"{d}/documents.parquet").select(F.md5(F.col("doc_id").cast("string")).alias("hash"), "text"), "hash")
-    return image_hash.image_hashes(images.select("hash", F.lit(32).alias("width"), F.lit(32).alias("height"), rgba.alias("rgba")))
-
-
-_register("i1_image_hashes", _images)
+    texts = s.read.parquet(f"{d}/documents.parquet").select(F.md5(F.col("doc_id").cast("string")).alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
+    rgba = F.encode(F.concat(*[F.sha2(F.concat("text", F.lit(f"|{i}")), 256) for i in range(64)]), "utf-8")
+    return image_hash.image_hashes(texts.select("hash", F.lit(32).alias("width"), F.lit(32).alias("height"), rgba.alias("rgba")))
+
+
+_register("i1_image_hashes", _images, """
+  WITH px AS (
+    SELECT md5(cast(doc_id AS varchar)) AS hash, list_transform(string_split(array_to_string(list_transform(range(64), lambda i: sha256(coalesce(text, '') || '|' || i)), ''), ''), lambda c: ord(c)) AS o FROM documents),
+  blocks AS (
+    SELECT hash, list_transform(range(256), lambda b: list_sum(list_transform([0, 4, 128, 132], lambda k: o[k + (b // 16) * 256 + (b % 16) * 8 + 1] + o[k + (b // 16) * 256 + (b % 16) * 8 + 2] + o[k + (b // 16) * 256 + (b % 16) * 8 + 3]))) AS v FROM px),
+  middles AS (SELECT hash, v, list_transform(range(4), lambda k: (list_sort(v[64 * k + 1 : 64 * k + 64])[33] + list_sort(v[64 * k + 1 : 64 * k + 64])[34]) / 2) AS m FROM blocks),
+  bits AS (SELECT hash, list_transform(v, lambda x, i: CASE WHEN x > m[(i - 1) // 64 + 1] OR (abs(x - m[(i - 1) // 64 + 1]) < 1 AND m[(i - 1) // 64 + 1] > 1536) THEN 1 ELSE 0 END) AS b FROM middles)
+  SELECT hash, array_to_string(list_transform(range(64), lambda n: substr('0123456789abcdef', 1 + 8 * b[4 * n + 1] + 4 * b[4 * n + 2] + 2 * b[4 * n + 3] + b[4 * n + 4], 1)), '') AS phash FROM bits""")
 _register("i5_write_back", _written_back, """
   WITH c AS (SELECT hash, type, hash_date, CASE WHEN phash IS NOT NULL THEN array_to_string(list_sort(list_filter(list(hash) OVER (PARTITION BY substr(phash, 1, 63)), lambda x: x <> hash)), ',') END AS found FROM media)
   SELECT hash, CASE WHEN found IS NOT NULL THEN found WHEN hash_date % 120 = 0 THEN '' END AS clones, CASE WHEN found IS NOT NULL AND NOT (hash_date % 120 = 0 AND found = '') THEN 99::BIGINT END AS clone_date FROM c""")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -79,3 +83,70 @@ def multi_hot(tags: Column, vocabulary: list[str]) -> Column:
 def longest_segment(segment_list: Column) -> Column:
     """J9."""
     return F.ceil(F.array_max(F.transform(segment_list, lambda s: s["end"] - s["start"])))
+
+
+class _Fold:
+    """The greedy rule of segments() over keyframes that come one at a time."""
+
+    def __init__(self, first: float, most: float):
+        self.first, self.most = first, most
+        self.last = self.now = first
+        self.frames, self.n, self.longest, self.emitted = 1, 0, 0.0, False
+        if first:
+            self._emit(first)
+
+    def _emit(self, length: float) -> None:
+        self.n, self.longest = self.n + 1, max(self.longest, length)
+
+    def add(self, at: float) -> None:
+        self.frames, self.now, self.emitted = self.frames + 1, at, at - self.last > self.most
+        if self.emitted:
+            self._emit(at - self.last)
+            self.last = at
+
+    def close(self, length: float | None) -> tuple[int, int, float]:
+        """(segments, longest in whole seconds, end)"""
+        length = float(math.ceil(self.now + 1)) if length is None else length
+        if self.frames <= 1 or length < self.most:
+            return 1, math.ceil(length), length
+        if not self.emitted:
+            self._emit(length - self.last)
+        return self.n, math.ceil(self.longest), self.last if self.emitted else length
+
+
+def _summaries(most: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fold, length, done = None, None, None, []
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_pylist(done, pa.schema([("id", pa.int64()), ("n", pa.int64()), ("longest", pa.int64()), ("end", pa.float64())]))
+            done.clear()
+            return made
+
+        def close() -> None:
+            if fold is not None:
+                done.append(dict(zip(("id", "n", "longest", "end"), (key, *fold.close(length)), strict=True)))
+
+        for batch in batches:
+            for i, at, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if fold is None or i != key:
+                    close()
+                    key, fold, length = i, _Fold(at, most), n
+                else:
+                    fold.add(at)
+            if len(done) > 1000:
+                yield out()
+        close()
+        yield out()
+
+    return run
+
+
+def segment_summary(keyframes: DataFrame, most: float = 10.0) -> DataFrame:
+    """J4, J9 for keyframes that come as rows (id, at, length): (id, n, longest, end) per id.
+
+    Rows are streamed in order, so a video with any number of keyframes takes constant
+    memory. A null ``length`` is the whole second after the last keyframe.
+    """
+    rows = keyframes.select(F.col("id").cast("long"), F.col("at").cast("double"), F.col("length").cast("double")).filter("at is not null")
+    return rows.repartition("id").sortWithinPartitions("id", "at").mapInArrow(_summaries(most), "id long, n long, longest long, end double")

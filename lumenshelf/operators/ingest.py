@@ -91,8 +91,8 @@ def remove_media(tables: dict[str, DataFrame], gone: DataFrame, tombstone: bool
 
 
 def rename_hashes(tables: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
-    """``changes`` (old, new) in media, what points at it, and all bridges."""
-    c = changes.filter("old <> new").select("old", "new")
+    """``changes`` (old, new) in media, what points at it, and all bridges, all at once. Of repeated old hashes the smallest new one counts; new hashes must not be in use."""
+    c = changes.filter("old <> new").groupBy("old").agg(F.min("new").alias("new"))
 
     def renamed(df: DataFrame, column: str) -> DataFrame:
         return df.join(c, F.col(column) == F.col("old"), "left").withColumn(column, F.coalesce("new", column)).select(df.columns)
@@ -111,9 +111,9 @@ def fill_created(media: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def fill_tags(media: DataFrame, probed: DataFrame) -> DataFrame:
-    """Artist, album and title of uncorrupted videos where unset, from ``probed`` (hash, ...)."""
+    """Artist, album and title of uncorrupted videos where unset, from ``probed`` (hash, ...). Of repeated hashes the smallest values that are not empty count."""
     names = ("artist", "album", "title")
-    p = probed.select("hash", *[F.col(n).alias(f"_{n}") for n in names])
+    p = probed.groupBy("hash").agg(*[F.min(F.nullif(n, F.lit(""))).alias(f"_{n}") for n in names])
     can = (F.col("type") == "video") & ~F.coalesce("corrupted", F.lit(False))
     out = media.join(p, "hash", "left")
     for n in names:
@@ -125,10 +125,8 @@ def verify_artifacts(media: DataFrame, artifacts: DataFrame, flag: str = "thumbn
     """The flag, and its _optimised one, go where it is set and ``artifacts`` (hash) has no file."""
     a = artifacts.select("hash", F.lit(True).alias("_there")).distinct()
     lost = F.col(flag) & F.col("_there").isNull()
-    out = media.join(a, "hash", "left")
-    for c in (flag, f"{flag}_optimised"):
-        if c in media.columns:
-            out = out.withColumn(c, F.when(lost, F.lit(False)).otherwise(F.col(c)))
+    both = [c for c in (flag, f"{flag}_optimised") if c in media.columns]
+    out = media.join(a, "hash", "left").withColumns({c: F.when(lost, F.lit(False)).otherwise(F.col(c)) for c in both})
     return out.select(media.columns)
 
 
@@ -171,15 +169,20 @@ QUEUES = {
 
 
 def normalise_import(rows: DataFrame, root: str, version: int | None) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with a reason) of imported media."""
+    """(accepted, rejected with a reason) of imported media.
+
+    Dumps of version 3 or none had one quality for every medium, and copied videos.
+    """
     indexed = F.col("width").isNotNull() | F.col("height").isNotNull()
-    reason = F.when(F.coalesce("hash", F.lit("")) == "", "no hash").when(~indexed, "no metadata").when((F.col("type") != "video") & (F.coalesce("width", F.lit(0)) == 0), "no width")
+    reason = F.when(F.coalesce("hash", F.lit("")) == "", "no hash").when(~indexed, "no metadata")
+    if version is None or version == 3:
+        reason = reason.when((F.col("type") != "video") & (F.coalesce("width", F.lit(0)) == 0), "no width")
     out = rows.withColumn("reason", reason)
     ok = out.filter("reason is null").drop("reason")
     prefix = root.rstrip("/") + "/"
     strip = lambda c: F.when(F.col(c).startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 20)).otherwise(F.col(c))
     ok = ok.withColumn("rotation", F.coalesce("rotation", F.lit(0))).withColumn("path", strip("path")).withColumn("dir", strip("dir"))
-    if version is None or version <= 3:
-        video = F.col("type") == "video"
-        ok = ok.withColumn("quality_cache", F.when(video, F.array("height")).otherwise(F.col("quality_cache"))).withColumn("max_copy", F.when(video, F.lit(True)).otherwise(F.col("max_copy")))
+    if version is None or version == 3:
+        copied = F.when(F.col("type") == "video", F.lit(True)).otherwise(F.col("max_copy"))
+        ok = ok.withColumn("quality_cache", F.array("height")).withColumn("max_copy", copied)
     return ok, out.filter("reason is not null")

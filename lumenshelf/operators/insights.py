@@ -32,14 +32,22 @@ def insights(lib: Library, minimum_count: int = 20) -> DataFrame:
     return token_averages(lib, minimum_count).orderBy(F.desc("average"), "token")
 
 
-def recommendations(lib: Library, minimum_count: int = 20, hashes: DataFrame | None = None) -> DataFrame:
-    """(hash, score), the sum of the averages of a medium's distinct tokens; 0 without any. ``hashes`` limits what is scored."""
-    index = token_index(lib)
-    averages = settled(token_averages(lib, minimum_count, index).select("token", "average"))
+def recommendations(lib: Library, minimum_count: int = 20, hashes: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(hash, score), the sum of the averages of a medium's distinct tokens; 0 without any.
+
+    ``hashes`` limits what is scored, not what the averages are taken over. ``index`` is
+    a stored token index; without it, one is computed and written once for both steps.
+    """
+    index = settled(token_index(lib), "token-index") if index is None else index
+    averages = settled(token_averages(lib, minimum_count, index).select("token", "average"), "token-averages")
     if averages.count() <= BROADCAST_TOKENS:
         averages = F.broadcast(averages)
-    media = lib.media.select("hash") if hashes is None else lib.media.select("hash").join(hashes.select("hash"), "hash", "left_semi")
-    scores = index.join(averages, "token").groupBy("hash").agg(F.sum("average").alias("score"))
+    telling = index.join(averages, "token").select("hash", "average")
+    media = lib.media.select("hash")
+    if hashes is not None:
+        media = hashes.select("hash").distinct()
+        telling = telling.join(media, "hash", "left_semi")
+    scores = telling.groupBy("hash").agg(F.sum("average").alias("score"))
     return media.join(scores, "hash", "left").select("hash", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -1,29 +1,32 @@
 """Ordered playlists (G1-G9): entries (media_hash, playlist_id, position), positions 0..n-1 in each playlist.
 
-Functions return new entry tables. Positions come from windows over one playlist.
+Functions return new entry tables. Positions come from ranges of (playlist, order), so
+a playlist of any size is no single task's work (``plans.ranks``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranks import ranked
+
 _ENTRY = ["media_hash", "playlist_id", "position"]
 
 
 def densify(entries: DataFrame) -> DataFrame:
     """Positions 0..n-1 again, in their present order."""
-    w = Window.partitionBy("playlist_id").orderBy("position", "media_hash")
-    return entries.withColumn("position", (F.row_number().over(w) - 1).cast("int")).select(_ENTRY)
+    order = ranked(entries.select(_ENTRY), [F.col("position")], ["media_hash"], ["playlist_id"])
+    return order.withColumn("position", F.col("rank").cast("int")).select(_ENTRY)
 
 
 def append(entries: DataFrame, more: DataFrame) -> DataFrame:
     """``more`` (media_hash, playlist_id, rank) goes to the end in order of rank; what is there already stays where it is, and of repeats the first counts."""
     new = more.groupBy("media_hash", "playlist_id").agg(F.min("rank").alias("rank")).join(entries.select("media_hash", "playlist_id"), ["media_hash", "playlist_id"], "left_anti")
     last = entries.groupBy("playlist_id").agg(F.max("position").alias("_last"))
-    w = Window.partitionBy("playlist_id").orderBy("rank", "media_hash")
-    placed = new.withColumn("_n", F.row_number().over(w)).join(last, "playlist_id", "left")
-    return entries.select(_ENTRY).unionByName(placed.select("media_hash", "playlist_id", (F.coalesce("_last", F.lit(-1)) + F.col("_n")).cast("int").alias("position")))
+    placed = ranked(new.withColumnRenamed("rank", "_rank"), [F.col("_rank")], ["media_hash"], ["playlist_id"]).join(last, "playlist_id", "left")
+    position = F.coalesce("_last", F.lit(-1)) + 1 + F.col("rank")
+    return entries.select(_ENTRY).unionByName(placed.select("media_hash", "playlist_id", position.cast("int").alias("position")))
 
 
 def create(playlists: DataFrame, entries: DataFrame, new: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,10 +42,16 @@ def refresh(playlists: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def move(entries: DataFrame, moves: DataFrame) -> DataFrame:
-    """``moves`` (playlist_id, media_hash, to), one per playlist; those to a place outside the playlist, or of a medium not in it, are refused (nothing changes)."""
+    """``moves`` (playlist_id, media_hash, to).
+
+    Those to a place outside the playlist, or of a medium not in it, are refused (nothing
+    changes). Of several that remain for one playlist, that of the smallest
+    (media_hash, to) is made and the others are not: they would depend on each other.
+    """
     sizes = entries.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("_size"))
     at = moves.join(entries, ["playlist_id", "media_hash"]).join(sizes, "playlist_id").filter((F.col("to") >= 0) & (F.col("to") < F.col("_size")))
-    at = at.select("playlist_id", F.col("position").alias("_from"), F.col("to").alias("_to"))
+    one = at.groupBy("playlist_id").agg(F.min(F.struct("media_hash", "to", "position")).alias("_m"))
+    at = one.select("playlist_id", F.col("_m.position").alias("_from"), F.col("_m.to").alias("_to"))
     p, a, b = F.col("position"), F.col("_from"), F.col("_to")
     new = F.when(a.isNull(), p).when(p == a, b).when((b > a) & (p > a) & (p <= b), p - 1).when((b < a) & (p >= b) & (p < a), p + 1).otherwise(p)
     return entries.join(at, "playlist_id", "left").select("media_hash", "playlist_id", new.cast("int").alias("position"))
@@ -65,11 +74,17 @@ def delete(playlists: DataFrame, entries: DataFrame, ids: DataFrame) -> tuple[Da
 
 
 def update(playlists: DataFrame, changes: DataFrame) -> DataFrame:
-    """``changes`` (id, name, thumbnail); null or empty keeps the old value."""
-    c = changes.select("id", F.nullif("name", F.lit("")).alias("_name"), F.nullif("thumbnail", F.lit("")).alias("_thumb"))
-    return playlists.join(c, "id", "left").select("id", F.coalesce("_name", "name").alias("name"), F.coalesce("_thumb", "thumbnail").alias("thumbnail"), "size")
+    """``changes`` (id, name, thumbnail); null or empty keeps the old value. Of repeated ids the smallest name and thumbnail count."""
+    real = [F.min(F.nullif(c, F.lit(""))).alias(f"_{c}") for c in ("name", "thumbnail")]
+    c = changes.groupBy("id").agg(*real)
+    return playlists.join(c, "id", "left").select("id", F.coalesce("_name", "name").alias("name"), F.coalesce("_thumbnail", "thumbnail").alias("thumbnail"), "size")
+
+
+def in_order(entries: DataFrame) -> DataFrame:
+    """All entries by playlist and position, one row each."""
+    return entries.select(_ENTRY).orderBy("playlist_id", "position", "media_hash")
 
 
 def ordered(entries: DataFrame) -> DataFrame:
-    """(playlist_id, hashes in order)."""
+    """G9 as dumps have it: (playlist_id, hashes in order). A playlist is one value, so it must fit into a row; see in_order()."""
     return entries.groupBy("playlist_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "media_hash"))), lambda e: e["media_hash"]).alias("hashes"))

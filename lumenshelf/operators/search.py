@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fixtures import Library
-from ..plans.lineage import settled
+from ..plans.ranks import ranked
 from . import text
 
 #: Direction of a sort key where none is given.
@@ -132,7 +132,9 @@ def search(lib: Library, want: dict[str, Any], fields: list[str] | None = None,
     if sort_by == "recommended":
         from .insights import recommendations
 
-        media = media.join(recommendations(lib, want.get("minimumCount", 20)).withColumnRenamed("score", "recommended"), "hash")
+        # only what was found is scored
+        scores = recommendations(lib, want.get("minimumCount", 20), media.select("hash"))
+        media = media.join(scores.withColumnRenamed("score", "recommended"), "hash")
     if want.get("sample"):
         media = sample(media, want["sample"], seed)
     if sort_by:
@@ -149,14 +151,19 @@ def sort_keys(sort_by: str, direction: str | None = None) -> list[Column]:
     return [c.desc_nulls_last() if down else c.asc_nulls_first(), F.col("hash").asc()]
 
 
+def seeded(seed: int) -> Column:
+    """A key's place in the order of a seed: retries and other engines draw the same."""
+    return F.md5(F.concat("hash", F.lit(f"|{seed}")))
+
+
 def sample(media: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """N rows by a seeded hash of the key, so that a retry draws the same."""
-    return media.orderBy(F.xxhash64("hash", F.lit(seed)), "hash").limit(n)
+    """The n rows that come first in the order of the seed."""
+    return media.orderBy(seeded(seed), "hash").limit(n)
 
 
 def shuffled(media: DataFrame, seed: int) -> DataFrame:
-    """One permutation per seed."""
-    return media.orderBy(F.xxhash64("hash", F.lit(seed)), "hash")
+    """Adds rank, the place in one permutation per seed."""
+    return ranked(media, [seeded(seed)], ["hash"])
 
 
 def neighbour_dirs(media: DataFrame) -> DataFrame:
@@ -176,22 +183,6 @@ def next_dir(media: DataFrame, dir_: str, previous: bool = False) -> DataFrame:
     return media.filter(c < dir_ if previous else c > dir_).select("dir").distinct().orderBy(c.desc() if previous else c.asc()).limit(1)
 
 
-def ranked(rows: DataFrame, order: list[Column], keys: list[str]) -> DataFrame:
-    """Adds rank (0-based) in a global order without sending all rows to one task.
-
-    Rows are range-partitioned and sorted; the partitions' sizes, one row each, give
-    every partition its first rank. ``keys`` (unique columns) end the order.
-    """
-    full = [*order, *[F.col(k) for k in keys]]
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *full).withColumn("_part", F.spark_partition_id())
-    inside = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*full)) - 1)
-    inside = settled(inside)  # the ranges come from a sample: computed once
-    sizes = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    first = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(F.broadcast(first), "_part").withColumn("rank", (F.col("_first") + F.col("_at")).cast("long")).drop("_part", "_at", "_n", "_first")
-
-
 def pages(rows: DataFrame, sort_by: str, size: int, direction: str | None = None) -> DataFrame:
     """E5: adds rank and page; size 0 is one page."""
     out = ranked(rows, sort_keys(sort_by, direction)[:1], ["hash"])

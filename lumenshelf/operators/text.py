@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.words import STOP_WORDS, phrase_text, tokenise
@@ -16,25 +18,50 @@ TOKEN_WEIGHTS = {"type": 10, "artist": 5, "album": 5, "title": 5, "actor": 7, "t
 FIELD_WEIGHTS = {"path": 1, "auto_tags": 1, "tags": 3, "artist": 5, "album": 7, "title": 7, "actors": 8, "type": 10}
 
 
-def token_index(lib: Library, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
-    """(hash, token, weight), summed per token; one exchange on (hash, token) after partial sums."""
-    field = lambda c, w: F.transform(F.filter(tokenise(F.col(c), stop_words), lambda t: F.length(t) > 1), lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight")))
-    own = F.concat(F.array(F.struct(F.col("type").alias("token"), F.lit(TOKEN_WEIGHTS["type"]).alias("weight"))), *[field(c, TOKEN_WEIGHTS[c]) for c in ("artist", "album", "title")])
+def token_index(lib: Library, stop_words: frozenset[str] = STOP_WORDS, wanted: Sequence[str] | None = None) -> DataFrame:
+    """(hash, token, weight), summed per token; one exchange on (hash, token) after partial sums.
+
+    With ``wanted`` only those tokens, and only texts that hold one of them are tokenised.
+    Tags and actors are tokenised once per word of the vocabulary, not per medium.
+    """
+    def tokens(c: Column) -> Column:
+        found = tokenise(c, stop_words)
+        return found if wanted is None else F.when(may_hold(c, wanted), found).otherwise(F.array().cast("array<string>"))
+
+    def field(c: str, w: int) -> Column:
+        return F.transform(F.filter(tokens(F.col(c)), lambda t: F.length(t) > 1), lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight")))
+
+    kind = F.array(F.struct(F.col("type").alias("token"), F.lit(TOKEN_WEIGHTS["type"]).alias("weight")))
+    own = F.concat(kind, *[field(c, TOKEN_WEIGHTS[c]) for c in ("artist", "album", "title")])
     rows = lib.media.select("hash", F.explode_outer(own).alias("t")).select("hash", "t.token", "t.weight")
-    for bridge, column, kind in ((lib.media_tags, "tag_id", "tag"), (lib.media_actors, "actor_id", "actor")):
-        rows = rows.unionByName(bridge.select(F.col("media_hash").alias("hash"), F.explode_outer(tokenise(F.col(column), stop_words)).alias("token"), F.lit(TOKEN_WEIGHTS[kind]).alias("weight")))
+    bridges = [(lib.media_tags.select("media_hash", F.col("tag_id").alias("word")), "tag"), (lib.media_actors.select("media_hash", F.col("actor_id").alias("word")), "actor")]
     if "auto_tags" in lib.media.columns:
-        auto = lib.media.select("hash", F.explode("auto_tags").alias("tag")).select("hash", F.explode_outer(tokenise(F.col("tag"), stop_words)).alias("token"), F.lit(TOKEN_WEIGHTS["auto_tag"]).alias("weight"))
-        rows = rows.unionByName(auto)
+        bridges.append((lib.media.select(F.col("hash").alias("media_hash"), F.explode("auto_tags").alias("word")), "auto_tag"))
+    for bridge, name in bridges:
+        spelled = bridge.select("word").distinct().select("word", F.explode_outer(tokens(F.col("word"))).alias("token")).filter("token is not null")
+        rows = rows.unionByName(bridge.join(spelled, "word").select(F.col("media_hash").alias("hash"), "token", F.lit(TOKEN_WEIGHTS[name]).alias("weight")))
+    if wanted is not None:
+        rows = rows.filter(F.col("token").isin(list(wanted)))
     return rows.filter("token is not null").groupBy("hash", "token").agg(F.sum("weight").alias("weight"))
 
 
-def weighted_query(lib: Library, query: str, limit: int | None = None, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
-    """(hash, score) by falling score; repeated words of the query count again."""
-    words = lib.media.sparkSession.range(1).select(F.explode_outer(tokenise(F.lit(query), stop_words)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+def may_hold(text: Column, tokens: Sequence[str]) -> Column:
+    """False only for texts of which tokenise() gives none of ``tokens``: what it strips from words is stripped here."""
+    bare = F.regexp_replace(F.lower(text), "[^a-z0-9 /\\\\_.?!<>\"-]", "")
+    return reduce(lambda a, b: a | b, [F.contains(bare, F.lit(t)) for t in tokens], F.lit(False))
+
+
+def weighted_query(
+    lib: Library, query: str, limit: int | None = None, stop_words: frozenset[str] = STOP_WORDS, index: DataFrame | None = None,
+) -> DataFrame:
+    """(hash, score) by falling score; repeated words of the query count again. ``index`` is a stored token index."""
+    spark = lib.media.sparkSession
     # the words of one query are few
-    found = token_index(lib, stop_words).join(F.broadcast(words), "token").groupBy("hash").agg(F.sum(F.col("weight") * F.col("times")).cast("long").alias("score")).filter("score > 0")
-    ordered = found.orderBy(F.desc("score"), "hash")
+    times = Counter(spark.range(1).select(tokenise(F.lit(query), stop_words)).first()[0])
+    words = spark.createDataFrame(sorted(times.items()), "token string, times long")
+    index = token_index(lib, stop_words, list(times)) if index is None else index
+    score = F.sum(F.col("weight") * F.col("times")).cast("long").alias("score")
+    ordered = index.join(F.broadcast(words), "token").groupBy("hash").agg(score).filter("score > 0").orderBy(F.desc("score"), "hash")
     return ordered.limit(limit) if limit else ordered
 
 

@@ -4,22 +4,45 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def one_patch(patches: DataFrame, given: list[str]) -> DataFrame:
+    """One row per hash: _hash, _keys, _<column> for each of ``given``, and _new if there is new_hash.
+
+    Patches of one hash are merged column by column. Where several set a column, that of
+    the largest ``seq`` counts (a column that patches may have), then the largest value.
+    """
+    seq = F.col("seq") if "seq" in patches.columns else F.lit(0)
+
+    def last(c: str) -> Column:
+        sets = F.array_contains("keys", c) if c in given else F.col(c).isNotNull()
+        return F.max(F.when(sets, F.struct(seq.alias("seq"), F.col(c).alias("value"))))
+
+    columns = [last(c)["value"].alias(f"_{c}") for c in given]
+    if "new_hash" in patches.columns:
+        columns.append(last("new_hash")["value"].alias("_new"))
+    keys = F.array_distinct(F.flatten(F.collect_set("keys")))  # names of columns: few
+    return patches.groupBy(F.col("hash").alias("_hash")).agg(keys.alias("_keys"), *columns)
+
+
 def upsert(media: DataFrame, patches: DataFrame) -> DataFrame:
     """K1: ``patches`` have hash, any media columns, and keys, the names of the columns that the patch sets.
 
     A listed column takes the patch's value, null included; others keep theirs. Unknown
-    hashes are inserted. ``new_hash``, if there, renames.
+    hashes are inserted. ``new_hash``, if there, renames. Patches may repeat a hash
+    (``one_patch``).
     """
     given = [c for c in media.columns if c in patches.columns and c != "hash"]
-    p = patches.select(F.col("hash").alias("_hash"), F.col("keys").alias("_keys"), *[F.col(c).alias(f"_{c}") for c in given], *([F.col("new_hash").alias("_new")] if "new_hash" in patches.columns else []))
-    both = media.join(p, F.col("hash") == F.col("_hash"), "full_outer")
-    value = lambda c: F.when(F.array_contains("_keys", c), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c)
-    names = [F.col("_new")] if "new_hash" in patches.columns else []
-    return both.select(*[F.coalesce(*names, "hash", "_hash").alias("hash") if c == "hash" else value(c) for c in media.columns])
+    both = media.join(one_patch(patches, given), F.col("hash") == F.col("_hash"), "full_outer")
+
+    def value(c: str) -> Column:
+        if c == "hash":
+            return F.coalesce(*["_new"] * ("new_hash" in patches.columns), "hash", "_hash").alias("hash")
+        return F.when(F.array_contains("_keys", c), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c)
+
+    return both.select(*map(value, media.columns))
 
 
 def bulk_update(media: DataFrame, matches: DataFrame, patch: dict[str, Any]) -> tuple[DataFrame, int]:

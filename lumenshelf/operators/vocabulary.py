@@ -32,6 +32,6 @@ def remove_words(vocabulary: DataFrame, bridge: DataFrame, gone: DataFrame, colu
 
 
 def replace_sets(bridge: DataFrame, new: DataFrame, column: str) -> DataFrame:
-    """H5: ``new`` (hash, words) replaces the whole set of each of its media; an empty list clears it."""
+    """H5: ``new`` (hash, words) replaces the whole set of each of its media; an empty or null list clears it. A repeated hash gets the union of its lists."""
     kept = bridge.join(new.select(F.col("hash").alias("media_hash")), "media_hash", "left_anti").select("media_hash", column)
-    return kept.unionByName(new.select(F.col("hash").alias("media_hash"), F.explode(F.array_distinct("words")).alias(column)))
+    return kept.unionByName(new.select(F.col("hash").alias("media_hash"), F.explode("words").alias(column)).distinct())

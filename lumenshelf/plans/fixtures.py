@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SPARK = {
     "s": "string", "sha": "sha2(text, 256)", "ints": "array", "none": "cast(array() as array<int>)",
-    "words": "explode(slice(split(lower(text), ' '), 1, 8))",
+    "words": "explode(array_distinct(split(lower(text), ' ')))", "strings": "array",
 }
 _DUCK = {
     "s": "varchar", "sha": "sha256(text)", "ints": "list_value", "none": "cast([] as integer[])",
-    "words": "unnest(string_split(lower(text), ' ')[1:8])",
+    "words": "unnest(list_distinct(string_split(lower(text), ' ')))", "strings": "list_value",
 }
 
 VIEWS = {
@@ -24,21 +24,28 @@ VIEWS = {
         1700000000 + 60 * d.doc_id AS hash_date,
         cast(CASE WHEN l.doc_id IS NOT NULL THEN 1 + 2 * quality + 2 - 2 * toxic - CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END END AS int) AS rating,
         CASE d.doc_id % 20 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS corrupted,
-        CASE WHEN d.doc_id % 4 >= 2 THEN concat(substr({sha}, 1, 63), cast(d.doc_id % 4 AS {s})) END AS phash,
+        CASE WHEN d.doc_id % 4 >= 2 AND d.doc_id % 24 <> 2 THEN concat(substr({sha}, 1, 63), cast(d.doc_id % 4 AS {s})) END AS phash,
         cast(NULL AS {s}) AS duplicate_of,
         d.doc_id % 3 > 0 AS thumbnail,
+        CASE WHEN d.doc_id % 3 > 0 THEN d.doc_id % 2 = 0 END AS thumbnail_optimised,
+        CASE WHEN d.doc_id % 4 = 0 THEN d.doc_id % 8 = 0 END AS preview,
+        CASE WHEN d.doc_id % 8 = 0 THEN d.doc_id % 16 = 0 END AS preview_optimised,
+        cast(CASE d.doc_id % 6 WHEN 1 THEN 90 WHEN 2 THEN 180 ELSE 0 END AS int) AS rotation,
+        CASE WHEN d.doc_id % 4 >= 2 AND d.doc_id % 3 = 0 THEN {strings}(concat('auto-', source), 'sky') END AS auto_tags,
+        CASE WHEN d.doc_id % 4 = 0 THEN d.doc_id % 12 = 0 END AS max_copy,
+        CASE WHEN d.doc_id % 4 = 0 THEN 'h264' END AS codec,
         cast(CASE WHEN d.doc_id % 50 <> 7 THEN CASE d.doc_id % 5 WHEN 0 THEN 426 WHEN 1 THEN 853 WHEN 2 THEN 1280 WHEN 3 THEN 1920 ELSE 3840 END END AS int) AS width,
         cast(CASE WHEN d.doc_id % 50 <> 7 THEN CASE d.doc_id % 5 WHEN 0 THEN 240 WHEN 1 THEN 480 WHEN 2 THEN 720 WHEN 3 THEN 1080 ELSE 2160 END END AS int) AS height,
         cast(CASE WHEN d.doc_id % 50 <> 7 AND d.doc_id % 4 = 0 THEN n_chars END AS int) AS length,
         CASE WHEN d.doc_id % 50 <> 7 AND d.doc_id % 7 <> 0 THEN source END AS artist,
         CASE WHEN d.doc_id % 50 <> 7 THEN lang END AS album,
-        CASE WHEN d.doc_id % 50 <> 7 THEN substr(text, 1, 60) END AS title,
+        CASE WHEN d.doc_id % 50 <> 7 THEN text END AS title,
         CASE WHEN d.doc_id % 50 <> 7 AND d.doc_id % 11 <> 0 THEN 1700000000 + 60 * d.doc_id END AS created_at,
         CASE WHEN d.doc_id % 50 <> 7 AND d.doc_id % 4 = 0 THEN CASE d.doc_id % 3 WHEN 0 THEN {none} WHEN 1 THEN {ints}(240) ELSE {ints}(240, 480) END END AS quality_cache
       FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     "media_tags": "SELECT DISTINCT media_hash, tag_id FROM (SELECT md5(cast(doc_id AS {s})) AS media_hash, {words} AS tag_id FROM {documents}) t WHERE length(tag_id) > 1",
     "media_actors": "SELECT md5(cast(doc_id AS {s})) AS media_hash, concat('actor ', cast(doc_id % 97 AS {s})) AS actor_id FROM {documents} WHERE doc_id % 3 = 0",
-    "media_playlists": "SELECT md5(cast((conv_id * 7 + turn) % 200 AS {s})) AS media_hash, concat('pl-', cast(conv_id AS {s})) AS playlist_id, cast(turn AS int) AS position FROM {conversations}",
+    "media_playlists": "SELECT md5(cast(conv_id * 10 + turn AS {s})) AS media_hash, concat('pl-', cast(conv_id AS {s})) AS playlist_id, cast(turn AS int) AS position FROM {conversations}",
     "media_deleted": "SELECT md5(cast(d.doc_id AS {s})) AS hash, concat(lang, '/', source, '/', cast(d.doc_id AS {s}), '.gone') AS path FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE toxic = 1",
     "listing": """
       SELECT concat(lang, '/', source, '/', cast(doc_id AS {s}), CASE doc_id % 4 WHEN 0 THEN '.mp4' WHEN 1 THEN '.gif' WHEN 2 THEN '.jpg' ELSE '.PNG' END) AS path FROM {documents} WHERE doc_id % 10 <> 3

@@ -1,7 +1,14 @@
-"""Cutting lineage in storage that survives lost executors."""
+"""Cutting lineage in storage that survives lost executors.
+
+Intermediate tables live under the folder that the session names in
+``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary folder,
+as in tests; on a cluster it is an error, since executors would not see a folder of
+the driver.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors reach; one of our own only where the session names none."""
+    """The folder that the driver and all executors reach."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
         found = tempfile.mkdtemp(prefix="lumenshelf-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -21,9 +31,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def settled(df: DataFrame, name: str = "settled") -> DataFrame:
+    """``df`` computed once, written to the shared folder and read back."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

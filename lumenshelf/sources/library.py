@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +14,7 @@ from ..functions.scalars import media_type
 
 
 def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """A1: (path relative to ``root``, length, modificationTime[, content]) of files of known types; contents are not read unless asked for."""
+    """A1: (path relative to ``root``, length, modificationTime[, content]) of files of known types; contents are not read unless asked for. Empty files are no media; the file source leaves them out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.split(":", 1)[-1].lstrip("/").rstrip("/") + "/"
     relative = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/+", "")
@@ -17,6 +22,28 @@ def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFra
     return out.filter(media_type(F.col("path")).isNotNull()).select("path", "length", "modificationTime", *(["content"] if content else []))
 
 
+def _write_files(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                place = f"{base.rstrip('/')}/{path}"
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                # a task that is run again puts the same file in place of its first try's
+                part = f"{place}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as f:
+                    f.write(content or b"")
+                store.move(part, place)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    return run
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Writes ``files`` (path, content) below ``root``, a folder that all executors reach; returns how many there are. Paths are unique."""
+    return files.select("path", "content").mapInArrow(_write_files(root), "path string").count()
+
+
 def sidecar(text: Column) -> Column:
     """A5: struct(artist, album, title) of a sidecar JSON text; a value may be a text or an object with a name; bad JSON gives nulls."""
 
