@@ -155,7 +155,10 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_messages(messages: DataFrame) -> DataFrame:
     """One row per message (conv_id, turn, role, parts): formatted, spans, attachments, attachment_tokens."""
     tune(messages.sparkSession)
-    return messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("parts").cast(PARTS_DDL)).mapInArrow(_format, FORMATTED_DDL)
+    return messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("parts").cast(PARTS_DDL)).mapInArrow(
+        _format,
+        FORMATTED_DDL,
+    )
 
 
 def text_messages(turns: DataFrame) -> DataFrame:
@@ -177,7 +180,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         cols = list(zip(*done, strict=True)) or [[]] * 6
-        made = pa.RecordBatch.from_arrays([pa.array(c, pa.string() if "sha256" in n else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names)
+        made = pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.string() if "sha256" in n else pa.int64()) for c, n in zip(cols, names, strict=True)],
+            names=names,
+        )
         done.clear()
         return made
 

@@ -1,20 +1,12 @@
-"""Helpers that several operators of this subpackage share.
-
-Shared-storage rule: intermediate tables live under the folder that the session
-names in ``spark.checkpoint.dir``. Where that is unset, a local master gets a
-temporary folder, as in tests; on a cluster it is an error, since executors would
-not see a folder of the driver.
-"""
+"""Helpers that several operators of this subpackage share. Intermediate tables live where ``plans.lineage`` puts them."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import new_folder
+
 #: Rows and bytes in one Arrow batch: a batch of long texts must fit a Python worker.
 ARROW_ROWS = 512
 ARROW_BYTES = 16 << 20
@@ -39,26 +31,10 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors reach."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
-        found = tempfile.mkdtemp(prefix="lumenshelf-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: ends its lineage, computes it once."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumen_path = path  # for drop()

@@ -115,7 +115,14 @@ def item_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     made = cut(with_template(texts.withColumn("part", F.xxhash64("text")), "text", raws=True), "item-templates")
     rows = made.select("item_id", "part", "words", "raws", F.posexplode_outer("windows").alias("pos", "h"))
     part = lambda c: F.slice(c, F.col("pos") + 1, F.lit(WIDTH))
-    rows = rows.filter(plain(part("words")) >= LEAST_WORDS).select("item_id", "part", "pos", F.lit(WIDTH).alias("span"), "h", part("raws").alias("raws"))
+    rows = rows.filter(plain(part("words")) >= LEAST_WORDS).select(
+        "item_id",
+        "part",
+        "pos",
+        F.lit(WIDTH).alias("span"),
+        "h",
+        part("raws").alias("raws"),
+    )
     bare = made.join(rows.select("item_id", "part").distinct(), ["item_id", "part"], "left_anti").filter(plain(F.col("words")) >= LEAST_WORDS)
     whole = bare.select("item_id", "part", F.lit(0).alias("pos"), F.size("words").alias("span"), _whole(F.col("words")).alias("h"), "raws")
     return rows.unionByName(whole).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
@@ -132,17 +139,29 @@ def contaminated(
     spans = sorted(r[0] for r in known.filter((F.col("pos") == 0) & (F.col("span") != WIDTH)).select("span").distinct().collect())
     by_rarity = Window.partitionBy("item_id").orderBy("among", "part", "pos")
     among = known.groupBy("h").agg(F.countDistinct("item_id").alias("among"))
-    keys = known.join(among, "h").withColumn("rank", F.row_number().over(by_rarity)).filter(F.col("rank") <= F.floor(F.lit(1 - share + 1e-9) * F.col("n")) + 1)
+    keys = known.join(among, "h").withColumn("rank", F.row_number().over(by_rarity)).filter(
+        F.col("rank") <= F.floor(F.lit(1 - share + 1e-9) * F.col("n")) + 1,
+    )
     keys = keys.select("h", "item_id").distinct()
     # a row is its id and text: rows that repeat an id are judged apart
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null").withColumn("row", F.xxhash64("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null").withColumn(
+        "row",
+        F.xxhash64("text"),
+    )
     every = ["windows", *(f"windows_{k}" for k in spans)]
     templates = with_template(texts, "text", spans=spans)
     seen = templates.select("doc_id", "row", F.explode_outer(F.concat(*every) if spans else F.col("windows")).alias("h"))
     pairs = cut(seen.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "row", "item_id").distinct(), "candidate-pairs")
     of_item = known.groupBy("item_id").agg(F.collect_list(F.struct("part", "pos", "h", "raws")).alias("item"), F.first("n").alias("n"))
     # written first: an expression that a lambda reads would be computed again for each element
-    matched = with_template(texts.join(pairs, ["doc_id", "row"]), "text", raws=True, spans=spans).select("doc_id", "row", "item_id", "words", "raws", *every)
+    matched = with_template(texts.join(pairs, ["doc_id", "row"]), "text", raws=True, spans=spans).select(
+        "doc_id",
+        "row",
+        "item_id",
+        "words",
+        "raws",
+        *every,
+    )
     found = cut(matched, "candidate-windows").join(F.broadcast(of_item) if small else of_item, "item_id")
     shared = [_shared_positions(found, column, span) for column, span in zip(every, [WIDTH, *spans], strict=True)]
     return _aligned(reduce(DataFrame.unionByName, shared), share)
@@ -151,7 +170,9 @@ def contaminated(
 def _shared_positions(found: DataFrame, windows: str, span: int) -> DataFrame:
     """One row per window that document and item share: at, words and raws of the document's window, w (the item's)."""
     pair = ["doc_id", "row", "item_id", "n"]
-    one = found.select(*pair, "item", "words", "raws", F.posexplode_outer(windows).alias("at", "h")).filter(F.array_contains(F.col("item")["h"], F.col("h")))
+    one = found.select(*pair, "item", "words", "raws", F.posexplode_outer(windows).alias("at", "h")).filter(
+        F.array_contains(F.col("item")["h"], F.col("h")),
+    )
     part = lambda c: F.slice(c, F.col("at") + 1, F.lit(span)).alias(c)
     one = one.select(*pair, "at", "h", part("words"), part("raws"), F.explode("item").alias("w"))
     return one.filter(F.col("w.h") == F.col("h"))
@@ -162,9 +183,18 @@ def _aligned(rows: DataFrame, share: float) -> DataFrame:
     values = F.zip_with(F.col("w.raws"), "raws", lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
     slots = F.filter(F.zip_with("words", values, slot), lambda p: p.isNotNull())
     pair = ["doc_id", "row", "item_id", "n"]
-    rows = rows.select(*pair, (F.col("at") - F.col("w.pos")).alias("shift"), F.col("w.part").alias("part"), F.col("w.pos").alias("pos"), slots.alias("slots"))
+    rows = rows.select(
+        *pair,
+        (F.col("at") - F.col("w.pos")).alias("shift"),
+        F.col("w.part").alias("part"),
+        F.col("w.pos").alias("pos"),
+        slots.alias("slots"),
+    )
     # an occurrence has at most one row for each window of the item's text and copy of the document
-    once = rows.groupBy(*pair, "part", "shift").agg(F.collect_set("pos").alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    once = rows.groupBy(*pair, "part", "shift").agg(
+        F.collect_set("pos").alias("found"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+    )
     once = once.filter(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))))
     total = once.select(*pair, "part", F.explode("found").alias("pos")).groupBy(*pair).agg(F.countDistinct("part", "pos").alias("matched"))
     total = total.filter(F.col("matched") >= F.lit(share) * F.col("n") - 1e-9)

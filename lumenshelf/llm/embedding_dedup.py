@@ -200,7 +200,10 @@ def _linked(classes: DataFrame, cosine: float, recall: float, width: float, seed
         rows = rows.join(F.broadcast(large), "node", "left")
     else:
         rows = lookup(rows, large, "node", "size")
-    likely = _in_blocks(rows.withColumn("size", F.coalesce("size", F.lit(1))), block).mapInArrow(_likely(likely_bits(cosine)), "class_key long, node long, table int")
+    likely = _in_blocks(rows.withColumn("size", F.coalesce("size", F.lit(1))), block).mapInArrow(
+        _likely(likely_bits(cosine)),
+        "class_key long, node long, table int",
+    )
     likely = cut(likely.distinct(), "likely-vectors")
     counts = cut(likely.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "likely-buckets")
     wanted = likely.select("class_key").distinct().join(classes, "class_key").join(coded.select("class_key", "marks"), "class_key")
@@ -222,9 +225,15 @@ def near_duplicates(
     # 128 bits of label and vector
     key = F.struct(F.xxhash64("label", "vector").alias("a"), F.xxhash64(F.lit(seed), "vector", "label").alias("b"))
     ids = rows.select("vec_id", F.when(F.col("vector").isNotNull(), key).alias("key"))
-    one = rows.filter(F.col("vector").isNotNull()).groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    one = rows.filter(F.col("vector").isNotNull()).groupBy("label", "vector").agg(
+        F.min("vec_id").alias("first"),
+        F.count(F.lit(1)).alias("copies"),
+    )
     # written at once, so the numbers never change
-    classes = cut(one.select(F.monotonically_increasing_id().alias("class_key"), key.alias("key"), "label", "vector", "first", "copies"), "vector-classes")
+    classes = cut(
+        one.select(F.monotonically_increasing_id().alias("class_key"), key.alias("key"), "label", "vector", "first", "copies"),
+        "vector-classes",
+    )
     found = _linked(classes.select("class_key", "label", "vector", "copies"), cosine, recall, width, seed, block)
     links = found.filter("other is null").groupBy("class_key").agg(F.sum("links").alias("links"))
     edges = found.filter("other is not null").select(F.col("class_key").alias("a"), F.col("other").alias("b"))
@@ -234,7 +243,10 @@ def near_duplicates(
     least = lookup(joined.select("class_key", "component"), groups, "component", "n", "inner").select("class_key", "least")
     of_class = classes.select("class_key", "key", "copies", "first").join(links, "class_key", "left").join(least, "class_key", "left")
     n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
-    of_class = cut(of_class.select("key", "copies", n_links.alias("n_links"), F.coalesce("least", "first").alias("component_id")), "vector-classes-linked")
+    of_class = cut(
+        of_class.select("key", "copies", n_links.alias("n_links"), F.coalesce("least", "first").alias("component_id")),
+        "vector-classes-linked",
+    )
     out = lookup(ids, of_class, "key", "copies")
     component = F.coalesce("component_id", "vec_id")
     kept = F.coalesce(F.col("vec_id") == component, F.lit(True))

@@ -314,7 +314,10 @@ def near_duplicates(
     found = _linked(classes, texts, threshold, width, depth, leaf, block, set_block)
     links = found.filter("other is null").groupBy("class_key").agg(F.sum("links").alias("links"))
     edges = found.filter("other is not null").select(F.col("class_key").alias("a"), F.col("other").alias("b"))
-    joined = cut(components(edges, "linked").withColumnRenamed("node", "class_key").join(classes.select("class_key", "first"), "class_key"), "joined")
+    joined = cut(
+        components(edges, "linked").withColumnRenamed("node", "class_key").join(classes.select("class_key", "first"), "class_key"),
+        "joined",
+    )
     groups = cut(joined.groupBy("component").agg(F.min("first").alias("leader"), F.count(F.lit(1)).alias("n")), "groups")
     leaders = lookup(joined.select("class_key", "component"), groups, "component", "n", "inner").select("class_key", "leader")
     per_class = classes.select("class_key", "digest", "first", "copies").join(links, "class_key", "left").join(leaders, "class_key", "left")

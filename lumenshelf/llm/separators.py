@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, table, tune
+from ..plans.lineage import new_folder
+from .common import cut, remove, table, tune
 from .storage import SharedFile, open_read
 from .tokens import END_ID, bpe, vocabulary_path
 
@@ -43,7 +44,15 @@ def _write(path: str, folder: str, file_bytes: int):
 
         def close() -> pa.RecordBatch:
             uri = out.close()
-            return pa.RecordBatch.from_arrays([pa.array([uri] * len(ids)), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array([out.size] * len(ids), pa.int64())], names=["file", "ordinal", "doc_id", "bytes"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([uri] * len(ids)),
+                    pa.array(range(len(ids)), pa.int64()),
+                    pa.array(ids, pa.int64()),
+                    pa.array([out.size] * len(ids), pa.int64()),
+                ],
+                names=["file", "ordinal", "doc_id", "bytes"],
+            )
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -65,7 +74,10 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """Writes flat token files; returns which document is which of a file: (file, ordinal, doc_id, bytes of the file)."""
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cut(rows.mapInArrow(_write(path or vocabulary_path(), folder, file_bytes), "file string, ordinal long, doc_id long, bytes long"), "token-files")
+    return cut(
+        rows.mapInArrow(_write(path or vocabulary_path(), folder, file_bytes), "file string, ordinal long, doc_id long, bytes long"),
+        "token-files",
+    )
 
 
 def _scan(end_id: int, block: int):
@@ -85,23 +97,56 @@ def _scan(end_id: int, block: int):
 
 def count_tokens(files: DataFrame, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
     """One row (file, ordinal, n_tokens, terminated) per document in ``files`` (file, bytes)."""
-    blocks = files.filter("bytes > 0").select("file", F.explode(F.sequence(F.lit(0), F.ceil(F.col("bytes") / (block * WIDTH)).cast("long") - 1)).alias("block"), "bytes")
-    found = cut(blocks.repartition("file", "block").mapInArrow(_scan(end_id, block), "file string, block long, n long, first long, last long, inner array<long>").withColumn("group", F.floor(F.col("block") / GROUP)), "blocks")
+    blocks = files.filter("bytes > 0").select(
+        "file",
+        F.explode(F.sequence(F.lit(0), F.ceil(F.col("bytes") / (block * WIDTH)).cast("long") - 1)).alias("block"),
+        "bytes",
+    )
+    found = cut(
+        blocks.repartition("file", "block").mapInArrow(
+            _scan(end_id, block),
+            "file string, block long, n long, first long, last long, inner array<long>",
+        ).withColumn("group", F.floor(F.col("block") / GROUP)),
+        "blocks",
+    )
     # prefix scan of (number of ends, last end): within groups, then over each file's groups
     before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     groups = found.groupBy("file", "group").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-    groups = groups.select("file", "group", F.coalesce(F.sum("n").over(before("file", "group")), F.lit(0)).alias("group_n"), F.max("last").over(before("file", "group")).alias("group_last"))
+    groups = groups.select(
+        "file",
+        "group",
+        F.coalesce(F.sum("n").over(before("file", "group")), F.lit(0)).alias("group_n"),
+        F.max("last").over(before("file", "group")).alias("group_last"),
+    )
     within = before("file", "group", "block")
-    scanned = found.withColumn("my_n", F.coalesce(F.sum("n").over(within), F.lit(0))).withColumn("my_last", F.max("last").over(within)).join(groups, ["file", "group"])
+    scanned = found.withColumn("my_n", F.coalesce(F.sum("n").over(within), F.lit(0))).withColumn("my_last", F.max("last").over(within)).join(
+        groups,
+        ["file", "group"],
+    )
     start = F.coalesce("my_last", "group_last", F.lit(-1))
-    ended = scanned.filter("n > 0").select("file", (F.col("group_n") + F.col("my_n")).alias("base"), F.posexplode(F.concat(F.array(F.col("first") - start - 1), F.col("inner"))).alias("k", "n_tokens"))
+    ended = scanned.filter("n > 0").select(
+        "file",
+        (F.col("group_n") + F.col("my_n")).alias("base"),
+        F.posexplode(F.concat(F.array(F.col("first") - start - 1), F.col("inner"))).alias("k", "n_tokens"),
+    )
     ended = ended.select("file", (F.col("base") + F.col("k")).alias("ordinal"), "n_tokens", F.lit(True).alias("terminated"))
-    tails = found.groupBy("file").agg(F.sum("n").alias("ordinal"), F.coalesce(F.max("last"), F.lit(-1)).alias("last")).join(files.select("file", "bytes"), "file")
-    tails = tails.select("file", "ordinal", (F.col("bytes") / WIDTH - F.col("last") - 1).cast("long").alias("n_tokens"), F.lit(False).alias("terminated")).filter("n_tokens > 0")
+    tails = found.groupBy("file").agg(F.sum("n").alias("ordinal"), F.coalesce(F.max("last"), F.lit(-1)).alias("last")).join(
+        files.select("file", "bytes"),
+        "file",
+    )
+    tails = tails.select(
+        "file",
+        "ordinal",
+        (F.col("bytes") / WIDTH - F.col("last") - 1).cast("long").alias("n_tokens"),
+        F.lit(False).alias("terminated"),
+    ).filter("n_tokens > 0")
     return ended.unionByName(tails)
 
 
 def op4_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = write_tokens(table(spark, sf_dir, "documents"), new_path(spark, "tokens"))
+    folder = new_folder(spark, "tokens")
+    written = write_tokens(table(spark, sf_dir, "documents"), folder)
     files = cut(written.select("file", "bytes").distinct(), "token-file-sizes")
-    return written.select("file", "ordinal", "doc_id").join(count_tokens(files), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    counts = count_tokens(files)
+    remove(spark, folder)  # the blocks' reports are all that is read from here on
+    return written.select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -193,7 +193,14 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         terms = list(held[1].keys() | held[0].keys())
-        done = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([held[1][t] for t in terms], pa.int64()), pa.array([held[0][t] for t in terms], pa.int64())], names=["term", "toxic", "clean"])
+        done = pa.RecordBatch.from_arrays(
+            [
+                pa.array(terms, pa.string()),
+                pa.array([held[1][t] for t in terms], pa.int64()),
+                pa.array([held[0][t] for t in terms], pa.int64()),
+            ],
+            names=["term", "toxic", "clean"],
+        )
         held[0].clear()
         held[1].clear()
         return done
@@ -417,7 +424,12 @@ def with_labels(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 def predictions(docs: DataFrame, labels: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``; learns from ``fit_on`` or ``docs``."""
     model = fit(with_labels(docs if fit_on is None else fit_on, labels))
-    return score(docs, model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, model).select(
+        "doc_id",
+        (fold(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,12 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html", spelling:
     meta = F.regexp_extract(body, r"(?is)(<meta\b[^>]*\shttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
     refresh = F.regexp_extract(meta, r"(?is)url\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)
     based = _attribute(F.regexp_extract(body, r"(?is)(<base\b[^>]*>)", 1), "href")
-    rows = pages.select(F.col(url).alias("src"), _decoded(based).alias("base"), _decoded(_attribute(link, "href")).alias("link"), _decoded(refresh).alias("refresh"))
+    rows = pages.select(
+        F.col(url).alias("src"),
+        _decoded(based).alias("base"),
+        _decoded(_attribute(link, "href")).alias("link"),
+        _decoded(refresh).alias("refresh"),
+    )
     base = F.when(F.col("base") != "", F.coalesce(resolved(F.col("base"), F.col("src")), "src")).otherwise(F.col("src"))
     targets = [resolved(F.col(c), F.col("base")) for c in ("link", "refresh")] + [canonical_url(F.col("src"))] * spelling
     out = rows.withColumn("base", base).select("src", F.explode(F.array(*targets)).alias("dst"))
@@ -134,13 +139,20 @@ def judge(urls: DataFrame, edges: DataFrame, rules: Sequence[Rule] = RULES, id_c
     128-bit digests of the URLs. A URL in no edge is its own component.
     """
     node = F.md5(F.col(url_col))
-    rows = urls.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.when(F.col(url_col).contains("://"), node).alias("node"))
+    rows = urls.select(
+        F.col(id_col).alias("id"),
+        host_of(F.col(url_col)).alias("host"),
+        path_of(F.col(url_col)).alias("path"),
+        F.when(F.col(url_col).contains("://"), node).alias("node"),
+    )
     rows = rows.withColumn("hit", rule_for(F.col("host"), F.col("path"), rules))
     links = edges.select(F.md5("src").alias("a"), F.md5("dst").alias("b"))
     comp = cut(components(links, "alias-edges"), "alias-components")
     # what the rules say of each node; link targets count even where they have no row
     named = edges.select(F.explode(F.array("src", "dst")).alias("u"))
-    named = named.select(F.md5("u").alias("node"), rule_for(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("v")).filter(F.col("v").isNotNull())
+    named = named.select(F.md5("u").alias("node"), rule_for(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("v")).filter(
+        F.col("v").isNotNull(),
+    )
     said = named.groupBy("node").agg(F.max(F.col("v") == "allow").alias("allows"))
     # a component may hold a third of all nodes
     by_comp = comp.join(said, "node", "left").groupBy("component").agg(F.max("allows").alias("allows"), F.count(F.lit(1)).alias("members"))

@@ -33,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, lookup, new_path, table, tune
+from ..plans.lineage import new_folder
+from .common import cut, drop, lookup, table, tune
 from .storage import SharedFile, open_read
 from .url_filters import host_of, path_of
 
@@ -234,7 +235,15 @@ def _merge_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     whole = pa.Table.from_batches(held)
     files = whole.column("file").to_pylist()
     # a null id comes first
-    keys = list(zip(whole.column("url_key").to_pylist(), whole.column("ts").to_pylist(), [(-1 << 63) - 1 if x is None else x for x in whole.column("id").to_pylist()], range(len(files)), strict=True))
+    keys = list(
+        zip(
+            whole.column("url_key").to_pylist(),
+            whole.column("ts").to_pylist(),
+            [(-1 << 63) - 1 if x is None else x for x in whole.column("id").to_pylist()],
+            range(len(files)),
+            strict=True,
+        ),
+    )
     runs: dict[str, list] = {}
     for f, k in zip(files, keys, strict=True):
         runs.setdefault(f, []).append(k)
@@ -269,13 +278,27 @@ def capture_history(pages: DataFrame, folder: str, id_col: str = "page_id", url_
     read = read_archives(files)
     real = F.when(F.col("payload").isNotNull(), base32_sha1(F.col("payload"))).otherwise(F.col("declared_digest"))
     checked = F.when(real == F.col("declared_digest"), real).otherwise(F.raise_error(F.concat(F.lit("damaged payload in "), F.col("file"))))
-    index = cut(read.select("file", "seq", url_key(F.col("url")).alias("url_key"), "ts", "id", "url", "record_type", "refers_to", "payload_bytes", checked.cast("string").alias("digest")), "capture-index")
+    index = cut(
+        read.select(
+            "file",
+            "seq",
+            url_key(F.col("url")).alias("url_key"),
+            "ts",
+            "id",
+            "url",
+            "record_type",
+            "refers_to",
+            "payload_bytes",
+            checked.cast("string").alias("digest"),
+        ),
+        "capture-index",
+    )
     drop(files)
     return merge_runs(index)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = capture_history(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    merged = capture_history(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
     return merged.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
