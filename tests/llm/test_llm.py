@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenshelf.llm import chat, decontaminate, embedding_dedup, jaccard_join, licences, packing, queries, separators, tokens, toxicity, url_filters, warc
-from lumenshelf.llm.common import components
+from lumenshelf.llm.common import components, cut, lookup
 from lumenshelf.llm.shingles import words
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +27,10 @@ def sentence(n):
 
 def docs(spark, rows):
     """With columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, 1, "x", 2, "y") for i, t in rows], "doc_id long, text string, score int, digest string, n int, node string")
+    return spark.createDataFrame(
+        [(i, t, 1, "x", 2, "y") for i, t in rows],
+        "doc_id long, text string, score int, digest string, n int, node string",
+    )
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -49,13 +52,42 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
 
 
+def test_lookup(spark):
+    """Hot, cold, unknown and null keys."""
+    rows = [(i, "hot" if i % 3 else "k" + str(i % 70) if i % 2 else None) for i in range(4000)]
+    big = spark.createDataFrame(rows, "i int, k string").repartition(5)
+    per_key = cut(big.filter("k <> 'k3'").groupBy("k").agg(F.count("i").alias("n"), F.min("i").alias("least")), "keys")
+    known = {r["k"]: (r["n"], r["least"]) for r in per_key.collect()}
+    for how in ("left", "inner"):
+        got = {r["i"]: (r["n"], r["least"]) for r in lookup(big, per_key, "k", "n", how).select("i", "n", "least").collect()}
+        assert got == {i: known.get(k, (None, None)) for i, k in rows if how == "left" or k in known}
+        assert lookup(big, per_key, "k", "n", how).count() == len(got)
+
+
 # ---- 1 ------------------------------------------------------------------------------
 
 
 def test_decontaminate(spark):
-    items = spark.createDataFrame([(1, "A farmer named John has 12 apples and gives 5 kg of pears to his friend Mary before John walks 3 km home.", 0), (2, None, 0), (3, "too short", 0), (None, "a b c d e f g", 0)], "item_id long, text string, words int")
+    items = spark.createDataFrame(
+        [
+            (1, "A farmer named John has 12 apples and gives 5 kg of pears to his friend Mary before John walks 3 km home.", 0),
+            (2, None, 0),
+            (3, "too short", 0),
+            (None, "a b c d e f g", 0),
+        ],
+        "item_id long, text string, words int",
+    )
     same = "A farmer named Peter has 30 apples and gives 7 lb of pears to his friend Susan before Peter walks 9 mi home."
-    rows = [(1, "Hello. " + same + " Bye"), (2, same.replace("before Peter", "before Anna")), (3, ""), (4, None), (None, same), (5, "x " * 50_000 + same), (5, same), (6, same[:40])]
+    rows = [
+        (1, "Hello. " + same + " Bye"),
+        (2, same.replace("before Peter", "before Anna")),
+        (3, ""),
+        (4, None),
+        (None, same),
+        (5, "x " * 50_000 + same),
+        (5, same),
+        (6, same[:40]),
+    ]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, rows), items).collect()}
     assert got == {(1, 1), (5, 1)}
     assert decontaminate.contaminated(docs(spark, []), items).count() == 0 == decontaminate.contaminated(docs(spark, rows), items.limit(0)).count()
@@ -82,8 +114,19 @@ def test_decontaminate_repeated_documents(spark):
 
 
 def test_decontaminate_short_items(spark):
-    items = spark.createDataFrame([(1, "solve the riddle"), (2, "Add 3 to 4 and 5 to 6 , 7 8 9 ."), (3, "is 5 odd"), (4, "1 2 3 4 5 6")], "item_id long, text string")
-    rows = [(1, "Please. Solve the riddle now"), (2, "so add 10 to 20 and 30 to 40 , 50 60 70 ."), (3, "add 3 to 3 and 3 to 3, 3 3 3"), (4, "is 5 odd"), (5, "solve a riddle"), (6, "the riddle"), (7, "Add 3 to 4 and 3 to 6, 7 8 9")]
+    items = spark.createDataFrame(
+        [(1, "solve the riddle"), (2, "Add 3 to 4 and 5 to 6 , 7 8 9 ."), (3, "is 5 odd"), (4, "1 2 3 4 5 6")],
+        "item_id long, text string",
+    )
+    rows = [
+        (1, "Please. Solve the riddle now"),
+        (2, "so add 10 to 20 and 30 to 40 , 50 60 70 ."),
+        (3, "add 3 to 3 and 3 to 3, 3 3 3"),
+        (4, "is 5 odd"),
+        (5, "solve a riddle"),
+        (6, "the riddle"),
+        (7, "Add 3 to 4 and 3 to 6, 7 8 9"),
+    ]
     got = decontaminate.contaminated(docs(spark, rows), items).collect()
     # 3: one value for each slot is consistent; 7: too, as no slot of the item repeats
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 2), (3, 2), (7, 2)]
@@ -99,6 +142,10 @@ def test_vocabularies_agree():
     texts = TEXTS + [sentence(30) + "." for _ in range(50)]
     assert all((x == y).all() and len(x) == len(y) for x, y in zip(a.encode(texts), b.encode(texts), strict=True))
     assert all(list(x) == list(y) for x, y in zip(a.encode(texts, special=False), b.encode(texts, special=False), strict=True))
+    bits = ["<|endoftext|>", "<|endoftext", "'ll", " ", "  ", "\n", "1234", "\u0301", "\u200d", "\U0001f469", "\xa0", "\x00"]
+    char = lambda: chr(RNG.choice([RNG.randrange(32, 0x250), RNG.randrange(0x250, 0xD800), RNG.randrange(0xE000, 0x11000)]))
+    fuzz = ["".join(RNG.choice(bits) if RNG.random() < 0.2 else char() for _ in range(RNG.randrange(40))) for _ in range(3000)]
+    assert all(list(x) == list(y) for x, y in zip(a.encode(fuzz), b.encode(fuzz), strict=True))
 
 
 def test_packing_keeps_every_id(spark):
@@ -299,7 +346,14 @@ def test_chat_edges(spark):
 def test_licences(spark):
     assert all(any(a in licences.SENTENCES[n].lower() for n in rule for a in licences.ANCHORS) for rules in licences.RULES.values() for rule in rules)
     mit = "\n".join(licences.SENTENCES[n] for n in ("mit-grant", "mit-notice", "mit-warranty"))
-    rows = [(1, "Hi.\n" + mit), (2, None), (3, ""), (4, "x. " * 20_000 + "\nreleased under  the MIT licence\nReleased under the MIT License.\nReleased under the MIT License."), (5, "\n".join(reversed(mit.split("\n")))), (None, "Licensed under CC BY 4.0.")]
+    rows = [
+        (1, "Hi.\n" + mit),
+        (2, None),
+        (3, ""),
+        (4, "x. " * 20_000 + "\nreleased under  the MIT licence\nReleased under the MIT License.\nReleased under the MIT License."),
+        (5, "\n".join(reversed(mit.split("\n")))),
+        (None, "Licensed under CC BY 4.0."),
+    ]
     got = sorted((str(r["doc_id"]), r["licence"], r["sentences"]) for r in licences.scan(docs(spark, rows)).collect())
     assert got == [("1", "MIT", len(licences._OF["mit-grant"]) + len(licences._OF["mit-notice"]) + len(licences._OF["mit-warranty"])), ("4", "MIT", 1), ("4", "MIT", 1), ("None", "CC-BY-4.0", 1)]
     assert licences.scan(docs(spark, [])).count() == 0
@@ -323,6 +377,21 @@ def test_licences_wrapped_and_commented():
     assert found((unknown * 2 + "\n\n").join(mit)) == ["MIT"] and found((unknown * 3 + "\n\n").join(mit)) == []
 
 
+def test_licence_rules_are_brute_force():
+    """Sequences of sentences as strings, rules as patterns: a letter per identifier, a zero per unknown sentence."""
+    letter = {k: chr(0x100 + k) for k in licences.NUMBER.values()}
+    for _ in range(400):
+        rules = RNG.choices(licences.ORDERED, k=4)
+        ids = [x for _, rule in rules for k in rule if RNG.random() < 0.95 for x in [k] + [0] * RNG.choice([0, 0, 1, 2, 3])]
+        text, want = "".join(letter.get(k, "0") for k in ids), []
+        for licence, rule in licences.ORDERED:
+            pattern = f"0{{0,{licences.GAP}}}".join(letter[k] for k in rule)
+            for m in re.finditer(pattern, text):
+                want.append((licence, len(rule), m.start(), m.end() - 1))
+                text = text[: m.start()] + re.sub("[^0]", "#", m[0]) + text[m.end() :]
+        assert licences.match([(i, k) for i, k in enumerate(ids) if k]) == sorted(want, key=lambda m: (m[2], m[0]))
+
+
 # ---- 8 ------------------------------------------------------------------------------
 
 
@@ -331,9 +400,24 @@ def test_embeddings_are_brute_force(spark):
     centres = rng.standard_normal((5, 16))
     rows = [(i, (centres[i % 5] + rng.standard_normal(16) * 0.12).tolist(), i % 3) for i in range(150)]
     rows += [(200 + i, rows[0][1], 0) for i in range(6)]
-    rows += [(300, None, 0), (301, [0.0] * 16, 0), (302, [float("nan")] * 16, 0), (303, rows[0][1], None), (304, [1.0, None], 0), (305, [], 0), (306, [1.0, 0.0], 0)]
+    rows += [
+        (300, None, 0),
+        (301, [0.0] * 16, 0),
+        (302, [float("nan")] * 16, 0),
+        (303, rows[0][1], None),
+        (304, [1.0, None], 0),
+        (305, [], 0),
+        (306, [1.0, 0.0], 0),
+    ]
     # ids that repeat: with other vectors, with one vector, and none
-    rows += [(4, rows[7][1], 1), (4, rng.standard_normal(16).tolist(), 1), (8, rows[8][1], 2), (8, None, 2), (None, rows[0][1], 0), (None, rng.standard_normal(16).tolist(), 0)]
+    rows += [
+        (4, rows[7][1], 1),
+        (4, rng.standard_normal(16).tolist(), 1),
+        (8, rows[8][1], 2),
+        (8, None, 2),
+        (None, rows[0][1], 0),
+        (None, rng.standard_normal(16).tolist(), 0),
+    ]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, label int, links int, code string")
 
     def fine(v, label):
@@ -380,7 +464,15 @@ def test_loser_tree():
 
 
 def test_warc(spark, tmp_path):
-    rows = [(1, "http://b.org/x", "same"), (2, "http://a.org/\r\ny", "same"), (3, None, None), (4, "http://a.org/", ""), (4, "http://a.org/", ""), (5, "u", "WARC/1.1\r\n\r\n" * 9000), (None, "http://c.org/", "same")]
+    rows = [
+        (1, "http://b.org/x", "same"),
+        (2, "http://a.org/\r\ny", "same"),
+        (3, None, None),
+        (4, "http://a.org/", ""),
+        (4, "http://a.org/", ""),
+        (5, "u", "WARC/1.1\r\n\r\n" * 9000),
+        (None, "http://c.org/", "same"),
+    ]
     pages = spark.createDataFrame([(*r, 1, "k") for r in rows], "page_id long, url string, html string, seq int, digest string")
     got = warc.capture_history(pages, f"{tmp_path}/w").orderBy("range_id", "range_pos").collect()
     assert len(got) == len(rows) and [(r["url_key"], r["ts"]) for r in got] == sorted((r["url_key"], r["ts"]) for r in got)
@@ -405,9 +497,31 @@ def test_warc_takes_any_id_and_time(spark, tmp_path):
 
 
 def test_url_filters(spark):
-    urls = ["http://a.net/x", "https://EXAMPLE.net/en/1", "http://m.example.com/de/", "http://example.org/fr/z?q", "http://x.io/1", "http://x.io/2", "http://x.io/3", "no scheme", None, "http://net", "http://x.io/1", "http://" + "y" * 50_000]
+    urls = [
+        "http://a.net/x",
+        "https://EXAMPLE.net/en/1",
+        "http://m.example.com/de/",
+        "http://example.org/fr/z?q",
+        "http://x.io/1",
+        "http://x.io/2",
+        "http://x.io/3",
+        "no scheme",
+        None,
+        "http://net",
+        "http://x.io/1",
+        "http://" + "y" * 50_000,
+    ]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, rule string")
-    edges = spark.createDataFrame([("http://x.io/1", "http://a.net/x"), ("http://x.io/2", "http://x.io/1"), ("http://x.io/3", "http://x.io/4"), ("http://x.io/4", "http://bad.net/"), ("http://x.io/4", "https://example.net/en/1")], "src string, dst string")
+    edges = spark.createDataFrame(
+        [
+            ("http://x.io/1", "http://a.net/x"),
+            ("http://x.io/2", "http://x.io/1"),
+            ("http://x.io/3", "http://x.io/4"),
+            ("http://x.io/4", "http://bad.net/"),
+            ("http://x.io/4", "https://example.net/en/1"),
+        ],
+        "src string, dst string",
+    )
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.judge(pages, edges).collect()}
     assert got == {0: ("net/", "block"), 1: ("example.net/en/", "allow"), 2: ("example.com/de/", "block"), 3: ("org/fr/", "allow"), 4: (None, "block"), 5: (None, "block"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: (None, "allow"), 10: (None, "block"), 11: (None, "allow")}
     assert url_filters.judge(pages.limit(0), edges.limit(0)).count() == 0
@@ -435,7 +549,10 @@ def test_page_links(spark):
 
 
 def test_host_and_path(spark):
-    one = spark.createDataFrame([("HTTP://ÀB.Org:80?x", ), ("a://b://c/d#e",), ("://h",)], "u string").select(url_filters.host_of(F.col("u")), url_filters.path_of(F.col("u"))).collect()
+    one = spark.createDataFrame([("HTTP://ÀB.Org:80?x", ), ("a://b://c/d#e",), ("://h",)], "u string").select(
+        url_filters.host_of(F.col("u")),
+        url_filters.path_of(F.col("u")),
+    ).collect()
     assert [tuple(r) for r in one] == [("Àb.org:80", ""), ("b:", "//c/d"), ("h", "")]
     assert re.fullmatch(r"\w+", "x")
 
@@ -448,7 +565,9 @@ def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
     table = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = table.unionByName(spark.createDataFrame([(None, None, None, None, None), (10**6, None, "en", None, 0), (10**6 + 1, "", "en", "s", 0)], table.schema))
+    extra = table.unionByName(
+        spark.createDataFrame([(None, None, None, None, None), (10**6, None, "en", None, 0), (10**6 + 1, "", "en", "s", 0)], table.schema),
+    )
     clean = p.remove_toxic(spark, extra, SF)
     assert clean.columns == table.columns and clean.filter("doc_id >= 1000000 or doc_id is null").count() == 3
     kept = p.remove_near_copies(spark, clean, SF)
@@ -459,3 +578,26 @@ def test_pipeline_stages(spark):
     bad = ids(decontaminate.contaminated(kept, spark.read.parquet(f"{SF}/benchmark.parquet")))
     assert ids(bare) == ids(kept) - bad and bare.columns == table.columns
     assert ids(p.pack(spark, bare, SF)) == ids(bare)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_pipeline_keeps_rows_of_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    one, two = sentence(60), sentence(60)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [
+        (5, one, "a"),
+        (5, two, "b"),
+        (5, f"So. {item} {sentence(9)}", "c"),
+        (None, one, "d"),
+        (None, None, "e"),
+        (7, two + "!", "f"),
+        (7, "", "g"),
+        (5, two, "h"),
+        (5, two, "b"),
+    ]
+    table = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    kept = p.remove_near_copies(spark, table, SF)
+    assert sorted(r["source"] for r in kept.collect()) == list("abceg") and kept.columns == table.columns
+    assert sorted(r["source"] for r in p.remove_benchmark(spark, kept, SF).collect()) == list("abeg")
