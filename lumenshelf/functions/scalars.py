@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The known file extensions of each type.
 TYPES = {"still": ["png", "jpg", "jpeg", "bmp", "webp"], "gif": ["gif"], "video": ["avi", "mp4", "flv", "wmv", "mov", "webm", "mpeg", "mpg"]}
 
 

@@ -33,7 +33,10 @@ def stream_variants(width: Column, height: Column, cached: Column, qualities: li
     found = F.when(F.size(found) > 0, found).otherwise(F.array(height))
     rate = lambda q: q.cast("double") * q * width / height * multiplier
     rounded = (lambda q: F.ceil(rate(q) / step) * step) if step else (lambda q: F.ceil(rate(q)))
-    return F.transform(found, lambda q: F.struct(q.alias("quality"), F.ceil(width / height * q).cast("int").alias("width"), rounded(q).cast("long").alias("bandwidth")))
+    return F.transform(
+        found,
+        lambda q: F.struct(q.alias("quality"), F.ceil(width / height * q).cast("int").alias("width"), rounded(q).cast("long").alias("bandwidth")),
+    )
 
 
 def segments(keyframes: Column, length: Column, most: float = 10.0) -> Column:
@@ -53,7 +56,9 @@ def segments(keyframes: Column, length: Column, most: float = 10.0) -> Column:
         return F.when(acc["emitted"], acc["out"]).otherwise(F.concat(acc["out"], end))
 
     folded = F.aggregate(F.slice(k, F.lit(2), F.greatest(F.size(k) - 1, F.lit(0))), start, step, close)
-    lead = F.when(F.element_at(k, 1) != 0, F.array(F.struct(F.lit(0.0).alias("start"), F.element_at(k, 1).alias("end")))).otherwise(F.array().cast(seg))
+    lead = F.when(F.element_at(k, 1) != 0, F.array(F.struct(F.lit(0.0).alias("start"), F.element_at(k, 1).alias("end")))).otherwise(
+        F.array().cast(seg),
+    )
     return F.when((F.size(k) <= 1) | (length < most), whole.cast(seg)).otherwise(F.concat(lead.cast(seg), folded))
 
 
@@ -119,7 +124,10 @@ def _summaries(most: float):
         key, fold, length, done = None, None, None, []
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_pylist(done, pa.schema([("id", pa.int64()), ("n", pa.int64()), ("longest", pa.int64()), ("end", pa.float64())]))
+            made = pa.RecordBatch.from_pylist(
+                done,
+                pa.schema([("id", pa.int64()), ("n", pa.int64()), ("longest", pa.int64()), ("end", pa.float64())]),
+            )
             done.clear()
             return made
 

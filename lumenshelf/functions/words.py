@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Splitting goes by these in this order.
+#: Splitting goes by these in this order.
 SEPARATORS = ["/", "\\", "-", "_", ".", "?", "!", "<", ">", '"']
+#: What counts as white space around a piece.
 WHITE_SPACE = " \t\n\r\f\v\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: A short default; callers give their own list.
-STOP_WORDS = frozenset("a about after all also an and any are as at be because been before but by can could did do does for from had has have he her here him his how i if in into is it its just like me more most my no not of on one only or other our out over she so some such than that the their them then there these they this to too up us very was we were what when where which who why will with would you your".split())
+STOP_WORDS = frozenset(
+    "a about after all also an and any are as at be because been before but by can could did do does for from had has have he her here him his how i if in into is it its just like me more most my no not of on one only or other our out over she so some such than that the their them then there these they this to too up us very was we were what when where which who why will with would you your".split(),
+)
 
 
 def tokenise(text: Column, stop_words: frozenset[str] = STOP_WORDS) -> Column:

@@ -92,7 +92,10 @@ def write_back(media: DataFrame, clones: DataFrame, now: int) -> DataFrame:
     new = media.join(clones.select("hash", F.sort_array("clones").alias("_new")), "hash", "left")
     changed = F.col("_new").isNotNull() & ~F.sort_array(F.coalesce("clones", F.array().cast("array<string>"))).eqNullSafe(F.col("_new"))
     changed |= F.col("_new").isNotNull() & F.col("clones").isNull()
-    out = new.withColumn("clone_date", F.when(changed, F.lit(now)).otherwise(F.col("clone_date"))).withColumn("clones", F.when(changed, F.col("_new")).otherwise(F.col("clones")))
+    out = new.withColumn("clone_date", F.when(changed, F.lit(now)).otherwise(F.col("clone_date"))).withColumn(
+        "clones",
+        F.when(changed, F.col("_new")).otherwise(F.col("clones")),
+    )
     return out.select(media.columns)
 
 
@@ -106,13 +109,23 @@ def final_targets(to: DataFrame) -> DataFrame:
     that lead into it get that member, which itself is no alias any more.
     """
     aliases = to.select(F.col("alias").alias("target"), F.lit(True).alias("more"))
-    start = to.join(aliases, "target", "left").select("alias", F.col("target").alias("at"), F.col("alias").alias("low"), F.col("more").isNull().alias("done"))
+    start = to.join(aliases, "target", "left").select(
+        "alias",
+        F.col("target").alias("at"),
+        F.col("alias").alias("low"),
+        F.col("more").isNull().alias("done"),
+    )
     state, steps = settled(start, "targets"), 1
     going, last = state.filter("not done").count(), False
     while going and not last:
         last = steps >= going
         hop = state.select(F.col("alias").alias("at"), F.col("at").alias("_at"), F.col("low").alias("_low"), F.col("done").alias("_done"))
-        moved = state.join(hop, "at", "left").select("alias", F.coalesce("_at", "at").alias("at"), F.least("low", "_low").alias("low"), F.coalesce("_done", F.lit(True)).alias("done"))
+        moved = state.join(hop, "at", "left").select(
+            "alias",
+            F.coalesce("_at", "at").alias("at"),
+            F.least("low", "_low").alias("low"),
+            F.coalesce("_done", F.lit(True)).alias("done"),
+        )
         state, steps = settled(moved, "targets"), 2 * steps
         going = state.filter("not done").count()
     ends = state.filter("done").select("alias", F.col("at").alias("target"))
@@ -141,7 +154,10 @@ def resolve(media: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFram
     via = to.select(F.col("alias").alias("duplicate_of"), F.col("target").alias("_via"))
     done = good.select("hash", F.col("unrelated").alias("_unrelated"))
     out = media.join(here, "hash", "left").join(via, "duplicate_of", "left").join(done, "hash", "left")
-    out = out.withColumn("duplicate_of", F.coalesce("_own", F.when(F.col("_via") != F.col("hash"), F.col("_via")), F.when(F.col("_via").isNull(), F.col("duplicate_of"))))
+    out = out.withColumn(
+        "duplicate_of",
+        F.coalesce("_own", F.when(F.col("_via") != F.col("hash"), F.col("_via")), F.when(F.col("_via").isNull(), F.col("duplicate_of"))),
+    )
     out = out.withColumn("clones", F.when(F.col("_unrelated").isNotNull(), _none()).otherwise(F.col("clones")))
     out = out.withColumn("unrelated", F.coalesce("_unrelated", "unrelated"))
     return out.select(media.columns), bad
@@ -157,8 +173,29 @@ def auto_resolve(lib: Library, groups: DataFrame) -> DataFrame:
     pixels = F.coalesce(F.col("width").cast("long") * F.col("height"), F.lit(-1))
     rows = groups.join(lib.media, "hash").withColumn("_key", F.struct((-pixels).alias("p"), F.col("hash").alias("h")))
     first = lambda c: F.min_by(F.nullif(c, F.lit("")), F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), F.col("_key"))).alias(c)
-    one = rows.groupBy("group_id").agg(F.min_by("hash", "_key").alias("hash"), first("artist"), first("album"), first("title"), F.max(F.nullif("rating", F.lit(0))).alias("rating"), F.sort_array(F.collect_set("hash")).alias("_all"))
+    one = rows.groupBy("group_id").agg(
+        F.min_by("hash", "_key").alias("hash"),
+        first("artist"),
+        first("album"),
+        first("title"),
+        F.max(F.nullif("rating", F.lit(0))).alias("rating"),
+        F.sort_array(F.collect_set("hash")).alias("_all"),
+    )
     words = lambda bridge, c, name: groups.join(bridge.withColumnRenamed("media_hash", "hash"), "hash").groupBy("group_id").agg(F.sort_array(F.collect_set(c)).alias(name))
-    out = one.join(words(lib.media_tags, "tag_id", "tags"), "group_id", "left").join(words(lib.media_actors, "actor_id", "actors"), "group_id", "left")
+    out = one.join(words(lib.media_tags, "tag_id", "tags"), "group_id", "left").join(
+        words(lib.media_actors, "actor_id", "actors"),
+        "group_id",
+        "left",
+    )
     none = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
-    return out.select("group_id", "hash", "artist", "album", "title", "rating", none("tags"), none("actors"), F.array_except("_all", F.array("hash")).alias("aliases"))
+    return out.select(
+        "group_id",
+        "hash",
+        "artist",
+        "album",
+        "title",
+        "rating",
+        none("tags"),
+        none("actors"),
+        F.array_except("_all", F.array("hash")).alias("aliases"),
+    )

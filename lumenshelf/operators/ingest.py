@@ -44,16 +44,36 @@ def scan_summary(diff: DataFrame) -> DataFrame:
     return diff.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _fresh(media: DataFrame, deleted: DataFrame, one: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """Of files (hash, _path) with unknown hashes: (new media, tombstones)."""
+    fresh = one.join(media.select("hash"), "hash", "left_anti")
+    dead = fresh.join(deleted.select("hash"), "hash", "left_semi").select("hash", F.col("_path").alias("path"))
+    born = fresh.join(deleted.select("hash"), "hash", "left_anti").withColumnRenamed("_path", "path")
+    given = {
+        "hash": F.col("hash"), "path": F.col("path"), "dir": dir_name(F.col("path")), "type": media_type(F.col("path")),
+        "hash_date": F.lit(now).cast("long"), "rotation": F.lit(0), "corrupted": F.lit(False),
+    }
+    return born.select(*[given.get(c, F.lit(None)).cast(media.schema[c].dataType).alias(c) for c in media.columns]), dead
+
+
 def index_files(media: DataFrame, deleted: DataFrame, files: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
-    """New files (hash, path) into (media, tombstones). A known hash takes the new path only, a tombstoned one adds a tombstone, others become media. Of several paths with one hash the largest counts."""
+    """New files (hash, path) into (media, tombstones).
+
+    A known hash takes the new path only, a tombstoned one adds a tombstone, others
+    become media. Of several paths with one hash the largest counts.
+    """
     one = files.groupBy("hash").agg(F.max("path").alias("_path"))
     updated = media.join(one, "hash", "left").withColumn("path", F.coalesce("_path", "path")).select(media.columns)
-    fresh = one.join(media.select("hash"), "hash", "left_anti")
-    dead = fresh.join(deleted.select("hash"), "hash", "left_semi")
-    born = fresh.join(deleted.select("hash"), "hash", "left_anti").withColumnRenamed("_path", "path")
-    given = {"dir": dir_name(F.col("path")), "type": media_type(F.col("path")), "hash_date": F.lit(now).cast("long"), "rotation": F.lit(0), "corrupted": F.lit(False)}
-    born = born.select(*[F.col(c) if c in ("hash", "path") else given.get(c, F.lit(None)).cast(media.schema[c].dataType).alias(c) for c in media.columns])
-    return updated.unionByName(born), deleted.select("hash", "path").unionByName(dead.select("hash", F.col("_path").alias("path"))).distinct()
+    born, dead = _fresh(media, deleted, one, now)
+    return updated.unionByName(born), deleted.select("hash", "path").unionByName(dead).distinct()
+
+
+def index_changes(media: DataFrame, deleted: DataFrame, files: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """B7's changes alone: media that are new or have a new path, and new tombstones."""
+    one = files.groupBy("hash").agg(F.max("path").alias("_path"))
+    moved = media.join(one, "hash").filter(~F.col("path").eqNullSafe(F.col("_path"))).withColumn("path", F.col("_path")).select(media.columns)
+    born, dead = _fresh(media, deleted, one, now)
+    return moved.unionByName(born), dead.distinct()
 
 
 def match_missing(media: DataFrame, missing: DataFrame) -> DataFrame:
@@ -66,12 +86,18 @@ def match_missing(media: DataFrame, missing: DataFrame) -> DataFrame:
     m = missing.select(F.col("path").alias("_path"), F.lower("path").alias("_part")).distinct()
     lengths = [r[0] for r in m.filter("_path is not null").select(F.length("_part")).distinct().collect()]
     size = F.length("_low")
-    texts = media.select("hash", F.lower("path").alias("_low")).withColumn("_n", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))).filter(F.col("_n") <= size)
+    texts = media.select("hash", F.lower("path").alias("_low")).withColumn("_n", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))).filter(
+        F.col("_n") <= size,
+    )
     part = F.transform(F.sequence(F.lit(1), size - F.col("_n") + 1), lambda i: F.substring("_low", i, F.col("_n")))
     # outer: for explode Spark infers a size filter in which the array would be computed again
     parts = texts.select("hash", F.explode_outer(F.array_distinct(part)).alias("_part"))
     got = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("hash"))
-    return m.join(got, "_part", "left").select(F.col("_path").alias("path"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n") == 1, F.col("hash")).alias("hash"))
+    return m.join(got, "_part", "left").select(
+        F.col("_path").alias("path"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        F.when(F.col("n") == 1, F.col("hash")).alias("hash"),
+    )
 
 
 def remove_media(tables: dict[str, DataFrame], gone: DataFrame, tombstone: bool = True) -> dict[str, DataFrame]:
@@ -107,7 +133,9 @@ def fill_created(media: DataFrame, times: DataFrame) -> DataFrame:
     """``times`` (path, created) where metadata exists and the time is unset or zero."""
     t = times.groupBy("path").agg(F.min("created").alias("_t"))
     unset = F.col("width").isNotNull() & (F.coalesce("created_at", F.lit(0)) == 0)
-    return media.join(t, "path", "left").withColumn("created_at", F.when(unset, F.coalesce("_t", "created_at")).otherwise(F.col("created_at"))).select(media.columns)
+    return media.join(t, "path", "left").withColumn("created_at", F.when(unset, F.coalesce("_t", "created_at")).otherwise(F.col("created_at"))).select(
+        media.columns,
+    )
 
 
 def fill_tags(media: DataFrame, probed: DataFrame) -> DataFrame:
@@ -137,7 +165,9 @@ def verify_cache(media: DataFrame, segments: DataFrame, files: DataFrame) -> Dat
     """
     q = media.filter(F.size("quality_cache") > 0).select("hash", F.posexplode("quality_cache").alias("pos", "quality"))
     need = q.join(segments, "hash")
-    bad = need.join(files.select("hash", "quality", "segment"), ["hash", "quality", "segment"], "left_anti").groupBy("hash").agg(F.min("pos").alias("_bad"))
+    bad = need.join(files.select("hash", "quality", "segment"), ["hash", "quality", "segment"], "left_anti").groupBy("hash").agg(
+        F.min("pos").alias("_bad"),
+    )
     kept = F.when(F.col("_bad").isNotNull(), F.slice("quality_cache", F.lit(1), F.col("_bad"))).otherwise(F.col("quality_cache"))
     return media.join(bad, "hash", "left").withColumn("quality_cache", kept).select(media.columns)
 

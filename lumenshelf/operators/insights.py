@@ -65,7 +65,19 @@ def vocabulary(bridge: DataFrame, column: str) -> DataFrame:
 def details(lib: Library, root: str = "/") -> DataFrame:
     """media with sorted tags and actors, playlists (id, order) and the absolute path; three groupings, all on hash."""
     lists = lambda b, c, name: b.groupBy(F.col("media_hash").alias("hash")).agg(F.sort_array(F.collect_list(c)).alias(name))
-    playlists = lib.media_playlists.groupBy(F.col("media_hash").alias("hash")).agg(F.sort_array(F.collect_list(F.struct(F.col("playlist_id").alias("id"), F.col("position").alias("order")))).alias("playlists"))
+    playlists = lib.media_playlists.groupBy(F.col("media_hash").alias("hash")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("playlist_id").alias("id"), F.col("position").alias("order")))).alias("playlists"),
+    )
     none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
-    out = lib.media.join(lists(lib.media_tags, "tag_id", "tags"), "hash", "left").join(lists(lib.media_actors, "actor_id", "actors"), "hash", "left").join(playlists, "hash", "left")
-    return out.select(*lib.media.columns, none("tags", "array<string>"), none("actors", "array<string>"), none("playlists", "array<struct<id:string,order:int>>"), absolute_path(root, F.col("path")).alias("absolute_path"))
+    out = lib.media.join(lists(lib.media_tags, "tag_id", "tags"), "hash", "left").join(
+        lists(lib.media_actors, "actor_id", "actors"),
+        "hash",
+        "left",
+    ).join(playlists, "hash", "left")
+    return out.select(
+        *lib.media.columns,
+        none("tags", "array<string>"),
+        none("actors", "array<string>"),
+        none("playlists", "array<struct<id:string,order:int>>"),
+        absolute_path(root, F.col("path")).alias("absolute_path"),
+    )

@@ -22,7 +22,11 @@ def densify(entries: DataFrame) -> DataFrame:
 
 def append(entries: DataFrame, more: DataFrame) -> DataFrame:
     """``more`` (media_hash, playlist_id, rank) goes to the end in order of rank; what is there already stays where it is, and of repeats the first counts."""
-    new = more.groupBy("media_hash", "playlist_id").agg(F.min("rank").alias("rank")).join(entries.select("media_hash", "playlist_id"), ["media_hash", "playlist_id"], "left_anti")
+    new = more.groupBy("media_hash", "playlist_id").agg(F.min("rank").alias("rank")).join(
+        entries.select("media_hash", "playlist_id"),
+        ["media_hash", "playlist_id"],
+        "left_anti",
+    )
     last = entries.groupBy("playlist_id").agg(F.max("position").alias("_last"))
     placed = ranked(new.withColumnRenamed("rank", "_rank"), [F.col("_rank")], ["media_hash"], ["playlist_id"]).join(last, "playlist_id", "left")
     position = F.coalesce("_last", F.lit(-1)) + 1 + F.col("rank")
@@ -37,8 +41,16 @@ def create(playlists: DataFrame, entries: DataFrame, new: DataFrame, members: Da
 
 def refresh(playlists: DataFrame, entries: DataFrame) -> DataFrame:
     """Sizes, and the thumbnail: the first member if none is set; none if it isn't a member any more and the playlist is empty."""
-    stats = entries.groupBy(F.col("playlist_id").alias("id")).agg(F.count(F.lit(1)).alias("_size"), F.min_by("media_hash", "position").alias("_first"))
-    return playlists.join(stats, "id", "left").select("id", "name", F.coalesce("thumbnail", "_first").alias("thumbnail"), F.coalesce("_size", F.lit(0)).cast("long").alias("size"))
+    stats = entries.groupBy(F.col("playlist_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("_size"),
+        F.min_by("media_hash", "position").alias("_first"),
+    )
+    return playlists.join(stats, "id", "left").select(
+        "id",
+        "name",
+        F.coalesce("thumbnail", "_first").alias("thumbnail"),
+        F.coalesce("_size", F.lit(0)).cast("long").alias("size"),
+    )
 
 
 def move(entries: DataFrame, moves: DataFrame) -> DataFrame:
@@ -49,7 +61,9 @@ def move(entries: DataFrame, moves: DataFrame) -> DataFrame:
     (media_hash, to) is made and the others are not: they would depend on each other.
     """
     sizes = entries.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("_size"))
-    at = moves.join(entries, ["playlist_id", "media_hash"]).join(sizes, "playlist_id").filter((F.col("to") >= 0) & (F.col("to") < F.col("_size")))
+    at = moves.join(entries, ["playlist_id", "media_hash"]).join(sizes, "playlist_id").filter(
+        (F.col("to") >= 0) & (F.col("to") < F.col("_size")),
+    )
     one = at.groupBy("playlist_id").agg(F.min(F.struct("media_hash", "to", "position")).alias("_m"))
     at = one.select("playlist_id", F.col("_m.position").alias("_from"), F.col("_m.to").alias("_to"))
     p, a, b = F.col("position"), F.col("_from"), F.col("_to")
@@ -65,7 +79,12 @@ def remove(entries: DataFrame, gone: DataFrame) -> DataFrame:
 def clear_thumbnails(playlists: DataFrame, gone: DataFrame) -> DataFrame:
     """No thumbnail where it was a medium removed from the playlist."""
     hit = gone.select(F.col("playlist_id").alias("id"), F.col("media_hash").alias("thumbnail"), F.lit(True).alias("_gone")).distinct()
-    return playlists.join(hit, ["id", "thumbnail"], "left").select("id", "name", F.when(F.col("_gone").isNull(), F.col("thumbnail")).alias("thumbnail"), "size")
+    return playlists.join(hit, ["id", "thumbnail"], "left").select(
+        "id",
+        "name",
+        F.when(F.col("_gone").isNull(), F.col("thumbnail")).alias("thumbnail"),
+        "size",
+    )
 
 
 def delete(playlists: DataFrame, entries: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +96,12 @@ def update(playlists: DataFrame, changes: DataFrame) -> DataFrame:
     """``changes`` (id, name, thumbnail); null or empty keeps the old value. Of repeated ids the smallest name and thumbnail count."""
     real = [F.min(F.nullif(c, F.lit(""))).alias(f"_{c}") for c in ("name", "thumbnail")]
     c = changes.groupBy("id").agg(*real)
-    return playlists.join(c, "id", "left").select("id", F.coalesce("_name", "name").alias("name"), F.coalesce("_thumbnail", "thumbnail").alias("thumbnail"), "size")
+    return playlists.join(c, "id", "left").select(
+        "id",
+        F.coalesce("_name", "name").alias("name"),
+        F.coalesce("_thumbnail", "thumbnail").alias("thumbnail"),
+        "size",
+    )
 
 
 def in_order(entries: DataFrame) -> DataFrame:
@@ -87,4 +111,6 @@ def in_order(entries: DataFrame) -> DataFrame:
 
 def ordered(entries: DataFrame) -> DataFrame:
     """G9 as dumps have it: (playlist_id, hashes in order). A playlist is one value, so it must fit into a row; see in_order()."""
-    return entries.groupBy("playlist_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "media_hash"))), lambda e: e["media_hash"]).alias("hashes"))
+    return entries.groupBy("playlist_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("position", "media_hash"))), lambda e: e["media_hash"]).alias("hashes"),
+    )

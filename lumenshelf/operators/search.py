@@ -14,7 +14,15 @@ from . import text
 
 #: Direction of a sort key where none is given.
 DESCENDING = {"hashDate", "rating", "createdAt", "length", "recommended"}
-COLUMNS = {"hashDate": "hash_date", "createdAt": "created_at", "order": "position", "duplicateOf": "duplicate_of", "quality": "height", "thumbnailOptimised": "thumbnail_optimised", "previewOptimised": "preview_optimised"}
+COLUMNS = {
+    "hashDate": "hash_date",
+    "createdAt": "created_at",
+    "order": "position",
+    "duplicateOf": "duplicate_of",
+    "quality": "height",
+    "thumbnailOptimised": "thumbnail_optimised",
+    "previewOptimised": "preview_optimised",
+}
 _STRINGS = ("type", "dir", "path", "artist", "album", "title", "hash", "duplicateOf")
 _NUMBERS = ("quality", "rating", "length")
 _FLAGS = ("corrupted", "thumbnail", "thumbnailOptimised", "preview", "previewOptimised")
@@ -195,7 +203,11 @@ def page(rows: DataFrame, sort_by: str, size: int, number: int, direction: str |
 
 def neighbours(rows: DataFrame, sort_by: str, direction: str | None = None) -> DataFrame:
     """(hash, previous, next), wrapping round at the ends."""
-    r = ranked(rows.select("hash", *([COLUMNS.get(sort_by, sort_by)] if sort_by != "hash" else [])), sort_keys(sort_by, direction)[:1], ["hash"]).select("hash", "rank")
+    r = ranked(
+        rows.select("hash", *([COLUMNS.get(sort_by, sort_by)] if sort_by != "hash" else [])),
+        sort_keys(sort_by, direction)[:1],
+        ["hash"],
+    ).select("hash", "rank")
     n = r.count()
     near = lambda shift, name: r.select(F.pmod(F.col("rank") + shift, F.lit(max(n, 1))).alias("rank"), F.col("hash").alias(name))
     return r.join(near(1, "previous"), "rank").join(near(-1, "next"), "rank").select("hash", "previous", "next")

@@ -34,12 +34,17 @@ def token_index(lib: Library, stop_words: frozenset[str] = STOP_WORDS, wanted: S
     kind = F.array(F.struct(F.col("type").alias("token"), F.lit(TOKEN_WEIGHTS["type"]).alias("weight")))
     own = F.concat(kind, *[field(c, TOKEN_WEIGHTS[c]) for c in ("artist", "album", "title")])
     rows = lib.media.select("hash", F.explode_outer(own).alias("t")).select("hash", "t.token", "t.weight")
-    bridges = [(lib.media_tags.select("media_hash", F.col("tag_id").alias("word")), "tag"), (lib.media_actors.select("media_hash", F.col("actor_id").alias("word")), "actor")]
+    bridges = [
+        (lib.media_tags.select("media_hash", F.col("tag_id").alias("word")), "tag"),
+        (lib.media_actors.select("media_hash", F.col("actor_id").alias("word")), "actor"),
+    ]
     if "auto_tags" in lib.media.columns:
         bridges.append((lib.media.select(F.col("hash").alias("media_hash"), F.explode("auto_tags").alias("word")), "auto_tag"))
     for bridge, name in bridges:
         spelled = bridge.select("word").distinct().select("word", F.explode_outer(tokens(F.col("word"))).alias("token")).filter("token is not null")
-        rows = rows.unionByName(bridge.join(spelled, "word").select(F.col("media_hash").alias("hash"), "token", F.lit(TOKEN_WEIGHTS[name]).alias("weight")))
+        rows = rows.unionByName(
+            bridge.join(spelled, "word").select(F.col("media_hash").alias("hash"), "token", F.lit(TOKEN_WEIGHTS[name]).alias("weight")),
+        )
     if wanted is not None:
         rows = rows.filter(F.col("token").isin(list(wanted)))
     return rows.filter("token is not null").groupBy("hash", "token").agg(F.sum("weight").alias("weight"))
@@ -71,7 +76,11 @@ def search_document(lib: Library) -> DataFrame:
     media = lib.media.select("hash", "path", "type", "artist", "album", "title", *(["auto_tags"] if "auto_tags" in lib.media.columns else []))
     if "auto_tags" in media.columns:
         media = media.withColumn("auto_tags", F.array_join("auto_tags", ","))
-    return media.join(joined(lib.media_tags, "tag_id", "tags"), "hash", "left").join(joined(lib.media_actors, "actor_id", "actors"), "hash", "left")
+    return media.join(joined(lib.media_tags, "tag_id", "tags"), "hash", "left").join(
+        joined(lib.media_actors, "actor_id", "actors"),
+        "hash",
+        "left",
+    )
 
 
 def keyword_matches(lib: Library, query: str) -> DataFrame:
@@ -104,12 +113,26 @@ def parse_keywords(query: str) -> tuple[list[str], list[str]]:
 def ranked_keywords(lib: Library, query: str) -> DataFrame:
     """(hash, score); score is the sum over fields of weight x occurrences of the wanted phrases."""
     want, unwanted = parse_keywords(query)
-    own = F.array(*[F.struct(phrase_text(F.col(c)).alias("text"), F.lit(FIELD_WEIGHTS[c]).alias("weight")) for c in ("path", "artist", "album", "title", "type")])
+    own = F.array(
+        *[F.struct(phrase_text(F.col(c)).alias("text"), F.lit(FIELD_WEIGHTS[c]).alias("weight")) for c in ("path", "artist", "album", "title", "type")],
+    )
     rows = lib.media.select("hash", F.explode(own).alias("f")).select("hash", "f.text", "f.weight")
     for bridge, c, name in ((lib.media_tags, "tag_id", "tags"), (lib.media_actors, "actor_id", "actors")):
-        rows = rows.unionByName(bridge.select(F.col("media_hash").alias("hash"), phrase_text(F.col(c)).alias("text"), F.lit(FIELD_WEIGHTS[name]).alias("weight")))
+        rows = rows.unionByName(
+            bridge.select(
+                F.col("media_hash").alias("hash"),
+                phrase_text(F.col(c)).alias("text"),
+                F.lit(FIELD_WEIGHTS[name]).alias("weight"),
+            ),
+        )
     if "auto_tags" in lib.media.columns:
-        rows = rows.unionByName(lib.media.select("hash", F.explode("auto_tags").alias("t")).select("hash", phrase_text(F.col("t")).alias("text"), F.lit(FIELD_WEIGHTS["auto_tags"]).alias("weight")))
+        rows = rows.unionByName(
+            lib.media.select("hash", F.explode("auto_tags").alias("t")).select(
+                "hash",
+                phrase_text(F.col("t")).alias("text"),
+                F.lit(FIELD_WEIGHTS["auto_tags"]).alias("weight"),
+            ),
+        )
     # neighbours share a space, so spaces are doubled before counting
     times = lambda p: F.regexp_count(F.replace("text", F.lit(" "), F.lit("  ")), F.lit(f" {p.replace(' ', '  ')} "))
     hits = sum((times(p) for p in want), F.lit(0))

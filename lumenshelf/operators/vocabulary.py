@@ -12,7 +12,11 @@ def _same(a: DataFrame, b: DataFrame, column: str, how: str) -> DataFrame:
 
 def add_to_media(bridge: DataFrame, more: DataFrame, vocabulary: DataFrame, media: DataFrame, column: str) -> DataFrame:
     """H1: a set; the word must be in the vocabulary and the medium must exist."""
-    known = more.select("media_hash", column).join(vocabulary.select(F.col("id").alias(column)), column, "left_semi").join(media.select(F.col("hash").alias("media_hash")), "media_hash", "left_semi")
+    known = more.select("media_hash", column).join(vocabulary.select(F.col("id").alias(column)), column, "left_semi").join(
+        media.select(F.col("hash").alias("media_hash")),
+        "media_hash",
+        "left_semi",
+    )
     return bridge.select("media_hash", column).unionByName(known.select("media_hash", column)).dropDuplicates()
 
 

@@ -100,7 +100,11 @@ def export_record(lib: Library, playlists: DataFrame, deleted: DataFrame, path:
     # the first line of each part has no comma before it
     first = lines.groupBy("at").agg(F.min(F.struct("key", "line")).alias("first"))
     lines = lines.join(F.broadcast(first), "at")
-    lines = lines.select("at", "key", F.when(F.struct("key", "line") == F.col("first"), F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("line"))
+    lines = lines.select(
+        "at",
+        "key",
+        F.when(F.struct("key", "line") == F.col("first"), F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("line"),
+    )
     heads = [(2 * at, "", (f'{{"version":{VERSION},' if not at else "],") + f'"{name}":[') for at, name in enumerate(PARTS)] + [(2 * len(PARTS), "", "]}")]
     both = lines.unionByName(spark.createDataFrame(heads, "at int, key string, line string"))
     bare = F.regexp_replace("line", "^,", "")

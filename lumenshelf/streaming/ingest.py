@@ -1,29 +1,60 @@
-"""Incremental ingest (N1): new file listings and hashes go through scan diff and index merge, batch by batch."""
+"""Incremental ingest (N1): new file listings and hashes go through scan diff and index merge, batch by batch.
+
+The library is stored in versions: ``<store>/media/version=0`` and
+``<store>/media_deleted/version=0`` are its base, and each batch adds a version with the
+rows that it changed or added. A medium is the row of its largest version (``current``),
+so a batch writes as much as it changes, not the library. ``compact`` makes a new base.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import index_files, scan_diff
+from ..operators.ingest import index_changes, scan_diff
 
 FILES = "path string, hash string"
 
 
+def current(spark: SparkSession, store: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(media, tombstones) as of a version, by default the last.
+
+    The changes of all versions are few beside the base, which is read as it is but for
+    the media that have changed.
+    """
+    media, deleted = (spark.read.parquet(f"{store}/{name}") for name in ("media", "media_deleted"))
+    if version is not None:
+        media, deleted = media.filter(F.col("version") <= version), deleted.filter(F.col("version") <= version)
+    columns = [c for c in media.columns if c != "version"]
+    base, changed = media.filter("version = 0"), media.filter("version > 0")
+    row = F.struct(*[F.col(c) for c in columns])
+    last = changed.groupBy("hash").agg(F.max_by(row, "version").alias("row")).select("row.*")
+    kept = base.join(last.select("hash"), "hash", "left_anti").select(columns)
+    return kept.unionByName(last), deleted.select("hash", "path").distinct()
+
+
 def start(spark: SparkSession, incoming: str, store: str, checkpoint: str, now: int) -> StreamingQuery:
     """Takes all files that have come to ``incoming`` (JSON lines of path and hash) and stops.
 
-    The library is a folder per batch under ``store``; a batch reads the one before and
-    writes its own, so a batch that is run again gives the same result.
+    A batch reads the versions up to its own number and writes the next one, so a batch
+    that is run again gives the same result.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        media, deleted = (spark.read.parquet(f"{store}/{number}/{n}") for n in ("media", "media_deleted"))
+        media, deleted = current(spark, store, number)
         new = scan_diff(batch, media, deleted).filter("state = 'new'")
         files = batch.join(new.select("path"), "path", "left_semi").select("hash", "path")
-        media, deleted = index_files(media, deleted, files, now)
-        media.write.mode("overwrite").parquet(f"{store}/{number + 1}/media")
-        deleted.write.mode("overwrite").parquet(f"{store}/{number + 1}/media_deleted")
+        changed, dead = index_changes(media, deleted, files, now)
+        changed.write.mode("overwrite").parquet(f"{store}/media/version={number + 1}")
+        dead.write.mode("overwrite").parquet(f"{store}/media_deleted/version={number + 1}")
 
     stream = spark.readStream.schema(FILES).json(incoming)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compact(spark: SparkSession, store: str, target: str) -> None:
+    """The last version of ``store`` as the base of a new store at ``target``; a stream goes on there with a new checkpoint."""
+    media, deleted = current(spark, store)
+    media.write.parquet(f"{target}/media/version=0")
+    deleted.write.parquet(f"{target}/media_deleted/version=0")

@@ -16,6 +16,10 @@ os.environ.setdefault("TZ", "UTC")
 def spark():
     from pyspark.sql import SparkSession
 
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    settings = {
+        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    s = SparkSession.builder.master("local[4]").config(map=settings).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s

@@ -26,9 +26,20 @@ def media(spark, rows):
 
 @pytest.fixture(scope="module")
 def lib(spark):
-    m = media(spark, [{"hash": f"hash-{i}", "path": f"/tmp/{i}.jpg", "dir": "/tmp", "type": "still", "width": 1920, "height": 1080} for i in range(5)])
-    tags = spark.createDataFrame([("hash-0", "tag-a"), ("hash-0", "tag-b"), ("hash-1", "tag-b"), ("hash-1", "tag-c")], "media_hash string, tag_id string")
-    return Library(m, tags, spark.createDataFrame([], "media_hash string, actor_id string"), spark.createDataFrame([], "media_hash string, playlist_id string, position int"))
+    m = media(
+        spark,
+        [{"hash": f"hash-{i}", "path": f"/tmp/{i}.jpg", "dir": "/tmp", "type": "still", "width": 1920, "height": 1080} for i in range(5)],
+    )
+    tags = spark.createDataFrame(
+        [("hash-0", "tag-a"), ("hash-0", "tag-b"), ("hash-1", "tag-b"), ("hash-1", "tag-c")],
+        "media_hash string, tag_id string",
+    )
+    return Library(
+        m,
+        tags,
+        spark.createDataFrame([], "media_hash string, actor_id string"),
+        spark.createDataFrame([], "media_hash string, playlist_id string, position int"),
+    )
 
 
 @pytest.mark.parametrize(("want", "n"), [
@@ -42,8 +53,27 @@ def test_search(lib, want, n):
 
 
 def test_form():
-    form = {"typeVideo": True, "tags": {"equalsAny": ["a"], "equalsAll": []}, "actors": {"equalsNone": []}, "untagged": True, "lengthMin": 2, "ratingMin": -1, "ratingMax": 0, "artist": {"like": "x", "notLike": ""}, "minimumResolution": "720", "sortBy": "dir", "keywords": ""}
-    want = {"type": {"equalsAny": ["video"]}, "tags": {"equalsAny": ["a"], "exists": False}, "length": {"min": 120}, "rating": {"max": 0}, "artist": {"likeAny": ["x"]}, "quality": {"min": 720}}
+    form = {
+        "typeVideo": True,
+        "tags": {"equalsAny": ["a"], "equalsAll": []},
+        "actors": {"equalsNone": []},
+        "untagged": True,
+        "lengthMin": 2,
+        "ratingMin": -1,
+        "ratingMax": 0,
+        "artist": {"like": "x", "notLike": ""},
+        "minimumResolution": "720",
+        "sortBy": "dir",
+        "keywords": "",
+    }
+    want = {
+        "type": {"equalsAny": ["video"]},
+        "tags": {"equalsAny": ["a"], "exists": False},
+        "length": {"min": 120},
+        "rating": {"max": 0},
+        "artist": {"likeAny": ["x"]},
+        "quality": {"min": 720},
+    }
     assert search.form_constraints(form) == want
     assert search.form_constraints({"playlist": "p", "sortBy": "rating"}) == {"playlist": "p", "sortBy": "order"}
 
@@ -58,16 +88,36 @@ def test_queues(spark):
         {"hash": "a", "type": "video", "width": 1, "length": 9}, {"hash": "b", "type": "video", "width": 1, "length": 12, "corrupted": True},
         {"hash": "c", "type": "video", "duplicate_of": "a"}, {"hash": "d", "type": "still", "width": 1, "phash": "0"}, {"hash": "e", "type": "still", "width": 1},
     ]
-    m = media(spark, rows).withColumn("thumbnail", F.col("hash").isin("d", "e")).withColumn("thumbnail_optimised", F.col("hash") == "d").withColumn("preview", F.col("hash") == "c")
-    m = m.withColumn("preview_optimised", F.lit(None).cast("boolean")).withColumn("auto_tags", F.when(F.col("hash") == "d", F.array(F.lit("x"))))
+    m = media(spark, rows).withColumn("thumbnail", F.col("hash").isin("d", "e")).withColumn("thumbnail_optimised", F.col("hash") == "d").withColumn(
+        "preview",
+        F.col("hash") == "c",
+    )
+    m = m.withColumn("preview_optimised", F.lit(None).cast("boolean")).withColumn(
+        "auto_tags",
+        F.when(F.col("hash") == "d", F.array(F.lit("x"))),
+    )
     none = spark.createDataFrame([], "media_hash string, tag_id string, actor_id string, playlist_id string, position int")
     lib = Library(m, none, none, none)
-    want = {"thumbnails": "a", "previews": "a", "cache": "a", "keyframes": "ab", "phash": "e", "clones": "d", "classify": "e", "optimise_thumbnails": "e", "optimise_previews": "c", "rescan": "ac"}
+    want = {
+        "thumbnails": "a",
+        "previews": "a",
+        "cache": "a",
+        "keyframes": "ab",
+        "phash": "e",
+        "clones": "d",
+        "classify": "e",
+        "optimise_thumbnails": "e",
+        "optimise_previews": "c",
+        "rescan": "ac",
+    }
     assert {q: "".join(sorted(r["hash"] for r in search.search(lib, w, ["hash"]).collect())) for q, w in ingest.QUEUES.items()} == want
 
 
 def entries(spark, lists):
-    return spark.createDataFrame([(h, p, i) for p, hs in lists.items() for i, h in enumerate(hs)], "media_hash string, playlist_id string, position int")
+    return spark.createDataFrame(
+        [(h, p, i) for p, hs in lists.items() for i, h in enumerate(hs)],
+        "media_hash string, playlist_id string, position int",
+    )
 
 
 def as_lists(df):
@@ -76,14 +126,20 @@ def as_lists(df):
 
 @pytest.mark.parametrize(("who", "to", "want"), [("4", 0, "40123"), ("0", 4, "12340"), ("0", 2, "12034"), ("2", 0, "20134"), ("2", 9, "01234"), ("2", -1, "01234"), ("9", 1, "01234")])
 def test_move(spark, who, to, want):
-    moved = playlists.move(entries(spark, {"p": "01234", "q": "1203"}), spark.createDataFrame([("p", who, to)], "playlist_id string, media_hash string, to int"))
+    moved = playlists.move(
+        entries(spark, {"p": "01234", "q": "1203"}),
+        spark.createDataFrame([("p", who, to)], "playlist_id string, media_hash string, to int"),
+    )
     assert as_lists(moved) == {"p": list(want), "q": list("1203")}
     assert sorted(r["position"] for r in moved.filter("playlist_id = 'p'").collect()) == list(range(5))
 
 
 def test_append_and_remove(spark):
     e = entries(spark, {"p": "012"})
-    more = spark.createDataFrame([("2", "p", 0), ("5", "p", 2), ("4", "p", 1), ("5", "p", 3), ("1", "q", 0)], "media_hash string, playlist_id string, rank int")
+    more = spark.createDataFrame(
+        [("2", "p", 0), ("5", "p", 2), ("4", "p", 1), ("5", "p", 3), ("1", "q", 0)],
+        "media_hash string, playlist_id string, rank int",
+    )
     e = playlists.append(e, more)
     assert as_lists(e) == {"p": list("01245"), "q": ["1"]}
     e = playlists.remove(e, spark.createDataFrame([("2", "p"), ("0", "p")], "media_hash string, playlist_id string"))
@@ -116,8 +172,17 @@ def test_hash_pairs_are_all_pairs(spark, most):
 
 
 def test_resolve_follows_chains(spark):
-    m = media(spark, [{"hash": h, "clones": c, "duplicate_of": d} for h, c, d in (("a", ["b"], None), ("b", ["a", "c"], None), ("c", ["b"], None), ("d", [], "c"), ("e", ["f"], None), ("f", ["e"], None))])
-    done, bad = clones.resolve(m, spark.createDataFrame([("a", ["b"], None), ("b", ["c"], ["a"]), ("e", [], None)], "hash string, aliases array<string>, unrelated array<string>"))
+    m = media(
+        spark,
+        [{"hash": h, "clones": c, "duplicate_of": d} for h, c, d in (("a", ["b"], None), ("b", ["a", "c"], None), ("c", ["b"], None), ("d", [], "c"), ("e", ["f"], None), ("f", ["e"], None))],
+    )
+    done, bad = clones.resolve(
+        m,
+        spark.createDataFrame(
+            [("a", ["b"], None), ("b", ["c"], ["a"]), ("e", [], None)],
+            "hash string, aliases array<string>, unrelated array<string>",
+        ),
+    )
     assert {r["hash"]: r["duplicate_of"] for r in done.collect()} == {"a": None, "b": "a", "c": "a", "d": "a", "e": None, "f": None}
     assert [r["hash"] for r in bad.collect()] == ["e"]
 
@@ -128,8 +193,21 @@ def test_resolve_breaks_cycles(spark):
     got = {r["alias"]: r["target"] for r in clones.final_targets(spark.createDataFrame(sorted(edges.items()), "alias string, target string")).collect()}
     want = {"b": "a", "e": "d", "f": "d", "g": "d", "h": "d", "k": "i", "j": "i", "q": "x000"} | {f"x{i:03d}": "x000" for i in range(1, 40)} | {f"y{i:03d}": "y070" for i in range(70)}
     assert got == want
-    m = media(spark, [{"hash": "a", "clones": ["b"], "duplicate_of": "b"}, {"hash": "b", "clones": ["a"]}, {"hash": "c"}, {"hash": "d", "clones": ["e", "f"]}, {"hash": "e"}, {"hash": "f"}])
-    asked = spark.createDataFrame([("a", ["b"], None), ("b", ["a"], []), ("c", [], None), ("d", ["e"], None), ("d", None, ["f"])], "hash string, aliases array<string>, unrelated array<string>")
+    m = media(
+        spark,
+        [
+            {"hash": "a", "clones": ["b"], "duplicate_of": "b"},
+            {"hash": "b", "clones": ["a"]},
+            {"hash": "c"},
+            {"hash": "d", "clones": ["e", "f"]},
+            {"hash": "e"},
+            {"hash": "f"},
+        ],
+    )
+    asked = spark.createDataFrame(
+        [("a", ["b"], None), ("b", ["a"], []), ("c", [], None), ("d", ["e"], None), ("d", None, ["f"])],
+        "hash string, aliases array<string>, unrelated array<string>",
+    )
     done, bad = clones.resolve(m, asked)
     rows = {r["hash"]: r for r in done.collect()}
     assert len(rows) == 6 == done.count() and {h: r["duplicate_of"] for h, r in rows.items()} == {"a": None, "b": "a", "c": None, "d": None, "e": "d", "f": None}
@@ -139,13 +217,25 @@ def test_resolve_breaks_cycles(spark):
 def test_repeated_keys_in_batches(spark):
     """Patches, sets, renames, probes, moves and changes with repeated keys multiply no rows."""
     m = media(spark, [{"hash": h, "type": "video"} for h in "abc"])
-    patches = spark.createDataFrame([("a", 1, "x", ["rating"], 1), ("a", 2, "y", ["rating", "artist"], 2), ("a", 9, None, ["rating"], 1), ("n", None, "z", ["artist"], 1), ("n", 3, None, ["rating"], 1)], "hash string, rating int, artist string, keys array<string>, seq int")
+    patches = spark.createDataFrame(
+        [
+            ("a", 1, "x", ["rating"], 1),
+            ("a", 2, "y", ["rating", "artist"], 2),
+            ("a", 9, None, ["rating"], 1),
+            ("n", None, "z", ["artist"], 1),
+            ("n", 3, None, ["rating"], 1),
+        ],
+        "hash string, rating int, artist string, keys array<string>, seq int",
+    )
     one = updates.upsert(m, patches).collect()
     assert sorted((r["hash"], r["rating"], r["artist"]) for r in one if r["hash"] in "an") == [("a", 2, "y"), ("n", 3, "z")] and len(one) == 4
     bridge = spark.createDataFrame([("a", "old"), ("b", "old")], "media_hash string, tag_id string")
     new = spark.createDataFrame([("a", ["p", "q", "p"]), ("a", ["q", "r"]), ("b", None)], "hash string, words array<string>")
     assert sorted(map(tuple, vocabulary.replace_sets(bridge, new, "tag_id").collect())) == [("a", "p"), ("a", "q"), ("a", "r")]
-    renamed = ingest.rename_hashes({"media": m, "media_tags": bridge}, spark.createDataFrame([("a", "z"), ("a", "y"), ("b", "b")], "old string, new string"))
+    renamed = ingest.rename_hashes(
+        {"media": m, "media_tags": bridge},
+        spark.createDataFrame([("a", "z"), ("a", "y"), ("b", "b")], "old string, new string"),
+    )
     assert sorted(r["hash"] for r in renamed["media"].collect()) == ["b", "c", "y"] and sorted(r["media_hash"] for r in renamed["media_tags"].collect()) == ["b", "y"]
     probed = spark.createDataFrame([("a", "", "l", None), ("a", "s", "k", None)], "hash string, artist string, album string, title string")
     assert [(r["artist"], r["album"], r["title"]) for r in ingest.fill_tags(m, probed).filter("hash = 'a'").collect()] == [("s", "k", None)]
@@ -172,9 +262,15 @@ def test_prefilter_of_queries(spark):
     """Texts that the filter drops hold no wanted token; queries give the same with a stored index."""
     rng = random.Random(5)
     texts = ["".join(rng.choice(["it's", "the", "cat", "-", "_", ".", " ", "12", "\\", "\n", "é", "x1", '"']) for _ in range(9)) for _ in range(300)]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(words.tokenise(F.col("t")).alias("k"), text.may_hold(F.col("t"), ["its", "catx1"]).alias("may"))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        words.tokenise(F.col("t")).alias("k"),
+        text.may_hold(F.col("t"), ["its", "catx1"]).alias("may"),
+    )
     assert all(r["may"] for r in rows.collect() if {"its", "catx1"} & set(r["k"])) and not all(r["may"] for r in rows.collect())
-    m = media(spark, [{"hash": f"h{i}", "type": "still", "title": t, "artist": "Cat-Lady"} for i, t in enumerate(texts[:80])]).withColumn("auto_tags", F.array(F.lit("cat")))
+    m = media(spark, [{"hash": f"h{i}", "type": "still", "title": t, "artist": "Cat-Lady"} for i, t in enumerate(texts[:80])]).withColumn(
+        "auto_tags",
+        F.array(F.lit("cat")),
+    )
     bridge = lambda c: spark.createDataFrame([("h1", "cat's"), ("h1", "it's"), ("h2", "dog")], f"media_hash string, {c} string")
     lib = Library(m, bridge("tag_id"), bridge("actor_id"), spark.createDataFrame([], "media_hash string, playlist_id string, position int"))
     plain = sorted(map(tuple, text.weighted_query(lib, "its cat cat still").collect()))
@@ -190,7 +286,12 @@ def test_segment_stream_is_the_fold(spark):
     rows = [(i, [0.0, *k] if i % 2 else k, n) for i, k, n in rows]
     df = spark.createDataFrame(rows, "id long, k array<double>, n double")
     length = F.coalesce("n", F.ceil(F.element_at("k", -1) + 1).cast("double"))
-    want = df.withColumn("s", video.segments(F.col("k"), length)).select("id", F.size("s").cast("long"), video.longest_segment(F.col("s")).cast("long"), F.element_at("s", -1)["end"])
+    want = df.withColumn("s", video.segments(F.col("k"), length)).select(
+        "id",
+        F.size("s").cast("long"),
+        video.longest_segment(F.col("s")).cast("long"),
+        F.element_at("s", -1)["end"],
+    )
     got = video.segment_summary(df.select("id", F.explode("k").alias("at"), F.col("n").alias("length")))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -336,12 +437,22 @@ def test_dumps(spark, tmp_path):
     (tmp_path / "again.json").write_text(text)
     check(dump.load_single(spark, str(tmp_path / "again.json")))
     none = {n: df.limit(0) for n, df in got.items()}
-    dump.export_record(Library(none["media"], none["media_tags"], none["media_actors"], none["media_playlists"]), none["playlists"], none["media_deleted"], str(tmp_path / "none"))
+    dump.export_record(
+        Library(none["media"], none["media_tags"], none["media_actors"], none["media_playlists"]),
+        none["playlists"],
+        none["media_deleted"],
+        str(tmp_path / "none"),
+    )
     assert json.loads("".join(f.read_text() for f in sorted((tmp_path / "none").glob("part*")))) == {"version": 4, "media": [], "playlists": [], "deleted": [], "tags": [], "actors": []}
 
 
 def test_import_rules(spark):
-    rows = [{"hash": "v", "path": "/lib/x/v.mp4", "dir": "/lib/x", "type": "video", "width": 0, "height": 240}, {"hash": "g", "path": "g.gif", "dir": ".", "type": "gif", "width": 5, "height": 7, "rotation": 90}, {"hash": "n", "type": "still"}, {"hash": "z", "type": "still", "width": 0, "height": 3}]
+    rows = [
+        {"hash": "v", "path": "/lib/x/v.mp4", "dir": "/lib/x", "type": "video", "width": 0, "height": 240},
+        {"hash": "g", "path": "g.gif", "dir": ".", "type": "gif", "width": 5, "height": 7, "rotation": 90},
+        {"hash": "n", "type": "still"},
+        {"hash": "z", "type": "still", "width": 0, "height": 3},
+    ]
     m = media(spark, rows).withColumn("max_copy", F.lit(None).cast("boolean"))
     for version in (None, 3, 2, 4):
         ok, bad = ingest.normalise_import(m, "/lib", version)
@@ -359,7 +470,10 @@ def test_scalars(spark):
 
 def test_upsert_tells_null_from_absent(spark):
     m = media(spark, [{"hash": "a", "rating": 3, "artist": "x"}, {"hash": "b", "rating": 4}])
-    p = spark.createDataFrame([("a", None, "y", ["rating"]), ("c", 5, "z", ["rating"])], "hash string, rating int, artist string, keys array<string>")
+    p = spark.createDataFrame(
+        [("a", None, "y", ["rating"]), ("c", 5, "z", ["rating"])],
+        "hash string, rating int, artist string, keys array<string>",
+    )
     assert {r["hash"]: (r["rating"], r["artist"]) for r in updates.upsert(m, p).collect()} == {"a": (None, "x"), "b": (4, None), "c": (5, None)}
 
 
@@ -383,10 +497,21 @@ def test_match_missing(spark):
 def test_incremental(spark, tmp_path):
     from lumenshelf.streaming import ingest as stream
 
-    media(spark, [{"hash": "a", "path": "x/a.jpg", "dir": "x", "type": "still"}]).write.parquet(f"{tmp_path}/store/0/media")
-    spark.createDataFrame([("d", "x/d.jpg")], "hash string, path string").write.parquet(f"{tmp_path}/store/0/media_deleted")
-    spark.createDataFrame([("x/b.png", "b"), ("y/a.jpg", "a"), ("x/d2.gif", "d"), ("x/n.txt", "n")], stream.FILES).coalesce(1).write.json(f"{tmp_path}/in")
-    stream.start(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/check", 9).awaitTermination()
-    got = {r["hash"]: r["path"] for r in spark.read.parquet(f"{tmp_path}/store/1/media").collect()}
-    assert got == {"a": "y/a.jpg", "b": "x/b.png"}
-    assert spark.read.parquet(f"{tmp_path}/store/1/media_deleted").count() == 2
+    store_ = f"{tmp_path}/store"
+    rows = [{"hash": h, "path": f"x/{h}.jpg", "dir": "x", "type": "still"} for h in "ac"]
+    media(spark, rows).write.parquet(f"{store_}/media/version=0")
+    spark.createDataFrame([("d", "x/d.jpg")], "hash string, path string").write.parquet(f"{store_}/media_deleted/version=0")
+
+    def arrive(*files):
+        spark.createDataFrame(files, stream.FILES).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        stream.start(spark, f"{tmp_path}/in", store_, f"{tmp_path}/check", 9).awaitTermination()
+        return {r["hash"]: r["path"] for r in stream.current(spark, store_)[0].collect()}
+
+    first = ("x/b.png", "b"), ("y/a.jpg", "a"), ("x/d2.gif", "d"), ("x/n.txt", "n"), ("x/c.jpg", "c")
+    assert arrive(*first) == {"a": "y/a.jpg", "b": "x/b.png", "c": "x/c.jpg"}
+    assert spark.read.parquet(f"{store_}/media/version=1").count() == 2 and stream.current(spark, store_)[1].count() == 2
+    # the second batch changes what the first added
+    assert arrive(("z/b.png", "b"), ("x/e.gif", "e")) == {"a": "y/a.jpg", "b": "z/b.png", "c": "x/c.jpg", "e": "x/e.gif"}
+    assert {r["hash"] for r in stream.current(spark, store_, 1)[0].collect()} == set("abc")
+    stream.compact(spark, store_, f"{tmp_path}/new")
+    assert stream.current(spark, f"{tmp_path}/new")[0].count() == 4 and stream.current(spark, f"{tmp_path}/new")[1].count() == 2
