@@ -146,6 +146,7 @@ def judge(urls: DataFrame, edges: DataFrame, rules: Sequence[Rule] = RULES, id_c
         F.when(F.col(url_col).contains("://"), node).alias("node"),
     )
     rows = rows.withColumn("hit", rule_for(F.col("host"), F.col("path"), rules))
+    edges = cut(edges.select("src", "dst"), "alias-links")  # read twice, and pages are long
     links = edges.select(F.md5("src").alias("a"), F.md5("dst").alias("b"))
     comp = cut(components(links, "alias-edges"), "alias-components")
     # what the rules say of each node; link targets count even where they have no row
