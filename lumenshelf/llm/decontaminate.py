@@ -20,7 +20,7 @@ template as one window, if that has three words which are not placeholders.
    more of the item's.
 
 Joined data: the item windows are broadcast up to ``BROADCAST_WINDOWS`` of them, which
-is checked, and the items themselves alike. Beyond, both are joined by shuffle, and a
+is checked, the items themselves alike, and the candidate pairs up to ``BROADCAST_PAIRS``. Beyond, both are joined by shuffle, and a
 window or an item that a third of all documents hold is left to the adaptive split of
 skewed joins, as only one side of these joins is large. A window that a third of all
 documents holds costs one row for each of them.
@@ -47,7 +47,8 @@ from .common import cut, table
 WIDTH = 5
 LEAST_WORDS = 3
 SHARE = 0.8
-BROADCAST_WINDOWS = 500_000
+#: Item windows, and candidate pairs, are broadcast up to this many (about 50 bytes each), and joined by shuffle beyond.
+BROADCAST_WINDOWS, BROADCAST_PAIRS = 500_000, 500_000
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s ms min h hr hours hour minutes minute seconds second days day weeks week months month years year mph kmh percent dollars dollar euros euro usd eur cents cent degrees meters metres miles inches feet pounds liters litres grams kilograms".split()
 #: Numbers, words, and ends of sentences.
 TOKEN = r"(\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}_]+|[.!?:\n]+)"
@@ -153,15 +154,10 @@ def contaminated(
     seen = templates.select("doc_id", "row", F.explode_outer(F.concat(*every) if spans else F.col("windows")).alias("h"))
     pairs = cut(seen.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "row", "item_id").distinct(), "candidate-pairs")
     of_item = known.groupBy("item_id").agg(F.collect_list(F.struct("part", "pos", "h", "raws")).alias("item"), F.first("n").alias("n"))
+    near = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs  # else all texts would be shuffled
+    templates = with_template(texts.join(near, ["doc_id", "row"]), "text", raws=True, spans=spans)
     # written first: an expression that a lambda reads would be computed again for each element
-    matched = with_template(texts.join(pairs, ["doc_id", "row"]), "text", raws=True, spans=spans).select(
-        "doc_id",
-        "row",
-        "item_id",
-        "words",
-        "raws",
-        *every,
-    )
+    matched = templates.select("doc_id", "row", "item_id", "words", "raws", *every)
     found = cut(matched, "candidate-windows").join(F.broadcast(of_item) if small else of_item, "item_id")
     shared = [_shared_positions(found, column, span) for column, span in zip(every, [WIDTH, *spans], strict=True)]
     return _aligned(reduce(DataFrame.unionByName, shared), share)

@@ -13,7 +13,7 @@ known one.
 
 Edge cases: null and empty texts match nothing; very long texts are read whole; a
 licence found twice gives one row per occurrence; repeated rows give repeated
-results; null ids are kept; extra columns are not read; an empty table gives no rows.
+results; null ids are kept; ids are whole numbers, others are an error; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ padded to ``size`` tokens; one whose fill is a power of two needs no padding.
 Edge cases: a null or empty text is the single end id; very long texts are cut
 into windows; repeated rows and ids are packed like any others (pieces carry a
 row number so that their starts are never mixed up); extra columns are not read;
-an empty table gives no pieces. Cutting makes tie-breaking immaterial to padding;
+an empty table gives no pieces. Ids are whole numbers; other ids are an error. Cutting makes tie-breaking immaterial to padding;
 among equally full windows the oldest wins.
 """
 

@@ -12,7 +12,8 @@ huge file is not one window.
 Edge cases: empty documents have count 0; tokens after a file's last end are one
 unterminated document; a block without an end reports none; null and empty texts are
 written as empty documents; the end string in a text is ordinary text; repeated rows
-and null ids are documents like others; empty tables write no files.
+and null ids are documents like others; ids are whole numbers, others are an error;
+empty tables write no files.
 """
 
 from __future__ import annotations
