@@ -22,7 +22,6 @@ def token_index(lib: Library, stop_words: frozenset[str] = STOP_WORDS, wanted: S
     """(hash, token, weight), summed per token; one exchange on (hash, token) after partial sums.
 
     With ``wanted`` only those tokens, and only texts that hold one of them are tokenised.
-    Tags and actors are tokenised once per word of the vocabulary, not per medium.
     """
     def tokens(c: Column) -> Column:
         found = tokenise(c, stop_words)
@@ -41,10 +40,10 @@ def token_index(lib: Library, stop_words: frozenset[str] = STOP_WORDS, wanted: S
     if "auto_tags" in lib.media.columns:
         bridges.append((lib.media.select(F.col("hash").alias("media_hash"), F.explode("auto_tags").alias("word")), "auto_tag"))
     for bridge, name in bridges:
-        spelled = bridge.select("word").distinct().select("word", F.explode_outer(tokens(F.col("word"))).alias("token")).filter("token is not null")
-        rows = rows.unionByName(
-            bridge.join(spelled, "word").select(F.col("media_hash").alias("hash"), "token", F.lit(TOKEN_WEIGHTS[name]).alias("weight")),
-        )
+        if wanted is not None:
+            bridge = bridge.filter(may_hold(F.col("word"), wanted))
+        token = F.explode_outer(tokenise(F.col("word"), stop_words)).alias("token")
+        rows = rows.unionByName(bridge.select(F.col("media_hash").alias("hash"), token, F.lit(TOKEN_WEIGHTS[name]).alias("weight")))
     if wanted is not None:
         rows = rows.filter(F.col("token").isin(list(wanted)))
     return rows.filter("token is not null").groupBy("hash", "token").agg(F.sum("weight").alias("weight"))

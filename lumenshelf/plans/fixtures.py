@@ -58,9 +58,17 @@ _TABLES = ("documents", "labels", "conversations", "pages", "events", "embedding
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a lazy DataFrame; the tables come as parameters, so no name is registered."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if "{" + t + "}" in VIEWS[name]}
+    if "documents" in used:
+        used["documents"] = _dealt(used["documents"], "doc_id")
     return spark.sql(VIEWS[name].format(**_SPARK, **{t: "{" + t + "}" for t in _TABLES}), **used)
 
 
+def _dealt(table: DataFrame, key: str) -> DataFrame:
+    """A table of fewer splits than cores, whose long texts would keep one core busy, over all of them; larger ones as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
+
+
 def duck(sql: str) -> str:
     """``sql`` with the views that it names put before it."""
     names = [n for n in VIEWS if n in sql]
