@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .lineage import settled
 
 _ROW_BITS = 33  # monotonically_increasing_id() has the partition above them, the row below
+#: First ranks of parts are broadcast up to this many, a few dozen bytes each, and joined by shuffle beyond.
+BROADCAST_PARTS = 200_000
 
 
-def ranked(rows: DataFrame, order: list[Column], keys: list[str], within: Sequence[str] = ()) -> DataFrame:
-    """Adds rank (from 0), in all rows or in those that agree in ``within``.
+def ranked(rows: DataFrame, order: list[Column], keys: list[str], within: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """Adds rank (from 0), in all rows or in those that agree in ``within``; ``total`` names a column for their number.
 
     Rows are dealt to ranges of (within, order, keys) and sorted there, so a group of
     any size spreads over as many ranges as it needs. A row's number in its range needs
@@ -26,8 +28,11 @@ def ranked(rows: DataFrame, order: list[Column], keys: list[str], within: Sequen
     inside = settled(dealt, "ranges")  # the ranges come from a sample: computed once
     inside = inside.withColumn("_part", F.shiftright("_id", _ROW_BITS)).withColumn("_at", F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1)).drop("_id")
     parts = inside.groupBy(*within, "_part").agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = parts.select(*within, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low")).alias("_first"))
-    # without groups there is one row for each range
-    out = inside.join(first if within else F.broadcast(first), [*within, "_part"])
-    return out.withColumn("rank", (F.col("_first") + F.col("_at")).cast("long")).select(*rows.columns, "rank")
+    group = Window.partitionBy(*within)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    more = [F.sum("_n").over(group).alias(total)] if total else []
+    first = parts.select(*within, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low")).alias("_first"), *more)
+    first = settled(first, "range-starts")
+    few = not within or first.count() <= BROADCAST_PARTS  # without groups there is one row for each range
+    out = inside.join(F.broadcast(first) if few else first, [*within, "_part"])
+    return out.withColumn("rank", (F.col("_first") + F.col("_at")).cast("long")).select(*rows.columns, "rank", *([total] if total else []))
