@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embedding_dedup, jaccard_join, licences, packing, separators, toxicity, url_filters, warc
+from . import chat, decontaminate, embedding_dedup, jaccard_join, licences, merkle, packing, periodic, separators, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_warc": warc.op9_warc,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_merkle": merkle.op13_merkle,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
@@ -23,4 +25,5 @@ ORACLES = {
     "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
     "op10_url_filters": url_filters.ORACLE_SQL,
+    "op13_merkle": merkle.ORACLE_SQL,
 }
