@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embedding_dedup, jaccard_join, licences, merkle, packing, periodic, separators, toxicity, url_filters, warc
+from . import chat, decontaminate, embedding_dedup, jaccard_join, licences, merkle, nn_descent, packing, periodic, separators, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_warc": warc.op9_warc,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op11_nearest": nn_descent.op11_nearest,
     "op12_periodic_runs": periodic.op12_periodic_runs,
     "op13_merkle": merkle.op13_merkle,
 }
