@@ -3,7 +3,9 @@
 A vocabulary's path is a parameter. ``*.json`` files are read by ``tokenizers``,
 ``*.tiktoken`` rank files by ``tiktoken``. The two installed files of the 50,257-id
 vocabulary give the same ids (tests compare them); the rank file takes a fifth of
-the CPU time, so the queries use it by default. The string ``<|endoftext|>`` in a
+the CPU time, so the queries use it by default. ``tiktoken`` can't match white space of about a million
+characters, so long runs of it are cut out by the pattern's own rule: all but the last
+character of a run is one piece, or all of it at a text's end. The string ``<|endoftext|>`` in a
 text becomes the vocabulary's special id with either file.
 """
 
@@ -11,12 +13,16 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END_STRING, END_ID = "<|endoftext|>", 50256
+#: White space as the vocabularies' pattern knows it (Unicode's White_Space), in runs that are cut out.
+LONG_RUN = 50_000
+_LONG = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -48,17 +54,27 @@ class Bpe:
         if not self.ranks:
             self.tokenizer.encode_special_tokens = not special
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        encode = self._by_ranks if special else self.encoding.encode_ordinary
+        encode = self._by_ranks if special else self._ordinary
         return [np.array(encode(t or ""), "<u4") for t in texts]
 
     def _by_ranks(self, text: str) -> list[int]:
         if END_STRING not in text:
-            return self.encoding.encode_ordinary(text)
+            return self._ordinary(text)
         out: list[int] = []
         for i, part in enumerate(text.split(END_STRING)):
-            out += [END_ID] * (i > 0) + self.encoding.encode_ordinary(part)
+            out += [END_ID] * (i > 0) + self._ordinary(part)
         return out
 
+    def _ordinary(self, text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return self.encoding.encode_ordinary(text)
+        out, at = [], 0
+        for m in _LONG.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += self.encoding.encode_ordinary(text[at : m.start()]) + self.encoding._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + self.encoding.encode_ordinary(text[at:])
+
 
 _OPEN: dict[str, Bpe] = {}
 

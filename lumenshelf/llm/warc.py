@@ -6,7 +6,7 @@
    them, one gzip member per record, into WARC files on shared storage. Each file
    is therefore a locally sorted run.
 3. ``read_archives``: files are read back in a stream, by their own headers.
-4. ``merge_runs``: the runs' index entries are dealt to ranges of (URL key, time, id),
+4. ``merge_runs``: the runs' index entries are dealt to ranges of (URL key, time, id, file, place),
    and in each range a loser tree merges the k runs. Ranges in order, and rows in
    order within them, are the global capture history. A URL with a third of all
    captures spreads over many ranges, as time and id are part of the range key.
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import new_folder
-from .common import cut, drop, lookup, table, tune
+from .common import cut, drop, lookup, remove, table, tune
 from .storage import SharedFile, open_read
 from .url_filters import host_of, path_of
 
@@ -64,6 +64,11 @@ def url_key(url: Column) -> Column:
     return F.coalesce(key, F.lit(""))
 
 
+def header_url(url: Column) -> Column:
+    """A URL as headers hold it: no null, line breaks percent-encoded."""
+    return F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def with_revisits(captures: DataFrame) -> DataFrame:
     """Adds payload (binary), digest, refers_to to captures (id, url, ts, html)."""
     rows = captures.withColumn("payload", F.coalesce(F.col("html"), F.lit("")).cast("binary")).drop("html")
@@ -92,7 +97,7 @@ def record_bytes(number: int | None, url: str, ts: int, payload: bytes, digest:
     body = http + payload if refers_to is None else http
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:capture:{'' if number is None else number}>",
-        f"WARC-Target-URI: {url}".replace("\r", "%0D").replace("\n", "%0A"),
+        f"WARC-Target-URI: {url}",
         f"WARC-Date: {date_of(ts)}",
         f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
@@ -113,7 +118,7 @@ def _write_run(folder: str, file_bytes: int) -> Callable[[Iterator[pa.RecordBatc
             for r in batch.to_pylist():
                 if out is None:
                     out, records = SharedFile(folder, stem, ".warc.gz"), 0
-                out.write(_member(record_bytes(r["id"], r["url"] or "", r["ts"], r["payload"], r["digest"], r["refers_to"])))
+                out.write(_member(record_bytes(r["id"], r["url"], r["ts"], r["payload"], r["digest"], r["refers_to"])))
                 records += 1
                 if out.size >= file_bytes:
                     yield pa.RecordBatch.from_pydict({"file": [out.close()], "records": [records], "bytes": [out.size]})
@@ -126,7 +131,9 @@ def _write_run(folder: str, file_bytes: int) -> Callable[[Iterator[pa.RecordBatc
 
 def write_archives(captures: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes captures (id, url, ts, payload, digest, refers_to); returns the files (file, records, bytes)."""
-    rows = captures.withColumn("key", url_key(F.col("url"))).sortWithinPartitions("key", "ts", "id").drop("key")
+    # runs are sorted by what a reader will find: header form of the URL, times that a date can name
+    rows = captures.withColumns({"url": header_url(F.col("url")), "ts": F.greatest(F.lit(FIRST_TIME), F.least(F.lit(LAST_TIME), "ts"))})
+    rows = rows.withColumn("key", url_key(F.col("url"))).sortWithinPartitions("key", "ts", "id").drop("key")
     rows = rows.select("id", "url", "ts", "payload", "digest", "refers_to")
     return cut(rows.mapInArrow(_write_run(folder, file_bytes), "file string, records long, bytes long"), "warc-files")
 
@@ -259,7 +266,8 @@ def merge_runs(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     ``index`` is a cut() table, as its rows are sampled for the ranges' bounds.
     """
     n = max(1, -(-index.count() // range_rows), int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = index.repartitionByRange(n, "url_key", "ts", "id").sortWithinPartitions("file", "seq")
+    # file and seq are the merge's own order of equal keys; with them a capture that repeats any number of times is cut into ranges too
+    dealt = index.repartitionByRange(n, "url_key", "ts", "id", "file", "seq").sortWithinPartitions("file", "seq")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
     return dealt.mapInArrow(_merge_range, f"{kinds}, range_id int, range_pos long")
 
@@ -298,7 +306,9 @@ def capture_history(pages: DataFrame, folder: str, id_col: str = "page_id", url_
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = capture_history(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+    folder = new_folder(spark, "warc")
+    merged = capture_history(table(spark, sf_dir, "pages"), folder)
+    remove(spark, folder)  # the merge reads the index alone
     return merged.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
