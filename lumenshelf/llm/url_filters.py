@@ -12,7 +12,8 @@ Precedence
 
 Edges come from what pages declare (``page_links``): ``<link rel=canonical>`` and
 ``<meta http-equiv=refresh>``, resolved against the page's URL or its ``<base>``, quoted
-or not, with entities decoded and without fragments. A crawl that keeps no redirects
+or not, with entities decoded and without fragments; of several tags of a kind the first
+that is no comment counts. A crawl that keeps no redirects
 loses those between the spellings under which a site answers (http and https, ``www.``,
 tracking parameters); for such tables ``spelling=True`` adds an edge from each URL to
 its canonical spelling, in place of the redirect that was not recorded.
@@ -115,7 +116,7 @@ def resolved(target: Column, base: Column) -> Column:
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html", spelling: bool = False) -> DataFrame:
     """Alias edges (src, dst) of crawled pages: declared ones, and with ``spelling`` those to the canonical spelling."""
-    body = F.coalesce(F.col(html), F.lit(""))
+    body = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?s)<!--.*?-->", "")
     link = F.regexp_extract(body, r"(?is)(<link\b[^>]*\srel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
     meta = F.regexp_extract(body, r"(?is)(<meta\b[^>]*\shttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
     refresh = F.regexp_extract(meta, r"(?is)url\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)
@@ -172,8 +173,7 @@ def judge(urls: DataFrame, edges: DataFrame, rules: Sequence[Rule] = RULES, id_c
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    # these pages record no redirects
-    return judge(pages, page_links(pages, spelling=True)).select("page_id", "host", "path", "rule", "verdict")
+    return judge(pages, page_links(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _rule_sql(host: str, path: str) -> str:
@@ -213,26 +213,21 @@ def _resolved_sql(target: str, base: str) -> str:
 ORACLE_SQL = rf"""
 WITH RECURSIVE p AS (
   SELECT page_id, url, html, {_host_sql('url')} AS host, {_path_sql('url')} AS path FROM pages
-), canon AS (
-  SELECT *, regexp_replace(host, '^(www|m)\.', '') AS h,
-    regexp_replace(regexp_replace(path, '/+$', ''), '\.html?$', '') AS q,
-    array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's'), '&'),
-      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_\w+|ref|fbclid|gclid)='))), '&') AS kept
-  FROM p
+), plain AS (
+  SELECT *, regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs') AS body FROM p
 ), declared AS (
-  SELECT *, regexp_extract(coalesce(html, ''), '(<link\b[^>]*\srel\s*=\s*["'']?canonical\b[^>]*>)', 1, 'is') AS link,
-    regexp_extract(coalesce(html, ''), '(<meta\b[^>]*\shttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1, 'is') AS meta,
-    regexp_extract(coalesce(html, ''), '(<base\b[^>]*>)', 1, 'is') AS basis
-  FROM canon
+  SELECT *, regexp_extract(body, '(<link\b[^>]*\srel\s*=\s*["'']?canonical\b[^>]*>)', 1, 'is') AS link,
+    regexp_extract(body, '(<meta\b[^>]*\shttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1, 'is') AS meta,
+    regexp_extract(body, '(<base\b[^>]*>)', 1, 'is') AS basis
+  FROM plain
 ), named AS (
-  SELECT url, host, h, q, kept, {_found_sql('basis', _HREF_SQL)} AS basis, {_found_sql('link', _HREF_SQL)} AS link,
+  SELECT url, host, {_found_sql('basis', _HREF_SQL)} AS basis, {_found_sql('link', _HREF_SQL)} AS link,
     {_found_sql('meta', _REFRESH_SQL)} AS refresh
   FROM declared
 ), placed AS (
   SELECT *, CASE WHEN basis <> '' THEN coalesce({_resolved_sql('basis', 'url')}, url) ELSE url END AS base FROM named
 ), targets AS (
-  SELECT url AS src, unnest([{_resolved_sql('link', 'base')}, {_resolved_sql('refresh', 'base')},
-    CASE WHEN host <> '' THEN 'https://' || h || q || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END]) AS dst
+  SELECT url AS src, unnest([{_resolved_sql('link', 'base')}, {_resolved_sql('refresh', 'base')}]) AS dst
   FROM placed
 ), edges AS (
   SELECT DISTINCT src, dst FROM targets WHERE contains(dst, '://') AND contains(src, '://') AND src <> dst
