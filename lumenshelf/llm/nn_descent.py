@@ -49,7 +49,7 @@ from .common import cut, drop, lookup, remove, shuffle_parts, table, tune
 
 K, SAMPLE, HUB = 40, 16, 64
 TREES, BLOCK, SIDES = 8, 1024, 24
-ROUNDS, DELTA, SEED = 12, 0.3, 20240
+ROUNDS, DELTA, SEED = 12, 0.1, 20240
 ENTRIES, START, BEAM, EXPAND = 512, 32, 192, 48
 TOP = 20
 #: Rows of sorted input that a task works on at once, rounded up to whole groups.
