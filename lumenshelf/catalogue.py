@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import image_hash, scalars, video, words
-from .operators import clones, ingest, insights, playlists, search, text, updates, vocabulary
+from .operators import clones, ingest, insights, playlists, postings, search, text, updates, vocabulary
 from .plans.fixtures import Library, duck, library, spark_view
-from .plans.lineage import new_folder
+from .plans.lineage import exists, new_folder, stamp
 from .sources import dump
 from .sources import library as store
 from .streaming import ingest as incremental
@@ -36,12 +36,25 @@ def _search(name: str, want: dict[str, Any], sql: str, fields: tuple[str, ...] =
     _register(name, lambda s, d: search.search(library(s, d), want, list(fields)), sql)
 
 
+_STORES: dict[tuple, postings.TokenStore] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> postings.TokenStore:
+    """The token index of the library, built once for a session and a state of its tables, and shared by the queries that use one."""
+    state = tuple(stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    key = (spark.sparkContext.applicationId, sf_dir, state)
+    if key not in _STORES or not exists(spark, _STORES[key].root):
+        _STORES[key] = postings.build(library(spark, sf_dir), new_folder(spark, "token-store"))
+    return _STORES[key]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible media by recommendation."""
     return search.search(
         library(spark, sf_dir),
         search.visible() | {"sortBy": "recommended", "minimumCount": MINIMUM_COUNT},
         ["hash", "recommended"],
+        store=stored_index(spark, sf_dir),
     )
 
 
@@ -185,9 +198,14 @@ _register(
     lambda s, d: text.token_index(library(s, d)).select("hash", "token", F.col("weight").cast("long").alias("weight")),
     f"WITH {_INDEX} SELECT hash, token, cast(weight AS BIGINT) AS weight FROM tokens",
 )
+_register(
+    "d2_dictionary",
+    lambda s, d: stored_index(s, d).read("dictionary").select("token", "top", "n"),
+    f"WITH {_INDEX} SELECT token, cast(max(weight) AS BIGINT) AS top, count(*) AS n FROM tokens GROUP BY token",
+)
 _register(
     "d3_weighted_query",
-    lambda s, d: text.weighted_query(library(s, d), "video en the src3", 200),
+    lambda s, d: postings.weighted_query(stored_index(s, d), "video en the src3", 200),
     f"""
   WITH {_index_sql('video en the src3')} SELECT hash, cast(sum(weight) AS BIGINT) AS score FROM tokens JOIN (SELECT token FROM field_words WHERE kind = 'query') USING (token) GROUP BY hash ORDER BY score DESC, hash LIMIT 200""",
 )
@@ -220,12 +238,12 @@ _register(
 
 _register(
     "f2_insights",
-    lambda s, d: insights.insights(library(s, d), MINIMUM_COUNT).select("token", F.round("average", 6).alias("average"), "count"),
+    lambda s, d: insights.insights(library(s, d), MINIMUM_COUNT, stored_index(s, d)).select("token", F.round("average", 6).alias("average"), "count"),
     f"WITH {_INDEX}, {_AVERAGES} SELECT token, round(average, 6) AS average, count FROM averages",
 )
 _register(
     "f3_recommendations",
-    lambda s, d: insights.recommendations(library(s, d), MINIMUM_COUNT).select("hash", F.round("score", 6).alias("score")),
+    lambda s, d: insights.recommendations(library(s, d), MINIMUM_COUNT, store=stored_index(s, d)).select("hash", F.round("score", 6).alias("score")),
     f"""
   WITH {_INDEX}, {_AVERAGES} SELECT hash, round(coalesce(score, 0), 6) AS score FROM media LEFT JOIN (SELECT hash, sum(average) AS score FROM tokens JOIN averages USING (token) GROUP BY hash) USING (hash)""",
 )
@@ -284,12 +302,33 @@ _register(
   SELECT hash, 'pl-1', cast((SELECT coalesce(max(position), -1) FROM media_playlists WHERE playlist_id = 'pl-1') + row_number() OVER (ORDER BY hash_date, hash) AS INTEGER) FROM media
   WHERE rating = 5 AND hash NOT IN (SELECT media_hash FROM media_playlists WHERE playlist_id = 'pl-1')""",
 )
+
+
+def _moves(s: SparkSession, d: str) -> DataFrame:
+    """Three moves of each playlist, one after the other: its first three media go to places 2, 3 and 0."""
+    to = F.when(F.col("position") == 0, 2).when(F.col("position") == 1, 3).otherwise(0)
+    return _ENTRIES(s, d).filter("position < 3").select("playlist_id", "media_hash", to.alias("to"), (F.col("position") + 1).alias("seq"))
+
+
 _register(
     "g4_move",
-    lambda s, d: playlists.move(_ENTRIES(s, d), _ENTRIES(s, d).filter("position = 0").select("playlist_id", "media_hash", F.lit(2).alias("to"))),
+    lambda s, d: playlists.move(_ENTRIES(s, d), _moves(s, d)),
     """
-  SELECT media_hash, playlist_id, CASE WHEN n <= 2 THEN position WHEN position = 0 THEN 2 WHEN position <= 2 THEN position - 1 ELSE position END AS position
-  FROM (SELECT *, count(*) OVER (PARTITION BY playlist_id) AS n FROM media_playlists)""",
+  WITH RECURSIVE moves AS (
+    SELECT playlist_id, media_hash, CASE position WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS target, position + 1 AS seq FROM media_playlists WHERE position < 3
+  ), sizes AS (
+    SELECT playlist_id, count(*) AS n FROM media_playlists GROUP BY 1
+  ), made AS (
+    SELECT media_hash, playlist_id, position, 0 AS step FROM media_playlists
+    UNION ALL
+    SELECT m.media_hash, m.playlist_id, CASE WHEN v.target IS NULL OR v.target >= n THEN m.position WHEN m.media_hash = v.media_hash THEN v.target
+        WHEN a.position < v.target AND m.position > a.position AND m.position <= v.target THEN m.position - 1
+        WHEN a.position > v.target AND m.position >= v.target AND m.position < a.position THEN m.position + 1 ELSE m.position END, m.step + 1
+    FROM made m JOIN sizes s ON s.playlist_id = m.playlist_id LEFT JOIN moves v ON v.playlist_id = m.playlist_id AND v.seq = m.step + 1
+      LEFT JOIN made a ON a.playlist_id = v.playlist_id AND a.media_hash = v.media_hash
+    WHERE m.step < 3
+  )
+  SELECT media_hash, playlist_id, cast(position AS INTEGER) AS position FROM made WHERE step = 3""",
 )
 _register(
     "g5_remove",
@@ -721,7 +760,7 @@ _ENDINGS = {0: ".jpg", 1: ".MP4", 2: ".gif", 3: ".txt", 4: ""}
 
 
 def _listed(s: SparkSession, d: str) -> DataFrame:
-    """Pages written as files under several endings, and the tree listed again."""
+    """Pages written as files under several endings; the tree listed, and the ends of its files hashed."""
     root, kind = new_folder(s, "tree"), F.col("page_id") % 5
     ending = F.lit("")
     for k, text_ in _ENDINGS.items():
@@ -729,12 +768,8 @@ def _listed(s: SparkSession, d: str) -> DataFrame:
     pages = s.read.parquet(f"{d}/pages.parquet")
     path = F.concat(F.lit("a b/"), (F.col("page_id") % 7).cast("string"), F.lit("/"), F.col("page_id").cast("string"), ending)
     store.write_tree(pages.select(path.alias("path"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content")), root)
-    return store.list_files(s, root, content=True).select(
-        "path",
-        "length",
-        scalars.media_type(F.col("path")).alias("type"),
-        scalars.content_hash(F.col("content")).alias("hash"),
-    )
+    listed = store.list_files(s, root).select("path", "length", scalars.media_type(F.col("path")).alias("type"))
+    return store.hash_files(listed, root).drop("bytes_read")
 
 
 _register(

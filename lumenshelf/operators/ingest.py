@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dir_name, media_type
+from ..plans.sizes import narrow
+from .substrings import containing
 
 
 def created_at(modified: Column) -> Column:
@@ -77,26 +79,13 @@ def index_changes(media: DataFrame, deleted: DataFrame, files: DataFrame, now: i
 
 
 def match_missing(media: DataFrame, missing: DataFrame) -> DataFrame:
-    """Per missing path the media whose path contains it, ignoring case: (path, n, hash); delete where n is 1.
-
-    An equi-join: each medium has its distinct substrings of the lengths that missing
-    paths have. They are counted before they meet the missing paths, so a substring of
-    all media is one row.
-    """
-    m = missing.select(F.col("path").alias("_path"), F.lower("path").alias("_part")).distinct()
-    lengths = [r[0] for r in m.filter("_path is not null").select(F.length("_part")).distinct().collect()]
-    size = F.length("_low")
-    texts = media.select("hash", F.lower("path").alias("_low")).withColumn("_n", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))).filter(
-        F.col("_n") <= size,
-    )
-    part = F.transform(F.sequence(F.lit(1), size - F.col("_n") + 1), lambda i: F.substring("_low", i, F.col("_n")))
-    # outer: for explode Spark infers a size filter in which the array would be computed again
-    parts = texts.select("hash", F.explode_outer(F.array_distinct(part)).alias("_part"))
-    got = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("hash"))
-    return m.join(got, "_part", "left").select(
+    """Per missing path the media whose path contains it, ignoring case: (path, n, hash); delete where n is 1."""
+    m = missing.select(F.col("path").alias("_path"), F.lower("path").alias("part")).distinct()
+    got = containing(media.select(F.col("hash").alias("key"), F.lower("path").alias("text")), m.filter("part is not null").select("part").distinct())
+    return m.join(got, "part", "left").select(
         F.col("_path").alias("path"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"),
-        F.when(F.col("n") == 1, F.col("hash")).alias("hash"),
+        F.when(F.col("n") == 1, F.col("key")).alias("hash"),
     )
 
 
@@ -118,7 +107,7 @@ def remove_media(tables: dict[str, DataFrame], gone: DataFrame, tombstone: bool
 
 def rename_hashes(tables: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
     """``changes`` (old, new) in media, what points at it, and all bridges, all at once. Of repeated old hashes the smallest new one counts; new hashes must not be in use."""
-    c = changes.filter("old <> new").groupBy("old").agg(F.min("new").alias("new"))
+    c = narrow(changes.filter("old <> new").groupBy("old").agg(F.min("new").alias("new")), "renames")
 
     def renamed(df: DataFrame, column: str) -> DataFrame:
         return df.join(c, F.col(column) == F.col("old"), "left").withColumn(column, F.coalesce("new", column)).select(df.columns)

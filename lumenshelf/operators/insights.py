@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import absolute_path
 from ..plans.fixtures import Library
 from ..plans.lineage import settled
+from . import postings
+from .postings import TokenStore
 from .text import token_index
 
 #: An average nearer to zero says nothing.
@@ -27,19 +29,27 @@ def token_averages(lib: Library, minimum_count: int = 20, index: DataFrame | Non
     return per.filter((F.col("count") >= minimum_count) & (F.abs("average") >= LEAST_AVERAGE))
 
 
-def insights(lib: Library, minimum_count: int = 20) -> DataFrame:
-    """F2."""
-    return token_averages(lib, minimum_count).orderBy(F.desc("average"), "token")
+def insights(lib: Library, minimum_count: int = 20, store: TokenStore | None = None) -> DataFrame:
+    """F2; from the sums of a stored index, if there is one."""
+    averages = postings.token_averages(store, minimum_count, LEAST_AVERAGE) if store else token_averages(lib, minimum_count)
+    return averages.orderBy(F.desc("average"), "token")
 
 
-def recommendations(lib: Library, minimum_count: int = 20, hashes: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+def recommendations(
+    lib: Library, minimum_count: int = 20, hashes: DataFrame | None = None, index: DataFrame | None = None, store: TokenStore | None = None,
+) -> DataFrame:
     """(hash, score), the sum of the averages of a medium's distinct tokens; 0 without any.
 
-    ``hashes`` limits what is scored, not what the averages are taken over. ``index`` is
-    a stored token index; without it, one is computed and written once for both steps.
+    ``hashes`` limits what is scored, not what the averages are taken over. ``store`` is
+    a stored index with its sums, ``index`` only its rows; without them, an index is
+    computed and written once for both steps.
     """
-    index = settled(token_index(lib), "token-index") if index is None else index
-    averages = settled(token_averages(lib, minimum_count, index).select("token", "average"), "token-averages")
+    if store is not None:
+        index, averages = store.rows(), postings.token_averages(store, minimum_count, LEAST_AVERAGE)
+    else:
+        index = settled(token_index(lib), "token-index") if index is None else index
+        averages = token_averages(lib, minimum_count, index)
+    averages = settled(averages.select("token", "average"), "token-averages")
     if averages.count() <= BROADCAST_TOKENS:
         averages = F.broadcast(averages)
     telling = index.join(averages, "token").select("hash", "average")

@@ -6,12 +6,18 @@ a playlist of any size is no single task's work (``plans.ranks``).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import settled
 from ..plans.ranks import ranked
+from ..plans.sizes import narrow
 
 _ENTRY = ["media_hash", "playlist_id", "position"]
+#: Places of a playlist that share one list of stretches, and such lists that are broadcast.
+BLOCK, BROADCAST_BLOCKS = 1 << 16, 20_000
 
 
 def densify(entries: DataFrame) -> DataFrame:
@@ -53,22 +59,68 @@ def refresh(playlists: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+def folded(media: list[str], starts: list[int], targets: list[int]) -> tuple[dict[str, int], list[tuple[int, int]]]:
+    """Moves of one playlist in their order: final places of the media moved, and (first place, shift) of the stretches of all others.
+
+    ``starts`` are places before all moves. Only places of media that are ever moved are
+    kept, as each move shifts some of them by one. The others keep their order and fill
+    what is free, so their shift changes only at the moved media's first and last places.
+    """
+    known = sorted(set(zip(starts, media, strict=True)))
+    number = {m: i for i, (_, m) in enumerate(known)}
+    first = np.array([p for p, _ in known], np.int64)
+    at = first.copy()
+    for m, to in zip(media, targets, strict=True):
+        i = number[m]
+        start = at[i]
+        if to > start:
+            at[(at > start) & (at <= to)] -= 1
+        else:
+            at[(at >= to) & (at < start)] += 1
+        at[i] = to
+    # the r-th of the others stands at r + (moved first places before it), and goes to r + (taken places before it)
+    one = np.arange(len(first))
+    before, taken = first - one, np.sort(at) - one
+    places = np.unique(np.concatenate([[0], first + 1, taken + np.searchsorted(before, taken, "right")]))
+    r = places - np.searchsorted(first, places)
+    shift = r + np.searchsorted(taken, r, "right") - places
+    return {m: int(at[i]) for m, i in number.items()}, list(zip(places.tolist(), shift.tolist(), strict=True))
+
+
+def _fold(group: pa.Table) -> pa.Table:
+    """One row per moved medium (media_hash, place) and per stretch (place, until, shift) of a playlist."""
+    group = group.sort_by([("seq", "ascending"), ("media_hash", "ascending"), ("to", "ascending")])
+    name, size = group.column("playlist_id")[0].as_py(), group.column("size")[0].as_py()
+    moved, stretches = folded(*(group.column(c).to_pylist() for c in ("media_hash", "position", "to")))
+    until = [*[p for p, _ in stretches[1:]], size]
+    rows = [(name, m, p, None, None) for m, p in moved.items()]
+    rows += [(name, None, p, u, s) for (p, s), u in zip(stretches, until, strict=True) if p < u]
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["playlist_id", "media_hash", "place", "until", "shift"])
+
+
 def move(entries: DataFrame, moves: DataFrame) -> DataFrame:
-    """``moves`` (playlist_id, media_hash, to).
+    """``moves`` (playlist_id, media_hash, to[, seq]), made one after the other in each playlist, by seq, then media_hash, then to.
 
     Those to a place outside the playlist, or of a medium not in it, are refused (nothing
-    changes). Of several that remain for one playlist, that of the smallest
-    (media_hash, to) is made and the others are not: they would depend on each other.
+    changes), and the others are made. The moves of one playlist are folded in one task,
+    as each depends on those before it; its entries, however many, are only shifted by
+    the stretch that they stand in.
     """
-    sizes = entries.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("_size"))
-    at = moves.join(entries, ["playlist_id", "media_hash"]).join(sizes, "playlist_id").filter(
-        (F.col("to") >= 0) & (F.col("to") < F.col("_size")),
-    )
-    one = at.groupBy("playlist_id").agg(F.min(F.struct("media_hash", "to", "position")).alias("_m"))
-    at = one.select("playlist_id", F.col("_m.position").alias("_from"), F.col("_m.to").alias("_to"))
-    p, a, b = F.col("position"), F.col("_from"), F.col("_to")
-    new = F.when(a.isNull(), p).when(p == a, b).when((b > a) & (p > a) & (p <= b), p - 1).when((b < a) & (p >= b) & (p < a), p + 1).otherwise(p)
-    return entries.join(at, "playlist_id", "left").select("media_hash", "playlist_id", new.cast("int").alias("position"))
+    seq = F.col("seq").cast("long") if "seq" in moves.columns else F.lit(0).cast("long")
+    wanted = narrow(moves.select("playlist_id", "media_hash", F.col("to").cast("long").alias("to"), seq.alias("seq")), "moves")
+    sizes = entries.join(narrow(wanted.select("playlist_id").distinct(), "moved-playlists"), "playlist_id", "left_semi").groupBy("playlist_id").agg(F.count(F.lit(1)).alias("size"))
+    at = entries.select("playlist_id", "media_hash", F.col("position").cast("long").alias("position")).join(wanted, ["playlist_id", "media_hash"]).join(sizes, "playlist_id")
+    made = at.filter((F.col("to") >= 0) & (F.col("to") < F.col("size"))).groupBy("playlist_id").applyInArrow(_fold, "playlist_id string, media_hash string, place long, until long, shift long")
+    made = settled(made, "folded-moves")
+    moved = narrow(made.filter("until is null").select("playlist_id", "media_hash", "place"), "moved-media")
+    block = F.explode(F.sequence(F.floor(F.col("place") / BLOCK), F.floor((F.col("until") - 1) / BLOCK)))
+    stretches = made.filter("until is not null").select("playlist_id", block.alias("_block"), F.struct(F.col("place").alias("start"), "shift").alias("s"))
+    stretches = narrow(stretches.groupBy("playlist_id", "_block").agg(F.sort_array(F.collect_list("s")).alias("_s")), "stretches", BROADCAST_BLOCKS)
+    out = entries.withColumn("_block", F.floor(F.col("position") / BLOCK)).join(moved, ["playlist_id", "media_hash"], "left").join(stretches, ["playlist_id", "_block"], "left")
+    shift = F.element_at(F.filter("_s", lambda s: s["start"] <= F.col("position")), -1)["shift"]
+    place = F.coalesce("place", F.col("position") + shift, "position")
+    return out.select("media_hash", "playlist_id", place.cast("int").alias("position"))
 
 
 def remove(entries: DataFrame, gone: DataFrame) -> DataFrame:

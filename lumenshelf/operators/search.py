@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.fixtures import Library
 from ..plans.ranks import ranked
 from . import text
+from .postings import TokenStore
 
 #: Direction of a sort key where none is given.
 DESCENDING = {"hashDate", "rating", "createdAt", "length", "recommended"}
@@ -105,13 +106,14 @@ def visible() -> dict[str, Any]:
     return {"corrupted": False, "indexed": True, "duplicateOf": {"exists": False}}
 
 
-def search(lib: Library, want: dict[str, Any], fields: list[str] | None = None, seed: int = 0) -> DataFrame:
+def search(lib: Library, want: dict[str, Any], fields: list[str] | None = None, seed: int = 0, store: TokenStore | None = None) -> DataFrame:
     """The media that meet all constraints in ``want``.
 
     Column conditions come first, where the scan can take them; then semi and anti joins
     on hash. ``sortBy``, ``sortDirection``, ``sample`` and ``limit`` come last, in that
     order. ``fields`` defaults to all columns. ``autoTags`` is a column of lists and knows
-    ``exists`` only. An unknown constraint is an error.
+    ``exists`` only. An unknown constraint is an error. ``store`` is a stored token index,
+    from which recommendations are made.
     """
     media = lib.media
     for name, w in want.items():
@@ -141,7 +143,7 @@ def search(lib: Library, want: dict[str, Any], fields: list[str] | None = None,
         from .insights import recommendations
 
         # only what was found is scored
-        scores = recommendations(lib, want.get("minimumCount", 20), media.select("hash"))
+        scores = recommendations(lib, want.get("minimumCount", 20), media.select("hash"), store=store)
         media = media.join(scores.withColumnRenamed("score", "recommended"), "hash")
     if want.get("sample"):
         media = sample(media, want["sample"], seed)

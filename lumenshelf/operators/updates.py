@@ -1,4 +1,8 @@
-"""Sparse and bulk updates (K1, K2)."""
+"""Sparse and bulk updates (K1, K2).
+
+Change sets of at most BROADCAST_ROWS rows are broadcast, so media are neither shuffled
+nor sorted for them; larger ones are joined by shuffle.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.sizes import narrow
+
 
 def one_patch(patches: DataFrame, given: list[str]) -> DataFrame:
     """One row per hash: _hash, _keys, _<column> for each of ``given``, and _new if there is new_hash.
@@ -35,19 +41,25 @@ def upsert(media: DataFrame, patches: DataFrame) -> DataFrame:
     (``one_patch``).
     """
     given = [c for c in media.columns if c in patches.columns and c != "hash"]
-    both = media.join(one_patch(patches, given), F.col("hash") == F.col("_hash"), "full_outer")
+    patch = narrow(one_patch(patches, given), "patches")
+    # unknown hashes: of those in the patch, the ones that no medium has
+    known = media.select(F.col("hash").alias("_hash")).join(patch.select("_hash"), "_hash", "left_semi").distinct()
+    born = patch.join(known, "_hash", "left_anti")
 
-    def value(c: str) -> Column:
+    def value(c: str, old: bool) -> Column:
         if c == "hash":
-            return F.coalesce(*["_new"] * ("new_hash" in patches.columns), "hash", "_hash").alias("hash")
-        return F.when(F.array_contains("_keys", c), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c)
+            return F.coalesce(*["_new"] * ("new_hash" in patches.columns), *["hash"] * old, "_hash").alias("hash")
+        kept = F.col(c) if old else F.lit(None)
+        new = F.when(F.array_contains("_keys", c), F.col(f"_{c}")).otherwise(kept) if c in given else kept
+        return new.cast(media.schema[c].dataType).alias(c)
 
-    return both.select(*map(value, media.columns))
+    changed = media.join(patch, F.col("hash") == F.col("_hash"), "left").select(*[value(c, True) for c in media.columns])
+    return changed.unionByName(born.select(*[value(c, False) for c in media.columns]))
 
 
 def bulk_update(media: DataFrame, matches: DataFrame, patch: dict[str, Any]) -> tuple[DataFrame, int]:
     """K2: sets ``patch`` on all media in ``matches`` (hash); returns the table and how many matched."""
-    m = matches.select("hash", F.lit(True).alias("_hit")).distinct()
+    m = narrow(matches.select("hash", F.lit(True).alias("_hit")).distinct(), "matches")
     out = media.join(m, "hash", "left")
     for c, v in patch.items():
         out = out.withColumn(c, F.when(F.col("_hit"), F.lit(v).cast(media.schema[c].dataType)).otherwise(F.col(c)))

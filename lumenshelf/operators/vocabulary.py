@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.sizes import narrow
+
 
 def _same(a: DataFrame, b: DataFrame, column: str, how: str) -> DataFrame:
     return a.join(b.select("media_hash", column), ["media_hash", column], how)
@@ -31,8 +33,9 @@ def add_words(vocabulary: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def remove_words(vocabulary: DataFrame, bridge: DataFrame, gone: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """H4: from the vocabulary and from all media."""
-    return vocabulary.join(gone.select("id"), "id", "left_anti"), bridge.join(gone.select(F.col("id").alias(column)), column, "left_anti").select("media_hash", column)
+    """H4: from the vocabulary and from all media; few words shuffle neither."""
+    gone = narrow(gone.select("id").distinct(), "gone-words")
+    return vocabulary.join(gone, "id", "left_anti"), bridge.join(gone.withColumnRenamed("id", column), column, "left_anti").select("media_hash", column)
 
 
 def replace_sets(bridge: DataFrame, new: DataFrame, column: str) -> DataFrame:

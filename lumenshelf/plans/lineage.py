@@ -36,3 +36,22 @@ def settled(df: DataFrame, name: str = "settled") -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Bytes, files and time of change of a table's folder or file."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    summary = store.getContentSummary(p)
+    return summary.getLength(), summary.getFileCount(), store.getFileStatus(p).getModificationTime()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later step reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

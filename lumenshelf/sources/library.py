@@ -1,7 +1,8 @@
-"""File listings, sidecar files and table storage (A1, A4, A5)."""
+"""File listings, content hashes, sidecar files and table storage (A1, A4, A5, B2)."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -17,17 +18,63 @@ def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFra
     """A1: (path relative to ``root``, length, modificationTime[, content]) of files of known types; contents are not read unless asked for. Empty files are no media; the file source leaves them out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.split(":", 1)[-1].lstrip("/").rstrip("/") + "/"
-    relative = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/+", "")
+    relative = F.regexp_replace("path", r"^[a-z0-9]+:/+", "")  # the file source spells names as they are
     out = files.withColumn("path", F.regexp_replace(relative, rf"^\Q{base}\E", ""))
     return out.filter(media_type(F.col("path")).isNotNull()).select("path", "length", "modificationTime", *(["content"] if content else []))
 
 
+def _place(root: str) -> tuple[fs.FileSystem, str]:
+    store, base = fs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+    return store, base.rstrip("/")
+
+
+def ends(f: pa.NativeFile, chunk: int) -> tuple[bytes, bytes]:
+    """The first and the last ``chunk`` bytes of an open file, by two ranged reads; the last are empty if the first are all."""
+    size = f.size()
+    return f.read_at(min(size, chunk), 0), f.read_at(chunk, size - chunk) if size > chunk else b""
+
+
+def _hash_ends(root: str, chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _place(root)
+        for batch in batches:
+            hashes: list[str | None] = []
+            sizes: list[int] = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    with store.open_input_file(f"{base}/{path}") as f:
+                        first, last = ends(f, chunk)
+                except FileNotFoundError:
+                    hashes.append(None)
+                    sizes.append(0)
+                    continue
+                hashes.append(hashlib.md5(first + last).hexdigest())
+                sizes.append(len(first) + len(last))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.string()), pa.array(sizes, pa.int64())], names=[*batch.schema.names, "hash", "bytes_read"])
+
+    return run
+
+
+def hash_files(files: DataFrame, root: str, chunk: int = 65536) -> DataFrame:
+    """B2 for files: adds hash, as ``content_hash`` of the whole content, and bytes_read to ``files`` (path below ``root``, ...).
+
+    Tasks open the files and read two ranges of each, so a file of any length costs two
+    small reads. A file that is gone by then has a null hash. ``root`` is a path or URI
+    that executors reach.
+    """
+    rows = files.select("path", *[c for c in files.columns if c != "path"])
+    # opening files is slow and listings are short: deal them to all tasks
+    dealt = rows.repartition("path")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return dealt.mapInArrow(_hash_ends(root, chunk), f"{kinds}, hash string, bytes_read long")
+
+
 def _write_files(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+        store, base = _place(root)
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                place = f"{base.rstrip('/')}/{path}"
+                place = f"{base}/{path}"
                 store.create_dir(place.rsplit("/", 1)[0], recursive=True)
                 # a task that is run again puts the same file in place of its first try's
                 part = f"{place}.{uuid.uuid4().hex}.part"
