@@ -310,25 +310,27 @@ def _moves(s: SparkSession, d: str) -> DataFrame:
     return _ENTRIES(s, d).filter("position < 3").select("playlist_id", "media_hash", to.alias("to"), (F.col("position") + 1).alias("seq"))
 
 
+def _moved_sql(k: int) -> str:
+    """The k-th move of each playlist, as a step from made<k - 1> to made<k>."""
+    return f"""made{k} AS (
+    SELECT m.media_hash, m.playlist_id, CASE WHEN v.target IS NULL OR v.target >= n THEN m.position WHEN m.media_hash = v.media_hash THEN v.target
+        WHEN a.position < v.target AND m.position > a.position AND m.position <= v.target THEN m.position - 1
+        WHEN a.position > v.target AND m.position >= v.target AND m.position < a.position THEN m.position + 1 ELSE m.position END AS position
+    FROM made{k - 1} m JOIN sizes s ON s.playlist_id = m.playlist_id LEFT JOIN moves v ON v.playlist_id = m.playlist_id AND v.seq = {k}
+      LEFT JOIN made{k - 1} a ON a.playlist_id = v.playlist_id AND a.media_hash = v.media_hash)"""
+
+
 _register(
     "g4_move",
     lambda s, d: playlists.move(_ENTRIES(s, d), _moves(s, d)),
-    """
-  WITH RECURSIVE moves AS (
+    f"""
+  WITH moves AS (
     SELECT playlist_id, media_hash, CASE position WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS target, position + 1 AS seq FROM media_playlists WHERE position < 3
   ), sizes AS (
     SELECT playlist_id, count(*) AS n FROM media_playlists GROUP BY 1
-  ), made AS (
-    SELECT media_hash, playlist_id, position, 0 AS step FROM media_playlists
-    UNION ALL
-    SELECT m.media_hash, m.playlist_id, CASE WHEN v.target IS NULL OR v.target >= n THEN m.position WHEN m.media_hash = v.media_hash THEN v.target
-        WHEN a.position < v.target AND m.position > a.position AND m.position <= v.target THEN m.position - 1
-        WHEN a.position > v.target AND m.position >= v.target AND m.position < a.position THEN m.position + 1 ELSE m.position END, m.step + 1
-    FROM made m JOIN sizes s ON s.playlist_id = m.playlist_id LEFT JOIN moves v ON v.playlist_id = m.playlist_id AND v.seq = m.step + 1
-      LEFT JOIN made a ON a.playlist_id = v.playlist_id AND a.media_hash = v.media_hash
-    WHERE m.step < 3
-  )
-  SELECT media_hash, playlist_id, cast(position AS INTEGER) AS position FROM made WHERE step = 3""",
+  ), made0 AS (
+    SELECT media_hash, playlist_id, position FROM media_playlists
+  ), {", ".join(_moved_sql(k) for k in (1, 2, 3))} SELECT media_hash, playlist_id, cast(position AS INTEGER) AS position FROM made3""",
 )
 _register(
     "g5_remove",
