@@ -48,12 +48,14 @@ from ..plans.lineage import new_folder
 from .common import cut, drop, lookup, remove, shuffle_parts, table, tune
 
 K, SAMPLE, HUB = 40, 16, 64
-TREES, BLOCK, SIDES = 8, 1024, 24
+TREES, BLOCK, SIDES = 8, 256, 24
 ROUNDS, DELTA, SEED = 12, 0.1, 20240
 ENTRIES, START, BEAM, EXPAND = 512, 32, 192, 48
 TOP = 20
 #: Rows of sorted input that a task works on at once, rounded up to whole groups.
 CHUNK = 1 << 15
+#: Candidate pairs that a task holds before it passes on the best of each node (16 bytes each, and their sorting).
+PAIRS = 1 << 21
 #: Flags of a list's entry: not yet picked; picked now as new, as old.
 FRESH, NEW, OLD = 1, 2, 4
 #: Flags of a beam's entry: seen, expanded, to be expanded now.
@@ -250,6 +252,7 @@ def _met(k: int, sample: int, number: int):
     """Candidates from rows (at, member, new, vec, kth) sorted by ``at``: the members of a place meet, except old with old."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
         for t in chunked(batches):
             at, member, new, kth = (t.column(c).to_numpy() for c in ("at", "member", "new", "kth"))
             raw = t.column("vec").to_pylist()
@@ -257,7 +260,6 @@ def _met(k: int, sample: int, number: int):
             # not more than thrice a node's picks of either kind, which only a hub has
             kinds = at[order] * 2 + ~new[order]
             order = order[places(kinds) < 3 * sample]
-            found: list[tuple] = []
             for _, rows in by_length([raw[i] for i in order]):
                 rows = order[rows]
                 x, a, ids, is_new, least = decoded([raw[i] for i in rows]), at[rows], member[rows], new[rows], kth[rows]
@@ -269,8 +271,11 @@ def _met(k: int, sample: int, number: int):
                     hit = (sims > least[i:j, None]) & (is_new[i:j, None] | is_new[None, i:j]) & (ids[i:j, None] != ids[None, i:j])
                     p, q = np.nonzero(hit)
                     found.append((ids[i + p], ids[i + q], sims[p, q]))
-            if found:
+            if sum(len(f[0]) for f in found) >= PAIRS:
                 yield _candidates(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
+                found = []
+        if found:
+            yield _candidates(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
 
     return run
 
