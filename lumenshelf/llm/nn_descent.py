@@ -18,13 +18,15 @@ Index (``build``)
        many have as neighbour is no hot key.
     3. each node's list with its neighbours' vectors is written in buckets by node.
 Search (``search``): a query's beam holds the best nodes seen. It starts with the
-    best of ENTRIES nodes (a fixed number, the smallest by hash; their vectors go to
-    all tasks) and the query's own node, if it has one. Each round expands the best
+    START best of ENTRIES nodes (fixed numbers; the entries are the smallest by hash, and
+    their vectors go to all tasks) and the query's own node, if it has one; so a table of
+    up to START nodes is searched whole. Each round expands the best
     EXPAND nodes of the beam not yet expanded, by a join with the bucketed lists, until
     nothing in the beam is left to expand.
 Then exact inner products of the original vectors decide in double precision. During
 search, vectors are 16-bit fixed-point numbers with a scale each; all nodes are kept
-that their rounding could bring among the ``top``.
+that their rounding could bring among the ``top``. A vector thousands of times longer than
+the others leaves them few of the 16 bits, and recall falls; the scores stay exact.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite numbers take
 no part; vectors of different lengths never meet; rows with equal vectors are one node
@@ -50,7 +52,7 @@ from .common import cut, drop, lookup, remove, shuffle_parts, table, tune
 K, SAMPLE, HUB = 40, 16, 64
 TREES, BLOCK, SIDES = 8, 256, 24
 ROUNDS, DELTA, SEED = 12, 0.1, 20240
-ENTRIES, START, BEAM, EXPAND = 512, 32, 192, 48
+ENTRIES, START, BEAM, EXPAND = 512, 96, 192, 48
 TOP = 20
 #: Rows of sorted input that a task works on at once, rounded up to whole groups.
 CHUNK = 1 << 15
