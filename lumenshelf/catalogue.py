@@ -39,15 +39,19 @@ def _search(name: str, want: dict[str, Any], sql: str, fields: tuple[str, ...] =
 _STORES: dict[tuple, postings.TokenStore] = {}
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> postings.TokenStore:
-    """The token index of the library, built once for a session and a state of its tables, and shared by the queries that use one."""
+def stored_index(spark: SparkSession, sf_dir: str, kind: str = "tokens") -> postings.TokenStore:
+    """An index of the library, built once for a session and a state of its tables, and shared by the queries that use one."""
     state = tuple(stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    key = (spark.sparkContext.applicationId, sf_dir, state)
+    key = (spark.sparkContext.applicationId, sf_dir, state, kind)
     if key not in _STORES or not exists(spark, _STORES[key].root):
-        _STORES[key] = postings.build(library(spark, sf_dir), new_folder(spark, "token-store"))
+        _STORES[key] = postings.build(library(spark, sf_dir), new_folder(spark, f"{kind}-store"), kind=kind)
     return _STORES[key]
 
 
+def _among(spark: SparkSession, sf_dir: str) -> Callable[[Library, list[str]], Library]:
+    return lambda lib, phrases: postings.library_of(lib, phrases, stored_index(spark, sf_dir, "words"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible media by recommendation."""
     return search.search(
@@ -220,19 +224,19 @@ _PHRASE = r"(' ' || trim(regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{
 _ANY = " OR ".join(f"contains({_PHRASE.format(x=x)}, ' src3 ') OR contains({_PHRASE.format(x=x)}, ' actor 5 ')" for x in ("x",))
 _TEXTS = """SELECT hash, unnest([hash, path, type, artist, album, title]) AS x FROM media UNION ALL SELECT hash, unnest(auto_tags) FROM media
     UNION ALL SELECT media_hash, tag_id FROM media_tags UNION ALL SELECT media_hash, actor_id FROM media_actors"""
-_register("d6_keywords", lambda s, d: text.keyword_matches(library(s, d), "src3 actor-5"), f"""
-  SELECT DISTINCT hash FROM ({_TEXTS}) WHERE {_ANY}""")
-_register(
-    "d7_ranked_keywords",
-    lambda s, d: text.ranked_keywords(library(s, d), 'the "actor 5" src3 -gif'),
-    f"""
+_D6 = f"SELECT DISTINCT hash FROM ({_TEXTS}) WHERE {_ANY}"
+_register("d6_keywords", lambda s, d: text.keyword_matches(library(s, d), "src3 actor-5"), _D6)
+_register("d6_stored_index", lambda s, d: text.keyword_matches(library(s, d), "src3 actor-5", _among(s, d)), _D6)
+_D7 = f"""
   WITH f AS (
     SELECT hash, {_PHRASE.format(x='x')} AS t, w FROM (
       SELECT hash, path AS x, 1 AS w FROM media UNION ALL SELECT hash, artist, 5 FROM media UNION ALL SELECT hash, album, 7 FROM media UNION ALL SELECT hash, title, 7 FROM media UNION ALL SELECT hash, type, 10 FROM media
       UNION ALL SELECT hash, unnest(auto_tags), 1 FROM media UNION ALL SELECT media_hash, tag_id, 3 FROM media_tags UNION ALL SELECT media_hash, actor_id, 8 FROM media_actors))
   SELECT hash, cast(sum(w * (len(regexp_extract_all(replace(t, ' ', '  '), ' the ')) + len(regexp_extract_all(replace(t, ' ', '  '), ' actor  5 ')) + len(regexp_extract_all(replace(t, ' ', '  '), ' src3 ')))) AS BIGINT) AS score
-  FROM f WHERE hash NOT IN (SELECT hash FROM f WHERE contains(t, ' gif ')) GROUP BY hash HAVING score > 0""",
-)
+  FROM f WHERE hash NOT IN (SELECT hash FROM f WHERE contains(t, ' gif ')) GROUP BY hash HAVING score > 0"""
+_QUERY = 'the "actor 5" src3 -gif'
+_register("d7_ranked_keywords", lambda s, d: text.ranked_keywords(library(s, d), _QUERY), _D7)
+_register("d7_stored_index", lambda s, d: text.ranked_keywords(library(s, d), _QUERY, _among(s, d)), _D7)
 
 # ---- F: insights -------------------------------------------------------------------
 

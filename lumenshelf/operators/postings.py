@@ -17,19 +17,26 @@ and ends when no range left can reach the last of its best rows; what it reads o
 it scores exactly. An update adds a version: its media's new rows, and the differences of
 the sums, which need only the old and the new rows of those media. Sums of all versions
 are the sums of a new index. ``compact`` writes a new base.
+
+An index of kind ``words`` holds the words of keyword search (D6, D7) instead of weighted
+tokens: it names the media that have all words of a phrase, and only their texts are read
+for the phrase itself.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.words import STOP_WORDS, tokenise
+from ..functions.words import STOP_WORDS, phrase_text, tokenise
 from ..plans.fixtures import Library
 from ..plans.lineage import exists, settled
+from ..plans.sizes import narrow
 from .text import token_index
 
 BUCKETS, RANGES = 32, 1024
@@ -60,6 +67,7 @@ class TokenStore:
     buckets: int = BUCKETS
     ranges: int = RANGES
     stop_words: frozenset[str] = STOP_WORDS
+    kind: str = "tokens"
 
     def read(self, name: str, split: list[int] | None = None) -> DataFrame:
         """A table's rows of all versions; only of the given buckets or parts."""
@@ -137,10 +145,30 @@ def _write(store: TokenStore, v: int, index: DataFrame, values: DataFrame, befor
     return new
 
 
-def build(lib: Library, root: str, stop_words: frozenset[str] = STOP_WORDS, buckets: int = BUCKETS, ranges: int = RANGES) -> TokenStore:
+def word_index(lib: Library) -> DataFrame:
+    """(hash, token, weight 1): the distinct words of all fields that keyword search looks at."""
+    texts = [F.col(c) for c in ("hash", "path", "type", "artist", "album", "title")]
+    fields = F.array(*texts)
+    if "auto_tags" in lib.media.columns:
+        fields = F.concat(fields, F.coalesce("auto_tags", F.array().cast("array<string>")))
+    rows = lib.media.select("hash", F.explode(fields).alias("text"))
+    for bridge, c in ((lib.media_tags, "tag_id"), (lib.media_actors, "actor_id")):
+        rows = rows.unionByName(bridge.select(F.col("media_hash").alias("hash"), F.col(c).alias("text")))
+    words = rows.select("hash", F.explode(F.array_distinct(F.split(F.trim(phrase_text(F.col("text"))), " "))).alias("token"))
+    return words.filter("token <> ''").distinct().withColumn("weight", F.lit(1).cast("long"))
+
+
+def _indexed(store: TokenStore, lib: Library) -> tuple[DataFrame, DataFrame]:
+    """A library's rows (hash, token, weight) and rating values."""
+    if store.kind == "words":
+        return word_index(lib), rated(lib).limit(0)
+    return token_index(lib, store.stop_words), rated(lib)
+
+
+def build(lib: Library, root: str, stop_words: frozenset[str] = STOP_WORDS, buckets: int = BUCKETS, ranges: int = RANGES, kind: str = "tokens") -> TokenStore:
     """A new index of a library in the empty folder ``root``."""
-    store = TokenStore(lib.media.sparkSession, root, (), buckets, ranges, stop_words)
-    return _write(store, 0, token_index(lib, stop_words), rated(lib), None, None)
+    store = TokenStore(lib.media.sparkSession, root, (), buckets, ranges, stop_words, kind)
+    return _write(store, 0, *_indexed(store, lib), None, None)
 
 
 def reopen(spark: SparkSession, root: str, **options) -> TokenStore:
@@ -153,7 +181,8 @@ def reopen(spark: SparkSession, root: str, **options) -> TokenStore:
     return TokenStore(spark, root, tuple(versions), **options)
 
 
-def _of(lib: Library, hashes: DataFrame) -> Library:
+def of_media(lib: Library, hashes: DataFrame) -> Library:
+    """The part of a library that belongs to the media ``hashes`` (hash)."""
     keep = lambda df, c: df.join(hashes.select(F.col("hash").alias(c)), c, "left_semi")
     return Library(keep(lib.media, "hash"), keep(lib.media_tags, "media_hash"), keep(lib.media_actors, "media_hash"), keep(lib.media_playlists, "media_hash"))
 
@@ -167,8 +196,7 @@ def update(store: TokenStore, lib: Library, hashes: DataFrame) -> TokenStore:
     old = store.rows(parts).join(few, "hash", "left_semi")
     values = store.valid(store.read("ratings").join(few, "hash", "left_semi"), store.last_touched())
     before = settled(old.join(values, "hash").groupBy("token").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n")), "old-sums")
-    now = _of(lib, few)
-    return _write(store, max(store.versions) + 1, token_index(now, store.stop_words), rated(now), before, hashes)
+    return _write(store, max(store.versions) + 1, *_indexed(store, of_media(lib, few)), before, hashes)
 
 
 def compact(store: TokenStore, root: str) -> TokenStore:
@@ -250,3 +278,22 @@ def token_averages(store: TokenStore, minimum_count: int = 20, least_average: fl
     """(token, average, count) from the stored sums."""
     per = store.sums().select("token", (F.col("total") / F.col("n")).alias("average"), F.col("n").alias("count"))
     return per.filter((F.col("count") >= minimum_count) & (F.abs("average") >= least_average))
+
+
+def holding(store: TokenStore, phrases: Sequence[str]) -> DataFrame:
+    """(hash) of media that have all words of one of ``phrases`` (words between single spaces), from an index of words."""
+    spark = store.spark
+    words = sorted({w for p in phrases for w in p.split(" ")})
+    if not words:
+        return spark.createDataFrame([], "hash string")
+    # the words of one query are few
+    buckets = [r[0] for r in spark.createDataFrame([(w,) for w in words], "t string").select(_bucket(store, F.col("t"))).distinct().collect()]
+    rows = store.read("postings", buckets).filter(F.col("token").isin(words)).select("hash", "token", "v")
+    have = store.valid(rows, store.last_touched()).groupBy("hash").agg(F.collect_set("token").alias("_have"))
+    all_of = lambda p: reduce(lambda a, b: a & b, [F.array_contains("_have", w) for w in p.split(" ")])
+    return have.filter(reduce(lambda a, b: a | b, [all_of(p) for p in phrases])).select("hash")
+
+
+def library_of(lib: Library, phrases: Sequence[str], store: TokenStore) -> Library:
+    """The part of a library in which ``phrases`` may stand; few media shuffle none of it."""
+    return of_media(lib, narrow(holding(store, phrases), "candidates"))

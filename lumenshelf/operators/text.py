@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,13 +82,18 @@ def search_document(lib: Library) -> DataFrame:
     )
 
 
-def keyword_matches(lib: Library, query: str) -> DataFrame:
-    """Hashes of media with any term; a term's words must stand side by side in one field."""
+def keyword_matches(lib: Library, query: str, among: Callable[[Library, list[str]], Library] | None = None) -> DataFrame:
+    """Hashes of media with any term; a term's words must stand side by side in one field.
+
+    ``among`` gives the part of the library in which phrases may stand, as
+    ``postings.library_of`` does with a stored index of words; only its texts are read.
+    """
     terms = [t for t in query.strip().split(" ") if t]
     phrases = [p for p in (" ".join(re.findall(r"[^\W_]+", t.lower())) for t in terms) if p]
-    media = lib.media
     if not phrases:
-        return media.select("hash").filter(F.lit(False))
+        return lib.media.select("hash").filter(F.lit(False))
+    lib = among(lib, phrases) if among else lib
+    media = lib.media
     any_of = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(f" {p} ")) for p in phrases])
     has = lambda c: any_of(phrase_text(F.col(c)))
     conditions = [has(c) for c in ("hash", "path", "type", "artist", "album", "title")]
@@ -109,9 +114,10 @@ def parse_keywords(query: str) -> tuple[list[str], list[str]]:
     return want, unwanted
 
 
-def ranked_keywords(lib: Library, query: str) -> DataFrame:
-    """(hash, score); score is the sum over fields of weight x occurrences of the wanted phrases."""
+def ranked_keywords(lib: Library, query: str, among: Callable[[Library, list[str]], Library] | None = None) -> DataFrame:
+    """(hash, score); score is the sum over fields of weight x occurrences of the wanted phrases. ``among`` as in keyword_matches()."""
     want, unwanted = parse_keywords(query)
+    lib = among(lib, want) if among else lib
     own = F.array(
         *[F.struct(phrase_text(F.col(c)).alias("text"), F.lit(FIELD_WEIGHTS[c]).alias("weight")) for c in ("path", "artist", "album", "title", "type")],
     )

@@ -140,6 +140,28 @@ def test_updates_equal_a_new_index(spark, made, tmp_path):
     assert postings.reopen(spark, base.root, buckets=8, ranges=16).versions == store.versions
 
 
+def test_keywords_from_an_index_of_words(spark, tmp_path):
+    def made(**change):
+        lib = _library(spark, 5, **change)
+        lib.media = lib.media.withColumn("path", F.concat(F.lit("dir-a/"), "hash", F.lit(".x")))
+        return lib
+
+    lib = made()
+    store = postings.build(lib, str(tmp_path / "w"), buckets=8, ranges=16, kind="words")
+    among = lambda library, phrases: postings.library_of(library, phrases, store)
+    queries = ["w1_w2", "ann lee w44", "h0003 still", "...", "none", '"w0 w1" w40 -still', '"actor x" -"ann lee"', "alb one", '"w2 w2" w50 -w50']
+    for q in queries:
+        assert _rows(text.keyword_matches(lib, q, among)) == _rows(text.keyword_matches(lib, q))
+        assert text.ranked_keywords(lib, q, among).collect() == text.ranked_keywords(lib, q).collect()
+    files, rows = _scanned(store.read("postings").groupBy("hash").count())
+    got = _scanned(postings.holding(store, ["w50 w51"]))
+    assert 0 < got[0] < files and got[1] < rows / 4
+    changed = made(change={3, 4, 9, 77})
+    store = postings.update(store, changed, spark.createDataFrame([(f"h{i:04d}",) for i in (3, 4, 9, 77)], "hash string"))
+    for q in queries[:3] + queries[5:7]:
+        assert _rows(text.keyword_matches(changed, q, among)) == _rows(text.keyword_matches(changed, q))
+
+
 def test_empty_library(spark, tmp_path):
     lib = _library(spark, 1, n=1)
     lib = Library(*(df.limit(0) for df in (lib.media, lib.media_tags, lib.media_actors, lib.media_playlists)))
