@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import image_hash, scalars, video, words
-from .operators import clones, ingest, insights, playlists, postings, search, text, updates, vocabulary
+from .operators import clones, ingest, insights, ordered, playlists, postings, search, text, updates, vocabulary
 from .plans.fixtures import Library, duck, library, spark_view
 from .plans.lineage import exists, new_folder, stamp
 from .sources import dump
@@ -151,6 +151,12 @@ _register(
     """
   SELECT hash, rank, rank // 15 AS page FROM (SELECT hash, row_number() OVER (ORDER BY rating DESC NULLS LAST, hash) - 1 AS rank FROM media)""",
 )
+_register(
+    "e5_stored_page",
+    lambda s, d: ordered.store(spark_view(s, d, "media").select("hash", "rating"), new_folder(s, "order"), "rating", step=500).page(15, 3).select("hash", "rank"),
+    """
+  SELECT hash, rank FROM (SELECT hash, row_number() OVER (ORDER BY rating DESC NULLS LAST, hash) - 1 AS rank FROM media) WHERE rank // 15 = 3""",
+)
 _register(
     "e6_neighbours",
     lambda s, d: search.neighbours(spark_view(s, d, "media"), "hashDate"),

@@ -43,6 +43,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in store.listStatus(p)) if store.exists(p) else []
+
+
 def stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """Bytes, files and time of change of a table's folder or file."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -513,5 +513,16 @@ def test_incremental(spark, tmp_path):
     # the second batch changes what the first added
     assert arrive(("z/b.png", "b"), ("x/e.gif", "e")) == {"a": "y/a.jpg", "b": "z/b.png", "c": "x/c.jpg", "e": "x/e.gif"}
     assert {r["hash"] for r in stream.current(spark, store_, 1)[0].collect()} == set("abc")
-    stream.compact(spark, store_, f"{tmp_path}/new")
-    assert stream.current(spark, f"{tmp_path}/new")[0].count() == 4 and stream.current(spark, f"{tmp_path}/new")[1].count() == 2
+    # a snapshot under the stream, whose checkpoint goes on
+    assert stream.compact(spark, store_) == 2 and stream.snapshots(spark, store_) == [2]
+    assert arrive(("z/e.gif", "e"), ("x/f.gif", "f")) == {"a": "y/a.jpg", "b": "z/b.png", "c": "x/c.jpg", "e": "z/e.gif", "f": "x/f.gif"}
+    assert {r["hash"] for r in stream.current(spark, store_, 1)[0].collect()} == set("abc")
+    # a batch that is run again reads what it read before, over a later snapshot too
+    assert stream.compact(spark, store_) == 3
+    (tmp_path / "check" / "commits" / "2").unlink()
+    (tmp_path / "check" / "commits" / ".2.crc").unlink(missing_ok=True)
+    assert arrive(("q/a.jpg", "a")) == {"a": "q/a.jpg", "b": "z/b.png", "c": "x/c.jpg", "e": "z/e.gif", "f": "x/f.gif"}
+    stream.prune(spark, store_, 3)
+    assert stream.versions(spark, store_) == [4] and stream.snapshots(spark, store_) == [3]
+    assert {r["hash"]: r["path"] for r in stream.current(spark, store_)[0].collect()} == {"a": "q/a.jpg", "b": "z/b.png", "c": "x/c.jpg", "e": "z/e.gif", "f": "x/f.gif"}
+    assert stream.current(spark, store_)[1].count() == 2
