@@ -9,7 +9,9 @@ are tried first and what one has matched no other can use.
 Sentences end at end signs and blank lines. Licences are wrapped and put into
 comments, so a single newline and the comment signs after it are a space; as titles
 and one-line notices have no end sign, any run of whole lines of a sentence may be a
-known one.
+known one, and so may any MID_WORDS words or more of it, also after other words. Besides
+sentences of licence texts, ``NAMED`` makes the notices that name a licence, and the SPDX
+lines of its identifiers. Of an SPDX expression (``MIT OR ...``) nothing is known.
 
 Edge cases: null and empty texts match nothing; very long texts are read whole; a
 licence found twice gives one row per occurrence; repeated rows give repeated
@@ -74,6 +76,21 @@ SENTENCES = {
     "cc-by-sa": "Licensed under CC BY-SA 4.0.",
     "cc-by-nc": "Licensed under CC BY-NC 4.0.",
 }
+SENTENCES |= {
+    "bsl-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "bsl-distributed": "Distributed under the Boost Software License, Version 1.0.",
+    "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "artistic2-title": "The Artistic License 2.0",
+    "apache-body": "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    "mpl-body": "\"Covered Software\" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form of such Source Code Form, and Modifications of such Source Code Form, in each case including portions thereof.",
+    "gpl3-body": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "gpl2-body": "Activities other than copying, distribution and modification are not covered by this License; they are outside its scope.",
+    "agpl3-body": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "lgpl3-body": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+}
 #: licence -> its rules
 RULES = {
     "MIT": [("mit-grant", "mit-notice", "mit-warranty"), ("mit-released",), ("mit-licensed",)],
@@ -96,9 +113,50 @@ RULES = {
     "CC-BY-4.0": [("cc-by",)],
     "CC-BY-SA-4.0": [("cc-by-sa",)],
     "CC-BY-NC-4.0": [("cc-by-nc",)],
+    "BSL-1.0": [("bsl-title", "bsl-grant"), ("bsl-grant",), ("bsl-title",), ("bsl-distributed",)],
+    "Zlib": [("zlib-as-is", "zlib-grant"), ("zlib-grant",)],
+    "0BSD": [("0bsd-grant",)],
+    "Artistic-2.0": [("artistic2-title",)],
+}
+#: A sentence of a licence's body tells it where title and notice are missing.
+for _licence, _body in (("Apache-2.0", "apache-body"), ("MPL-2.0", "mpl-body"), ("GPL-3.0", "gpl3-body"), ("GPL-2.0", "gpl2-body"), ("AGPL-3.0", "agpl3-body"), ("LGPL-3.0", "lgpl3-body")):
+    RULES[_licence].append((_body,))
+#: Names under which licences are named in notices, and SPDX identifiers.
+NAMED = {
+    "MIT": (["MIT License"], ["MIT"]),
+    "Apache-2.0": (["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"], ["Apache-2.0"]),
+    "GPL-3.0": (["GNU General Public License version 3", "GNU General Public License v3.0", "GNU GPL version 3"], ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"]),
+    "GPL-2.0": (["GNU General Public License version 2", "GNU General Public License v2.0", "GNU GPL version 2"], ["GPL-2.0"]),
+    "GPL-2.0-only": ([], ["GPL-2.0-only"]),
+    "GPL-2.0-or-later": ([], ["GPL-2.0-or-later"]),
+    "LGPL-2.1": (["GNU Lesser General Public License version 2.1", "GNU Lesser General Public License v2.1"], ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"]),
+    "LGPL-3.0": (["GNU Lesser General Public License version 3", "GNU Lesser General Public License v3.0"], ["LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"]),
+    "AGPL-3.0": (["GNU Affero General Public License version 3", "GNU Affero General Public License v3.0"], ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"]),
+    "EPL-1.0": (["Eclipse Public License 1.0"], ["EPL-1.0"]),
+    "EPL-2.0": (["Eclipse Public License 2.0"], ["EPL-2.0"]),
+    "BSD-2-Clause": (["BSD 2-Clause License", "Simplified BSD License"], ["BSD-2-Clause"]),
+    "BSD-3-Clause": (["BSD 3-Clause License", "New BSD License", "Modified BSD License"], ["BSD-3-Clause"]),
+    "ISC": (["ISC License"], ["ISC"]),
+    "MPL-2.0": (["Mozilla Public License 2.0", "Mozilla Public License, v. 2.0"], ["MPL-2.0"]),
+    "CC0-1.0": (["CC0 1.0 Universal"], ["CC0-1.0"]),
+    "Unlicense": ([], ["Unlicense"]),
+    "CC-BY-4.0": (["Creative Commons Attribution 4.0 International License"], ["CC-BY-4.0"]),
+    "CC-BY-SA-4.0": (["Creative Commons Attribution-ShareAlike 4.0 International License"], ["CC-BY-SA-4.0"]),
+    "CC-BY-NC-4.0": (["Creative Commons Attribution-NonCommercial 4.0 International License"], ["CC-BY-NC-4.0"]),
+    "BSL-1.0": (["Boost Software License - Version 1.0"], ["BSL-1.0"]),
+    "Zlib": (["zlib License"], ["Zlib"]),
+    "0BSD": (["Zero-Clause BSD License"], ["0BSD"]),
+    "Artistic-2.0": (["Artistic License 2.0"], ["Artistic-2.0"]),
 }
+_NOTICES = ("{}", "The {}", "Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "Available under the {}.", "This project is licensed under the {}.", "This work is licensed under the {}.")
+for _licence, (_names, _tags) in NAMED.items():
+    for _text in [n.format(x) for x in _names for n in _NOTICES] + [f"SPDX-License-Identifier: {t}" for t in _tags]:
+        SENTENCES[_text] = _text
+        RULES[_licence].append((_text,))
+#: Known sentences of so many words may begin and end in the middle of a line.
+MID_WORDS = 6
 #: Every rule's sentences hold one of these, so other texts need no splitting.
-ANCHORS = ("licen", "permission", "warrant", "redistribut", "public domain")
+ANCHORS = ("licen", "permission", "warrant", "redistribut", "public domain", "gpl", "cc0", "covered software")
 _LINE = re.compile(r"\r\n?|\n")
 #: Comment signs at the start of a line, also the words of m4 and batch files.
 _LEAD = re.compile(r"^[\W_]*(?:(?:dnl|rem)\s+)?", re.IGNORECASE)
@@ -108,7 +166,7 @@ _SIGNS = re.compile(r"[^a-z0-9]+")
 
 
 def normalise(sentence: str) -> str:
-    return _SIGNS.sub(" ", sentence.lower()).strip()
+    return _SIGNS.sub(" ", sentence.lower().replace("+", " or later ")).strip()
 
 
 def split(text: str) -> list[list[str]]:
@@ -139,25 +197,35 @@ for _rule in ORDERED:
     _STARTS.setdefault(_rule[1][0], []).append(_rule)
 
 
-def _known(lines: list[str], start: int) -> tuple[int, int]:
-    """(identifier, line after it) of the longest known sentence that begins with line ``start``; (0, start + 1) if none does."""
+def _known(words: list[str], start: int, firsts: set[int], lasts: set[int]) -> tuple[int, int]:
+    """(identifier, word after it) of the longest known sentence that begins with word ``start``; (0, start + 1) if none does.
+
+    Short ones must begin and end with lines (``firsts``, ``lasts``).
+    """
     best, now = (0, start + 1), ""
-    for end in range(start, len(lines)):
-        now = f"{now} {lines[end]}".strip()
+    for end in range(start, len(words)):
+        now = f"{now} {words[end]}".strip()
         if now not in _PREFIXES:
             break
-        if k := NUMBER.get(now):
+        k = NUMBER.get(now)
+        if k and (end + 1 - start >= MID_WORDS or (start in firsts and end + 1 in lasts)):
             best = (k, end + 1)
     return best
 
 
 def identifiers(text: str) -> list[tuple[int, int]]:
-    """(position, identifier) of the known sentences of a text, in order; unknown lines of one sentence side by side have one position."""
+    """(position, identifier) of the known sentences of a text, in order; unknown words of one sentence side by side have one position."""
     out, at = [], 0
     for sentence in split(text):
-        lines, i, unknown = [normalise(p) for p in sentence], 0, False
-        while i < len(lines):
-            k, i = _known(lines, i)
+        words, firsts, lasts = [], set(), set()
+        for line in sentence:
+            if plain := normalise(line):
+                firsts.add(len(words))
+                words += plain.split(" ")
+                lasts.add(len(words))
+        i, unknown = 0, False
+        while i < len(words):
+            k, i = _known(words, i, firsts, lasts)
             if k or not unknown:
                 at += 1
             if k:

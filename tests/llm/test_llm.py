@@ -377,6 +377,32 @@ def test_licences_wrapped_and_commented():
     assert found((unknown * 2 + "\n\n").join(mit)) == ["MIT"] and found((unknown * 3 + "\n\n").join(mit)) == []
 
 
+def test_licences_named_and_tagged():
+    found = lambda text: [m[0] for m in licences.match(licences.identifiers(text))]
+    assert found("GNU General Public License version 2") == ["GPL-2.0"]
+    assert found("// SPDX-License-Identifier: Apache-2.0\nint x;") == ["Apache-2.0"] and found("/* SPDX-License-Identifier: GPL-2.0-only */") == ["GPL-2.0-only"]
+    assert found("# SPDX-License-Identifier: GPL-2.0+") == ["GPL-2.0-or-later"]
+    assert found("Boost Software License - Version 1.0") == ["BSL-1.0"]
+    assert found("my notes and then Licensed under the Apache License, Version 2.0 as it says here") == ["Apache-2.0"]
+    assert found("intro\n" + licences.SENTENCES["gpl3-body"]) == ["GPL-3.0"]
+    # a licence that is only spoken of
+    assert found("he likes the MIT License a lot") == [] and found("SPDX-License-Identifier: MIT OR Apache-2.0") == []
+
+
+def test_sentences_are_those_that_were_written():
+    """Texts made of known sentences, wrapped, commented and separated in any way."""
+    word = lambda: "".join(RNG.choice("abcdeé") for _ in range(RNG.randint(1, 6)))
+    for _ in range(300):
+        lead, text, want = RNG.choice(["", "# ", " * ", "// ", "-- "]), [], []
+        for _ in range(RNG.randint(1, 8)):
+            words, end = [word() for _ in range(RNG.randint(1, 12))], RNG.choice([".", "!", ";", ":", "?", "\n\n"])
+            lines = textwrap.wrap(" ".join(words), RNG.choice([10, 30, 200]))
+            want.append(" ".join(words))
+            text.append(("\n" + lead).join(lines) + (end + RNG.choice([" ", "\n" + lead]) if end != "\n\n" else f"\n{lead}\n{lead}"))
+        made = [" ".join(p.rstrip(".!;:? ") for p in s) for s in licences.split(lead + "".join(text))]
+        assert [" ".join(m.split()) for m in made] == want
+
+
 def test_licence_rules_are_brute_force():
     """Sequences of sentences as strings, rules as patterns: a letter per identifier, a zero per unknown sentence."""
     letter = {k: chr(0x100 + k) for k in licences.NUMBER.values()}
