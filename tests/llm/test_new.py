@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenshelf.llm import merkle, nn_descent, packing, periodic, separators, tokens, url_filters, warc
+from lumenshelf.llm import merkle, nn_descent, packing, periodic, separators, tokens, toxicity, url_filters, warc
 
 # ---- 11 -----------------------------------------------------------------------------
 
@@ -317,3 +318,49 @@ def test_decisions_reach_aliases(spark):
         assert got[i] == want, u
         carried += rule(u) is None and want == "block"
     assert carried > 20
+
+
+# ---- 3 ------------------------------------------------------------------------------
+
+
+def _plain_scores(roles, weights):
+    """Clause scores of roles (i: insult), each match's factors found by looking back at the text before it."""
+    out, score, lost, begin = [], 0.0, 0.0, 0
+    for i, x in enumerate(roles):
+        if x in "ep":
+            if score:
+                out.append((score, lost))
+            score, lost, begin = 0.0, 0.0, i + 1
+            continue
+        before = roles[begin:i]
+        weight, factor = weights[i], None
+        if x == "i":
+            named = before.rfind("y")
+            factor = 1.0 if named >= 0 and before[named:].count("w") <= 2 else 0.5
+        elif x == "t":
+            factor = 0.25
+        elif x == "y" and "t" in before:
+            verb = before.rfind("t")
+            between = before[verb + 1 :]
+            if "y" not in between and len(re.sub("[cdrv]", "", between)) <= 2:
+                meant = before[:verb].rfind("v")
+                factor, weight = 1.25 if meant >= 0 and verb - meant <= 4 else 1.0, weights[begin + verb]
+        if factor is None or not weight:
+            continue
+        negated = "n" in before[-4:]
+        paragraph = roles[roles.rfind("p", 0, i) + 1 : i]
+        if "r" in re.sub("r[^eq]*(?:e|q[^q]*q)", "", paragraph):
+            factor *= 0.5
+        factor *= (0.35 if negated else 1.0) * (1.25 if "y" in before else 1.0)
+        score += weight * factor
+        lost += weight if negated else 0.0
+    return [*out, (score, lost)] if score else out
+
+
+def test_clause_scores_are_those_of_a_plain_matcher():
+    rng = random.Random(9)
+    for _ in range(6000):
+        roles = "".join(rng.choice("iitttyyyccdvvnnrqwwwwep") for _ in range(rng.randint(1, 16)))
+        weights = [round(rng.uniform(1.5, 4), 2) if x in "it" else 0.0 for x in roles]
+        got = toxicity.clause_scores(list(roles), weights, {x: x for x in "tycdvnrqep"})
+        assert [tuple(round(v, 9) for v in c) for c in got] == [tuple(round(v, 9) for v in c) for c in _plain_scores(roles, weights)], (roles, weights)
