@@ -23,6 +23,30 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+def _chunk(c: str, i: int) -> Column:
+    size = DIGITS // CHUNKS
+    return F.substring(c, 1 + size * i, size)
+
+
+def _places(most: int) -> list[tuple[int, ...]]:
+    """The chunks that one join key holds, for each key of a hash."""
+    return list(itertools.combinations(range(CHUNKS), CHUNKS - most))
+
+
+def banded(hashes: DataFrame, most: int) -> DataFrame:
+    """(phash, pos, key): each hash with its join keys."""
+    bands = F.array(*[F.concat(*[_chunk("phash", i) for i in p]) for p in _places(most)])
+    return hashes.select("phash", F.posexplode(bands).alias("pos", "key"))
+
+
+def met_earlier(most: int) -> Column:
+    """Whether the hashes a and b, met at pos, share a key before that."""
+    out = F.lit(False)
+    for n, p in enumerate(_places(most)[:-1]):
+        out |= (F.col("pos") > n) & reduce(lambda x, y: x & y, [_chunk("a", i) == _chunk("b", i) for i in p])
+    return out
+
+
 def hash_pairs(hashes: DataFrame, most: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b, distance), a < b, of distinct values of ``phash`` at most ``most`` (0 to 3) bits apart.
 
@@ -35,22 +59,14 @@ def hash_pairs(hashes: DataFrame, most: int = DISTANCE, block: int = BLOCK) -> D
     """
     if not 0 <= most < CHUNKS:
         raise ValueError(f"banding into {CHUNKS} is exact below {CHUNKS} bits, not for {most}")
-    size = DIGITS // CHUNKS
-    chunk = lambda c, i: F.substring(c, 1 + size * i, size)
     one = hashes.select("phash").filter(F.length("phash") == DIGITS).distinct()
-    places = list(itertools.combinations(range(CHUNKS), CHUNKS - most))
-    bands = F.array(*[F.concat(*[chunk("phash", i) for i in p]) for p in places])
-    keyed = one.select("phash", F.posexplode(bands).alias("pos", "key"))
+    keyed = banded(one, most)
     shared = keyed.groupBy("pos", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     keyed = keyed.join(shared.withColumn("_blocks", F.ceil(F.col("n") / block).cast("int")), ["pos", "key"])
     dealt = F.pmod(F.xxhash64("phash"), F.col("_blocks")).cast("int")
     a = keyed.select(F.col("phash").alias("a"), "pos", "key", dealt.alias("_block"))
     b = keyed.select(F.col("phash").alias("b"), "pos", "key", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
-    earlier = F.lit(False)
-    for n, p in enumerate(places[:-1]):
-        same = reduce(lambda x, y: x & y, [chunk("a", i) == chunk("b", i) for i in p])
-        earlier |= (F.col("pos") > n) & same
-    met = a.join(b, ["pos", "key", "_block"]).filter((F.col("a") < F.col("b")) & ~earlier)
+    met = a.join(b, ["pos", "key", "_block"]).filter((F.col("a") < F.col("b")) & ~met_earlier(most))
     return met.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance")).filter(F.col("distance") <= most)
 
 
@@ -68,13 +84,14 @@ def clone_classes(media: DataFrame, most: int = DISTANCE) -> tuple[DataFrame, Da
     return stills, hash_pairs(stills, most)
 
 
-def clone_map(media: DataFrame, most: int = DISTANCE, unrelated: DataFrame | None = None) -> DataFrame:
+def clone_map(media: DataFrame, most: int = DISTANCE, unrelated: DataFrame | None = None, classes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """I4: (hash, clones) for each still with a hash that is no duplicate; ``unrelated`` (a, b) are pairs of media marked so, in either direction.
 
     Lists are what media store, so n media of one hash have n lists of n - 1; use
-    clone_classes() where groups are too large for that.
+    clone_classes() where groups are too large for that. ``classes`` are members and pairs
+    of a stored index (``bands``), or a part of them.
     """
-    stills, near = clone_classes(media, most)
+    stills, near = classes or clone_classes(media, most)
     both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = both.unionByName(stills.select(F.col("phash").alias("a"), F.col("phash").alias("b")).distinct())
     others = stills.select(F.col("hash").alias("clone"), F.col("phash").alias("b"))

@@ -171,3 +171,35 @@ def test_large_changes_equal_small_ones(spark, monkeypatch):
     small = sorted(map(tuple, updates.upsert(media, patches).collect()))
     monkeypatch.setattr(updates, "narrow", lambda df, name: sizes.narrow(df, name, 0))
     assert sorted(map(tuple, updates.upsert(media, patches).collect())) == small and len(small) == 260
+
+
+def test_clones_of_batches(spark, tmp_path):
+    """Batches in any order, with changed and lost hashes, end in the classes of a full run; only touched buckets are read."""
+    from test_postings import _scanned
+
+    from lumenshelf.operators import bands, clones
+
+    rng = random.Random(3)
+    roots = [rng.getrandbits(256) for _ in range(12)]
+    near = lambda: f"{rng.choice(roots) ^ sum(1 << rng.randrange(256) for _ in range(rng.randrange(3))):064x}"
+    state = {f"m{i:03d}": rng.choice([near(), near(), near(), None, "short"]) for i in range(260)}
+    state |= {f"s{i:03d}": "f" * 32 + f"{i:032x}" for i in range(60)}  # one band that many share
+    batches, items = [], list(state.items())
+    rng.shuffle(items)
+    for k in range(0, len(items), 90):
+        batches.append(dict(items[k : k + 90]))
+    batches.append({h: near() for h in rng.sample(sorted(state), 30)} | {h: None for h in rng.sample(sorted(state), 9)})
+    store, now = bands.BandStore(spark, str(tmp_path / "b"), buckets=16), {}
+    for batch in batches:
+        store = bands.add(store, spark.createDataFrame(list(batch.items()), "hash string, phash string"), block=7)
+        now |= batch
+        media = spark.createDataFrame([(h, p, "still", None) for h, p in now.items()], "hash string, phash string, type string, duplicate_of string")
+        want = clones.clone_classes(media)
+        for got, full in zip(store.classes(), want, strict=True):
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, full.collect()))
+    lists = lambda df: sorted((r["hash"], tuple(r["clones"])) for r in df.collect())
+    assert lists(clones.clone_map(media, classes=store.classes())) == lists(clones.clone_map(media))
+    assert bands.reopen(spark, store.root, buckets=16) == store
+    one = spark.createDataFrame([("new", now["s001"][:63] + "0")], "hash string, phash string")
+    numbers = clones.banded(one, 2).select(F.pmod(F.xxhash64("pos", "key"), F.lit(16))).distinct().collect()
+    assert _scanned(store.read("bands", [r[0] for r in numbers]))[0] < _scanned(store.read("bands"))[0]
