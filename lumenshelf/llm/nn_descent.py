@@ -65,7 +65,7 @@ SEEN, DONE, NEXT = 0, 1, 2
 
 LISTS = "node long, vec binary, nbrs array<long>, sims array<float>, flags array<tinyint>"
 GRAPH = f"{LISTS}, kth float, added long"
-STATE = "query long, vec binary, nbrs array<long>, sims array<float>, flags array<tinyint>"
+STATE = "query long, vec binary, nbrs array<long>, sims array<float>, flags array<tinyint>, open int"
 
 
 # vectors in tasks
@@ -352,7 +352,9 @@ def _beams(keys: np.ndarray, vecs: pa.Array, u: np.ndarray, v: np.ndarray, s: np
     at = np.flatnonzero(flags == SEEN)
     flags[at[places(u[at]) < expand]] = NEXT
     size = np.searchsorted(u, keys, "right") - np.searchsorted(u, keys)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), vecs, lists(v, size, pa.int64()), lists(s, size, pa.float32()), lists(flags, size, pa.int8())], names=["query", "vec", "nbrs", "sims", "flags"])
+    open_ = np.bincount(np.repeat(np.arange(len(keys)), size), flags == NEXT, len(keys))
+    columns = [pa.array(keys, pa.int64()), vecs, lists(v, size, pa.int64()), lists(s, size, pa.float32()), lists(flags, size, pa.int8()), pa.array(open_.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["query", "vec", "nbrs", "sims", "flags", "open"])
 
 
 def _begun(entries: list[tuple[int, bytes]], start: int, beam: int, expand: int):
@@ -387,7 +389,7 @@ def _begun(entries: list[tuple[int, bytes]], start: int, beam: int, expand: int)
 
 
 def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(query, vec: null, nbrs, sims, flags) of rows (query, vec, nbrs, vecs): a node's neighbours as a query sees them."""
+    """(query, vec: null, nbrs, sims, flags, open: null) of rows (query, vec, nbrs, vecs): a node's neighbours as a query sees them."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -402,7 +404,8 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 q = np.frombuffer(b"".join(queries[i] for i in rows), "<f4").reshape(len(rows), -1)
                 sims[places_] = np.einsum("ij,ij->i", decoded([raw[i] for i in places_]), np.repeat(q, size[rows], axis=0))
         flags = lists(np.full(len(sims), SEEN, np.int8), size, pa.int8())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(batch.num_rows, pa.binary()), lists(flat(t, "nbrs")[0], size, pa.int64()), lists(sims, size, pa.float32()), flags], names=["query", "vec", "nbrs", "sims", "flags"])
+        columns = [batch.column(0), pa.nulls(batch.num_rows, pa.binary()), lists(flat(t, "nbrs")[0], size, pa.int64()), lists(sims, size, pa.float32()), flags, pa.nulls(batch.num_rows, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["query", "vec", "nbrs", "sims", "flags", "open"])
 
 
 def _advanced(beam: int, expand: int):
@@ -458,10 +461,11 @@ def search(index: Index, queries: DataFrame, top: int = TOP, beam: int = BEAM, e
     vectors = queries.select("query", "vector")
     state = cut(queries.select("query", "vector", "node").mapInArrow(_begun(index.entries, START, beam, expand), STATE), "beams")
     while True:
-        ahead = state.select("query", "vec", F.explode(F.arrays_zip("nbrs", "flags")).alias("e")).filter(F.col("e.flags") == NEXT)
-        ahead = ahead.select(F.col("e.nbrs").alias("node"), "query", "vec")
-        if ahead.isEmpty():
+        going = state.filter("open > 0")  # queries with nodes to expand
+        if going.isEmpty():
             break
+        ahead = going.select("query", "vec", F.explode(F.filter(F.arrays_zip("nbrs", "flags"), lambda e: e["flags"] == NEXT)).alias("e"))
+        ahead = ahead.select(F.col("e.nbrs").alias("node"), "query", "vec")
         shown = ahead.hint("shuffle_hash").join(index.near(), "node").select("query", "vec", "nbrs", "vecs").mapInArrow(_expanded, STATE)
         after = cut(_by_node(state.unionByName(shown), "query").mapInArrow(_advanced(beam, expand), STATE), "beams")
         drop(state)
