@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import image_hash, scalars, video, words
-from .operators import clones, ingest, insights, ordered, playlists, postings, search, text, updates, vocabulary
+from .operators import clones, grams, ingest, insights, ordered, playlists, postings, search, text, updates, vocabulary
 from .plans.fixtures import Library, duck, library, spark_view
 from .plans.lineage import exists, new_folder, stamp
 from .sources import dump
@@ -100,12 +100,19 @@ _search(
     {"dir": {"after": "en/src1", "before": "es/src3"}},
     "SELECT hash FROM media WHERE dir > 'en/src1' AND dir < 'es/src3'",
 )
-_search(
-    "c10_c11_like",
-    {"title": {"likeAny": ["THE ", "la "], "likeNone": ["ing "]}, "path": {"likeAll": ["SRC", ".png"]}},
-    """
-  SELECT hash FROM media WHERE (contains(lower(title), 'the ') OR contains(lower(title), 'la ')) AND (NOT contains(lower(title), 'ing ') OR title IS NULL) AND contains(lower(path), 'src') AND contains(lower(path), '.png')""",
-)
+_LIKE = {"title": {"likeAny": ["THE ", "la "], "likeNone": ["ing "]}, "path": {"likeAll": ["SRC", ".png"]}}
+_LIKE_SQL = """
+  SELECT hash FROM media WHERE (contains(lower(title), 'the ') OR contains(lower(title), 'la ')) AND (NOT contains(lower(title), 'ing ') OR title IS NULL) AND contains(lower(path), 'src') AND contains(lower(path), '.png')"""
+_search("c10_c11_like", _LIKE, _LIKE_SQL)
+
+
+def _like_from_index(s: SparkSession, d: str) -> DataFrame:
+    """The same from a stored trigram index, built for the query."""
+    made = grams.build(spark_view(s, d, "media"), new_folder(s, "grams"))
+    return search.search(library(s, d), _LIKE, ["hash"], grams=made)
+
+
+_register("c10_c11_stored_index", _like_from_index, _LIKE_SQL)
 _search(
     "c12_numbers",
     {"quality": {"min": 480, "max": 1080}, "rating": {"equalsAny": [3, 4, 5]}},

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.fixtures import Library
 from ..plans.ranks import ranked
 from . import text
+from .grams import GramStore, like_filter
 from .postings import TokenStore
 
 #: Direction of a sort key where none is given.
@@ -26,6 +27,7 @@ COLUMNS = {
 }
 _STRINGS = ("type", "dir", "path", "artist", "album", "title", "hash", "duplicateOf")
 _NUMBERS = ("quality", "rating", "length")
+_LIKES = ("likeAny", "likeAll", "likeNone")
 _FLAGS = ("corrupted", "thumbnail", "thumbnailOptimised", "preview", "previewOptimised")
 _STATES = ("indexed", "cached", "phashed", "hasClones")
 _OTHER = ("tags", "actors", "autoTags", "playlist", "keywordSearch", "sortBy", "sortDirection", "sample", "limit", "minimumCount")
@@ -106,19 +108,32 @@ def visible() -> dict[str, Any]:
     return {"corrupted": False, "indexed": True, "duplicateOf": {"exists": False}}
 
 
-def search(lib: Library, want: dict[str, Any], fields: list[str] | None = None, seed: int = 0, store: TokenStore | None = None) -> DataFrame:
+def search(
+    lib: Library,
+    want: dict[str, Any],
+    fields: list[str] | None = None,
+    seed: int = 0,
+    store: TokenStore | None = None,
+    grams: GramStore | None = None,
+) -> DataFrame:
     """The media that meet all constraints in ``want``.
 
     Column conditions come first, where the scan can take them; then semi and anti joins
     on hash. ``sortBy``, ``sortDirection``, ``sample`` and ``limit`` come last, in that
     order. ``fields`` defaults to all columns. ``autoTags`` is a column of lists and knows
     ``exists`` only. An unknown constraint is an error. ``store`` is a stored token index,
-    from which recommendations are made.
+    from which recommendations are made, and ``grams`` a stored trigram index, from which
+    like patterns of its columns are met.
     """
     media = lib.media
+    liked = []
     for name, w in want.items():
         if name in _STRINGS:
-            media = media.filter(string_filter(F.col(COLUMNS.get(name, name)), w))
+            column = COLUMNS.get(name, name)
+            if grams is not None and column in grams.columns and any(w.get(k) for k in _LIKES):
+                liked.append((column, w))
+                w = {k: v for k, v in w.items() if k not in _LIKES}
+            media = media.filter(string_filter(F.col(column), w))
         elif name in _NUMBERS:
             media = media.filter(number_filter(F.col(COLUMNS.get(name, name)), w))
         elif name in _FLAGS:
@@ -129,6 +144,8 @@ def search(lib: Library, want: dict[str, Any], fields: list[str] | None = None,
             media = media.filter(F.col("auto_tags").isNotNull() == w["exists"])
         elif name not in _OTHER:
             raise ValueError(f"unknown constraint {name}")
+    for column, w in liked:
+        media = like_filter(media, grams, column, w)
     if "tags" in want:
         media = array_filter(media, lib.media_tags, "tag_id", want["tags"])
     if "actors" in want:
