@@ -827,6 +827,16 @@ _register(
     lambda s, d: _dumped(s, d)["media_playlists"],
     "SELECT media_hash, playlist_id, position FROM media_playlists",
 )
+
+
+def _record(s: SparkSession, d: str) -> DataFrame:
+    """The library written as one record in pieces and read back in blocks."""
+    path = new_folder(s, "record")
+    dump.export_record(library(s, d), _LISTS(_ENTRIES(s, d)), spark_view(s, d, "media_deleted"), path)
+    return dump.load_record(s, path, 1 << 18)["media"].select("hash", "path", "rating", "corrupted", "phash", "height", "title", "created_at", "hash_date")
+
+
+_register("a2_dump_record", _record, "SELECT hash, path, rating, corrupted, phash, height, title, created_at, hash_date FROM media")
 _register("a4_tables", lambda s, d: _stored(s, d).select("hash", "path", "type", "width"), "SELECT hash, path, type, width FROM media")
 _register(
     "a5_sidecars",

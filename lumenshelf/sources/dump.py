@@ -15,6 +15,7 @@ from ..operators.insights import details
 from ..operators.playlists import ordered
 from ..plans.fixtures import Library
 from ..plans.lineage import settled
+from . import record
 
 VERSION = 4
 #: Fields of media and of their metadata, by the column of the flat table; given, never inferred.
@@ -124,6 +125,21 @@ def load_single(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return split_tables({part: one.select(F.explode(part).alias("id")).select("id.*" if part in FIELDS else "id") for part in PARTS})
 
 
+def load_record(spark: SparkSession, path: str, block: int = record.BLOCK) -> dict[str, DataFrame]:
+    """A2 for one nested JSON record of any length, in a file or in pieces as of export_record(): its elements are found and read by many tasks.
+
+    Gives the tables of load_single(); an element that is no JSON of its part is a row of
+    nulls, where load_single() loses the whole record.
+    """
+    found = record.find(spark, path, block)
+
+    def part(name: str) -> DataFrame:
+        wrapped = F.from_json(F.concat(F.lit('{"id":'), "element", F.lit("}")), f"id {_element(name)}")["id"].alias("id")
+        return found.elements(name).select(wrapped).select("id.*" if name in FIELDS else "id")
+
+    return split_tables({name: part(name) for name in PARTS})
+
+
 def split_tables(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     media = flat(parts["media"])
     bridge = lambda c, name: media.select(F.col("hash").alias("media_hash"), F.explode(c).alias(name)).distinct()
