@@ -2,7 +2,9 @@
 
 ``learn_lexicon`` counts words and word beginnings in labelled texts and keeps those
 that mark toxic ones; they and closed word classes (``CLASSES``) give each token a
-role. Five transducers over roles are composed into one machine that reads a text once:
+role. A learned word that mostly leads to a target ("will burn you") is a threat verb,
+others are insults; words of closed classes keep their role and have no weight of their
+own. Five transducers over roles are composed into one machine that reads a text once:
 
     insult      target, copula, determiners and a few other words, insult: "you are such
                 a fool"; an insult that no target leads to is a phrase by itself and
@@ -51,6 +53,8 @@ FIT_ROWS, LOGISTIC_ROWS = 200_000, 20_000
 #: An entry's log-likelihood ratio statistic, at least, and its weight (log ratio of document shares).
 LEAST_G2, LEAST_WEIGHT = 22.0, 1.5
 STEMS = (4, 5, 6, 7)
+#: A learned entry is a threat verb if it leads to a target so often in toxic texts, in this share of its occurrences.
+VERB_SEEN, VERB_SHARE = 5, 0.5
 #: Terms that a task counts before it hands them on.
 FLUSH_TERMS = 300_000
 
@@ -243,34 +247,89 @@ class Lexicon:
     n1: int
     n0: int
     roles: dict[str, str] = field(default_factory=lambda: roles_of(CLASSES))
+    #: entries that are threat verbs
+    verbs: frozenset[str] = frozenset()
 
     def weights(self, own: int | None = None) -> _Weights:
         return _Weights(self, own)
 
 
 class _Weights(dict):
-    """word -> weight, 0.0 for most. ``own``: the label of the text being read, which is taken out of the counts."""
+    """word -> weight, 0.0 for most. ``own``: the label of the text being read, which is taken out of the counts.
+
+    ``roles`` has the closed classes and the learned threat verbs among the words that were asked for.
+    """
 
     def __init__(self, lexicon: Lexicon, own: int | None):
         super().__init__()
-        self.lexicon, self.own = lexicon, own
+        self.lexicon, self.own, self.roles = lexicon, own, dict(lexicon.roles)
 
-    def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
-            self.clear()
-        x, y = self.lexicon, self.own
-        out = 0.0
+    def best(self, word: str) -> tuple[float, str]:
+        """Weight and entry of a word; without an entry 0 and an empty text."""
+        x, y, out = self.lexicon, self.own, (0.0, "")
         for term in (word, *(word[:k] + "*" for k in STEMS if len(word) > k)):
             if got := x.entries.get(term):
                 w = log_ratio(got[0] - (y == 1), got[1] - (y == 0), x.n1 - (y == 1), x.n0 - (y == 0))
-                if w >= LEAST_WEIGHT:
-                    out = max(out, w)
-        if not out and self.lexicon.roles.get(word) == "t":
-            out = LEAST_WEIGHT
+                if w >= LEAST_WEIGHT and w > out[0]:
+                    out = (w, term)
+        return out
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        closed = self.lexicon.roles.get(word, "t")
+        out, term = self.best(word) if closed == "t" else (0.0, "")
+        if word in self.lexicon.roles and closed == "t":
+            out = out or LEAST_WEIGHT
+        elif term in self.lexicon.verbs:
+            self.roles[word] = "t"
         self[word] = out
         return out
 
 
+def contexts(tokens: list[str], weights: list[float], roles: dict[str, str], gap: int = 2) -> Iterator[tuple[int, bool, bool]]:
+    """For each weighted token: its place, does it lead to a target, does a copula lead to it; both within the clause, with at most ``gap`` other words (and ten tokens) between."""
+    after = 0
+    for i, (token, weight) in enumerate(zip(tokens, weights, strict=True)):
+        role = roles.get(token, "w")
+        if weight:
+            left, leads = gap, False
+            for other in tokens[i + 1 : i + 12]:
+                x = roles.get(other, "w")
+                left -= x not in "ycdr"
+                if x in "ep" or left < 0 or x == "y":
+                    leads = x == "y"
+                    break
+            yield i, leads, after > 0
+        after = gap + 1 if role == "c" else 0 if role in "ep" else max(0, after - (role == "w"))
+
+
+def _count_contexts(lexicon: Lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, seen = lexicon.weights(), {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                tokens = _TOKEN.findall((text or "").lower())
+                for i, leads, led in contexts(tokens, [weights[t] for t in tokens], lexicon.roles):
+                    if term := weights.best(tokens[i])[1]:
+                        x = seen.setdefault(term, [0, 0, 0])
+                        x[0] += 1
+                        x[1] += leads
+                        x[2] += led
+        columns = [pa.array(list(seen), pa.string()), *(pa.array([x[k] for x in seen.values()], pa.int64()) for k in range(3))]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "n", "leads", "led"])
+
+    return run
+
+
+def learn_verbs(labelled: DataFrame, lexicon: Lexicon) -> frozenset[str]:
+    """The entries that are threat verbs, from their places in toxic texts; at most one row per entry is collected."""
+    told = labelled.filter("toxic = 1").select("text").mapInArrow(_count_contexts(lexicon), "term string, n long, leads long, led long")
+    told = told.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n", "leads", "led")))
+    verbs = told.filter((F.col("leads") >= VERB_SEEN) & (F.col("leads") >= VERB_SHARE * F.col("n")) & (F.col("leads") > F.col("led")))
+    return frozenset(r["term"] for r in verbs.collect())
+
+
 def learn_lexicon(labelled: DataFrame, classes: dict[str, str] = CLASSES) -> Lexicon:
     """From rows (text, toxic 0/1), all of them."""
     n1, n0 = labelled.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
@@ -279,7 +338,9 @@ def learn_lexicon(labelled: DataFrame, classes: dict[str, str] = CLASSES) -> Lex
     counts = labelled.select("text", "toxic").mapInArrow(_count_terms, "term string, toxic long, clean long")
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     told = counts.filter(F.col("toxic") * n0 > 4 * F.col("clean") * n1).filter(_g2(n1, n0) >= LEAST_G2).collect()
-    return Lexicon(most_specific({r["term"]: (r["toxic"], r["clean"]) for r in told}), n1, n0, roles_of(classes))
+    out = Lexicon(most_specific({r["term"]: (r["toxic"], r["clean"]) for r in told}), n1, n0, roles_of(classes))
+    out.verbs = learn_verbs(labelled, out)
+    return out
 
 
 # ---- scores ----------------------------------------------------------------------
@@ -290,7 +351,7 @@ def clause_scores(tokens: list[str], weights: list[float], roles: dict[str, str]
     out, state, score, lost, verb = [], GRAMMAR.start, 0.0, 0.0, 0.0
     for token, weight in zip(tokens, weights, strict=True):
         role = roles.get(token, "w")
-        if weight and role != "t":
+        if weight and role == "w":
             role = "i"
         state, written, factor = GRAMMAR.step(state, role)
         if written in "kK":
@@ -318,7 +379,7 @@ def features(text: str, weights: _Weights) -> tuple[float, ...]:
     found = list(map(weights.__getitem__, tokens))
     if not any(found):
         return (0.0,) * N_FEATURES
-    clauses = clause_scores(tokens, found, weights.lexicon.roles)
+    clauses = clause_scores(tokens, found, weights.roles)
     total = sum(s for s, _ in clauses)
     return max(s for s, _ in clauses), math.log1p(total), math.log1p(len(clauses)), total / math.sqrt(len(tokens) + 10), math.log1p(sum(x for _, x in clauses)), 1.0
 
