@@ -167,3 +167,23 @@ def test_empty_library(spark, tmp_path):
     lib = Library(*(df.limit(0) for df in (lib.media, lib.media_tags, lib.media_actors, lib.media_playlists)))
     store = postings.build(lib, str(tmp_path / "s"))
     assert store.rows().count() == 0 and postings.weighted_query(store, "w1", 5).count() == 0 and store.sums().count() == 0
+
+
+def test_postings_hold_numbers_not_hashes(made):
+    lib, store = made
+    rows = store.stored("postings")
+    assert "hash" not in rows.columns and dict(rows.dtypes)["id"] == "bigint"
+    forward = store.stored("forward")
+    assert forward.count() == forward.select("id").distinct().count() == lib.media.count()  # a row per medium
+    assert _rows(store.read("postings").select("hash", "token", "weight")) == _rows(store.rows())
+
+
+def test_tags_as_lists_give_the_same_index(spark, made):
+    lib, _ = made
+    odd = [("h0001", t) for t in ("the", " The\t", "a/the/of", "x-ray 12", "12", "l'été.", "th\x01e", "")]
+    tags = lib.media_tags.unionByName(spark.createDataFrame(odd, "media_hash string, tag_id string"))
+    single = Library(lib.media, tags, lib.media_actors, lib.media_playlists)
+    lists = Library(lib.media, tags, lib.media_actors, lib.media_playlists, single.lists_of_tags())
+    assert _rows(text.token_index(lists)) == _rows(text.token_index(single))
+    got = {r.token for r in text.token_index(lists).filter("hash = 'h0001'").collect()}
+    assert {"x", "ray", "lt", "the"} <= got and not got & {"", "12", "of"}
