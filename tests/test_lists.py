@@ -69,3 +69,8 @@ def test_dump_records_that_repeat_a_hash(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"version":4,"media":[{"hash":"a","tags":["x","y","x"],"actors":[]},{"hash":"a","tags":["y","z"]},{"hash":"b"}],"playlists":[],"deleted":[],"tags":[],"actors":[]}')
     got = dump.load_single(spark, str(tmp_path / "d.json"))
     assert sorted(map(tuple, got["media_tags"].collect())) == [("a", "x"), ("a", "y"), ("a", "z")] and got["media_actors"].count() == 0
+    for part in dump.PARTS:
+        (tmp_path / "lines" / part).mkdir(parents=True)
+    (tmp_path / "lines" / "media" / "a.json").write_text('{"hash":"a","tags":["x","y","x"]}\n{"hash":"a","tags":["y","z"]}\n{"hash":"b","tags":["x","x"]}\n')
+    got = dump.load(spark, str(tmp_path / "lines"))["media_tags"]
+    assert sorted(map(tuple, got.collect())) == [("a", "x"), ("a", "y"), ("a", "z"), ("b", "x")]
