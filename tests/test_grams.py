@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_postings import _scanned
@@ -82,3 +83,46 @@ def test_empty(spark, tmp_path):
     store = grams.build(none, str(tmp_path / "g"))
     for want in WANTS[:4]:
         assert _both(none, want, store) == [[], []]
+
+
+def _shuffled(spark, since=-1):
+    """(bytes that stages after ``since`` have shuffled, the last stage)."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = lambda: sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())
+    found = [(s.stageId(), s.shuffleWriteBytes()) for s in (stages.apply(i) for i in range(stages.size()))]
+    return sum(b for i, b in found if i > since), max((i for i, _ in found), default=-1)
+
+
+def test_moves_texts_once_and_trigrams_as_lists(spark, tmp_path):
+    rng = random.Random(2)
+    titles = {f"h{i}": "".join(rng.choices("abcdef", k=2000)) for i in range(1500)}
+    rows = spark.createDataFrame([*titles.items(), ("h0", titles["h0"])], "hash string, title string").repartition(4)
+    _, since = _shuffled(spark)
+    store = grams.build(rows, str(tmp_path / "g"), ["title"], buckets=4, parts=2, places=4)
+    own = 1500 * 2000  # that the test's rows are dealt is one exchange of them
+    assert _shuffled(spark, since)[0] < 2.2 * own
+    lists = store.read("grams")
+    places = store.read("rows").select("v", "place", "id", "hash")
+    told = lists.select("v", "place", "first", "gram", F.explode("offsets").alias("at")).withColumn("id", F.col("first") + F.col("at")).join(places, ["v", "place", "id"])
+    want = {(h, t[k : k + 3]) for h, t in titles.items() for k in range(1998)}
+    got = [(r.hash, r.gram) for r in told.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert lists.count() < len(want) / 100
+    assert sum(r.n for r in store.read("counts").collect()) == sum(r.n for r in lists.collect()) == len(want)
+
+
+def test_lists_of_far_numbers(monkeypatch):
+    rng = random.Random(3)
+    rows = [(p, start + i * step, "".join(rng.choices("abc", k=rng.randrange(9))) or None, "abcd") for p, start, step in ((0, 0, 1), (1, 1 << 33, 9_000), (1, 1 + (1 << 33), 70_000), (2, 100, 1)) for i in range(30)]
+    rows += [(2, 5, "abc", None), (2, 1, "ab", "")]  # smaller numbers after larger ones
+    names = ["place", "id", "path", "title"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + 7]], pa.schema(zip(names, (pa.int32(), pa.int64(), pa.string(), pa.string()), strict=True))) for k in range(0, len(rows), 7)]
+    want = sorted((c, t[k : k + 3], p, i) for p, i, *texts in rows for c, t in zip(names[2:], texts, strict=True) for k in range(len(t or "") - 2))
+    for held in (0, 20, grams.HELD):
+        monkeypatch.setattr(grams, "HELD", held)
+        lists = [r for b in grams._lists(iter(batches)) for r in b.to_pylist()]
+        got = sorted((r["column"], r["gram"], r["place"], r["first"] + o) for r in lists for o in r["offsets"])
+        assert got == sorted(set(want)) and all(r["n"] == len(r["offsets"]) for r in lists)
+    assert list(grams._lists(iter([]))) == []
