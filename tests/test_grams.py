@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_postings import _scanned
 
 from lumenshelf.operators import grams, search
-from lumenshelf.plans.fixtures import Library
+from lumenshelf.plans.fixtures import Library, spark_view
 
 WANTS = [
     {"title": {"likeAny": ["Abc", "zzz"]}},
@@ -126,3 +126,12 @@ def test_lists_of_far_numbers(monkeypatch):
         got = sorted((r["column"], r["gram"], r["place"], r["first"] + o) for r in lists for o in r["offsets"])
         assert got == sorted(set(want)) and all(r["n"] == len(r["offsets"]) for r in lists)
     assert list(grams._lists(iter([]))) == []
+
+
+def test_values_are_not_joined_with_labels(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i}", "en", "src", 6) for i in (1, 2, 2, 7)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (1, 0, 1), (9, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    values = lambda unused: spark_view(spark, str(tmp_path), "media", unused).select("hash", "path", "title")
+    few = values(("labels",))
+    assert "Join" not in few._jdf.queryExecution().executedPlan().toString() and "Join" in values(())._jdf.queryExecution().executedPlan().toString()
+    assert set(map(tuple, few.collect())) == set(map(tuple, values(()).collect())) and few.count() == 4
