@@ -19,11 +19,17 @@ template as one window, if that has three words which are not placeholders.
 3. A document is contaminated by an item if its consistent windows are SHARE or
    more of the item's.
 
-Joined data: the item windows are broadcast up to ``BROADCAST_WINDOWS`` of them, which
-is checked, the items themselves alike, and the candidate pairs up to ``BROADCAST_PAIRS``. Beyond, both are joined by shuffle, and a
-window or an item that a third of all documents hold is left to the adaptive split of
-skewed joins, as only one side of these joins is large. A window that a third of all
-documents holds costs one row for each of them.
+Joined data: the rarest windows are broadcast with their items if there are up to
+``BROADCAST_WINDOWS`` windows, which is checked. Beyond, their hashes alone go to all
+tasks, so that only windows of documents that an item has as a rare one are exchanged, and
+not all windows of all documents. Likewise candidate pairs are broadcast up to
+``BROADCAST_PAIRS``, and beyond that 64-bit keys of their documents, so that only texts of
+candidates are exchanged. A document's arrays are written once, whatever the number of its
+candidate items; windows that it shares with an item are single rows before they meet the
+item's words. Whatever is broadcast takes ``BROADCAST_BYTES`` at most, by the number of
+rows; larger tables are joined by shuffle, where a hot window or item is left to the
+adaptive split of skewed joins, as only one side of these joins is large. A window that a
+third of all documents holds costs one row for each of them.
 
 Edge cases: null and empty texts, and items with fewer than three words that are not
 placeholders, match nothing; very long texts are read whole. Rows that repeat an id are
@@ -47,8 +53,11 @@ from .common import cut, table
 WIDTH = 5
 LEAST_WORDS = 3
 SHARE = 0.8
-#: Item windows, and candidate pairs, are broadcast up to this many (about 50 bytes each), and joined by shuffle beyond.
-BROADCAST_WINDOWS, BROADCAST_PAIRS = 500_000, 500_000
+#: Up to so many item windows the rarest are broadcast with their items, and up to so many candidate pairs the pairs (about 200 bytes each).
+BROADCAST_WINDOWS, BROADCAST_PAIRS = 500_000, 300_000
+#: A broadcast table takes about so many bytes at most in each process; of a row that is a hash, of an item, of one of its windows' hashes, and of a window with its words.
+BROADCAST_BYTES = 64 << 20
+HASH_ROW, ITEM_ROW, ITEM_HASH, WINDOW_ROW = 48, 80, 8, 300
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s ms min h hr hours hour minutes minute seconds second days day weeks week months month years year mph kmh percent dollars dollar euros euro usd eur cents cent degrees meters metres miles inches feet pounds liters litres grams kilograms".split()
 #: Numbers, words, and ends of sentences.
 TOKEN = r"(\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}_]+|[.!?:\n]+)"
@@ -135,7 +144,7 @@ def contaminated(
 ) -> DataFrame:
     """One row (doc_id, item_id, matched, item_windows) per document and item found in it."""
     known = cut(item_windows(items, item_col, item_text_col), "item-windows")
-    small = known.count() <= broadcast_windows
+    n_windows, n_items = known.agg(F.count(F.lit(1)), F.countDistinct("item_id")).first()
     # lengths of whole templates: a few numbers, each the length of some item
     spans = sorted(r[0] for r in known.filter((F.col("pos") == 0) & (F.col("span") != WIDTH)).select("span").distinct().collect())
     by_rarity = Window.partitionBy("item_id").orderBy("among", "part", "pos")
@@ -152,26 +161,44 @@ def contaminated(
     every = ["windows", *(f"windows_{k}" for k in spans)]
     templates = with_template(texts, "text", spans=spans)
     seen = templates.select("doc_id", "row", F.explode_outer(F.concat(*every) if spans else F.col("windows")).alias("h"))
-    pairs = cut(seen.join(F.broadcast(keys) if small else keys, "h").select("doc_id", "row", "item_id").distinct(), "candidate-pairs")
-    of_item = known.groupBy("item_id").agg(F.collect_list(F.struct("part", "pos", "h", "raws")).alias("item"), F.first("n").alias("n"))
-    near = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs  # else all texts would be shuffled
+    if n_windows <= broadcast_windows:
+        keys = F.broadcast(keys)
+    else:
+        keys = cut(keys, "item-keys")
+        seen = _among(seen, "h", keys.select("h"))
+    pairs = cut(seen.join(keys, "h").select("doc_id", "row", "item_id").distinct(), "candidate-pairs")
+    near = pairs.groupBy("doc_id", "row").agg(F.collect_list("item_id").alias("items"))
+    if pairs.count() <= BROADCAST_PAIRS:
+        near = F.broadcast(near)
+    else:
+        key = F.xxhash64("doc_id", "row").alias("_key")
+        texts = _among(texts.withColumn("_key", key), "_key", pairs.select(key)).drop("_key")
     templates = with_template(texts.join(near, ["doc_id", "row"]), "text", raws=True, spans=spans)
     # written first: an expression that a lambda reads would be computed again for each element
-    matched = templates.select("doc_id", "row", "item_id", "words", "raws", *every)
-    found = cut(matched, "candidate-windows").join(F.broadcast(of_item) if small else of_item, "item_id")
+    made = cut(templates.select("doc_id", "row", "items", "words", "raws", *every), "candidate-windows")
+    hashes = known.groupBy("item_id").agg(F.collect_set("h").alias("hashes"), F.first("n").alias("n"))
+    if ITEM_ROW * n_items + ITEM_HASH * n_windows <= BROADCAST_BYTES:
+        hashes = F.broadcast(hashes)
+    found = made.withColumn("item_id", F.explode("items")).drop("items").join(hashes, "item_id")
+    w = known.select("item_id", "h", F.struct("part", "pos", F.col("raws").alias("raws")).alias("w"))
+    if WINDOW_ROW * n_windows <= BROADCAST_BYTES and n_windows <= broadcast_windows:
+        w = F.broadcast(w)
     shared = [_shared_positions(found, column, span) for column, span in zip(every, [WIDTH, *spans], strict=True)]
-    return _aligned(reduce(DataFrame.unionByName, shared), share)
+    return _aligned(reduce(DataFrame.unionByName, shared).join(w, ["item_id", "h"]), share)
+
+
+def _among(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """The rows whose 64-bit ``key`` is listed, without an exchange of the rows; all rows if there are too many keys to broadcast."""
+    listed = cut(listed.distinct(), "listed-keys")
+    return rows.join(F.broadcast(listed), key, "left_semi") if HASH_ROW * listed.count() <= BROADCAST_BYTES else rows
 
 
 def _shared_positions(found: DataFrame, windows: str, span: int) -> DataFrame:
-    """One row per window that document and item share: at, words and raws of the document's window, w (the item's)."""
+    """One row per window of the document that the item has: h, at, and its words and raws."""
     pair = ["doc_id", "row", "item_id", "n"]
-    one = found.select(*pair, "item", "words", "raws", F.posexplode_outer(windows).alias("at", "h")).filter(
-        F.array_contains(F.col("item")["h"], F.col("h")),
-    )
+    one = found.select(*pair, "hashes", "words", "raws", F.posexplode_outer(windows).alias("at", "h")).filter(F.array_contains("hashes", F.col("h")))
     part = lambda c: F.slice(c, F.col("at") + 1, F.lit(span)).alias(c)
-    one = one.select(*pair, "at", "h", part("words"), part("raws"), F.explode("item").alias("w"))
-    return one.filter(F.col("w.h") == F.col("h"))
+    return one.select(*pair, "at", "h", part("words"), part("raws"))
 
 
 def _aligned(rows: DataFrame, share: float) -> DataFrame:

@@ -113,6 +113,29 @@ def test_decontaminate_repeated_documents(spark):
         assert {(r["matched"], r["item_windows"]) for r in got} == {(got[0]["matched"],) * 2}
 
 
+def test_decontaminate_many_items(spark, monkeypatch):
+    """Beyond the broadcast of windows and pairs, hashes keep documents' windows and texts from being exchanged; a document is written once for all its items."""
+    made, plans, cut = {}, {}, decontaminate.cut
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        made[name] = cut(df, name)
+        return made[name]
+
+    monkeypatch.setattr(decontaminate, "cut", kept)
+    monkeypatch.setattr(decontaminate, "BROADCAST_PAIRS", 0)
+    texts = [sentence(25).translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(5)]
+    items = spark.createDataFrame([(k, texts[k // 2]) for k in range(10)], "item_id long, text string")
+    rows = [(1, "So. " + texts[0]), (2, texts[1] + ". " + texts[2]), (2, texts[1]), (3, sentence(40)), (4, None), (None, texts[3])]
+    want = [(1, 0), (1, 1), *((2, k) for k in range(2, 6))]
+    for most in (decontaminate.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+        got = decontaminate.contaminated(docs(spark, rows), items, broadcast_windows=0).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in got) == want and all(r["matched"] == r["item_windows"] == 21 for r in got)
+        assert [plans[name].count("LeftSemi") for name in ("candidate-pairs", "candidate-windows")] == [most > 0] * 2
+        assert made["candidate-windows"].count() == 3
+
+
 def test_decontaminate_short_items(spark):
     items = spark.createDataFrame(
         [(1, "solve the riddle"), (2, "Add 3 to 4 and 5 to 6 , 7 8 9 ."), (3, "is 5 odd"), (4, "1 2 3 4 5 6")],
