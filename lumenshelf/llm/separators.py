@@ -150,4 +150,5 @@ def op4_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = cut(written.select("file", "bytes").distinct(), "token-file-sizes")
     counts = count_tokens(files)
     remove(spark, folder)  # the blocks' reports are all that is read from here on
-    return written.select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # a row per document on both sides: their files are so small that Spark would broadcast millions of rows
+    return written.select("file", "ordinal", "doc_id").join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")

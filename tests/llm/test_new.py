@@ -266,6 +266,17 @@ def test_long_white_space_is_packed_and_counted(spark, tmp_path):
     assert {r["doc_id"]: r["n_tokens"] for r in got} == n
 
 
+def test_counts_are_not_broadcast(spark):
+    """Rows per document stay out of the driver, however few bytes their files have."""
+    sf_dir = "/root/testdata/sf0.001"
+    got = separators.op4_separators(spark, sf_dir)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    joins = [x for x in plan.splitlines() if "Join" in x and "ordinal" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+    assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
 @pytest.mark.parametrize("range_rows", [3, 1000])
 def test_archives_merge_in_true_order(spark, tmp_path, range_rows, monkeypatch):
     """URLs with line breaks, times that no date can name, and one capture many times."""
