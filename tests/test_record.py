@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from test_operators import RECORD
 
+from lumenshelf.plans.fixtures import Library
 from lumenshelf.sources import dump, record
 
 RNG = random.Random(5)
@@ -109,3 +110,18 @@ def test_names(spark, tmp_path):
     assert sorted(r[0].strip() for r in found.elements("a").collect()) == ["2", "3"]
     (tmp_path / "none.json").write_text("")
     assert record.find(spark, str(tmp_path / "none.json")).elements("a").count() == 0
+
+
+def test_lines_are_written_once(spark, tmp_path, monkeypatch):
+    """A record's lines are not stored before it is written; repeated media are one element, and first ones have no comma before them."""
+    stored, settled = {}, dump.settled
+    monkeypatch.setattr(dump, "settled", lambda df, name: stored.setdefault(name, settled(df, name)))
+    (tmp_path / "d.json").write_text(json.dumps({"media": [{"hash": f"h{i:03}", "path": f"p{i}", "tags": [f"t{i % 7}"], "actors": []} for i in range(300)]}))
+    got = dump.load_record(spark, str(tmp_path / "d.json"))
+    media = got["media"].unionByName(got["media"].filter("hash < 'h002' or hash > 'h297'"))
+    lib = Library(media, got["media_tags"], got["media_actors"], got["media_playlists"])
+    dump.export_record(lib, got["playlists"], got["media_deleted"], str(tmp_path / "record"))
+    made = json.loads("".join(f.read_text() for f in sorted((tmp_path / "record").glob("part*"))))
+    assert [m["hash"] for m in made["media"]] == [f"h{i:03}" for i in range(300)] and made["tags"] == [f"t{i}" for i in range(7)]
+    assert made["actors"] == made["playlists"] == made["deleted"] == [] and all(m["tags"] == [f"t{i % 7}"] for i, m in enumerate(made["media"]))
+    assert sum(df.count() for df in stored.values()) <= len(dump.PARTS)
